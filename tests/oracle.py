@@ -1,0 +1,61 @@
+"""Compare a Spark result with a DuckDB oracle the way the driver does:
+columns sorted by name, rows as an order-insensitive multiset."""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import math
+from collections import Counter
+
+import duckdb
+
+from tablewright.sources import TABLES
+
+
+def duck_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return f"{v:.9g}"
+    if isinstance(v, decimal.Decimal):
+        return str(v.normalize()) if v == v.to_integral_value() else str(v)
+    if isinstance(v, (dt.datetime, dt.date)):
+        return v.isoformat()
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    if isinstance(v, bool):
+        return bool(v)
+    return v
+
+
+def _rows(columns, tuples):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return [tuple(_norm(r[i]) for i in order) for r in tuples]
+
+
+def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> tuple[bool, str]:
+    s_cols = spark_df.columns
+    s_rows = _rows(s_cols, [tuple(r) for r in spark_df.collect()])
+    res = con.execute(sql)
+    d_cols = [d[0] for d in res.description]
+    d_rows = _rows(d_cols, res.fetchall())
+    if sorted(s_cols) != sorted(d_cols):
+        return False, f"columns differ: spark {sorted(s_cols)} vs oracle {sorted(d_cols)}"
+    if len(s_rows) != len(d_rows):
+        return False, f"row counts differ: spark {len(s_rows)} vs oracle {len(d_rows)}"
+    sc, dc = Counter(s_rows), Counter(d_rows)
+    if sc != dc:
+        only_s = list((sc - dc).elements())[:3]
+        only_d = list((dc - sc).elements())[:3]
+        return False, f"values differ: spark-only {only_s} oracle-only {only_d}"
+    return True, f"{len(s_rows)} rows"
