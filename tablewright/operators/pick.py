@@ -2,8 +2,10 @@
 
 A ``row_number()`` window would send every row of a key to one task; with
 one key holding a third of the table that task does a third of the work.
-``min_by`` / ``max_by`` are aggregates instead: each map task keeps one
-candidate per key before the shuffle, so a hot key costs one row per task.
+``min`` / ``max`` over a struct are aggregates instead: each map task keeps
+one candidate per key before the shuffle, so a hot key costs one row per
+task. The struct lists the ordering columns first and the rest after them,
+so it is both the sort key and the payload: nothing is shuffled twice.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ def pick_per_key(
 ) -> DataFrame:
     """Keep the row with the smallest (or largest) ``order_by`` per ``keys``.
 
-    Ties on ``order_by`` are broken by the remaining columns, so the result
-    is deterministic. Nulls order first, as in Spark's ascending sort.
-    Output columns keep the input order.
+    Ties on ``order_by`` are broken by the remaining columns in table order,
+    so the result is deterministic. Nulls sort first, as in Spark's
+    ascending order (so ``smallest=False`` puts them last). Output columns
+    keep the input order.
     """
     keys = list(keys)
     missing = [c for c in [*keys, *order_by] if c not in df.columns]
@@ -37,16 +40,14 @@ def pick_per_key(
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
-    ordering = list(dict.fromkeys([*order_by, *rest]))
+    ordering = list(dict.fromkeys([c for c in order_by if c not in keys] + rest))
     grouping = [F.col(k) for k in keys]
     if any(isinstance(df.schema[k].dataType, (StringType, BinaryType)) for k in keys):
         # Long string keys make the sort-based aggregate compare whole
-        # texts; a leading 64-bit hash makes the sort prefix decide almost
-        # every comparison, and grouping stays exact on the keys themselves.
+        # texts; a leading 64-bit hash lets the sort prefix decide almost
+        # every comparison, while grouping stays exact on the keys themselves.
         grouping = [F.xxhash64(*keys).alias(_HASH), *grouping]
-    chooser = F.min_by if smallest else F.max_by
-    picked = df.groupBy(*grouping).agg(
-        chooser(F.struct(*rest), F.struct(*ordering)).alias(_ROW)
-    )
+    chooser = F.min if smallest else F.max
+    picked = df.groupBy(*grouping).agg(chooser(F.struct(*ordering)).alias(_ROW))
     row = F.col(_ROW)
     return picked.select(*[F.col(c) if c in keys else row.getField(c).alias(c) for c in df.columns])

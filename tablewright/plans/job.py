@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.config import get, require
-from tablewright.names import TableName, catalog_and_database, check_part
+from tablewright.names import CATALOG_CONF, SESSION_CATALOG, TableName, catalog_and_database, check_part
 from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows
 from tablewright.sinks import append, create_table_if_absent
 from tablewright.sources import range_source, read_files
@@ -53,10 +53,11 @@ def check_config(cfg: Mapping[str, Any]) -> None:
 def target_table(spark: SparkSession, cfg: Mapping[str, Any]) -> TableName:
     """Config names win; otherwise the session confs (the database is required)."""
     catalog, database = get(cfg, "table.catalog"), get(cfg, "table.database")
-    if catalog is None or database is None:
-        conf_catalog, conf_database = catalog_and_database(spark)
+    if database is None:
+        conf_catalog, database = catalog_and_database(spark)
         catalog = catalog or conf_catalog
-        database = database or conf_database
+    elif catalog is None:
+        catalog = spark.conf.get(CATALOG_CONF, SESSION_CATALOG) or SESSION_CATALOG
     return TableName(catalog, database, require(cfg, "table.name"))
 
 

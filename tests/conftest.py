@@ -22,10 +22,14 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
-        .config("spark.checkpoint.dir", f"{scratch}/shared")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    # The shared folder comes from the session's spark.checkpoint.dir; only
+    # when that is unset does shared_dir() register a fresh temporary one.
+    from tablewright.session import shared_dir
+
+    shared_dir(session)
     yield session
     session.stop()
