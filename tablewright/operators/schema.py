@@ -10,15 +10,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import (
+    ByteType,
+    DataType,
+    DecimalType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StringType,
+)
+
+# Characters Spark's integral and decimal parsers can accept: any Unicode
+# decimal digit, sign, point (and an exponent for decimals), plus the
+# whitespace and ISO control characters they trim. A string with any other character can
+# never convert, so it is counted without calling the parser, whose failure
+# path is far slower than a regex test.
+_INTEGRAL_CHARS = r"^[\x00-\x20\x7F-\x9F+\-.\p{Nd}]*$"
+_DECIMAL_CHARS = r"^[\x00-\x20\x7F-\x9F+\-.eE\p{Nd}]*$"
 
 
 def _normalise(type_text: str) -> DataType:
     return DataType.fromDDL(type_text)
 
 
+def _unconvertible(col: Column, have: DataType, want: DataType) -> Column:
+    """True where a non-null value has no ``want`` representation."""
+    failed = col.try_cast(want).isNull()
+    if isinstance(have, StringType):
+        if isinstance(want, (ByteType, ShortType, IntegerType, LongType)):
+            return F.when(~col.rlike(_INTEGRAL_CHARS), F.lit(True)).otherwise(failed)
+        if isinstance(want, DecimalType):
+            return F.when(~col.rlike(_DECIMAL_CHARS), F.lit(True)).otherwise(failed)
+    return failed
+
+
 def schema_check(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
     actual = {f.name: f.dataType for f in df.schema.fields}
     checks = []
@@ -29,7 +56,7 @@ def schema_check(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFram
         if have is not None:
             col = F.col(f"`{name}`")
             bad = F.sum(
-                F.when(col.isNotNull() & col.try_cast(want).isNull(), F.lit(1)).otherwise(F.lit(0))
+                F.when(col.isNotNull() & _unconvertible(col, have, want), F.lit(1)).otherwise(F.lit(0))
             )
             counts.append(F.coalesce(bad, F.lit(0)).cast("bigint").alias(f"b{i}"))
             bad_rows = F.col(f"b{i}")

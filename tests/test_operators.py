@@ -243,3 +243,29 @@ def test_stamp_lineage_literals(spark):
     cfg = {"a": 1}
     out = stamp_lineage(range_source(spark, 0, 3), cfg, run_id="r1")
     assert {(r.config_sha256, r.run_id) for r in out.collect()} == {(config_sha256(cfg), "r1")}
+
+
+TRICKY = [
+    "1", " 2 ", "+3", "-4", "5.0", "5.5", "1e3", "1E-2", "abc", "1-URGENT", "", " ", "\t7\n",
+    "9999999999", "-9223372036854775808", "9223372036854775808", "١٢", "１２", " 8", "\u00858",
+    "0x10", "--1", "1.", ".5", "+", "Infinity", "NaN", "1_000", "12 34", "　8",
+]
+
+
+@pytest.mark.parametrize("want", ["tinyint", "smallint", "int", "bigint", "decimal(12,2)", "decimal(38,0)", "double", "date"])
+def test_schema_check_screen_is_exact(spark, want):
+    """The regex pre-screen never changes a result: compare with plain try_cast row by row."""
+    from pyspark.sql.types import DataType
+
+    from tablewright.operators.schema import _unconvertible
+
+    df = spark.createDataFrame(list(enumerate(TRICKY)), "i int, s string")
+    target = DataType.fromDDL(want)
+    rows = df.select(
+        "i",
+        _unconvertible(F.col("s"), StringType(), target).alias("screened"),
+        F.col("s").try_cast(target).isNull().alias("direct"),
+    ).collect()
+    assert [(r.i, r.screened) for r in rows] == [(r.i, r.direct) for r in rows]
+    expected_bad = sum(r.direct for r in rows)
+    assert schema_check(df, [("s", want)]).collect()[0].bad_rows == expected_bad
