@@ -67,6 +67,11 @@ def build_frame(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
         df = range_source(spark, r.get("start", 0), r["end"], r.get("step", 1), r.get("partitions"))
     else:
         df = read_files(spark, require(cfg, "source.path"), get(cfg, "source.format", "parquet"))
+    return transform(df, cfg)
+
+
+def transform(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
+    """Filter, optional dedup, derived columns, partition cap; batch or stream."""
     predicate = get(cfg, "processing.filter")
     if predicate:
         df = filter_rows(df, predicate)

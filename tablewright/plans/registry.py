@@ -29,6 +29,7 @@ from tablewright.plans.job import run
 from tablewright.session import fresh_path, fresh_table_suffix
 from tablewright.sinks import append, create_table_if_absent, read_runs, write_files, write_run
 from tablewright.sources import load_table, read_files
+from tablewright.streaming import run_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,6 +189,21 @@ def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, documents_job_config(spark, sf_dir))
 
 
+# --- I-6/I-7 incrementally: the same job as a checkpointed file stream ---------------------------
+
+def stream_append_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Started twice on the same checkpoint, the job still stores each order once."""
+    name, location = _fresh_table(spark, "stream")
+    cfg = {
+        "table": {"name": name.table, "catalog": name.catalog, "database": name.database, "location": location},
+        "source": {"path": sf_dir, "glob": "orders.parquet"},
+        "processing": {"derive": {"double": "o_orderkey * 2"}},
+        "streaming": {"checkpoint": fresh_path(spark, "streams/orders")},
+    }
+    run_incremental(spark, cfg)
+    return run_incremental(spark, cfg)
+
+
 QUERIES: dict[str, Query] = {
     "derive_orders": derive_orders,
     "filter_even_orders": filter_even_orders,
@@ -202,6 +218,7 @@ QUERIES: dict[str, Query] = {
     "latest_per_key": latest_events,
     "run_partition_roundtrip": run_partition_roundtrip,
     "job_documents": job_documents,
+    "stream_append_orders": stream_append_orders,
 }
 
 
@@ -277,6 +294,7 @@ def oracles() -> dict[str, str]:
             "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
         ),
         "run_partition_roundtrip": _run_roundtrip_sql(),
+        "stream_append_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
         "job_documents": (
             "SELECT doc_id, text, lang, source, n_chars, "
             "CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS sha256 "

@@ -215,3 +215,48 @@ def test_job_from_path_with_dedup_filter_and_cap(spark):
     out = run(spark, cfg)
     assert sorted(tuple(r) for r in out.collect()) == [(2, "a", 4), (3, "b", 6), (4, "c", 8)]
     assert len([f for f in spark.read.parquet(cfg["table"]["location"]).inputFiles()]) <= 2
+
+
+# ---- the job, incrementally ---------------------------------------------------------------
+
+def test_incremental_job_appends_each_file_once(spark):
+    from tablewright.streaming import run_incremental
+
+    src = fresh_path(spark, "inputs")
+    write_files(frame(spark, 10), f"{src}/part1")
+    cfg = {
+        "table": {"name": f"s_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")},
+        "source": {"path": f"{src}/*", "schema": "id bigint, double bigint"},
+        "processing": {"derive": {"triple": "id * 3"}},
+    }
+    first = run_incremental(spark, cfg)
+    assert first.count() == 10
+    assert run_incremental(spark, cfg).count() == 10  # nothing new: nothing appended
+    write_files(frame(spark, 5).withColumn("id", F.col("id") + 100), f"{src}/part2")
+    out = run_incremental(spark, cfg)
+    assert sorted(r.id for r in out.collect()) == list(range(10)) + list(range(100, 105))
+    assert out.columns == ["id", "double", "triple"]
+
+
+def test_incremental_job_refuses_keyed_dedup(spark):
+    from tablewright.streaming import run_incremental
+
+    cfg = {
+        "table": {"name": "x", "database": "default"},
+        "source": {"path": "/nowhere"},
+        "processing": {"enable_deduplication": True},
+    }
+    with pytest.raises(SystemExit, match="batch"):
+        run_incremental(spark, cfg)
+
+
+def test_append_stream_checks_columns(spark):
+    from tablewright.streaming import append_stream, read_stream
+
+    name, loc = fresh(spark)
+    create_table_if_absent(spark, name, frame(spark, 1).schema, "parquet", loc)
+    src = fresh_path(spark, "inputs")
+    write_files(frame(spark, 3), src)
+    stream = read_stream(spark, src, frame(spark, 1).schema).select("id")
+    with pytest.raises(ValueError, match="missing"):
+        append_stream(stream, name, fresh_path(spark, "streams"))
