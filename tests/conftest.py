@@ -15,6 +15,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     scratch = tempfile.mkdtemp(prefix="tw-tests-")
+    os.makedirs(f"{scratch}/events")
     session = (
         SparkSession.builder.master("local[*]")
         .appName("tablewright-tests")
@@ -23,6 +24,12 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .config("spark.driver.memory", "8g")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Task metrics for the skew tests, read back from Spark's own event log.
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", f"{scratch}/events")
+        .config("spark.eventLog.compress", "false")
+        .config("spark.eventLog.rolling.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

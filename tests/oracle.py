@@ -43,14 +43,43 @@ def _rows(columns, tuples):
     return [tuple(_norm(r[i]) for i in order) for r in tuples]
 
 
+_DUCK_NAMES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "tinyint": "TINYINT",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "float": "FLOAT",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "date": "DATE",
+    "binary": "BLOB",
+}
+
+
+def duck_type(spark_type: str) -> str:
+    if spark_type.startswith("decimal"):
+        return spark_type.upper()
+    if spark_type.startswith("array<") and spark_type.endswith(">"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    return _DUCK_NAMES.get(spark_type, spark_type.upper())
+
+
 def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> tuple[bool, str]:
     s_cols = spark_df.columns
+    s_types = {c: duck_type(t) for c, t in spark_df.dtypes}
     s_rows = _rows(s_cols, [tuple(r) for r in spark_df.collect()])
+    rel = con.sql(sql)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = _rows(d_cols, res.fetchall())
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark {sorted(s_cols)} vs oracle {sorted(d_cols)}"
+    if s_types != d_types:
+        diff = {c: (s_types[c], d_types[c]) for c in s_types if s_types[c] != d_types.get(c)}
+        return False, f"types differ (spark, oracle): {diff}"
     if len(s_rows) != len(d_rows):
         return False, f"row counts differ: spark {len(s_rows)} vs oracle {len(d_rows)}"
     sc, dc = Counter(s_rows), Counter(d_rows)

@@ -269,3 +269,10 @@ def test_schema_check_screen_is_exact(spark, want):
     assert [(r.i, r.screened) for r in rows] == [(r.i, r.direct) for r in rows]
     expected_bad = sum(r.direct for r in rows)
     assert schema_check(df, [("s", want)]).collect()[0].bad_rows == expected_bad
+
+
+def test_manifest_of_empty_input(spark):
+    empty = spark.createDataFrame([], "g string, t string")
+    assert manifest(empty, ["g"], "t").count() == 0
+    whole = manifest(empty, [], "t").collect()[0]
+    assert (whole.row_count, whole.size_bytes, int(whole.fingerprint)) == (0, 0, 0)

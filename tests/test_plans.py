@@ -62,3 +62,27 @@ def test_manifest_is_hash_aggregate(plans):
 def test_dedup_sorts_on_hash_prefix(plans):
     # The grouping starts with a 64-bit hash of the text.
     assert "xxhash64(text" in plans["dedup_documents"]
+
+
+def test_parameters_are_plan_literals(spark):
+    """D-8: config values travel with the plan as literals; no broadcast is involved."""
+    df = registry.sql_text_orders(spark, SF_SMALL)
+    text = plan(df)
+    assert "(o_orderkey#" in text and "* 2)" in text
+    assert "Broadcast" not in text
+    from tablewright.operators import stamp_lineage
+
+    stamped = plan(stamp_lineage(spark.range(3), {"k": "v"}))
+    from tablewright.config import config_sha256
+
+    assert config_sha256({"k": "v"}) in stamped
+    assert "Broadcast" not in stamped
+
+
+def test_job_plan_is_one_scan_one_shuffle(spark):
+    from tablewright.plans.job import build_frame
+
+    cfg = registry.documents_job_config(spark, SF_SMALL)
+    headers = [line for line in plan(build_frame(spark, cfg)).splitlines() if line.startswith("(")]
+    assert sum("Scan parquet" in h for h in headers) == 1
+    assert sum("Exchange" in h for h in headers) == 1
