@@ -50,9 +50,15 @@ def derive_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- D-1 filter by SQL predicate, then count -------------------------------------------
 
 def filter_even_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documented example predicate, counted over the whole table."""
     return filter_count(load_table(spark, sf_dir, "orders"), "o_orderkey % 2 = 0")
 
 
+def filter_count_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparison predicate: Catalyst pushes it into the Parquet scan."""
+    return filter_count(load_table(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice > 100000")
+
+
 # --- D-2 SQL text, D-8 parameters as plan literals --------------------------------------
 
 def sql_text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +213,7 @@ def stream_append_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "derive_orders": derive_orders,
     "filter_even_orders": filter_even_orders,
+    "filter_count_orders": filter_count_orders,
     "sql_text_orders": sql_text_orders,
     "append_roundtrip": append_roundtrip,
     "append_twice": append_twice,
@@ -276,6 +283,9 @@ def oracles() -> dict[str, str]:
     return {
         "derive_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
         "filter_even_orders": "SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0",
+        "filter_count_orders": (
+            "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000"
+        ),
         "sql_text_orders": _ORDERS_IDS,
         "append_roundtrip": _ORDERS_IDS,
         "append_twice": f"{_ORDERS_IDS} UNION ALL {_ORDERS_IDS}",

@@ -86,3 +86,8 @@ def test_job_plan_is_one_scan_one_shuffle(spark):
     headers = [line for line in plan(build_frame(spark, cfg)).splitlines() if line.startswith("(")]
     assert sum("Scan parquet" in h for h in headers) == 1
     assert sum("Exchange" in h for h in headers) == 1
+
+
+def test_comparison_filter_reaches_the_scan(plans):
+    text = plans["filter_count_orders"]
+    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), EqualTo(o_orderstatus,F), GreaterThan(o_totalprice,100000.0)]" in text
