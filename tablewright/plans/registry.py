@@ -27,7 +27,16 @@ from tablewright.operators import (
 )
 from tablewright.plans.job import run
 from tablewright.session import fresh_path, fresh_table_suffix
-from tablewright.sinks import append, create_table_if_absent, read_runs, write_files, write_run
+from tablewright.sinks import (
+    append,
+    create_table_if_absent,
+    publish_run,
+    read_latest_run,
+    read_runs,
+    run_ledger,
+    write_files,
+    write_run,
+)
 from tablewright.sources import load_table, read_files
 from tablewright.streaming import run_incremental
 
@@ -165,6 +174,36 @@ def run_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_runs(spark, root, stamped.schema, run_id=make_run_id(first, RUN_TIMES[0]))
 
 
+# Published runs: two published, then a newer one written but never
+# published (a driver lost before the ledger row); readers must skip it.
+PUBLISHED_JOB = "orders_copy"
+PUBLISHED_TIMES = ("20260101_000000", "20260102_000000")
+UNPUBLISHED_TIME = "20260103_000000"
+
+
+def _publish_orders_runs(spark: SparkSession, sf_dir: str):
+    orders = load_table(spark, sf_dir, "orders")
+    root = fresh_path(spark, "runs/published")
+    stamped = None
+    for created_at in PUBLISHED_TIMES:
+        cfg = run_config(created_at)
+        stamped = stamp_lineage(orders, cfg)
+        publish_run(stamped, root, make_run_id(cfg, created_at), cfg, PUBLISHED_JOB)
+    cfg = run_config(UNPUBLISHED_TIME)
+    write_run(stamp_lineage(orders, cfg), root, make_run_id(cfg, UNPUBLISHED_TIME))
+    return root, stamped.schema
+
+
+def run_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = _publish_orders_runs(spark, sf_dir)
+    return run_ledger(spark, root).drop("location")
+
+
+def latest_run_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, schema = _publish_orders_runs(spark, sf_dir)
+    return read_latest_run(spark, root, schema, PUBLISHED_JOB)
+
+
 # --- I-7 the composed job, end to end ------------------------------------------------------------
 
 def documents_job_config(spark: SparkSession, sf_dir: str) -> dict:
@@ -224,6 +263,8 @@ QUERIES: dict[str, Query] = {
     "manifest_documents": manifest_documents,
     "latest_per_key": latest_events,
     "run_partition_roundtrip": run_partition_roundtrip,
+    "run_ledger_orders": run_ledger_orders,
+    "latest_run_orders": latest_run_orders,
     "job_documents": job_documents,
     "stream_append_orders": stream_append_orders,
 }
@@ -279,6 +320,27 @@ def _run_roundtrip_sql() -> str:
     )
 
 
+def _run_ledger_sql() -> str:
+    rows = []
+    for created_at in PUBLISHED_TIMES:
+        cfg = run_config(created_at)
+        rows.append(
+            f"SELECT '{PUBLISHED_JOB}' AS job, '{make_run_id(cfg, created_at)}' AS run_id, "
+            f"'{created_at}' AS created_at, '{config_sha256(cfg)}' AS config_sha256, "
+            "(SELECT count(*) FROM orders) AS row_count"
+        )
+    return " UNION ALL ".join(rows)
+
+
+def _latest_run_sql() -> str:
+    created_at = PUBLISHED_TIMES[-1]
+    cfg = run_config(created_at)
+    return (
+        f"SELECT *, '{config_sha256(cfg)}' AS config_sha256, "
+        f"'{make_run_id(cfg, created_at)}' AS run_id FROM orders"
+    )
+
+
 def oracles() -> dict[str, str]:
     return {
         "derive_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
@@ -304,6 +366,8 @@ def oracles() -> dict[str, str]:
             "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
         ),
         "run_partition_roundtrip": _run_roundtrip_sql(),
+        "run_ledger_orders": _run_ledger_sql(),
+        "latest_run_orders": _latest_run_sql(),
         "stream_append_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
         "job_documents": (
             "SELECT doc_id, text, lang, source, n_chars, "

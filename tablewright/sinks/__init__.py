@@ -1,6 +1,26 @@
-"""Where rows go: catalog tables (create if absent, append by name) and files."""
+"""Where rows go: catalog tables (create if absent, append by name), files,
+and write-once run folders published through a ledger."""
 
-from tablewright.sinks.files import read_runs, write_files, write_run
+from tablewright.sinks.files import write_files
+from tablewright.sinks.runs import (
+    latest_runs,
+    publish_run,
+    read_latest_run,
+    read_runs,
+    run_ledger,
+    write_run,
+)
 from tablewright.sinks.tables import append, column_ddl, create_table_if_absent
 
-__all__ = ["append", "column_ddl", "create_table_if_absent", "read_runs", "write_files", "write_run"]
+__all__ = [
+    "append",
+    "column_ddl",
+    "create_table_if_absent",
+    "latest_runs",
+    "publish_run",
+    "read_latest_run",
+    "read_runs",
+    "run_ledger",
+    "write_files",
+    "write_run",
+]

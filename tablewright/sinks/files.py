@@ -1,14 +1,10 @@
-"""File sinks, and write-once run folders under a shared root."""
+"""File sink."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
-RUN_COLUMN = "run_id"
+from pyspark.sql import DataFrame
 
 
 def write_files(
@@ -24,33 +20,3 @@ def write_files(
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return path
-
-
-def write_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") -> str:
-    """Write one run to ``root/run_id=<id>``; a second write there fails.
-
-    The run id lives in the folder name only, so readers of ``root`` see it
-    as a partition column and a filter on it prunes the other runs' files.
-    """
-    if "/" in run_id or "=" in run_id or not run_id:
-        raise ValueError(f"invalid run id {run_id!r}")
-    if RUN_COLUMN in df.columns:
-        raise ValueError(f"{RUN_COLUMN} belongs in the path, not in the data")
-    return write_files(df, f"{root.rstrip('/')}/{RUN_COLUMN}={run_id}", fmt=fmt, mode="errorifexists")
-
-
-def read_runs(
-    spark: SparkSession,
-    root: str,
-    schema: StructType,
-    run_id: str | None = None,
-    fmt: str = "parquet",
-) -> DataFrame:
-    """All runs under ``root`` (or one), with ``run_id`` as a string column last.
-
-    The schema is given rather than inferred, so an id made of digits stays
-    a string and no file footers are sampled.
-    """
-    full = StructType([*schema.fields, StructField(RUN_COLUMN, StringType(), True)])
-    df = spark.read.format(fmt).schema(full).load(root)
-    return df.filter(F.col(RUN_COLUMN) == run_id) if run_id is not None else df

@@ -91,3 +91,7 @@ def test_job_plan_is_one_scan_one_shuffle(spark):
 def test_comparison_filter_reaches_the_scan(plans):
     text = plans["filter_count_orders"]
     assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), EqualTo(o_orderstatus,F), GreaterThan(o_totalprice,100000.0)]" in text
+
+
+def test_latest_run_reads_only_its_folder(plans):
+    assert "dynamicpruningexpression(run_id" in plans["latest_run_orders"]

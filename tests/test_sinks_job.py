@@ -260,3 +260,42 @@ def test_append_stream_checks_columns(spark):
     stream = read_stream(spark, src, frame(spark, 1).schema).select("id")
     with pytest.raises(ValueError, match="missing"):
         append_stream(stream, name, fresh_path(spark, "streams"))
+
+
+# ---- published runs ---------------------------------------------------------------------------
+
+def test_publish_run_ledger_and_committed_reads(spark):
+    from tablewright.sinks import latest_runs, publish_run, run_ledger
+
+    root = fresh_path(spark, "runs")
+    df = frame(spark, 7)
+    entry = publish_run(df, root, "20260101_000000-aaaaaaaa", {"a": 1}, "job1")
+    assert entry["row_count"] == 7 and entry["created_at"] == "20260101_000000"
+    publish_run(df.limit(3), root, "20260102_000000-bbbbbbbb", {"a": 2}, "job1")
+    publish_run(df, root, "20260101_120000-cccccccc", {"b": 1}, "job2")
+    write_run(df, root, "20260105_000000-dddddddd")  # written, never published
+
+    assert run_ledger(spark, root).count() == 3
+    assert read_runs(spark, root, df.schema).count() == 7 + 3 + 7 + 7  # the ledger folder is not data
+    committed = read_runs(spark, root, df.schema, committed_only=True)
+    assert committed.count() == 7 + 3 + 7
+    assert read_runs(spark, root, df.schema, run_id="20260105_000000-dddddddd", committed_only=True).count() == 0
+    latest = {r.job: (r.run_id, r.row_count) for r in latest_runs(spark, root).collect()}
+    assert latest == {"job1": ("20260102_000000-bbbbbbbb", 3), "job2": ("20260101_120000-cccccccc", 7)}
+
+
+def test_read_latest_run(spark):
+    from tablewright.sinks import publish_run, read_latest_run
+
+    root = fresh_path(spark, "runs")
+    df = frame(spark, 4)
+    publish_run(df, root, "20260101_000000-aaaaaaaa", {}, "j")
+    publish_run(df.withColumn("double", F.lit(-1).cast("bigint")), root, "20260102_000000-bbbbbbbb", {}, "j")
+    got = read_latest_run(spark, root, df.schema, "j")
+    assert {(r.double, r.run_id) for r in got.collect()} == {(-1, "20260102_000000-bbbbbbbb")}
+
+
+def test_run_ids_that_would_hide_or_escape_are_rejected(spark):
+    for bad in ("_x", ".x", "a=b", ""):
+        with pytest.raises(ValueError):
+            write_run(frame(spark, 1), fresh_path(spark, "runs"), bad)
