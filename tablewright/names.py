@@ -21,6 +21,11 @@ SESSION_CATALOG = "spark_catalog"
 _PART = re.compile(r"^[A-Za-z0-9_]+$")
 
 
+def quote_ident(name: str) -> str:
+    """Backtick-quote one identifier (a column or field name), doubling backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def check_part(kind: str, value: str) -> str:
     if not isinstance(value, str) or not _PART.match(value):
         raise ValueError(f"invalid {kind} name {value!r}: use letters, digits and underscores")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import fingerprint32
+from tablewright.names import quote_ident
 
 # Wide enough that summing 32-bit values cannot overflow (about 2e28 rows).
 FINGERPRINT_TYPE = "decimal(38,0)"
@@ -22,11 +23,12 @@ def manifest(df: DataFrame, group_by: Sequence[str], content: str) -> DataFrame:
     order or partitioning. Empty groups never appear; NULL content adds no
     bytes and no fingerprint.
     """
-    return df.groupBy(*group_by).agg(
+    text = F.col(quote_ident(content))
+    return df.groupBy(*[F.col(quote_ident(g)) for g in group_by]).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).cast("bigint").alias("size_bytes"),
+        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("size_bytes"),
         F.coalesce(
-            F.sum(fingerprint32(content).cast(FINGERPRINT_TYPE)),
+            F.sum(fingerprint32(text).cast(FINGERPRINT_TYPE)),
             F.lit(0).cast(FINGERPRINT_TYPE),
         ).alias("fingerprint"),
     )

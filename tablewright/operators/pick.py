@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from tablewright.names import quote_ident
+
 _HASH = "__tw_key_hash"
 _ROW = "__tw_row"
 
@@ -41,13 +43,17 @@ def pick_per_key(
     if not rest:
         return df.dropDuplicates(keys)
     ordering = list(dict.fromkeys([c for c in order_by if c not in keys] + rest))
-    grouping = [F.col(k) for k in keys]
+
+    def col(name: str):
+        return F.col(quote_ident(name))
+
+    grouping = [col(k) for k in keys]
     if any(isinstance(df.schema[k].dataType, (StringType, BinaryType)) for k in keys):
         # Long string keys make the sort-based aggregate compare whole
         # texts; a leading 64-bit hash lets the sort prefix decide almost
         # every comparison, while grouping stays exact on the keys themselves.
-        grouping = [F.xxhash64(*keys).alias(_HASH), *grouping]
+        grouping = [F.xxhash64(*[col(k) for k in keys]).alias(_HASH), *grouping]
     chooser = F.min if smallest else F.max
-    picked = df.groupBy(*grouping).agg(chooser(F.struct(*ordering)).alias(_ROW))
+    picked = df.groupBy(*grouping).agg(chooser(F.struct(*[col(c) for c in ordering])).alias(_ROW))
     row = F.col(_ROW)
-    return picked.select(*[F.col(c) if c in keys else row.getField(c).alias(c) for c in df.columns])
+    return picked.select(*[col(c) if c in keys else row.getField(c).alias(c) for c in df.columns])

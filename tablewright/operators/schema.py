@@ -22,6 +22,8 @@ from pyspark.sql.types import (
     StringType,
 )
 
+from tablewright.names import quote_ident
+
 # Characters Spark's integral and decimal parsers can accept: any Unicode
 # decimal digit, sign, point (and an exponent for decimals), plus the
 # whitespace and ISO control characters they trim. A string with any other character can
@@ -54,7 +56,7 @@ def schema_check(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFram
         want = _normalise(type_text)
         have = actual.get(name)
         if have is not None:
-            col = F.col(f"`{name}`")
+            col = F.col(quote_ident(name))
             bad = F.sum(
                 F.when(col.isNotNull() & _unconvertible(col, have, want), F.lit(1)).otherwise(F.lit(0))
             )

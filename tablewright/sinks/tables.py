@@ -10,13 +10,24 @@ idempotent: running the same job twice stores its rows twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from tablewright.names import TableName
+from tablewright.names import TableName, quote_ident
+
+
+def type_ddl(dt: DataType) -> str:
+    """SQL type text with every nested field name quoted."""
+    if isinstance(dt, StructType):
+        return "struct<" + ",".join(f"{quote_ident(f.name)}:{type_ddl(f.dataType)}" for f in dt.fields) + ">"
+    if isinstance(dt, ArrayType):
+        return f"array<{type_ddl(dt.elementType)}>"
+    if isinstance(dt, MapType):
+        return f"map<{type_ddl(dt.keyType)},{type_ddl(dt.valueType)}>"
+    return dt.simpleString()
 
 
 def column_ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return ", ".join(f"{quote_ident(f.name)} {type_ddl(f.dataType)}" for f in schema.fields)
 
 
 def _sql_string(text: str) -> str:

@@ -276,3 +276,11 @@ def test_manifest_of_empty_input(spark):
     assert manifest(empty, ["g"], "t").count() == 0
     whole = manifest(empty, [], "t").collect()[0]
     assert (whole.row_count, whole.size_bytes, int(whole.fingerprint)) == (0, 0, 0)
+
+
+def test_dotted_column_names(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1)], "`i.d` long, `k.ey` string, `t.s` long")
+    assert sorted(tuple(r) for r in deduplicate(df, ["k.ey"], ["i.d"]).collect()) == [(1, "a", 5), (3, "b", 1)]
+    assert sorted(tuple(r) for r in latest_per_key(df, ["k.ey"], ["t.s"]).collect()) == [(2, "a", 9), (3, "b", 1)]
+    m = {r["k.ey"]: r.row_count for r in manifest(df, ["k.ey"], "k.ey").collect()}
+    assert m == {"a": 2, "b": 1}

@@ -299,3 +299,20 @@ def test_run_ids_that_would_hide_or_escape_are_rejected(spark):
     for bad in ("_x", ".x", "a=b", ""):
         with pytest.raises(ValueError):
             write_run(frame(spark, 1), fresh_path(spark, "runs"), bad)
+
+
+def test_awkward_column_names_round_trip(spark):
+    from tablewright.operators import schema_check
+
+    name, loc = fresh(spark)
+    df = spark.createDataFrame(
+        [(1, (2, "x"), [3], {"k": 4})],
+        "`we``ird col` bigint, `s t` struct<`a b`: int, `c`: string>, arr array<int>, m map<string,int>",
+    )
+    create_table_if_absent(spark, name, df.schema, "parquet", loc)
+    append(df, name)
+    back = spark.table(name.quoted)
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert back.collect()[0]["s t"]["a b"] == 2
+    check = schema_check(df, [("we`ird col", "bigint")]).collect()[0]
+    assert (check.ok, check.bad_rows) == (True, 0)
