@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tablewright.config import get, require
 from tablewright.names import CATALOG_CONF, SESSION_CATALOG, TableName, catalog_and_database, check_part
@@ -41,8 +41,17 @@ def check_config(cfg: Mapping[str, Any]) -> None:
     if "range" in source:
         require(cfg, "source.range.end")
     derive_map = get(cfg, "processing.derive", {})
-    if not isinstance(derive_map, Mapping):
+    if not isinstance(derive_map, Mapping) or not all(
+        isinstance(k, str) and isinstance(v, (str, Column)) for k, v in derive_map.items()
+    ):
         raise SystemExit("Config error: processing.derive must be a table of name = expression")
+    for key in ("processing.dedup_keys", "processing.dedup_order"):
+        names = get(cfg, key)
+        if names is not None and (isinstance(names, str) or not all(isinstance(n, str) for n in names)):
+            raise SystemExit(f"Config error: {key} must be a list of column names")
+    predicate = get(cfg, "processing.filter")
+    if predicate is not None and not isinstance(predicate, (str, Column)):
+        raise SystemExit("Config error: processing.filter must be a SQL predicate")
     cap = get(cfg, "processing.max_partitions")
     if cap is not None and (not isinstance(cap, int) or isinstance(cap, bool) or cap < 1):
         raise SystemExit("Config error: processing.max_partitions must be a positive integer")

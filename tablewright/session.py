@@ -43,15 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
+    missing = f"{CHECKPOINT_CONF} is not set; jobs need a shared folder on a cluster"
+    try:
+        sc = spark.sparkContext
+    except Exception as exc:  # Spark Connect sessions have no SparkContext
+        raise RuntimeError(missing) from exc
+    current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_CONF} is not set; jobs need a shared folder on a cluster")
+    if not sc.master.startswith("local"):
+        raise RuntimeError(missing)
     folder = tempfile.mkdtemp(prefix="tablewright-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

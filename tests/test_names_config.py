@@ -90,3 +90,19 @@ class TestFingerprints:
     def test_run_id_now_is_utc_stamp(self):
         rid = make_run_id({"a": 1})
         assert len(rid.split("-")[0]) == len("20260101_000000")
+
+
+@pytest.mark.parametrize(
+    "processing, word",
+    [
+        ({"derive": {"x": 3}}, "derive"),
+        ({"derive": ["x"]}, "derive"),
+        ({"dedup_keys": "text"}, "dedup_keys"),
+        ({"dedup_order": [1]}, "dedup_order"),
+        ({"filter": 5}, "filter"),
+        ({"enable_deduplication": "yes"}, "enable_deduplication"),
+    ],
+)
+def test_processing_types_checked_before_spark(processing, word):
+    with pytest.raises(SystemExit, match=word):
+        run(spark=None, cfg={**DEFAULT_CONFIG, "processing": processing})
