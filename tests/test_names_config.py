@@ -9,10 +9,10 @@ from tablewright.plans.job import DEFAULT_CONFIG, check_config, run
 
 class TestTableName:
     def test_quoted_form_quotes_every_part(self):
-        assert TableName("glue_catalog", "my_db", "users").quoted == "`glue_catalog`.`my_db`.`users`"
+        assert TableName("lake", "my_db", "users").quoted == "`lake`.`my_db`.`users`"
 
     def test_dotted_form_is_plain(self):
-        assert TableName("glue_catalog", "my_db", "users").dotted == "glue_catalog.my_db.users"
+        assert TableName("lake", "my_db", "users").dotted == "lake.my_db.users"
 
     def test_parse_round_trip(self):
         name = TableName.parse("`spark_catalog`.default.t1")
