@@ -14,11 +14,12 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tablewright.config import get, require
-from tablewright.names import TableName
+from tablewright.names import TableName, quote_ident
 from tablewright.plans.job import check_config, target_table, transform
 from tablewright.session import shared_dir
 from tablewright.sinks import create_table_if_absent
@@ -49,7 +50,7 @@ def append_stream(df: DataFrame, name: TableName, checkpoint: str) -> StreamingQ
     extra = sorted(set(by_lower) - {c.lower() for c in target})
     if missing or extra:
         raise ValueError(f"columns do not match {name}: missing {missing}, extra {extra}")
-    ordered = df.select(*[by_lower[c.lower()] for c in target])
+    ordered = df.select(*[F.col(quote_ident(by_lower[c.lower()])) for c in target])
     return (
         ordered.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -85,6 +86,6 @@ def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     )
     df = transform(stream, cfg)
     create_table_if_absent(spark, target, df.schema, get(cfg, "table.format", "parquet"), get(cfg, "table.location"))
-    checkpoint = get(cfg, "streaming.checkpoint") or f"{shared_dir(spark)}/streams/{target.catalog}.{target.database}.{target.table}"
+    checkpoint = get(cfg, "streaming.checkpoint") or f"{shared_dir(spark)}/streams/{target.dotted}"
     append_stream(df, target, checkpoint).awaitTermination()
     return spark.table(target.quoted)
