@@ -7,7 +7,8 @@ marker that would tell. So a run counts only once ``publish_run`` has
 appended its ledger row to ``root/_runs`` after the write succeeded
 (folders starting with ``_`` are skipped when the root is read as data).
 The ledger is the per-run manifest; the latest run per job is one
-``latest_per_key`` over it.
+``latest_per_key`` over it. Each entry is its own write-once folder, so
+runs published at the same time do not share a committer folder.
 """
 
 from __future__ import annotations
@@ -25,16 +26,19 @@ from tablewright.sinks.files import write_files
 
 RUN_COLUMN = "run_id"
 LEDGER = "_runs"
-LEDGER_SCHEMA = StructType(
+# One ledger entry per run, in its own write-once folder
+# ``_runs/run_id=<id>``: concurrent publishers never share a folder, and
+# publishing the same run twice fails instead of adding a second row.
+ENTRY_SCHEMA = StructType(
     [
         StructField("job", StringType(), False),
-        StructField(RUN_COLUMN, StringType(), False),
         StructField("created_at", StringType(), False),
         StructField("config_sha256", StringType(), False),
         StructField("row_count", LongType(), False),
         StructField("location", StringType(), False),
     ]
 )
+LEDGER_SCHEMA = StructType([*ENTRY_SCHEMA.fields, StructField(RUN_COLUMN, StringType(), True)])
 
 
 def _check_run_id(run_id: str) -> str:
@@ -82,12 +86,13 @@ def publish_run(
         "row_count": int(observation.get["rows"]),
         "location": path,
     }
-    row = df.sparkSession.createDataFrame([tuple(entry[f.name] for f in LEDGER_SCHEMA.fields)], LEDGER_SCHEMA)
-    write_files(row.coalesce(1), f"{root.rstrip('/')}/{LEDGER}", mode="append")
+    row = df.sparkSession.createDataFrame([tuple(entry[f.name] for f in ENTRY_SCHEMA.fields)], ENTRY_SCHEMA)
+    write_files(row.coalesce(1), run_path(f"{root.rstrip('/')}/{LEDGER}", run_id), mode="errorifexists")
     return entry
 
 
 def run_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """Every published run's entry; ``run_id`` comes from the entry's folder."""
     return spark.read.schema(LEDGER_SCHEMA).parquet(f"{root.rstrip('/')}/{LEDGER}")
 
 

@@ -316,3 +316,13 @@ def test_awkward_column_names_round_trip(spark):
     assert back.collect()[0]["s t"]["a b"] == 2
     check = schema_check(df, [("we`ird col", "bigint")]).collect()[0]
     assert (check.ok, check.bad_rows) == (True, 0)
+
+
+def test_publishing_a_run_twice_fails_and_keeps_one_entry(spark):
+    from tablewright.sinks import publish_run, run_ledger
+
+    root = fresh_path(spark, "runs")
+    publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
+    assert run_ledger(spark, root).count() == 1
