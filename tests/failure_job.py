@@ -1,0 +1,85 @@
+"""Subprocess for test_failures.py: tasks fail on their first attempt while
+writing; every sink must still hold each row exactly once.
+
+A Python UDF is used here only to inject the failure."""
+
+import glob
+import json
+import os
+import sys
+import tempfile
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark import TaskContext  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.types import LongType  # noqa: E402
+
+from tablewright.names import TableName  # noqa: E402
+from tablewright.operators import double_id  # noqa: E402
+from tablewright.session import fresh_path, fresh_table_suffix  # noqa: E402
+from tablewright.sinks import append, create_table_if_absent, publish_run, read_runs, write_run  # noqa: E402
+
+
+@F.udf(LongType())
+def fail_first_attempt(x):
+    ctx = TaskContext.get()
+    if ctx.attemptNumber() == 0 and ctx.partitionId() % 2 == 0 and x % 1000 == 999:
+        raise RuntimeError("injected task failure")
+    return x
+
+
+def main(sf_dir: str) -> None:
+    scratch = tempfile.mkdtemp(prefix="tw-fail-")
+    os.makedirs(f"{scratch}/events")
+    spark = (
+        SparkSession.builder.master("local[4,4]")  # up to 4 attempts per task
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", f"{scratch}/events")
+        .config("spark.eventLog.compress", "false")
+        .config("spark.eventLog.rolling.enabled", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("OFF")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    df = double_id(orders.repartition(6).select(fail_first_attempt("id").alias("id")))
+    expected = orders.count()
+
+    name = TableName("spark_catalog", "default", f"fail_{fresh_table_suffix()}")
+    create_table_if_absent(spark, name, df.schema, "parquet", fresh_path(spark, "tables/fail"))
+    append(df, name)
+    table = spark.table(name.quoted)
+
+    root = fresh_path(spark, "runs/fail")
+    write_run(df, root, "20260101_000000-aaaaaaaa")
+    entry = publish_run(df, root, "20260102_000000-bbbbbbbb", {"k": 1}, "fail")
+    runs = read_runs(spark, root, df.schema, committed_only=False)
+
+    counts = {
+        "expected": expected,
+        "table_rows": table.count(),
+        "table_distinct": table.distinct().count(),
+        "run_rows": runs.filter("run_id = '20260101_000000-aaaaaaaa'").count(),
+        "published_rows": runs.filter("run_id = '20260102_000000-bbbbbbbb'").count(),
+        "published_distinct": runs.filter("run_id = '20260102_000000-bbbbbbbb'").distinct().count(),
+        "ledger_row_count": entry["row_count"],
+    }
+    spark.stop()  # flushes the event log
+    failed = 0
+    for path in glob.glob(f"{scratch}/events/*"):
+        with open(path) as fh:
+            for line in fh:
+                event = json.loads(line)
+                if event.get("Event") == "SparkListenerTaskEnd":
+                    failed += event.get("Task End Reason", {}).get("Reason") == "ExceptionFailure"
+    counts["failed_attempts"] = failed
+    print(json.dumps(counts))
+
+
+if __name__ == "__main__":
+    main(sys.argv[1])
