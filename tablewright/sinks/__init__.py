@@ -10,9 +10,18 @@ from tablewright.sinks.runs import (
     run_ledger,
     write_run,
 )
-from tablewright.sinks.tables import append, column_ddl, create_table_if_absent
+from tablewright.sinks.tables import (
+    STREAM_WRITER,
+    WRITER_PROPERTY,
+    append,
+    column_ddl,
+    create_table_if_absent,
+    table_properties,
+)
 
 __all__ = [
+    "STREAM_WRITER",
+    "WRITER_PROPERTY",
     "append",
     "column_ddl",
     "create_table_if_absent",
@@ -21,6 +30,7 @@ __all__ = [
     "read_latest_run",
     "read_runs",
     "run_ledger",
+    "table_properties",
     "write_files",
     "write_run",
 ]

@@ -9,11 +9,20 @@ idempotent: running the same job twice stores its rows twice.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tablewright.names import TableName, quote_ident
 
+# Table property naming the writer that owns a table. A table written by
+# the incremental job carries "stream": its folder holds the file-stream
+# sink's log, and readers then ignore files the log does not list, so a
+# batch append there would vanish from reads (and the other way round).
+WRITER_PROPERTY = "tablewright.writer"
+STREAM_WRITER = "stream"
+
 
 def type_ddl(dt: DataType) -> str:
     """SQL type text with every nested field name quoted."""
@@ -40,6 +49,7 @@ def create_table_if_absent(
     schema: StructType,
     fmt: str | None = "parquet",
     location: str | None = None,
+    properties: Mapping[str, str] | None = None,
 ) -> None:
     """``CREATE TABLE IF NOT EXISTS`` with the columns of ``schema``.
 
@@ -54,9 +64,18 @@ def create_table_if_absent(
         text += f" USING {fmt}"
     if location:
         text += f" LOCATION {_sql_string(location)}"
+    if properties:
+        pairs = ", ".join(f"{_sql_string(k)} = {_sql_string(v)}" for k, v in properties.items())
+        text += f" TBLPROPERTIES ({pairs})"
     spark.sql(text, args={"t": name.quoted})
 
 
+def table_properties(spark: SparkSession, name: TableName) -> dict[str, str]:
+    """Catalog metadata only; no data is read."""
+    rows = spark.sql("SHOW TBLPROPERTIES IDENTIFIER(:t)", args={"t": name.quoted}).collect()
+    return {r["key"]: r["value"] for r in rows}
+
+
 def append(df: DataFrame, name: TableName) -> None:
     spark = df.sparkSession
     target = spark.table(name.quoted).columns  # a missing table raises here
@@ -66,6 +85,8 @@ def append(df: DataFrame, name: TableName) -> None:
         raise ValueError(
             f"columns do not match {name}: missing {sorted(want - have)}, extra {sorted(have - want)}"
         )
+    if table_properties(spark, name).get(WRITER_PROPERTY) == STREAM_WRITER:
+        raise ValueError(f"{name} is written by the incremental job; a batch append there would not be read")
     if name.in_session_catalog:
         spark.sql("INSERT INTO IDENTIFIER(:t) BY NAME SELECT * FROM {src}", args={"t": name.quoted}, src=df)
     else:

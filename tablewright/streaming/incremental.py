@@ -22,7 +22,7 @@ from tablewright.config import get, require
 from tablewright.names import TableName, quote_ident
 from tablewright.plans.job import check_config, target_table, transform
 from tablewright.session import shared_dir
-from tablewright.sinks import create_table_if_absent
+from tablewright.sinks import STREAM_WRITER, WRITER_PROPERTY, create_table_if_absent, table_properties
 
 
 def read_stream(
@@ -63,7 +63,10 @@ def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
 
     ``streaming.checkpoint`` defaults to a folder per table under the shared
     folder, so a second start resumes where the first stopped. Keyed
-    deduplication needs the whole history, so it is refused here.
+    deduplication needs the whole history, so it is refused here. The target
+    table belongs to the incremental job (table property
+    ``tablewright.writer = stream``): an existing table without it is
+    refused, and batch ``append`` refuses tables with it.
     """
     check_config(cfg)
     folder = require(cfg, "source.path")
@@ -85,7 +88,17 @@ def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
         spark, folder, schema, fmt, get(cfg, "source.glob"), get(cfg, "streaming.max_files_per_trigger")
     )
     df = transform(stream, cfg)
-    create_table_if_absent(spark, target, df.schema, get(cfg, "table.format", "parquet"), get(cfg, "table.location"))
+    create_table_if_absent(
+        spark,
+        target,
+        df.schema,
+        get(cfg, "table.format", "parquet"),
+        get(cfg, "table.location"),
+        {WRITER_PROPERTY: STREAM_WRITER},
+    )
+    if table_properties(spark, target).get(WRITER_PROPERTY) != STREAM_WRITER:
+        # The stream's sink log would hide the rows already in the table.
+        raise ValueError(f"{target} was not created by the incremental job; append to it in batch")
     checkpoint = get(cfg, "streaming.checkpoint") or f"{shared_dir(spark)}/streams/{target.dotted}"
     append_stream(df, target, checkpoint).awaitTermination()
     return spark.table(target.quoted)

@@ -326,3 +326,27 @@ def test_publishing_a_run_twice_fails_and_keeps_one_entry(spark):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
     assert run_ledger(spark, root).count() == 1
+
+
+def test_batch_and_incremental_writers_do_not_mix(spark):
+    from tablewright.streaming import run_incremental
+
+    src = fresh_path(spark, "inputs")
+    write_files(frame(spark, 5), f"{src}/p1")
+    # A batch table refuses the incremental job ...
+    name, loc = fresh(spark)
+    create_table_if_absent(spark, name, frame(spark, 1).schema, "parquet", loc)
+    append(frame(spark, 10), name)
+    cfg = {
+        "table": {"name": name.table, "database": "default", "location": loc},
+        "source": {"path": f"{src}/*", "schema": "id bigint, double bigint"},
+    }
+    with pytest.raises(ValueError, match="not created by the incremental job"):
+        run_incremental(spark, cfg)
+    assert spark.table(name.quoted).count() == 10
+    # ... and a stream-owned table refuses batch appends.
+    owned = {**cfg, "table": {"name": f"s_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")}}
+    table = run_incremental(spark, owned)
+    assert table.count() == 5
+    with pytest.raises(ValueError, match="incremental job"):
+        append(frame(spark, 3), TableName("spark_catalog", "default", owned["table"]["name"]))
