@@ -8,6 +8,7 @@ that keeps every row reads all hot rows in one task (the control)."""
 
 import glob
 import json
+import time
 import uuid
 
 from pyspark.sql import Window
@@ -37,6 +38,33 @@ def final_stage_max_records(spark, run) -> int:
         sc.setJobDescription(None)
         spark.conf.set(coalesce_conf, before)
     log_dir = spark.conf.get("spark.eventLog.dir").replace("file:", "")
+    # The listener bus is asynchronous: wait until every job of the label has
+    # its JobEnd in the log (written, with a flush, after its tasks' events).
+    deadline = time.time() + 30
+    while True:
+        events = read_events(log_dir)
+        jobs = {
+            e["Job ID"]: e["Stage IDs"]
+            for e in events
+            if e["Event"] == "SparkListenerJobStart" and e.get("Properties", {}).get("spark.job.description") == label
+        }
+        ended = {e["Job ID"] for e in events if e["Event"] == "SparkListenerJobEnd"}
+        if jobs and set(jobs) <= ended:
+            break
+        assert time.time() < deadline, "event log did not catch up"
+        time.sleep(0.2)
+    stages = {stage for ids in jobs.values() for stage in ids}
+    reads = {}
+    for e in events:
+        if e["Event"] == "SparkListenerTaskEnd" and e["Stage ID"] in stages:
+            n = e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
+            reads.setdefault(e["Stage ID"], []).append(n)
+    reading = [s for s, r in reads.items() if sum(r) > 0]
+    assert reading, "no shuffle stage found in the event log"
+    return max(reads[max(reading)])
+
+
+def read_events(log_dir):
     events = []
     for path in glob.glob(f"{log_dir}/*"):
         with open(path) as fh:
@@ -46,18 +74,7 @@ def final_stage_max_records(spark, run) -> int:
                         events.append(json.loads(line))
                     except json.JSONDecodeError:
                         pass  # a line still being written
-    stages = set()
-    for e in events:
-        if e["Event"] == "SparkListenerJobStart" and e.get("Properties", {}).get("spark.job.description") == label:
-            stages.update(e["Stage IDs"])
-    reads = {}
-    for e in events:
-        if e["Event"] == "SparkListenerTaskEnd" and e["Stage ID"] in stages:
-            n = e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
-            reads.setdefault(e["Stage ID"], []).append(n)
-    reading = [s for s, r in reads.items() if sum(r) > 0]
-    assert reading, "no shuffle stage found in the event log"
-    return max(reads[max(reading)])
+    return events
 
 
 def noop(df):
