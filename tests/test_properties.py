@@ -59,3 +59,32 @@ def test_manifest_matches_brute_force(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.v: [r.row_count, r.size_bytes, int(r.fingerprint)] for r in manifest(df, ["v"], "k").collect()}
     assert got == dict(want)
+
+
+# Characters around the edges of Spark's number parsers: ASCII and other
+# Unicode digits, signs, points, exponents, whitespace and control
+# characters, letters that spell special values.
+NUMBERISH = st.text(
+    alphabet=st.sampled_from(list("0123456789+-.eE dDfFlLnNaIiy_,x\t\n\r\x00\x0b\x1f\x7f\x85\xa0") + ["١", "３", "　"]),
+    max_size=12,
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(values=st.lists(NUMBERISH, min_size=1, max_size=60))
+def test_schema_screen_never_changes_try_cast(spark, values):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DataType, StringType
+
+    from tablewright.operators.schema import _unconvertible
+
+    df = spark.createDataFrame(list(enumerate(values)), "i int, s string")
+    for want in ("tinyint", "int", "bigint", "decimal(10,3)", "decimal(38,0)"):
+        target = DataType.fromDDL(want)
+        rows = df.select(
+            "i",
+            _unconvertible(F.col("s"), StringType(), target).alias("screened"),
+            F.col("s").try_cast(target).isNull().alias("direct"),
+        ).collect()
+        mismatched = [(values[r.i], want) for r in rows if r.screened != r.direct]
+        assert not mismatched, mismatched
