@@ -39,9 +39,10 @@ def config_sha256(cfg: Mapping[str, Any]) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-# Fixed format of a run id: UTC time, a dash, the first 8 hex digits of the
-# config hash, e.g. "20260101_000000-1a2b3c4d". It keeps a non-digit so a
-# partition folder named after it reads back as a string.
+# The release id format. UTC time as %Y%m%d_%H%M%S, a dash,
+# then the first 8 hex digits of a SHA-256 (here of the config), e.g.
+# "20260101_000000-1a2b3c4d". It keeps a non-digit, so a partition folder
+# named after it reads back as a string.
 RUN_TIME_FORMAT = "%Y%m%d_%H%M%S"
 
 

@@ -19,8 +19,9 @@ from tablewright.operators import cap_partitions, deduplicate, derive, filter_ro
 from tablewright.sinks import append, create_table_if_absent
 from tablewright.sources import range_source, read_files
 
-# The packaged defaults reproduce the original job: ids 0..999 and their
-# doubles appended to one table.
+# The original job's defaults. It generates ids 0 to 999
+# (start 0, end 1000, exclusive), adds the column "double" = id * 2, and
+# appends both bigint columns, "id" and "double", to one table.
 DEFAULT_CONFIG: dict[str, Any] = {
     "table": {"name": "range_double"},
     "source": {"range": {"start": 0, "end": 1000}},

@@ -225,6 +225,7 @@ def documents_job_config(spark: SparkSession, sf_dir: str) -> dict:
                 "n_bytes": "CAST(octet_length(text) AS BIGINT)",
                 "sha256": "sha2(text, 256)",
             },
+            # Fixed value: the partition cap of the documented sample config.
             "max_partitions": 200,
         },
     }
