@@ -1,0 +1,27 @@
+"""bench.py prints one JSON line with a time for every registered query."""
+
+import json
+import os
+import subprocess
+import sys
+
+from conftest import SF_SMALL
+from tablewright.plans.registry import QUERIES
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_bench_prints_one_json_line():
+    env = {**os.environ, "BENCH_SF_DIR": SF_SMALL, "BENCH_CPUS": "4", "BENCH_REPEATS": "1"}
+    out = subprocess.run(
+        [sys.executable, os.path.join(ROOT, "bench.py")], capture_output=True, text=True, timeout=900, env=env
+    )
+    assert out.returncode == 0, out.stderr[-3000:]
+    lines = [line for line in out.stdout.splitlines() if line.strip()]
+    assert len(lines) == 1
+    result = json.loads(lines[0])
+    assert result["unit"] == "sec" and result["sf"] == 0.001
+    assert set(result["queries"]) == set(QUERIES)
+    assert abs(result["value"] - sum(result["queries"].values())) < 1e-2
+    assert result["input_records"]["derive_orders"] == 1500  # sf0.001 orders, read whole
+    assert result["shuffle_records"]["manifest_documents"] <= 20 * 8
