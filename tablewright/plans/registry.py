@@ -24,6 +24,7 @@ from tablewright.operators import (
     manifest,
     schema_check,
     stamp_lineage,
+    stamp_manifest,
 )
 from tablewright.plans.job import run
 from tablewright.session import fresh_path, fresh_table_suffix
@@ -145,6 +146,24 @@ def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(load_table(spark, sf_dir, "documents"), ["source"], "text")
 
 
+# The manifest appended per run to one manifest table (two runs).
+MANIFEST_RUNS = ("20260101_000000", "20260102_000000")
+
+
+def manifest_run_id(created_at: str) -> str:
+    return make_run_id({"manifest": "documents", "run": created_at}, created_at)
+
+
+def manifest_table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    name, location = _fresh_table(spark, "manifests")
+    for created_at in MANIFEST_RUNS:
+        rows = stamp_manifest(manifest(docs, ["source"], "text"), manifest_run_id(created_at))
+        create_table_if_absent(spark, name, rows.schema, "parquet", location)
+        append(rows, name)
+    return spark.table(name.quoted)
+
+
 # --- R-3 latest row per key -------------------------------------------------------------------
 
 def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,6 +281,7 @@ QUERIES: dict[str, Query] = {
     "schema_check_orders": schema_check_orders,
     "row_sha256": row_sha256,
     "manifest_documents": manifest_documents,
+    "manifest_table_documents": manifest_table_documents,
     "latest_per_key": latest_events,
     "run_partition_roundtrip": run_partition_roundtrip,
     "run_ledger_orders": run_ledger_orders,
@@ -342,6 +362,14 @@ def _latest_run_sql() -> str:
     )
 
 
+_MANIFEST_SQL = (
+    "SELECT {run}source, count(*) AS row_count, "
+    "CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS size_bytes, "
+    "CAST(coalesce(sum(('0x' || substr(sha256(text), 1, 8))::BIGINT), 0) AS DECIMAL(38,0)) "
+    "AS fingerprint FROM documents GROUP BY source"
+)
+
+
 def oracles() -> dict[str, str]:
     return {
         "derive_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
@@ -356,11 +384,9 @@ def oracles() -> dict[str, str]:
         "dedup_documents": _DEDUP_DOCUMENTS,
         "schema_check_orders": _schema_check_sql(),
         "row_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-        "manifest_documents": (
-            "SELECT source, count(*) AS row_count, "
-            "CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS size_bytes, "
-            "CAST(coalesce(sum(('0x' || substr(sha256(text), 1, 8))::BIGINT), 0) AS DECIMAL(38,0)) "
-            "AS fingerprint FROM documents GROUP BY source"
+        "manifest_documents": _MANIFEST_SQL.format(run=""),
+        "manifest_table_documents": " UNION ALL ".join(
+            _MANIFEST_SQL.format(run=f"'{manifest_run_id(t)}' AS run_id, ") for t in MANIFEST_RUNS
         ),
         "latest_per_key": (
             "SELECT event_id, ts, user_id, event_type, value, props FROM events "
