@@ -33,6 +33,11 @@ def get(cfg: Mapping[str, Any], dotted_key: str, default: Any = None) -> Any:
     return default if value is _MISSING else value
 
 
+def reader_options(options: Mapping[str, Any] | None) -> dict[str, str]:
+    """Option values as Spark reads them: booleans as true/false, the rest as text."""
+    return {k: (str(v).lower() if isinstance(v, bool) else str(v)) for k, v in (options or {}).items()}
+
+
 def config_sha256(cfg: Mapping[str, Any]) -> str:
     """SHA-256 of the canonical JSON text: key order and whitespace do not matter."""
     text = json.dumps(cfg, sort_keys=True, separators=(",", ":"), default=str)

@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from tablewright.config import get, require
+from tablewright.config import get, reader_options, require
 from tablewright.names import CATALOG_CONF, SESSION_CATALOG, TableName, catalog_and_database, check_part
 from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows
 from tablewright.sinks import append, create_table_if_absent
@@ -41,6 +41,9 @@ def check_config(cfg: Mapping[str, Any]) -> None:
         raise SystemExit("Config error: source needs exactly one of source.path, source.range")
     if "range" in source:
         require(cfg, "source.range.end")
+    options = get(cfg, "source.options", {})
+    if not isinstance(options, Mapping) or not all(isinstance(k, str) for k in options):
+        raise SystemExit("Config error: source.options must be a table of reader options")
     derive_map = get(cfg, "processing.derive", {})
     if not isinstance(derive_map, Mapping) or not all(
         isinstance(k, str) and isinstance(v, (str, Column)) for k, v in derive_map.items()
@@ -76,7 +79,8 @@ def build_frame(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
         r = require(cfg, "source.range")
         df = range_source(spark, r.get("start", 0), r["end"], r.get("step", 1), r.get("partitions"))
     else:
-        df = read_files(spark, require(cfg, "source.path"), get(cfg, "source.format", "parquet"))
+        options = reader_options(get(cfg, "source.options"))
+        df = read_files(spark, require(cfg, "source.path"), get(cfg, "source.format", "parquet"), **options)
     return transform(df, cfg)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tablewright.config import get, require
+from tablewright.config import get, reader_options, require
 from tablewright.names import TableName, quote_ident
 from tablewright.plans.job import check_config, target_table, transform
 from tablewright.session import shared_dir
@@ -32,9 +32,14 @@ def read_stream(
     fmt: str = "parquet",
     glob: str | None = None,
     max_files_per_trigger: int | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """New files of ``folder`` (optionally matching ``glob``) as a stream."""
-    reader = spark.readStream.format(fmt).schema(schema)
+    """New files of ``folder`` (optionally matching ``glob``) as a stream.
+
+    ``options`` go to the reader as they are; for large folders the file
+    source's ``maxFileAge`` and ``latestFirst`` bound what each listing considers.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).options(**(options or {}))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
@@ -74,18 +79,19 @@ def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
         raise SystemExit("Config error: processing.enable_deduplication needs the batch job")
     target = target_table(spark, cfg)
     fmt = get(cfg, "source.format", "parquet")
+    options = reader_options(get(cfg, "source.options"))
     schema = get(cfg, "source.schema")
     if schema is None:
         # Schema from the files, read once on the driver from their footers.
         glob = get(cfg, "source.glob")
-        reader = spark.read.format(fmt)
+        reader = spark.read.format(fmt).options(**options)
         if glob:
             reader = reader.option("pathGlobFilter", glob)
         schema = reader.load(folder).schema
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     stream = read_stream(
-        spark, folder, schema, fmt, get(cfg, "source.glob"), get(cfg, "streaming.max_files_per_trigger")
+        spark, folder, schema, fmt, get(cfg, "source.glob"), get(cfg, "streaming.max_files_per_trigger"), options
     )
     df = transform(stream, cfg)
     create_table_if_absent(

@@ -350,3 +350,22 @@ def test_batch_and_incremental_writers_do_not_mix(spark):
     assert table.count() == 5
     with pytest.raises(ValueError, match="incremental job"):
         append(frame(spark, 3), TableName("spark_catalog", "default", owned["table"]["name"]))
+
+
+def test_job_reads_csv_with_options(spark):
+    src = fresh_path(spark, "inputs")
+    write_files(frame(spark, 6), src, fmt="csv", header="true")
+    cfg = {
+        "table": {"name": f"csv_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")},
+        "source": {"path": src, "format": "csv", "options": {"header": True, "inferSchema": True}},
+        "processing": {"derive": {"triple": "id * 3"}},
+    }
+    out = run(spark, cfg)
+    assert out.columns == ["id", "double", "triple"]
+    assert sorted((r.id, r.triple) for r in out.collect()) == [(i, 3 * i) for i in range(6)]
+
+
+def test_source_options_checked_before_spark():
+    cfg = {**DEFAULT_CONFIG, "source": {"path": "/x", "options": ["header"]}}
+    with pytest.raises(SystemExit, match="source.options"):
+        run(spark=None, cfg=cfg)
