@@ -1,7 +1,9 @@
 """tablewright: reproducible table jobs written as Spark DataFrame and SQL plans."""
 
+__version__ = "0.1.0"
+
 from tablewright.config import config_sha256, get, make_run_id, require
 from tablewright.names import TableName, catalog_and_database
 from tablewright.plans.job import run
 
-__all__ = ["TableName", "catalog_and_database", "config_sha256", "get", "make_run_id", "require", "run"]
+__all__ = ["__version__", "TableName", "catalog_and_database", "config_sha256", "get", "make_run_id", "require", "run"]

@@ -13,6 +13,7 @@ runs published at the same time do not share a committer folder.
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Mapping
 from typing import Any
 
@@ -25,6 +26,13 @@ from tablewright.operators.latest import latest_per_key
 from tablewright.sinks.files import write_files
 
 RUN_COLUMN = "run_id"
+
+
+def package_version() -> str:
+    from tablewright import __version__
+
+    return __version__
+
 LEDGER = "_runs"
 # One ledger entry per run, in its own write-once folder
 # ``_runs/run_id=<id>``: concurrent publishers never share a folder, and
@@ -36,6 +44,9 @@ ENTRY_SCHEMA = StructType(
         StructField("config_sha256", StringType(), False),
         StructField("row_count", LongType(), False),
         StructField("location", StringType(), False),
+        StructField("spark_version", StringType(), False),
+        StructField("package_version", StringType(), False),
+        StructField("python_version", StringType(), False),
     ]
 )
 LEDGER_SCHEMA = StructType([*ENTRY_SCHEMA.fields, StructField(RUN_COLUMN, StringType(), True)])
@@ -85,6 +96,9 @@ def publish_run(
         "config_sha256": config_sha256(cfg),
         "row_count": int(observation.get["rows"]),
         "location": path,
+        "spark_version": df.sparkSession.version,
+        "package_version": package_version(),
+        "python_version": platform.python_version(),
     }
     row = df.sparkSession.createDataFrame([tuple(entry[f.name] for f in ENTRY_SCHEMA.fields)], ENTRY_SCHEMA)
     write_files(row.coalesce(1), run_path(f"{root.rstrip('/')}/{LEDGER}", run_id), mode="errorifexists")

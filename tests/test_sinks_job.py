@@ -369,3 +369,20 @@ def test_source_options_checked_before_spark():
     cfg = {**DEFAULT_CONFIG, "source": {"path": "/x", "options": ["header"]}}
     with pytest.raises(SystemExit, match="source.options"):
         run(spark=None, cfg=cfg)
+
+
+def test_ledger_records_versions(spark):
+    import platform
+
+    import tablewright
+    from tablewright.sinks import publish_run, run_ledger
+
+    root = fresh_path(spark, "runs")
+    entry = publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
+    row = run_ledger(spark, root).collect()[0]
+    assert (row.spark_version, row.package_version, row.python_version) == (
+        spark.version,
+        tablewright.__version__,
+        platform.python_version(),
+    )
+    assert row.location == entry["location"] and row.run_id == "20260101_000000-aaaaaaaa"
