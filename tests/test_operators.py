@@ -284,3 +284,17 @@ def test_dotted_column_names(spark):
     assert sorted(tuple(r) for r in latest_per_key(df, ["k.ey"], ["t.s"]).collect()) == [(2, "a", 9), (3, "b", 1)]
     m = {r["k.ey"]: r.row_count for r in manifest(df, ["k.ey"], "k.ey").collect()}
     assert m == {"a": 2, "b": 1}
+
+
+def test_sql_literal_is_one_int_row(spark):
+    """D-2's documented example: SQL text gives a one-row table of type int."""
+    df = spark.sql("SELECT 1 + 1 AS result")
+    assert df.dtypes == [("result", "int")]
+    assert [tuple(r) for r in df.collect()] == [(2,)]
+
+
+def test_preview_shows_the_first_rows(spark, capsys):
+    """D-3: ``show`` is built in; it prints a bounded preview."""
+    range_source(spark, 0, 1000).show(5)
+    printed = capsys.readouterr().out
+    assert "only showing top 5 rows" in printed and "|  4|" in printed
