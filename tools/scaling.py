@@ -7,7 +7,8 @@ For each factor k, Spark derives k copies of ``documents`` and ``events``
 user ids kept, so every text and user gets k times the rows) and writes them
 once, as many files, to a fresh scratch folder. Then it times dedup, latest
 per key, the manifest and per-row hashing on each copy through the ``noop``
-sink, and prints one JSON line per factor.
+sink, and prints one JSON line per factor. The ``*_hot`` timings repeat dedup
+and latest per key with a third of all rows moved onto one key.
 """
 
 from __future__ import annotations
@@ -52,12 +53,17 @@ def main() -> None:
         replicate(events, k, "event_id").repartition(files).write.parquet(f"{scratch}/events_x{k}")
         d = spark.read.parquet(f"{scratch}/documents_x{k}")
         e = spark.read.parquet(f"{scratch}/events_x{k}")
+        hot_text = F.when(F.col("doc_id") % 3 == 0, F.lit("one hot text " * 100)).otherwise(F.col("text"))
+        d_hot = d.withColumn("text", hot_text)
+        e_hot = e.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
         best = {}
         for name, make in (
             ("dedup_documents", lambda: deduplicate(d, ["text"], ["doc_id"])),
             ("latest_per_key", lambda: latest_per_key(e, ["user_id"], ["ts", "event_id"])),
             ("manifest_documents", lambda: manifest(d, ["source"], "text")),
             ("row_sha256", lambda: d.select("doc_id", sha256_hex("text").alias("sha256"))),
+            ("dedup_documents_hot", lambda: deduplicate(d_hot, ["text"], ["doc_id"])),
+            ("latest_per_key_hot", lambda: latest_per_key(e_hot, ["user_id"], ["ts", "event_id"])),
         ):
             best[name] = min(timed(make()) for _ in range(2))
         print(json.dumps({"factor": k, "documents": d.count(), "events": e.count(), "seconds": best}))
