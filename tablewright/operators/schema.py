@@ -49,6 +49,8 @@ def _unconvertible(col: Column, have: DataType, want: DataType) -> Column:
 
 
 def schema_check(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows ``(name, expected, actual, ok, bad_rows)``, one per ``(column, type)``
+    in ``expected``; ``actual`` and ``bad_rows`` are NULL for a missing column."""
     actual = {f.name: f.dataType for f in df.schema.fields}
     checks = []
     counts = []

@@ -15,6 +15,7 @@ def write_files(
     partition_by: Sequence[str] | None = None,
     **options: str,
 ) -> str:
+    """Write ``df`` to ``path``; by default an existing path is an error. Returns the path."""
     writer = df.write.format(fmt).mode(mode).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

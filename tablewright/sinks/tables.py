@@ -77,6 +77,11 @@ def table_properties(spark: SparkSession, name: TableName) -> dict[str, str]:
 
 
 def append(df: DataFrame, name: TableName) -> None:
+    """Append ``df`` to the existing table ``name``, matching columns by name.
+
+    The column sets must be equal (case-insensitive). Session-catalog tables
+    take ``INSERT INTO … BY NAME``; other (v2) catalogs ``writeTo().append()``.
+    """
     spark = df.sparkSession
     target = spark.table(name.quoted).columns  # a missing table raises here
     have = {c.lower() for c in df.columns}

@@ -20,6 +20,7 @@ def read_files(
     schema: StructType | str | None = None,
     **options: str,
 ) -> DataFrame:
+    """Files at ``path`` in ``fmt``; a given ``schema`` (DDL text or StructType) skips inference."""
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
