@@ -90,7 +90,7 @@ def io_per_label(log_dir: str) -> dict[str, dict[str, int]]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = max(int(os.environ.get("BENCH_REPEATS", "2")), 1)
+    repeats = max(int(os.environ.get("BENCH_REPEATS", "3")), 1)
     log_dir = tempfile.mkdtemp(prefix="tw-bench-events-")
     spark = session(cpus, log_dir)
     if os.path.isdir(WARMUP_SF_DIR):
