@@ -298,3 +298,13 @@ def test_preview_shows_the_first_rows(spark, capsys):
     range_source(spark, 0, 1000).show(5)
     printed = capsys.readouterr().out
     assert "only showing top 5 rows" in printed and "|  4|" in printed
+
+
+def test_derive_expressions_see_input_columns_only(spark):
+    df = range_source(spark, 0, 3)
+    out = derive(df, {"id": "id + 10", "copy": "id"})  # "copy" sees the input id
+    assert sorted((r.id, r.copy) for r in out.collect()) == [(10, 0), (11, 1), (12, 2)]
+    with pytest.raises(Exception):
+        derive(df, {"a": "id + 1", "b": "a * 2"}).collect()
+    chained = derive(derive(df, {"a": "id + 1"}), {"b": "a * 2"})
+    assert sorted(r.b for r in chained.collect()) == [2, 4, 6]
