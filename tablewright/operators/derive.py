@@ -12,8 +12,9 @@ def derive(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
     """``{name: expression}``; SQL text is parsed by Spark, a same-named column is replaced.
 
     One ``withColumns`` call makes one projection, so all new columns share
-    the scan's codegen stage. The expressions see the input columns, not each
-    other; derive in two steps when one new column needs another.
+    the scan's codegen stage. Names resolve as in a SQL select list: a later
+    expression may use an earlier new column (a lateral column alias), but a
+    name that exists in the input always means the input column.
     """
     exprs = {name: F.expr(e) if isinstance(e, str) else e for name, e in columns.items()}
     return df.withColumns(exprs) if exprs else df

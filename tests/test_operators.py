@@ -300,11 +300,13 @@ def test_preview_shows_the_first_rows(spark, capsys):
     assert "only showing top 5 rows" in printed and "|  4|" in printed
 
 
-def test_derive_expressions_see_input_columns_only(spark):
+def test_derive_name_resolution(spark):
+    """Spark's lateral column aliases: a later expression may use an earlier
+    new column; a name that exists in the input means the input column."""
     df = range_source(spark, 0, 3)
     out = derive(df, {"id": "id + 10", "copy": "id"})  # "copy" sees the input id
     assert sorted((r.id, r.copy) for r in out.collect()) == [(10, 0), (11, 1), (12, 2)]
+    lateral = derive(df, {"a": "id + 1", "b": "a * 2"})
+    assert sorted((r.a, r.b) for r in lateral.collect()) == [(1, 2), (2, 4), (3, 6)]
     with pytest.raises(Exception):
-        derive(df, {"a": "id + 1", "b": "a * 2"}).collect()
-    chained = derive(derive(df, {"a": "id + 1"}), {"b": "a * 2"})
-    assert sorted(r.b for r in chained.collect()) == [2, 4, 6]
+        derive(df, {"b": "a * 2", "a": "id + 1"}).collect()  # used before it is defined
