@@ -5,8 +5,12 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import json
+import tomllib
 from collections.abc import Mapping
-from typing import Any
+from typing import TYPE_CHECKING, Any
+
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
 
 _MISSING = object()
 
@@ -56,3 +60,19 @@ def make_run_id(cfg: Mapping[str, Any], at: _dt.datetime | str | None = None) ->
         at = _dt.datetime.now(_dt.timezone.utc)
     stamp = at if isinstance(at, str) else at.strftime(RUN_TIME_FORMAT)
     return f"{stamp}-{config_sha256(cfg)[:8]}"
+
+
+def load_config(spark: "SparkSession", path: str) -> tuple[dict[str, Any], dict[str, str]]:
+    """Parse a TOML config file read through Spark's file systems (any path the
+    cluster can read, object stores included); return it with audit metadata.
+
+    ``meta["sha256"]`` is the SHA-256 of the file's bytes, ``meta["path"]``
+    where it came from. A config file is a few hundred bytes, so it is read
+    whole on the driver; malformed TOML raises ``tomllib.TOMLDecodeError``.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").collect()
+    if len(rows) != 1:
+        raise FileNotFoundError(f"expected one config file at {path!r}, found {len(rows)}")
+    body = bytes(rows[0]["content"])
+    cfg = tomllib.loads(body.decode("utf-8"))
+    return cfg, {"sha256": hashlib.sha256(body).hexdigest(), "path": rows[0]["path"]}

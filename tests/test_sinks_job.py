@@ -386,3 +386,41 @@ def test_ledger_records_versions(spark):
         platform.python_version(),
     )
     assert row.location == entry["location"] and row.run_id == "20260101_000000-aaaaaaaa"
+
+
+def test_load_config_from_a_file_and_run(spark):
+    import hashlib
+    import os
+    import tomllib
+
+    from tablewright import load_config
+
+    folder = fresh_path(spark, "configs")
+    os.makedirs(folder)
+    text = (
+        '[table]\nname = "cfg_' + fresh_table_suffix() + '"\ndatabase = "default"\n'
+        '[source.range]\nstart = 0\nend = 10\n'
+        '[processing]\nmax_partitions = 2\n[processing.derive]\ndouble = "id * 2"\n'
+    )
+    with open(f"{folder}/config.toml", "w") as fh:
+        fh.write(text)
+    cfg, meta = load_config(spark, f"{folder}/config.toml")
+    assert cfg == tomllib.loads(text)
+    assert meta["sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert rows(run(spark, cfg)) == [(i, 2 * i) for i in range(10)]
+
+
+def test_load_config_errors(spark):
+    import os
+    import tomllib
+
+    from tablewright import load_config
+
+    folder = fresh_path(spark, "configs")
+    os.makedirs(folder)
+    with open(f"{folder}/bad.toml", "w") as fh:
+        fh.write("[table\nname = ")
+    with pytest.raises(tomllib.TOMLDecodeError):
+        load_config(spark, f"{folder}/bad.toml")
+    with pytest.raises(Exception):
+        load_config(spark, f"{folder}/missing.toml")
