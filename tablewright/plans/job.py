@@ -35,6 +35,12 @@ def check_config(cfg: Mapping[str, Any]) -> None:
     for key in ("table.catalog", "table.database"):
         if get(cfg, key) is not None:
             check_part(key.split(".")[1], get(cfg, key))
+    fmt = get(cfg, "table.format", "parquet")
+    if fmt is not None and (not isinstance(fmt, str) or not fmt.replace("_", "").isalnum()):
+        raise SystemExit("Config error: table.format must be a format name such as parquet")
+    location = get(cfg, "table.location")
+    if location is not None and (not isinstance(location, str) or not location):
+        raise SystemExit("Config error: table.location must be a path")
     source = require(cfg, "source")
     kinds = [k for k in ("path", "range") if k in source]
     if len(kinds) != 1:

@@ -106,3 +106,9 @@ class TestFingerprints:
 def test_processing_types_checked_before_spark(processing, word):
     with pytest.raises(SystemExit, match=word):
         run(spark=None, cfg={**DEFAULT_CONFIG, "processing": processing})
+
+
+@pytest.mark.parametrize("table, word", [({"name": "t", "format": "parquet; DROP"}, "format"), ({"name": "t", "location": 5}, "location")])
+def test_table_settings_checked_before_spark(table, word):
+    with pytest.raises(SystemExit, match=word):
+        run(spark=None, cfg={**DEFAULT_CONFIG, "table": table})
