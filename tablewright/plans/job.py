@@ -42,10 +42,12 @@ def check_config(cfg: Mapping[str, Any]) -> None:
     if location is not None and (not isinstance(location, str) or not location):
         raise SystemExit("Config error: table.location must be a path")
     source = require(cfg, "source")
-    kinds = [k for k in ("path", "range") if k in source]
+    kinds = [k for k in ("path", "range") if isinstance(source, Mapping) and k in source]
     if len(kinds) != 1:
         raise SystemExit("Config error: source needs exactly one of source.path, source.range")
     if "range" in source:
+        if not isinstance(source["range"], Mapping):
+            raise SystemExit("Config error: source.range must be a table with start and end")
         require(cfg, "source.range.end")
     options = get(cfg, "source.options", {})
     if not isinstance(options, Mapping) or not all(isinstance(k, str) for k in options):

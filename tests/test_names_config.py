@@ -112,3 +112,9 @@ def test_processing_types_checked_before_spark(processing, word):
 def test_table_settings_checked_before_spark(table, word):
     with pytest.raises(SystemExit, match=word):
         run(spark=None, cfg={**DEFAULT_CONFIG, "table": table})
+
+
+@pytest.mark.parametrize("source", ["path/to/x", {"range": 1000}, {"range": {"start": 0}}])
+def test_source_shape_checked_before_spark(source):
+    with pytest.raises(SystemExit, match="source"):
+        run(spark=None, cfg={**DEFAULT_CONFIG, "source": source})
