@@ -13,9 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    BooleanType,
     ByteType,
     DataType,
     DecimalType,
+    DoubleType,
+    FloatType,
     IntegerType,
     LongType,
     ShortType,
@@ -31,6 +34,11 @@ from tablewright.names import quote_ident
 # path is far slower than a regex test.
 _INTEGRAL_CHARS = r"^[\x00-\x20\x7F-\x9F+\-.\p{Nd}]*$"
 _DECIMAL_CHARS = r"^[\x00-\x20\x7F-\x9F+\-.eE\p{Nd}]*$"
+# Floating point also takes inf/infinity/nan and Java's own syntax (hex
+# digits with an x and a p exponent, d/f suffixes); booleans take
+# t/true/y/yes/1 and f/false/n/no/0, each case-insensitive.
+_FLOATING_CHARS = r"^[\x00-\x20\x7F-\x9F+\-.\p{Nd}a-fA-FiInNpPtTxXyY]*$"
+_BOOLEAN_CHARS = r"^[\x00-\x20\x7F-\x9F01tTrRuUeEyYsSfFaAlLnNoO]*$"
 
 
 def _normalise(type_text: str) -> DataType:
@@ -45,6 +53,10 @@ def _unconvertible(col: Column, have: DataType, want: DataType) -> Column:
             return F.when(~col.rlike(_INTEGRAL_CHARS), F.lit(True)).otherwise(failed)
         if isinstance(want, DecimalType):
             return F.when(~col.rlike(_DECIMAL_CHARS), F.lit(True)).otherwise(failed)
+        if isinstance(want, (DoubleType, FloatType)):
+            return F.when(~col.rlike(_FLOATING_CHARS), F.lit(True)).otherwise(failed)
+        if isinstance(want, BooleanType):
+            return F.when(~col.rlike(_BOOLEAN_CHARS), F.lit(True)).otherwise(failed)
     return failed
 
 

@@ -249,10 +249,15 @@ TRICKY = [
     "1", " 2 ", "+3", "-4", "5.0", "5.5", "1e3", "1E-2", "abc", "1-URGENT", "", " ", "\t7\n",
     "9999999999", "-9223372036854775808", "9223372036854775808", "١٢", "１２", " 8", "\u00858",
     "0x10", "--1", "1.", ".5", "+", "Infinity", "NaN", "1_000", "12 34", "　8",
+    "inf", "-INF", "+infinity", "nan", "0x1p3", "0x1.8P1", "1d", "2F", "1e", "e5", "yes", " No ", "t",
+    "TRUE", "tru", "y", "0", "1", "off", "1.5e308", "1e400", "-0.0",
 ]
 
 
-@pytest.mark.parametrize("want", ["tinyint", "smallint", "int", "bigint", "decimal(12,2)", "decimal(38,0)", "double", "date"])
+@pytest.mark.parametrize(
+    "want",
+    ["tinyint", "smallint", "int", "bigint", "decimal(12,2)", "decimal(38,0)", "double", "float", "boolean", "date"],
+)
 def test_schema_check_screen_is_exact(spark, want):
     """The regex pre-screen never changes a result: compare with plain try_cast row by row."""
     from pyspark.sql.types import DataType

@@ -65,7 +65,9 @@ def test_manifest_matches_brute_force(spark, rows):
 # Unicode digits, signs, points, exponents, whitespace and control
 # characters, letters that spell special values.
 NUMBERISH = st.text(
-    alphabet=st.sampled_from(list("0123456789+-.eE dDfFlLnNaIiy_,x\t\n\r\x00\x0b\x1f\x7f\x85\xa0") + ["١", "３", "　"]),
+    alphabet=st.sampled_from(
+        list("0123456789+-.eE dDfFlLnNaIiytTrRuUsSoOpPxXbc_,\t\n\r\x00\x0b\x1f\x7f\x85\xa0") + ["١", "３", "　"]
+    ),
     max_size=12,
 )
 
@@ -79,7 +81,7 @@ def test_schema_screen_never_changes_try_cast(spark, values):
     from tablewright.operators.schema import _unconvertible
 
     df = spark.createDataFrame(list(enumerate(values)), "i int, s string")
-    for want in ("tinyint", "int", "bigint", "decimal(10,3)", "decimal(38,0)"):
+    for want in ("tinyint", "int", "bigint", "decimal(10,3)", "decimal(38,0)", "double", "float", "boolean"):
         target = DataType.fromDDL(want)
         rows = df.select(
             "i",
