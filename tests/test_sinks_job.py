@@ -424,3 +424,26 @@ def test_load_config_errors(spark):
         load_config(spark, f"{folder}/bad.toml")
     with pytest.raises(Exception):
         load_config(spark, f"{folder}/missing.toml")
+
+
+def test_concurrent_publishers_under_one_root(spark):
+    """Runs published at the same time (separate Spark jobs from threads)
+    each land whole, and the ledger holds one entry per run."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tablewright.sinks import publish_run, run_ledger
+
+    root = fresh_path(spark, "runs")
+    ids = [f"2026010{i}_000000-{i:08d}" for i in range(1, 5)]
+
+    def publish(i_and_id):
+        i, run_id = i_and_id
+        return publish_run(frame(spark, 1000 * i), root, run_id, {"i": i}, "concurrent")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        entries = list(pool.map(publish, enumerate(ids, start=1)))
+    assert [e["row_count"] for e in entries] == [1000, 2000, 3000, 4000]
+    ledger = {r.run_id: r.row_count for r in run_ledger(spark, root).collect()}
+    assert ledger == dict(zip(ids, [1000, 2000, 3000, 4000]))
+    counts = {r.run_id: r["count"] for r in read_runs(spark, root, frame(spark, 1).schema, committed_only=True).groupBy("run_id").count().collect()}
+    assert counts == ledger
