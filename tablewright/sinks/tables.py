@@ -9,6 +9,7 @@ idempotent: running the same job twice stores its rows twice.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,19 @@ from tablewright.names import TableName, quote_ident
 WRITER_PROPERTY = "tablewright.writer"
 STREAM_WRITER = "stream"
 
+# Appends to one session-catalog (file) table from concurrent jobs of one
+# application share the output committer's temporary folder, and the first
+# job to finish cleans it up under the others: rows vanish, sometimes with no
+# error. Such appends are serialised per table within the process. Separate
+# applications need a table format with its own commit protocol.
+_APPEND_LOCKS: dict[str, threading.Lock] = {}
+_APPEND_LOCKS_GUARD = threading.Lock()
+
+
+def _append_lock(name: TableName) -> threading.Lock:
+    with _APPEND_LOCKS_GUARD:
+        return _APPEND_LOCKS.setdefault(name.dotted.lower(), threading.Lock())
+
 
 def type_ddl(dt: DataType) -> str:
     """SQL type text with every nested field name quoted."""
@@ -93,6 +107,7 @@ def append(df: DataFrame, name: TableName) -> None:
     if table_properties(spark, name).get(WRITER_PROPERTY) == STREAM_WRITER:
         raise ValueError(f"{name} is written by the incremental job; a batch append there would not be read")
     if name.in_session_catalog:
-        spark.sql("INSERT INTO IDENTIFIER(:t) BY NAME SELECT * FROM {src}", args={"t": name.quoted}, src=df)
+        with _append_lock(name):
+            spark.sql("INSERT INTO IDENTIFIER(:t) BY NAME SELECT * FROM {src}", args={"t": name.quoted}, src=df)
     else:
         df.writeTo(name.quoted).append()
