@@ -4,8 +4,9 @@ Each query runs to completion through the ``noop`` sink (all rows
 produced, none collected). A warm-up pass on the smallest data set loads
 classes and compiles code first, so the timings are of the queries, not of
 JVM start-up. Spark's event log, written to a fresh scratch folder, adds
-each query's input records and shuffle records/bytes written (first timed
-run). Input bytes are not reported: the Parquet reader does part of its I/O
+each query's executed stages, input records and shuffle records/bytes
+written (first timed run). Stages include the small job Spark runs to read
+a Parquet footer for the schema, so a map-only query shows 2. Input bytes are not reported: the Parquet reader does part of its I/O
 outside the task thread, where Spark's per-thread byte counters miss it.
 Prints one JSON line.
 """
@@ -59,9 +60,10 @@ def run_once(spark: SparkSession, fn, sf_dir: str, label: str) -> float:
 
 
 def io_per_label(log_dir: str) -> dict[str, dict[str, int]]:
-    """Input records and shuffle records/bytes written, summed over each label's jobs."""
+    """Stages run, input records and shuffle records/bytes written, over each label's jobs."""
     stage_label: dict[int, str] = {}
     totals: dict[str, dict[str, int]] = {}
+    stages_seen: dict[str, set[int]] = {}
     for path in glob.glob(f"{log_dir}/*"):
         with open(path) as fh:
             for line in fh:
@@ -77,13 +79,15 @@ def io_per_label(log_dir: str) -> dict[str, dict[str, int]]:
                             stage_label[stage] = label
                 elif kind == "SparkListenerTaskEnd" and event.get("Stage ID") in stage_label:
                     metrics = event.get("Task Metrics") or {}
-                    slot = totals.setdefault(
-                        stage_label[event["Stage ID"]], {"input_records": 0, "shuffle_records": 0, "shuffle_bytes": 0}
-                    )
+                    label = stage_label[event["Stage ID"]]
+                    slot = totals.setdefault(label, {"input_records": 0, "shuffle_records": 0, "shuffle_bytes": 0})
+                    stages_seen.setdefault(label, set()).add(event["Stage ID"])
                     shuffle = metrics.get("Shuffle Write Metrics") or {}
                     slot["input_records"] += (metrics.get("Input Metrics") or {}).get("Records Read", 0)
                     slot["shuffle_records"] += shuffle.get("Shuffle Records Written", 0)
                     slot["shuffle_bytes"] += shuffle.get("Shuffle Bytes Written", 0)
+    for label, stages in stages_seen.items():
+        totals[label]["stages"] = len(stages)
     return totals
 
 
@@ -120,7 +124,7 @@ def main() -> None:
                 "repeats": repeats,
                 **{
                     metric: {n: io.get(f"bench:{n}:0", {}).get(metric, 0) for n in QUERIES}
-                    for metric in ("input_records", "shuffle_records", "shuffle_bytes")
+                    for metric in ("stages", "input_records", "shuffle_records", "shuffle_bytes")
                 },
             }
         )
