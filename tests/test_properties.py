@@ -90,3 +90,30 @@ def test_schema_screen_never_changes_try_cast(spark, values):
         ).collect()
         mismatched = [(values[r.i], want) for r in rows if r.screened != r.direct]
         assert not mismatched, mismatched
+
+
+COMPOSITE = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", None]),
+        st.integers(min_value=0, max_value=2),
+        ORDERS,
+        st.one_of(st.none(), st.sampled_from([1.5, -0.5, 2.0])),
+        VALUES,
+    ),
+    max_size=40,
+)
+
+
+@SETTINGS
+@given(rows=COMPOSITE, largest=st.booleans())
+def test_pick_with_composite_keys_and_orders(spark, rows, largest):
+    from tablewright.operators import pick_per_key
+
+    df = spark.createDataFrame(rows, "k1 string, k2 int, o1 long, o2 double, v string")
+    got = sorted((tuple(r) for r in pick_per_key(df, ["k1", "k2"], ["o1", "o2"], smallest=not largest).collect()), key=repr)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(r[0], r[1])].append(r)
+    pick = max if largest else min
+    want = sorted((pick(g, key=lambda r: _sort_key(r, (2, 3, 4))) for g in groups.values()), key=repr)
+    assert got == want
