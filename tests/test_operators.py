@@ -315,3 +315,19 @@ def test_derive_name_resolution(spark):
     assert sorted((r.a, r.b) for r in lateral.collect()) == [(1, 2), (2, 4), (3, 6)]
     with pytest.raises(Exception):
         derive(df, {"b": "a * 2", "a": "id + 1"}).collect()  # used before it is defined
+
+
+def test_whole_row_sha256(spark):
+    """R-1 for whole rows: SHA-256 of the row's JSON text."""
+    import json
+
+    from tablewright.functions import row_sha256
+
+    df = spark.createDataFrame([(1, "a", None), (1, "a", 2.5), (2, "a", None)], "x long, y string, z double")
+    hashes = [r.h for r in df.select(row_sha256("x", "y", "z").alias("h")).collect()]
+    assert len(set(hashes)) == 3  # any column's value changes the hash, NULL included
+    again = [r.h for r in df.repartition(3).orderBy("x", "z").select(row_sha256("x", "y", "z").alias("h")).collect()]
+    assert sorted(again) == sorted(hashes)  # a function of the row only
+    text = df.select(F.to_json(F.struct("x", "y", "z")).alias("j")).collect()[0].j
+    assert hashes[0] == hashlib.sha256(text.encode()).hexdigest()
+    assert json.loads(text) == {"x": 1, "y": "a"}  # NULL fields are left out of the JSON text
