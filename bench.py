@@ -8,7 +8,8 @@ each query's executed stages, input records and shuffle records/bytes
 written (first timed run). Stages include the small job Spark runs to read
 a Parquet footer for the schema, so a map-only query shows 2. Input bytes are not reported: the Parquet reader does part of its I/O
 outside the task thread, where Spark's per-thread byte counters miss it.
-Prints one JSON line.
+Prints one JSON line; a query that fails gets a null time and its error
+under "failed", and the total covers the queries that ran.
 """
 
 from __future__ import annotations
@@ -99,11 +100,19 @@ def main() -> None:
     spark = session(cpus, log_dir)
     if os.path.isdir(WARMUP_SF_DIR):
         for name, fn in QUERIES.items():
-            run_once(spark, fn, WARMUP_SF_DIR, f"warmup:{name}")
-    times = {}
+            try:
+                run_once(spark, fn, WARMUP_SF_DIR, f"warmup:{name}")
+            except Exception:  # the timed run reports it
+                pass
+    times: dict[str, float | None] = {}
+    failed: dict[str, str] = {}
     for name, fn in QUERIES.items():
-        runs = [run_once(spark, fn, sf_dir, f"bench:{name}:{i}") for i in range(repeats)]
-        times[name] = round(min(runs), 4)
+        try:
+            runs = [run_once(spark, fn, sf_dir, f"bench:{name}:{i}") for i in range(repeats)]
+            times[name] = round(min(runs), 4)
+        except Exception as exc:  # record it and go on: one failure must not hide the rest
+            times[name] = None
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     spark.stop()  # flushes the event log
     io = io_per_label(log_dir)
     sf = os.path.basename(sf_dir)
@@ -116,12 +125,13 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "total_query_time",
-                "value": round(sum(times.values()), 4),
+                "value": round(sum(t for t in times.values() if t is not None), 4),
                 "unit": "sec",
                 "queries": times,
                 "sf": sf_value,
                 "cpus": cpus,
                 "repeats": repeats,
+                "failed": failed,
                 **{
                     metric: {n: io.get(f"bench:{n}:0", {}).get(metric, 0) for n in QUERIES}
                     for metric in ("stages", "input_records", "shuffle_records", "shuffle_bytes")

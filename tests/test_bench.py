@@ -22,6 +22,7 @@ def test_bench_prints_one_json_line():
     result = json.loads(lines[0])
     assert result["unit"] == "sec" and result["sf"] == 0.001
     assert set(result["queries"]) == set(QUERIES)
+    assert result["failed"] == {}
     assert abs(result["value"] - sum(result["queries"].values())) < 1e-2
     assert result["input_records"]["derive_orders"] == 1500  # sf0.001 orders, read whole
     assert result["shuffle_records"]["manifest_documents"] <= 20 * 8
