@@ -1,31 +1,18 @@
-"""Table and file sinks, and the composed job, on a local session."""
+"""Catalog table sink, file copies, session confs and the composed job."""
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tablewright.names import DATABASE_CONF, TableName, catalog_and_database
+from helpers import fresh, frame, rows
+from tablewright.names import DATABASE_CONF, catalog_and_database
 from tablewright.operators import double_id
 from tablewright.plans.job import DEFAULT_CONFIG, run
 from tablewright.session import fresh_path, fresh_table_suffix, shared_dir
-from tablewright.sinks import append, create_table_if_absent, read_runs, write_files, write_run
+from tablewright.sinks import append, create_table_if_absent, write_files
 from tablewright.sources import range_source
 
 
-def fresh(spark, label="t"):
-    return TableName("spark_catalog", "default", f"{label}_{fresh_table_suffix()}"), fresh_path(spark, "tables")
-
-
-def frame(spark, n=1000):
-    return double_id(range_source(spark, 0, n))
-
-
-def rows(df):
-    return sorted((r.id, r.double) for r in df.collect())
-
-
-# ---- create if absent + append ---------------------------------------------------------------
-
 def test_append_roundtrip(spark):
     name, loc = fresh(spark)
     df = frame(spark)
@@ -106,54 +93,12 @@ def test_location_with_quote_is_escaped(spark):
     assert spark.table(name.quoted).count() == 3
 
 
-# ---- files ---------------------------------------------------------------------------------
-
 def test_copy_files_roundtrip(spark):
     path = fresh_path(spark, "copies")
     write_files(frame(spark, 50), path)
     assert rows(spark.read.parquet(path)) == [(i, 2 * i) for i in range(50)]
 
 
-def test_write_run_is_write_once(spark):
-    root = fresh_path(spark, "runs")
-    write_run(frame(spark, 5), root, "20260101_000000-abcdef12")
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
-        write_run(frame(spark, 5), root, "20260101_000000-abcdef12")
-
-
-def test_read_runs_keeps_runs_apart(spark):
-    root = fresh_path(spark, "runs")
-    df = frame(spark, 5)
-    write_run(df, root, "20260101_000000-aaaaaaaa")
-    write_run(df.withColumn("double", F.col("double") + 1), root, "20260102_000000-bbbbbbbb")
-    everything = read_runs(spark, root, df.schema)
-    assert everything.columns == ["id", "double", "run_id"]
-    assert everything.count() == 10
-    one = read_runs(spark, root, df.schema, run_id="20260102_000000-bbbbbbbb")
-    assert sorted((r.id, r.double) for r in one.collect()) == [(i, 2 * i + 1) for i in range(5)]
-
-
-def test_digit_run_id_stays_string(spark):
-    root = fresh_path(spark, "runs")
-    df = frame(spark, 2)
-    write_run(df, root, "20260101")
-    got = read_runs(spark, root, df.schema)
-    assert dict(got.dtypes)["run_id"] == "string"
-    assert {r.run_id for r in got.collect()} == {"20260101"}
-
-
-def test_run_id_must_be_a_folder_name(spark):
-    with pytest.raises(ValueError):
-        write_run(frame(spark, 1), fresh_path(spark, "runs"), "a/b")
-
-
-def test_run_id_not_in_data(spark):
-    with pytest.raises(ValueError):
-        write_run(frame(spark, 1).withColumn("run_id", F.lit("x")), fresh_path(spark, "runs"), "r")
-
-
-# ---- session confs -------------------------------------------------------------------------
-
 def test_database_conf_is_required(spark):
     spark.conf.unset(DATABASE_CONF)
     with pytest.raises(RuntimeError, match=DATABASE_CONF):
@@ -175,8 +120,6 @@ def test_shared_dir_comes_from_session(spark):
     assert fresh_path(spark, "x").startswith(shared_dir(spark) + "/x/")
 
 
-# ---- the composed job ---------------------------------------------------------------------
-
 def test_job_with_packaged_defaults_twice(spark):
     table = f"job_{fresh_table_suffix()}"
     spark.conf.set(DATABASE_CONF, "default")
@@ -217,90 +160,6 @@ def test_job_from_path_with_dedup_filter_and_cap(spark):
     assert len([f for f in spark.read.parquet(cfg["table"]["location"]).inputFiles()]) <= 2
 
 
-# ---- the job, incrementally ---------------------------------------------------------------
-
-def test_incremental_job_appends_each_file_once(spark):
-    from tablewright.streaming import run_incremental
-
-    src = fresh_path(spark, "inputs")
-    write_files(frame(spark, 10), f"{src}/part1")
-    cfg = {
-        "table": {"name": f"s_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")},
-        "source": {"path": f"{src}/*", "schema": "id bigint, double bigint"},
-        "processing": {"derive": {"triple": "id * 3"}},
-    }
-    first = run_incremental(spark, cfg)
-    assert first.count() == 10
-    assert run_incremental(spark, cfg).count() == 10  # nothing new: nothing appended
-    write_files(frame(spark, 5).withColumn("id", F.col("id") + 100), f"{src}/part2")
-    out = run_incremental(spark, cfg)
-    assert sorted(r.id for r in out.collect()) == list(range(10)) + list(range(100, 105))
-    assert out.columns == ["id", "double", "triple"]
-
-
-def test_incremental_job_refuses_keyed_dedup(spark):
-    from tablewright.streaming import run_incremental
-
-    cfg = {
-        "table": {"name": "x", "database": "default"},
-        "source": {"path": "/nowhere"},
-        "processing": {"enable_deduplication": True},
-    }
-    with pytest.raises(SystemExit, match="batch"):
-        run_incremental(spark, cfg)
-
-
-def test_append_stream_checks_columns(spark):
-    from tablewright.streaming import append_stream, read_stream
-
-    name, loc = fresh(spark)
-    create_table_if_absent(spark, name, frame(spark, 1).schema, "parquet", loc)
-    src = fresh_path(spark, "inputs")
-    write_files(frame(spark, 3), src)
-    stream = read_stream(spark, src, frame(spark, 1).schema).select("id")
-    with pytest.raises(ValueError, match="missing"):
-        append_stream(stream, name, fresh_path(spark, "streams"))
-
-
-# ---- published runs ---------------------------------------------------------------------------
-
-def test_publish_run_ledger_and_committed_reads(spark):
-    from tablewright.sinks import latest_runs, publish_run, run_ledger
-
-    root = fresh_path(spark, "runs")
-    df = frame(spark, 7)
-    entry = publish_run(df, root, "20260101_000000-aaaaaaaa", {"a": 1}, "job1")
-    assert entry["row_count"] == 7 and entry["created_at"] == "20260101_000000"
-    publish_run(df.limit(3), root, "20260102_000000-bbbbbbbb", {"a": 2}, "job1")
-    publish_run(df, root, "20260101_120000-cccccccc", {"b": 1}, "job2")
-    write_run(df, root, "20260105_000000-dddddddd")  # written, never published
-
-    assert run_ledger(spark, root).count() == 3
-    assert read_runs(spark, root, df.schema).count() == 7 + 3 + 7 + 7  # the ledger folder is not data
-    committed = read_runs(spark, root, df.schema, committed_only=True)
-    assert committed.count() == 7 + 3 + 7
-    assert read_runs(spark, root, df.schema, run_id="20260105_000000-dddddddd", committed_only=True).count() == 0
-    latest = {r.job: (r.run_id, r.row_count) for r in latest_runs(spark, root).collect()}
-    assert latest == {"job1": ("20260102_000000-bbbbbbbb", 3), "job2": ("20260101_120000-cccccccc", 7)}
-
-
-def test_read_latest_run(spark):
-    from tablewright.sinks import publish_run, read_latest_run
-
-    root = fresh_path(spark, "runs")
-    df = frame(spark, 4)
-    publish_run(df, root, "20260101_000000-aaaaaaaa", {}, "j")
-    publish_run(df.withColumn("double", F.lit(-1).cast("bigint")), root, "20260102_000000-bbbbbbbb", {}, "j")
-    got = read_latest_run(spark, root, df.schema, "j")
-    assert {(r.double, r.run_id) for r in got.collect()} == {(-1, "20260102_000000-bbbbbbbb")}
-
-
-def test_run_ids_that_would_hide_or_escape_are_rejected(spark):
-    for bad in ("_x", ".x", "a=b", ""):
-        with pytest.raises(ValueError):
-            write_run(frame(spark, 1), fresh_path(spark, "runs"), bad)
-
-
 def test_awkward_column_names_round_trip(spark):
     from tablewright.operators import schema_check
 
@@ -318,40 +177,6 @@ def test_awkward_column_names_round_trip(spark):
     assert (check.ok, check.bad_rows) == (True, 0)
 
 
-def test_publishing_a_run_twice_fails_and_keeps_one_entry(spark):
-    from tablewright.sinks import publish_run, run_ledger
-
-    root = fresh_path(spark, "runs")
-    publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
-        publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
-    assert run_ledger(spark, root).count() == 1
-
-
-def test_batch_and_incremental_writers_do_not_mix(spark):
-    from tablewright.streaming import run_incremental
-
-    src = fresh_path(spark, "inputs")
-    write_files(frame(spark, 5), f"{src}/p1")
-    # A batch table refuses the incremental job ...
-    name, loc = fresh(spark)
-    create_table_if_absent(spark, name, frame(spark, 1).schema, "parquet", loc)
-    append(frame(spark, 10), name)
-    cfg = {
-        "table": {"name": name.table, "database": "default", "location": loc},
-        "source": {"path": f"{src}/*", "schema": "id bigint, double bigint"},
-    }
-    with pytest.raises(ValueError, match="not created by the incremental job"):
-        run_incremental(spark, cfg)
-    assert spark.table(name.quoted).count() == 10
-    # ... and a stream-owned table refuses batch appends.
-    owned = {**cfg, "table": {"name": f"s_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")}}
-    table = run_incremental(spark, owned)
-    assert table.count() == 5
-    with pytest.raises(ValueError, match="incremental job"):
-        append(frame(spark, 3), TableName("spark_catalog", "default", owned["table"]["name"]))
-
-
 def test_job_reads_csv_with_options(spark):
     src = fresh_path(spark, "inputs")
     write_files(frame(spark, 6), src, fmt="csv", header="true")
@@ -371,23 +196,6 @@ def test_source_options_checked_before_spark():
         run(spark=None, cfg=cfg)
 
 
-def test_ledger_records_versions(spark):
-    import platform
-
-    import tablewright
-    from tablewright.sinks import publish_run, run_ledger
-
-    root = fresh_path(spark, "runs")
-    entry = publish_run(frame(spark, 2), root, "20260101_000000-aaaaaaaa", {}, "j")
-    row = run_ledger(spark, root).collect()[0]
-    assert (row.spark_version, row.package_version, row.python_version) == (
-        spark.version,
-        tablewright.__version__,
-        platform.python_version(),
-    )
-    assert row.location == entry["location"] and row.run_id == "20260101_000000-aaaaaaaa"
-
-
 def test_load_config_from_a_file_and_run(spark):
     import hashlib
     import os
@@ -426,29 +234,6 @@ def test_load_config_errors(spark):
         load_config(spark, f"{folder}/missing.toml")
 
 
-def test_concurrent_publishers_under_one_root(spark):
-    """Runs published at the same time (separate Spark jobs from threads)
-    each land whole, and the ledger holds one entry per run."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from tablewright.sinks import publish_run, run_ledger
-
-    root = fresh_path(spark, "runs")
-    ids = [f"2026010{i}_000000-{i:08d}" for i in range(1, 5)]
-
-    def publish(i_and_id):
-        i, run_id = i_and_id
-        return publish_run(frame(spark, 1000 * i), root, run_id, {"i": i}, "concurrent")
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        entries = list(pool.map(publish, enumerate(ids, start=1)))
-    assert [e["row_count"] for e in entries] == [1000, 2000, 3000, 4000]
-    ledger = {r.run_id: r.row_count for r in run_ledger(spark, root).collect()}
-    assert ledger == dict(zip(ids, [1000, 2000, 3000, 4000]))
-    counts = {r.run_id: r["count"] for r in read_runs(spark, root, frame(spark, 1).schema, committed_only=True).groupBy("run_id").count().collect()}
-    assert counts == ledger
-
-
 def test_concurrent_appends_to_one_table_keep_every_row(spark):
     """Without the per-table lock this lost rows, sometimes silently."""
     from concurrent.futures import ThreadPoolExecutor
