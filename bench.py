@@ -2,8 +2,8 @@
 
 Each query runs to completion through the ``noop`` sink (all rows
 produced, none collected). A warm-up pass on the smallest data set loads
-classes and compiles code first, so the timings are of the queries, not of
-JVM start-up. Spark's event log, written to a fresh scratch folder, adds
+classes and compiles code first (``BENCH_WARMUP=0`` skips it), so the
+timings are of the queries, not of JVM start-up. Spark's event log, written to a fresh scratch folder, adds
 each query's executed stages, input records and shuffle records/bytes
 written (first timed run). Stages include the small job Spark runs to read
 a Parquet footer for the schema, so a map-only query shows 2. Input bytes are not reported: the Parquet reader does part of its I/O
@@ -98,7 +98,7 @@ def main() -> None:
     repeats = max(int(os.environ.get("BENCH_REPEATS", "3")), 1)
     log_dir = tempfile.mkdtemp(prefix="tw-bench-events-")
     spark = session(cpus, log_dir)
-    if os.path.isdir(WARMUP_SF_DIR):
+    if os.environ.get("BENCH_WARMUP", "1") != "0" and os.path.isdir(WARMUP_SF_DIR):
         for name, fn in QUERIES.items():
             try:
                 run_once(spark, fn, WARMUP_SF_DIR, f"warmup:{name}")

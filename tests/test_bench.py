@@ -12,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_bench_prints_one_json_line():
-    env = {**os.environ, "BENCH_SF_DIR": SF_SMALL, "BENCH_CPUS": "4", "BENCH_REPEATS": "1"}
+    env = {**os.environ, "BENCH_SF_DIR": SF_SMALL, "BENCH_CPUS": "4", "BENCH_REPEATS": "1", "BENCH_WARMUP": "0"}
     out = subprocess.run(
         [sys.executable, os.path.join(ROOT, "bench.py")], capture_output=True, text=True, timeout=900, env=env
     )
