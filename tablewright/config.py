@@ -28,7 +28,7 @@ def require(cfg: Mapping[str, Any], dotted_key: str) -> Any:
     """Value at ``dotted_key``; a missing key ends the job with ``SystemExit``."""
     value = _lookup(cfg, dotted_key)
     if value is _MISSING:
-        raise SystemExit(f"Config error: missing required key: {dotted_key}")
+        raise SystemExit(f"the config has no value for {dotted_key}, which this job requires")
     return value
 
 

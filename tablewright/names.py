@@ -76,5 +76,5 @@ def catalog_and_database(spark: SparkSession) -> tuple[str, str]:
     catalog = spark.conf.get(CATALOG_CONF, SESSION_CATALOG) or SESSION_CATALOG
     database = spark.conf.get(DATABASE_CONF, None)
     if not database:
-        raise RuntimeError(f"Missing {DATABASE_CONF} (set it with --conf or spark.conf.set)")
+        raise RuntimeError(f"{DATABASE_CONF} is not set: name the target database in the session conf")
     return check_part("catalog", catalog), check_part("database", database)

@@ -37,38 +37,38 @@ def check_config(cfg: Mapping[str, Any]) -> None:
             check_part(key.split(".")[1], get(cfg, key))
     fmt = get(cfg, "table.format", "parquet")
     if fmt is not None and (not isinstance(fmt, str) or not fmt.replace("_", "").isalnum()):
-        raise SystemExit("Config error: table.format must be a format name such as parquet")
+        raise SystemExit("invalid config: table.format must be a format name such as parquet")
     location = get(cfg, "table.location")
     if location is not None and (not isinstance(location, str) or not location):
-        raise SystemExit("Config error: table.location must be a path")
+        raise SystemExit("invalid config: table.location must be a path")
     source = require(cfg, "source")
     kinds = [k for k in ("path", "range") if isinstance(source, Mapping) and k in source]
     if len(kinds) != 1:
-        raise SystemExit("Config error: source needs exactly one of source.path, source.range")
+        raise SystemExit("invalid config: source needs exactly one of source.path, source.range")
     if "range" in source:
         if not isinstance(source["range"], Mapping):
-            raise SystemExit("Config error: source.range must be a table with start and end")
+            raise SystemExit("invalid config: source.range must be a table with start and end")
         require(cfg, "source.range.end")
     options = get(cfg, "source.options", {})
     if not isinstance(options, Mapping) or not all(isinstance(k, str) for k in options):
-        raise SystemExit("Config error: source.options must be a table of reader options")
+        raise SystemExit("invalid config: source.options must be a table of reader options")
     derive_map = get(cfg, "processing.derive", {})
     if not isinstance(derive_map, Mapping) or not all(
         isinstance(k, str) and isinstance(v, (str, Column)) for k, v in derive_map.items()
     ):
-        raise SystemExit("Config error: processing.derive must be a table of name = expression")
+        raise SystemExit("invalid config: processing.derive must be a table of name = expression")
     for key in ("processing.dedup_keys", "processing.dedup_order"):
         names = get(cfg, key)
         if names is not None and (isinstance(names, str) or not all(isinstance(n, str) for n in names)):
-            raise SystemExit(f"Config error: {key} must be a list of column names")
+            raise SystemExit(f"invalid config: {key} must be a list of column names")
     predicate = get(cfg, "processing.filter")
     if predicate is not None and not isinstance(predicate, (str, Column)):
-        raise SystemExit("Config error: processing.filter must be a SQL predicate")
+        raise SystemExit("invalid config: processing.filter must be a SQL predicate")
     cap = get(cfg, "processing.max_partitions")
     if cap is not None and (not isinstance(cap, int) or isinstance(cap, bool) or cap < 1):
-        raise SystemExit("Config error: processing.max_partitions must be a positive integer")
+        raise SystemExit("invalid config: processing.max_partitions must be a positive integer")
     if not isinstance(get(cfg, "processing.enable_deduplication", False), bool):
-        raise SystemExit("Config error: processing.enable_deduplication must be true or false")
+        raise SystemExit("invalid config: processing.enable_deduplication must be true or false")
 
 
 def target_table(spark: SparkSession, cfg: Mapping[str, Any]) -> TableName:

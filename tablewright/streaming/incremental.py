@@ -76,7 +76,7 @@ def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     check_config(cfg)
     folder = require(cfg, "source.path")
     if get(cfg, "processing.enable_deduplication", False):
-        raise SystemExit("Config error: processing.enable_deduplication needs the batch job")
+        raise SystemExit("invalid config: processing.enable_deduplication needs the batch job")
     target = target_table(spark, cfg)
     fmt = get(cfg, "source.format", "parquet")
     options = reader_options(get(cfg, "source.options"))
