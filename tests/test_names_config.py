@@ -8,10 +8,10 @@ from tablewright.plans.job import DEFAULT_CONFIG, check_config, run
 
 
 class TestTableName:
-    def test_quoted_form_quotes_every_part(self):
+    def test_every_part_is_backtick_quoted(self):
         assert TableName("lake", "my_db", "users").quoted == "`lake`.`my_db`.`users`"
 
-    def test_dotted_form_is_plain(self):
+    def test_dotted_form_has_no_quotes(self):
         assert TableName("lake", "my_db", "users").dotted == "lake.my_db.users"
 
     def test_parse_round_trip(self):
@@ -29,15 +29,15 @@ class TestTableName:
             TableName.parse("db.t")
 
 
-class TestRequire:
-    def test_returns_nested_value(self):
+class TestDottedLookup:
+    def test_dotted_path_reads_nested_tables(self):
         assert require({"table": {"name": "my_table"}}, "table.name") == "my_table"
 
-    def test_missing_key_raises_system_exit_naming_it(self):
+    def test_absent_key_ends_the_job_naming_it(self):
         with pytest.raises(SystemExit, match="table.name"):
             require({}, "table.name")
 
-    def test_non_mapping_in_path_is_missing(self):
+    def test_scalar_on_the_path_counts_as_absent(self):
         with pytest.raises(SystemExit, match="table.name"):
             require({"table": "oops"}, "table.name")
 
@@ -46,8 +46,8 @@ class TestRequire:
         assert get({"a": {"b": 1}}, "a.b", 7) == 1
 
 
-class TestRunChecksFirst:
-    def test_validates_config_before_touching_spark(self):
+class TestParametersBeforeSpark:
+    def test_config_is_checked_before_any_spark_call(self):
         with pytest.raises(SystemExit, match="table.name"):
             run(spark=None, cfg={})
 
