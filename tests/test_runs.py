@@ -131,3 +131,13 @@ def test_concurrent_publishers_under_one_root(spark):
     assert ledger == dict(zip(ids, [1000, 2000, 3000, 4000]))
     counts = {r.run_id: r["count"] for r in read_runs(spark, root, frame(spark, 1).schema, committed_only=True).groupBy("run_id").count().collect()}
     assert counts == ledger
+
+
+def test_publishing_an_empty_run(spark):
+    from tablewright.sinks import publish_run, run_ledger
+
+    root = fresh_path(spark, "runs")
+    entry = publish_run(frame(spark, 0), root, "20260101_000000-00000000", {}, "empty")
+    assert entry["row_count"] == 0
+    assert [r.row_count for r in run_ledger(spark, root).collect()] == [0]
+    assert read_runs(spark, root, frame(spark, 1).schema, committed_only=True).count() == 0
