@@ -74,3 +74,19 @@ def test_batch_and_incremental_writers_do_not_mix(spark):
     assert table.count() == 5
     with pytest.raises(ValueError, match="incremental job"):
         append(frame(spark, 3), TableName("spark_catalog", "default", owned["table"]["name"]))
+
+
+def test_incremental_job_on_an_empty_folder(spark):
+    import os
+
+    from tablewright.streaming import run_incremental
+
+    src = fresh_path(spark, "inputs")
+    os.makedirs(src)
+    cfg = {
+        "table": {"name": f"e_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")},
+        "source": {"path": f"{src}/*", "schema": "id bigint, double bigint"},  # each batch in a subfolder
+    }
+    assert run_incremental(spark, cfg).count() == 0  # finishes, creates the table, appends nothing
+    write_files(frame(spark, 4), f"{src}/p1")
+    assert run_incremental(spark, cfg).count() == 4
