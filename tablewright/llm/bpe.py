@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -32,10 +31,10 @@ from pyspark.sql import types as T
 from tablewright.names import quote_ident
 
 #: Characters of a piece of a long text, and of a word that is joined as a tree.
-PIECE_CHARS = 32_768
+PIECE_CHARS = 65_536
 LONG_WORD = 1_024
 #: Words that a worker remembers before it starts anew (memory bound, no effect on results).
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 # The pre-tokenizer pattern of the vocabulary file (contractions,
 # letter runs, single numbers, runs of other signs), for characters up to U+024F
@@ -176,7 +175,8 @@ class Bpe:
             return [m.span() for m in _WORD.finditer(text)]
         return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def ids_of(self, words: list[str]) -> np.ndarray:
+    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in the cache, and the ids of all of them."""
         if len(self.known) > CACHED_WORDS:
             self.reset()
         known = self.known
@@ -188,8 +188,8 @@ class Bpe:
         lens = self.lens[at]
         ends = np.cumsum(lens)
         if not len(ends):
-            return np.zeros(0, np.int32)
-        return self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1])]
+            return at, np.zeros(0, np.int32)
+        return at, self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1])]
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Texts between special tokens, and the special tokens."""
@@ -206,15 +206,15 @@ class Bpe:
             if special is not None:
                 out.append(np.array([special], np.int32))
             else:
-                out.append(self.ids_of(self.words(*self.normalise(part))))
+                out.append(self.looked_up(self.words(*self.normalise(part)))[1])
         return out[0] if len(out) == 1 else np.concatenate(out)
 
     # pieces of long texts -------------------------------------------------
-    def encode_piece(self, text: str, plain: bool) -> tuple[list[int], list[int], list[int], np.ndarray]:
-        """Starts and ends of the piece's words, ids of each, all ids."""
-        spans = self.spans(text, plain)
-        ids = [self.ids_of([text[a:b]]) for a, b in spans]
-        return [a for a, _ in spans], [b for _, b in spans], [len(x) for x in ids], np.concatenate([*ids, np.zeros(0, np.int32)])
+    def encode_piece(self, text: str, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the piece's words, number of ids of each, all ids."""
+        spans = np.array(self.spans(text, plain), np.int32).reshape(-1, 2)
+        at, ids = self.looked_up([text[a:b] for a, b in spans.tolist()])
+        return spans[:, 0], spans[:, 1], self.lens[at].astype(np.int32), ids
 
     def join_pieces(self, left: tuple, right: tuple, plain: bool) -> tuple:
         """(text, starts, ends, counts, ids) of the two pieces' text.
@@ -223,61 +223,56 @@ class Bpe:
         the last word of the left piece that no later text can change, in a
         window that grows until a word start of the right piece is reached
         by both splits."""
-        text, cut = left[0] + right[0], len(left[0])
-        k = len(left[1])
-        while k and left[2][k - 1] > cut - 1 - _AHEAD:
-            k -= 1
-        begin = left[1][k] if k < len(left[1]) else (left[2][k - 1] if k else 0)
+        cut, (text, starts, ends, counts, ids) = len(left[0]), left
+        k = int(np.searchsorted(ends, cut - _AHEAD))
+        begin = int(starts[k]) if k < len(starts) else int(ends[-1]) if k else 0
+        whole = text + right[0]
         grow = 64
-        starts = right[1]
         while True:
-            end = min(len(text), cut + grow)
-            spans = [(begin + a, begin + b) for a, b in self.spans(text[begin:end], plain)]
-            whole = spans if end == len(text) else [s for s in spans if s[1] < end - _AHEAD]
-            kept, meet = [], None
-            for a, b in whole:
-                if a >= cut and (j := bisect_left(starts, a - cut)) < len(starts) and starts[j] == a - cut:
+            stop = min(len(whole), cut + grow)
+            kept, meet = [], len(right[1]) if stop == len(whole) else None
+            for a, b in self.spans(whole[begin:stop], plain):
+                a, b = begin + a, begin + b
+                if b >= stop - _AHEAD and stop < len(whole):
+                    break
+                j = int(np.searchsorted(right[1], a - cut))
+                if a >= cut and j < len(right[1]) and right[1][j] == a - cut:
                     meet = j
                     break
                 kept.append((a, b))
-            if meet is None and end == len(text):
-                meet = len(starts)
             if meet is not None:
                 break
             grow *= 2
-        counts, ids = [], []
-        for a, b in kept:
-            x = self._across(text, a, b, left, right, cut)
-            counts.append(len(x))
-            ids.append(np.array(x, np.int32))
-        head, skip = sum(left[3][:k]), sum(right[3][:meet])
+        found = [np.array(self._across(whole, a, b, left, right, cut), np.int32) for a, b in kept]
+        spans = np.array(kept, np.int32).reshape(-1, 2)
         return (
-            text,
-            [*left[1][:k], *(a for a, _ in kept), *(a + cut for a in starts[meet:])],
-            [*left[2][:k], *(b for _, b in kept), *(b + cut for b in right[2][meet:])],
-            [*left[3][:k], *counts, *right[3][meet:]],
-            np.concatenate([left[4][:head], *ids, right[4][skip:]]).astype(np.int32),
+            whole,
+            np.concatenate([starts[:k], spans[:, 0], right[1][meet:] + np.int32(cut)]),
+            np.concatenate([ends[:k], spans[:, 1], right[2][meet:] + np.int32(cut)]),
+            np.concatenate([counts[:k], np.array([len(x) for x in found], np.int32), right[3][meet:]]),
+            np.concatenate([ids[: counts[:k].sum()], *found, right[4][right[3][:meet].sum() :]]),
         )
 
     def _across(self, text: str, a: int, b: int, left: tuple, right: tuple, cut: int) -> list[int]:
         """Ids of the word text[a:b]; a long one across the cut is joined from its halves' tokens."""
         if not a < cut < b or b - a <= LONG_WORD:
-            return self.ids_of([text[a:b]]).tolist()
-        i, j = bisect_left(left[1], a), bisect_left(right[2], b - cut)
+            return self.looked_up([text[a:b]])[1].tolist()
+        i, j = int(np.searchsorted(left[1], a)), int(np.searchsorted(right[2], b - cut))
         same_left = i < len(left[1]) and (left[1][i], left[2][i]) == (a, cut)
         same_right = j < len(right[2]) and (right[1][j], right[2][j]) == (0, b - cut)
         if not (same_left and same_right):
             return [self.vocab[t] for t in self.tree(self.spell(text[a:b]))]
-        n = sum(left[3][:i])
-        halves = [self.tokens[int(x)] for x in left[4][n : n + left[3][i]]], [self.tokens[int(x)] for x in right[4][: right[3][j]]]
+        n = int(left[3][:i].sum())
+        before = [self.tokens[x] for x in left[4][n : n + left[3][i]].tolist()]
+        after = [self.tokens[x] for x in right[4][: right[3][j]].tolist()]
         # the left half was encoded as a whole word: encode its last tokens again, as the inside of one
-        inside = [*halves[0][:-1], halves[0][-1].removesuffix(self.suffix)]
+        before[-1] = before[-1].removesuffix(self.suffix)
         tail = 2
         while True:
-            at = max(0, len(inside) - tail)
-            window = self.merge("".join(inside[at:]), False)
-            if at == 0 or window[0] == inside[at]:
-                return [self.vocab[t] for t in self.join([*inside[:at], *window], halves[1], True)]
+            at = max(0, len(before) - tail)
+            window = self.merge("".join(before[at:]), False)
+            if at == 0 or window[0] == before[at]:
+                return [self.vocab[t] for t in self.join([*before[:at], *window], after, True)]
             tail *= 2
 
 
@@ -351,18 +346,19 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                      for p, i, t, plain, s in rows], schema=cut_schema)
 
     cut_schema = pa.schema([("__doc", pa.binary()), ("__part", pa.int64()), ("__piece", pa.int64()), ("__text", pa.string()), ("__plain", pa.bool_()), ("__special", pa.int32())])
-    coded = "__doc binary, __part long, __piece long, __text string, __plain boolean, __starts array<int>, __ends array<int>, __counts array<int>, __ids array<int>"
+    coded = "__doc binary, __part long, __piece long, __text string, __plain boolean, __starts binary, __ends binary, __counts binary, __ids binary"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 special = row.pop("__special")
-                found = bpe.encode_piece(row["__text"], row["__plain"]) if special is None else ([0], [0], [1], np.array([special], np.int32))
-                row |= dict(zip(("__starts", "__ends", "__counts", "__ids"), map(list, found), strict=True))
+                found = bpe.encode_piece(row["__text"], row["__plain"]) if special is None else ([0], [0], [1], [special])
+                row |= zip(("__starts", "__ends", "__counts", "__ids"), (np.asarray(x, np.int32).tobytes() for x in found))
                 yield pa.RecordBatch.from_pylist([row], schema=coded_arrow)
 
-    coded_arrow = pa.schema([*list(cut_schema)[:5], *((c, pa.list_(pa.int32())) for c in ("__starts", "__ends", "__counts", "__ids"))])
+    coded_arrow = pa.schema([*list(cut_schema)[:5], *((c, pa.binary()) for c in ("__starts", "__ends", "__counts", "__ids"))])
 
     def joined(table: pa.Table) -> pa.Table:
         bpe = _bpe(vocabulary)
@@ -372,7 +368,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
             end = at
             while end < len(rows) and rows[end]["__part"] == rows[at]["__part"]:
                 end += 1
-            level = [(r["__text"], r["__starts"], r["__ends"], r["__counts"], np.array(r["__ids"], np.int32)) for r in rows[at:end]]
+            level = [(r["__text"], *(np.frombuffer(r[c], np.int32) for c in ("__starts", "__ends", "__counts", "__ids"))) for r in rows[at:end]]
             while len(level) > 1:
                 level = [bpe.join_pieces(*level[i : i + 2], rows[at]["__plain"]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
             out.append(level[0][4])
