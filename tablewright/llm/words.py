@@ -39,12 +39,25 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of codes[start:end] for each span; codes are uint64."""
-    up, down = _table(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Bytes hashed at once; bounds the tables and temporary arrays.
+_BLOCK = 1 << 20
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:end] of each span; spans are in order."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        origin = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, origin + _BLOCK, side="right")))
+        codes = _BYTE_CODES[data[origin : ends[stop - 1]]]
+        up, down = _table(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[:-1], out=sums[1:])
+        a, b = starts[at:stop] - origin, ends[at:stop] - origin
+        out[at:stop] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = stop
+    return out
 
 
 @dataclass
@@ -93,7 +106,7 @@ def words(column: pa.Array, lower: bool = True, separates: np.ndarray = SEPARATE
     cut[offsets] = True  # a word does not cross texts
     starts = np.flatnonzero(inside & (~before | cut))
     ends = np.flatnonzero(before & (~inside | cut))
-    hashes = span_hashes(_BYTE_CODES[data], starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    hashes = span_hashes(data, starts, ends)
     return Words(raw, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
