@@ -5,8 +5,9 @@ pair whose larger set lies in a band, a similarity of ``PERCENT`` bounds the
 number of n-grams that only one of the two has, H. The universe of n-grams is
 hashed into m segments; d of them also index every one-deletion of the
 set's part (they tolerate one difference) and the others index the part itself,
-with m + d = H + 1, so one segment of a similar pair must agree. How many
-segments get deletions is decided per band by cost: rows written against
+with m + d = H + 1, so one segment of a similar pair must agree. More segments
+than that, and parts that are empty may go without an index. How many segments
+get deletions or are spare is decided per band by cost: rows written against
 collisions expected from the number of sets in the band. Candidates are
 verified exactly on the sets.
 
@@ -85,22 +86,36 @@ def differences(band: int, percent: int) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def allocate(band: int, sets: int, percent: int) -> tuple[int, int]:
-    """(m, d) of least cost: rows written plus collisions of parts that are empty by chance."""
+def _more_than(spare: int, mean: float) -> float:
+    """The chance that a Poisson count exceeds ``spare``."""
+    term, total = exp(-mean), 0.0
+    for k in range(spare + 1):
+        total += term
+        term *= mean / (k + 1)
+    return max(0.0, 1.0 - total)
+
+
+def allocate(band: int, sets: int, percent: int) -> tuple[int, int, int]:
+    """(m, d, s) of least cost: rows written plus collisions of parts that are empty by chance.
+
+    m segments, of which the first d also index one-deletions; or, with d = 0, s
+    spare segments: then s + 1 segments of a similar pair agree, and a set
+    with at most s empty parts need not index these."""
     need, size = differences(band, percent) + 1, float(bands(percent)[band]) * (1 + WIDTH) / 2
     best = None
-    for d in {0, *(need * k // 16 for k in range(1, 9))}:
-        m = need - d
-        if m < max(d, 1):
+    for d, s in [*((0, s) for s in (0, 1, 2, 4, 8, 16, 32)), (need // 4, 0), (need // 2, 0)]:
+        m = need - d + s
+        if s > need or m < max(d, 1):
             continue
         load = size / m
-        cost = sets * (m + d * load) + 0.5 * float(sets) ** 2 * m * exp(-2 * load)
+        empty = exp(-load) * _more_than(s - 1, m * exp(-load)) if s else exp(-load)
+        cost = sets * (m + d * load) + 0.5 * m * (sets * empty) ** 2
         if best is None or cost < best[0]:
-            best = cost, m, d
+            best = cost, m, d, s
     return best[1:]
 
 
-def signatures(grams: np.ndarray, band: int, m: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(grams: np.ndarray, band: int, m: int, d: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the parts, and of the one-deletions of the first d parts."""
     salt = np.uint64(band * 0x51ED27 + 1)
     values = mix(grams + salt)
@@ -109,10 +124,13 @@ def signatures(grams: np.ndarray, band: int, m: int, d: int) -> tuple[np.ndarray
     np.add.at(sums, segment, values)
     names = mix(np.arange(m, dtype=np.uint64) * np.uint64(0x2545F491) + (salt << np.uint64(32)))
     whole = mix(sums + names)
-    if not d:
-        return whole, np.zeros(0, np.uint64)
-    few = segment < d
-    return whole, mix(sums[segment[few]] - values[few] + names[segment[few]])
+    if d:
+        few = segment < d
+        return whole, mix(sums[segment[few]] - values[few] + names[segment[few]])
+    filled = np.bincount(segment, minlength=m) > 0
+    if m - filled.sum() <= spare:
+        whole = whole[filled]
+    return whole, np.zeros(0, np.uint64)
 
 
 def is_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,14 +153,14 @@ def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*rest, T.StructField("__size", T.LongType()), T.StructField("__node", T.LongType())]))
 
 
-def _candidates(docs: DataFrame, text: str, n: int, percent: int, plan: dict[int, tuple[int, int]], n_buckets: int) -> DataFrame:
+def _candidates(docs: DataFrame, text: str, n: int, percent: int, plan: dict[int, tuple[int, int, int]], n_buckets: int) -> DataFrame:
     """``group, node`` of the signatures that several nodes share; equal groups once."""
     at = docs.columns.index(text)
     lows = bands(percent)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at, 16_000_000):
+            for part in slices(batch, at, 8_000_000):
                 sigs, nodes, kinds, seen = [], [], [], set()
                 for grams in ngram_sets(part.column(at), n):
                     if not len(grams) or (name := node(grams)) in seen:
@@ -225,7 +243,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stats = rows.filter("__size > 0").groupBy("__node").agg(F.first("__size").alias("__size"))
     counts = {r.band: r.n for r in stats.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per band
     plan = {b: allocate(b, counts.get(b, 0) + counts.get(b - 1, 0), percent) for b in range(len(lows) - 1) if counts.get(b)}
-    entries = sum((m + d * lows[b] / m) * (counts[b] + counts.get(b - 1, 0)) for b, (m, d) in plan.items())
+    entries = sum((m + d * lows[b] / m) * (counts[b] + counts.get(b - 1, 0)) for b, (m, d, _) in plan.items())
     groups = keep(_candidates(docs, "text", n, percent, plan, max(48, int(entries / BUCKET_ENTRIES))), "jaccard")
 
     wanted = groups.select("node").distinct()
