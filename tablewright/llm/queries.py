@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, nearest, quality, url_filter
+from tablewright.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, nearest, quality, url_filter, warc
+from tablewright.session import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,23 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    records = warc.read(spark, path)
+
+    def page(name: str) -> Column:
+        return F.regexp_extract(name, "^<urn:page:(.*)>$", 1).try_cast("long")
+
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.coalesce("stated_length", "length").alias("payload_bytes"),
+        F.when(F.col("record_type") == "revisit", F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicate_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -88,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op4_html_text": op4_html_text,
+    "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filter": op8_url_filter,
