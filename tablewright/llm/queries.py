@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, nearest, quality, url_filter, warc
+from tablewright.llm import bpe, decontaminate, html_text, jaccard_join, line_dedup, nearest, quality, suffix_dedup, url_filter, warc
 from tablewright.session import fresh_path
 
 
@@ -45,6 +45,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffix_dedup.deduplicate_bytes(docs)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -105,6 +111,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
