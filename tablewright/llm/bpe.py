@@ -11,7 +11,8 @@ agreement makes the joined sequence exact. The same join serves single words
 above ``LONG_WORD`` characters.
 
 Defined results: a null or empty text has no ids and decodes to the empty
-text; repeated rows are encoded each by itself; other columns pass through.
+text; repeated rows are encoded each by itself; other columns pass through, but a
+column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -315,9 +316,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     ``vocabulary`` is the path of a tokenizers file on every worker. Texts above
     ``piece_chars`` characters take the tree path, the others one pass.
     """
+    df = df.drop(ids) if ids != text else df
     rest = [c for c in df.columns if c != text]
-    if ids in rest:
-        raise ValueError(f"column {ids!r} exists already")
     column = F.col(quote_ident(text))
     schema = _with(df.drop(text), ids, T.ArrayType(T.IntegerType()))
     others = [F.col(quote_ident(c)) for c in rest]
@@ -388,9 +388,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with ``text``: the tokens of ``ids`` joined by a space, as the
     vocabulary without a decoder is decoded, special tokens kept."""
+    df = df.drop(text)
     rest = df.columns
-    if text in rest:
-        raise ValueError(f"column {text!r} exists already")
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ item's shared fingerprints.
 
 Defined results: null and empty texts have no words, are never contaminated
 and match nothing; repeated rows are judged each by itself; repeated items count
-as often as their ids differ.
+as often as their ids differ. Columns with the names of the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -112,8 +112,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     ``item_ids`` the items with an occurring window, as sorted strings.
     """
     added = ("n_words", "n_hit", "item_ids", "spans", "contaminated")
-    if clash := [c for c in added if c in docs.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    docs = docs.drop(*added)
     column = F.col(quote_ident(text))
     item_words = items.select(F.col(quote_ident(item_id)).cast("string").alias("item_id"), words_of(column).alias("w")).filter(F.size("w") > 0)
     item_words = keep(item_words.withColumn("n", F.least(F.size("w"), F.lit(WINDOW))), "decontaminate")

@@ -12,7 +12,8 @@ White space in a block becomes one space, ``<br>`` included. Unclosed elements
 end with their parents; script, style, template and comments have no text.
 
 Defined results: a null or empty page, or one without content, has an empty
-text; repeated pages give repeated rows; other columns pass through.
+text; repeated pages give repeated rows; other columns pass through, but one with the
+name of the new text is replaced.
 """
 
 from __future__ import annotations
@@ -273,9 +274,8 @@ def main_text(page: str | None, weights: np.ndarray, move: np.ndarray) -> str:
 
 def extract(df: DataFrame, column: str = "html", text: str = "text") -> DataFrame:
     """``df`` with the main text of ``column`` as ``text``; ``column`` itself is dropped."""
+    df = df.drop(text) if text != column else df
     rest = [f for f in df.schema.fields if f.name != column]
-    if text in [f.name for f in rest]:
-        raise ValueError(f"column {text!r} exists already")
     at = df.columns.index(column)
     weights, move = model()
     used = np.flatnonzero(weights.any(1))

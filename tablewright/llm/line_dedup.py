@@ -15,7 +15,8 @@ its first place come from the doubling's last step below l.
 
 Defined results: a null or empty text has no words and stays as it is; blank
 lines count as lines without words; repeated rows are copies, of which the first
-stays. Repeats are judged on the input, not on what is left.
+stays. Repeats are judged on the input, not on what is left. Columns with the names
+of the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -133,8 +134,7 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the later copies of repeated line runs deleted from ``text``, and
     ``n_lines`` (before) and ``n_removed``."""
-    if clash := [c for c in ("n_lines", "n_removed") if c in df.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    df = df.drop("n_lines", "n_removed")
     numbered = keep(df.withColumn("__row", F.monotonically_increasing_id()), "lines")
     rows = numbered.select(F.col(quote_ident(doc_id)).alias("doc"), F.col("__row").alias("row"), F.col(quote_ident(text)).alias("text"))
     runs = repeated_runs(rows, min_words).groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("n", "length")).alias("__runs"))

@@ -14,6 +14,7 @@ every row and whole texts.
 Defined results: a null or empty text has no features and gets the score of
 the intercept; repeated rows score alike; labels other than 0 and 1 and rows
 without a document train nothing; without any training row the score is 0.5.
+A column with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -140,8 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``df`` with the probability of label 1."""
-    if name in df.columns:
-        raise ValueError(f"column {name!r} exists already")
+    df = df.drop(name)
     at = df.columns.index(text)
     small = model.weights.astype(np.float32), model.bias
 

@@ -18,7 +18,8 @@ a later one is removed whole if it has ``LENGTH`` bytes.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing;
 of rows with the same number and text one is the first, and both keep what it keeps;
-rows without a number come before all others.
+rows without a number come before all others. Columns with the names of the new ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -268,8 +269,7 @@ def _removed(regions: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
 def deduplicate_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``n_bytes, n_removed, spans`` (removed byte runs as (first, stop)) and ``kept``, the bytes left."""
     added = ("n_bytes", "n_removed", "spans", "kept")
-    if clash := [c for c in added if c in df.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    df = df.drop(*added)
     body = F.coalesce(F.col(quote_ident(text)), F.lit(""))
     docs = df.select(F.col(quote_ident(doc_id)).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
     by_row = docs.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).cast("long").alias("size"))

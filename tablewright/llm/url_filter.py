@@ -9,7 +9,8 @@ Scoring is one pass over the URLs without a shuffle.
 Defined results: a null URL, or one without ``://``, has an empty host and
 path, fits no rule and gets the model's verdict on empty text, which is to
 allow. Rules fit a host and all its subdomains; of the rules that fit, the
-longest wins, and of equally long ones a block.
+longest wins, and of equally long ones a block. Columns with the names of the
+new ones are replaced.
 """
 
 from __future__ import annotations
@@ -132,8 +133,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 def judge(df: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule``, ``verdict`` and the model's ``block_score``."""
     added = ("host", "path", "rule", "verdict", "block_score")
-    if clash := [c for c in added if c in df.columns]:
-        raise ValueError(f"columns exist already: {clash}")
+    df = df.drop(*added)
     weights, bias = model()
     packed = weights.astype(np.float32)
     host, path = parts(F.col(quote_ident(url)))
