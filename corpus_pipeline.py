@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 from tablewright.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
 from tablewright.llm.queries import KEEP_SCORE, table
 from tablewright.llm.shared import keep
+from tablewright.names import quote_ident
+
+#: The columns that stages read; the others wait under neutral names, so that none can clash.
+READ = ("doc_id", "text", "n_chars")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(quote_ident(c)).alias(c if c in READ else f"other_{i}") for i, c in enumerate(docs.columns)])
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c if c in READ else f"other_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
 
 #: Near copies: five-word shingles, a similarity of 0.8 and more.
 SHINGLE, PERCENT = 5, 80
@@ -26,28 +39,29 @@ BROADCAST_ROWS = 200_000
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, name="__score").filter(F.col("__score") >= KEEP_SCORE).select(*docs.columns)
+    return restored(quality.score(aside(docs), model).filter(F.col("score") >= KEEP_SCORE), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; a document that was nothing else goes."""
-    left = line_dedup.deduplicate_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    left = line_dedup.deduplicate_lines(aside(docs)).filter("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return restored(left, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "near_duplicates")
-    groups = jaccard_join.link_components(rows, doc_id="__row", n=SHINGLE, percent=PERCENT)
-    others = keep(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "near_duplicates")
+    rows = keep(aside(docs).withColumn("row", F.monotonically_increasing_id()), "near_duplicates")
+    groups = jaccard_join.link_components(rows, doc_id="row", n=SHINGLE, percent=PERCENT)
+    others = keep(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("row")), "near_duplicates")
     few = others.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(others) if few else others, "__row", "left_anti").select(*docs.columns)
+    return restored(rows.join(F.broadcast(others) if few else others, "row", "left_anti"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    return restored(decontaminate.decontaminate(aside(docs), table(spark, sf_dir, "benchmark")).filter("not contaminated"), docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
