@@ -1,0 +1,70 @@
+import random
+import re
+
+from llm.corpus import TEXT_SCHEMA, awkward, sentence
+
+from tablewright.llm.decontaminate import decontaminate
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def brute(rows, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    out = []
+    for doc, text in rows:
+        w, hit, found = words(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if (x := windows.get(tuple(w[i : i + n]))) is not None:
+                    found |= x
+                    hit.update(range(i, i + n))
+        spans = [(i, next(j for j in range(i, len(w) + 1) if j + 1 not in hit)) for i in sorted(hit) if i - 1 not in hit]
+        out.append((doc, len(w), len(hit), sorted(found), spans, bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def run(spark, rows, items):
+    got = decontaminate(spark.createDataFrame(rows, TEXT_SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids, [(s["first"], s["last"]) for s in r.spans], r.contaminated) for r in got.collect()), key=repr)
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(3)
+    items = [(i, sentence(rng, n)) for i, n in enumerate((13, 14, 30, 45, 12, 8, 7, 3, 1, 20, 20))]
+    items += [(50, items[2][1]), (51, ""), (52, None), (53, "-- !!"), (54, "the the the the the the the the the the the the the the the")]
+    rows = awkward()
+    for k in range(60):
+        _, text = items[rng.randrange(11)]
+        w = (text or "").split()
+        a = rng.randint(0, len(w) // 2)
+        passage = "... ".join(w[a : a + rng.randint(1, 30)]).upper()
+        rows.append((200 + k, f"{sentence(rng, rng.randint(0, 40))}, {passage}; {sentence(rng, rng.randint(0, 300))}"))
+    rows += [(300, "the " * 40), (301, "A,b\u00e9C d" * 20), (302, items[3][1] + " " + items[9][1] + " " + items[3][1])]
+    assert run(spark, rows, items) == brute(rows, items)
+
+
+def test_no_items_and_no_documents(spark):
+    assert run(spark, [(1, "a b"), (2, None)], []) == [(1, 2, 0, [], [], False), (2, 0, 0, [], [], False)]
+    assert run(spark, [], [(1, "a")]) == []
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 3)], "doc_id long, text string, spans string, n int")
+    out = decontaminate(docs, spark.createDataFrame([(9, "b c")], "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", "n", "n_words", "n_hit", "item_ids", "spans", "contaminated"]
+    assert [(r.n, r.n_hit, r.item_ids) for r in out.collect()] == [(3, 2, ["9"])]
+
+
+def test_no_python_in_the_plan(spark):
+    out = decontaminate(spark.createDataFrame([(1, "a b c")], TEXT_SCHEMA), spark.createDataFrame([(9, "b c")], "item_id long, text string"))
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
