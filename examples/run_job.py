@@ -33,8 +33,9 @@ def main() -> None:
     # The incremental form: new files are appended once, however often it starts.
     inc = {
         "table": {"name": f"orders_{fresh_table_suffix()}", "location": fresh_path(spark, "tables")},
-        "source": {"path": sf_dir, "glob": "orders.parquet"},
+        "source": {"path": f"{sf_dir}/orders.parquet*"},
         "processing": {"derive": {"double": "o_orderkey * 2"}},
+        "streaming": {"checkpoint": fresh_path(spark, "streams")},
     }
     print("incremental, first start:", run_incremental(spark, inc).count())
     table = run_incremental(spark, inc)

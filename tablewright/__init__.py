@@ -2,8 +2,8 @@
 
 __version__ = "0.1.0"
 
-from tablewright.config import config_sha256, get, load_config, make_run_id, require
-from tablewright.names import TableName, catalog_and_database
+from tablewright.config import JobSpec, config_sha256, load_config, make_run_id
+from tablewright.names import TableName, resolve_table
 from tablewright.plans.job import run
 
-__all__ = ["__version__", "TableName", "catalog_and_database", "config_sha256", "get", "load_config", "make_run_id", "require", "run"]
+__all__ = ["__version__", "TableName", "JobSpec", "config_sha256", "load_config", "make_run_id", "resolve_table", "run"]

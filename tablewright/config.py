@@ -1,4 +1,4 @@
-"""Job parameters: a nested dict, read by dotted path, fingerprinted for lineage."""
+"""Job parameters: one typed description, built from the config dict before Spark is used."""
 
 from __future__ import annotations
 
@@ -6,35 +6,111 @@ import datetime as _dt
 import hashlib
 import json
 import tomllib
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 from typing import TYPE_CHECKING, Any
 
-if TYPE_CHECKING:
-    from pyspark.sql import SparkSession
-
-_MISSING = object()
-
-
-def _lookup(cfg: Mapping[str, Any], dotted_key: str) -> Any:
-    value: Any = cfg
-    for key in dotted_key.split("."):
-        if not isinstance(value, Mapping) or key not in value:
-            return _MISSING
-        value = value[key]
-    return value
+from pyspark.sql import Column
+from pyspark.sql.types import DataType, StructType
 
+from tablewright.names import is_name
 
-def require(cfg: Mapping[str, Any], dotted_key: str) -> Any:
-    """Value at ``dotted_key``; a missing key ends the job with ``SystemExit``."""
-    value = _lookup(cfg, dotted_key)
-    if value is _MISSING:
-        raise SystemExit(f"the config has no value for {dotted_key}, which this job requires")
-    return value
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
 
 
-def get(cfg: Mapping[str, Any], dotted_key: str, default: Any = None) -> Any:
-    value = _lookup(cfg, dotted_key)
-    return default if value is _MISSING else value
+class ConfigError(SystemExit):
+    """A config that cannot be run; names the key and what it should be."""
+
+
+# What a value may be: a test, and how an error says it.
+Kind = tuple[Callable[[Any], bool], str]
+
+
+def _texts(v: Any) -> bool:
+    return isinstance(v, (list, tuple)) and all(isinstance(x, str) for x in v)
+
+
+def _pairs(v: Any) -> bool:
+    return isinstance(v, (list, tuple)) and all(isinstance(x, (list, tuple)) and len(x) == 2 and all(isinstance(y, str) for y in x) for x in v)
+
+
+NAME: Kind = (is_name, "a name of letters, digits and underscores")
+PATH: Kind = (lambda v: isinstance(v, str) and v != "", "a path")
+TEXT: Kind = (lambda v: isinstance(v, str) and v != "", "a text")
+FORMAT: Kind = (lambda v: isinstance(v, str) and v.replace("_", "").isalnum(), "a format name such as parquet")
+COUNT: Kind = (lambda v: isinstance(v, int) and not isinstance(v, bool) and v > 0, "a positive integer")
+SWITCH: Kind = (lambda v: isinstance(v, bool), "true or false")
+COLUMNS: Kind = (_texts, "a list of column names")
+PREDICATE: Kind = (lambda v: isinstance(v, (str, Column)), "a SQL predicate")
+EXPRESSIONS: Kind = (lambda v: isinstance(v, Mapping) and all(isinstance(k, str) and isinstance(e, (str, Column)) for k, e in v.items()), "a table of name = expression")
+OPTIONS: Kind = (lambda v: isinstance(v, Mapping) and all(isinstance(k, str) for k in v), "a table of reader options")
+IDS: Kind = (lambda v: isinstance(v, Mapping) and isinstance(v.get("end"), int), "a table with an end, and a start, step and partitions if wanted")
+SCHEMA: Kind = (lambda v: isinstance(v, (str, StructType, DataType)), "a schema")
+EXPECTED: Kind = (_pairs, "a list of (column, type) pairs")
+
+
+def setting(key: str, kind: Kind, default: Any = None) -> Any:
+    """A field of ``JobSpec`` that is read from ``section.name``."""
+    told = {"key": key, "kind": kind}
+    return field(default_factory=default, metadata=told) if callable(default) else field(default=default, metadata=told)
+
+
+@dataclass(frozen=True)
+class JobSpec:
+    """Everything a job can be told. A key that is absent or null has its default;
+    keys that are not listed here are the caller's own."""
+
+    table: str | None = setting("table.name", NAME)
+    catalog: str | None = setting("table.catalog", NAME)
+    database: str | None = setting("table.database", NAME)
+    table_format: str = setting("table.format", FORMAT, "parquet")
+    location: str | None = setting("table.location", PATH)
+    output_path: str | None = setting("output.path", PATH)
+    output_format: str = setting("output.format", FORMAT, "parquet")
+    input_path: str | None = setting("source.path", PATH)
+    input_format: str = setting("source.format", FORMAT, "parquet")
+    input_options: Mapping[str, Any] = setting("source.options", OPTIONS, dict)
+    input_schema: Any = setting("source.schema", SCHEMA)
+    input_glob: str | None = setting("source.glob", TEXT)
+    ids: Mapping[str, int] | None = setting("source.range", IDS)
+    expected: Any = setting("schema.expected", EXPECTED)
+    predicate: Any = setting("processing.filter", PREDICATE)
+    dedup: bool = setting("processing.enable_deduplication", SWITCH, False)
+    dedup_keys: Any = setting("processing.dedup_keys", COLUMNS)
+    dedup_order: Any = setting("processing.dedup_order", COLUMNS)
+    derived: Mapping[str, Any] = setting("processing.derive", EXPRESSIONS, dict)
+    max_partitions: int | None = setting("processing.max_partitions", COUNT)
+    lineage: bool = setting("run.lineage", SWITCH, False)
+    runs_root: str | None = setting("run.root", PATH)
+    run_id: str | None = setting("run.id", TEXT)
+    job: str = setting("run.job", TEXT, "job")
+    checkpoint: str | None = setting("streaming.checkpoint", PATH)
+    max_files: int | None = setting("streaming.max_files_per_trigger", COUNT)
+
+    @classmethod
+    def of(cls, cfg: Mapping[str, Any]) -> "JobSpec":
+        """The description of a config; raises ``ConfigError`` for what could not run."""
+        told: dict[str, dict[str, Any]] = {}
+        for name in {f.metadata["key"].split(".")[0] for f in fields(cls)}:
+            part = cfg.get(name) or {}
+            if not isinstance(part, Mapping):
+                raise ConfigError(f"invalid config: {name} must be a table")
+            told[name] = {k: v for k, v in part.items() if v is not None}
+        values = {}
+        for f in fields(cls):
+            section, name = f.metadata["key"].split(".")
+            fits, says = f.metadata["kind"]
+            if name in told[section]:
+                if not fits(told[section][name]):
+                    raise ConfigError(f"invalid config: {section}.{name} must be {says}")
+                values[f.name] = told[section][name]
+        spec = cls(**values)
+        for a, b in (("table.name", "output.path"), ("source.path", "source.range")):
+            given = [k for k in (a, b) if k.split(".")[1] in told[k.split(".")[0]]]
+            if len(given) != 1:
+                raise ConfigError(f"invalid config: needs exactly one of {a}, {b}")
+        return spec
 
 
 def reader_options(options: Mapping[str, Any] | None) -> dict[str, str]:
@@ -62,17 +138,24 @@ def make_run_id(cfg: Mapping[str, Any], at: _dt.datetime | str | None = None) ->
     return f"{stamp}-{config_sha256(cfg)[:8]}"
 
 
+#: A config file is a few hundred bytes; a larger file is not one.
+CONFIG_BYTES = 1 << 20
+
+
 def load_config(spark: "SparkSession", path: str) -> tuple[dict[str, Any], dict[str, str]]:
     """Parse a TOML config file read through Spark's file systems (any path the
     cluster can read, object stores included); return it with audit metadata.
 
     ``meta["sha256"]`` is the SHA-256 of the file's bytes, ``meta["path"]``
-    where it came from. A config file is a few hundred bytes, so it is read
-    whole on the driver; malformed TOML raises ``tomllib.TOMLDecodeError``.
+    where it came from. The path must be one file of at most ``CONFIG_BYTES``,
+    which is checked before its content is read; malformed TOML raises
+    ``tomllib.TOMLDecodeError``.
     """
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").collect()
-    if len(rows) != 1:
-        raise FileNotFoundError(f"expected one config file at {path!r}, found {len(rows)}")
-    body = bytes(rows[0]["content"])
-    cfg = tomllib.loads(body.decode("utf-8"))
-    return cfg, {"sha256": hashlib.sha256(body).hexdigest(), "path": rows[0]["path"]}
+    files = spark.read.format("binaryFile").load(path)
+    found = files.select("path", "length").limit(2).collect()
+    if len(found) != 1:
+        raise FileNotFoundError(f"expected one config file at {path!r}, found {'more' if found else 'none'}")
+    if found[0]["length"] > CONFIG_BYTES:
+        raise ValueError(f"{path!r} has {found[0]['length']} bytes, more than a config file")
+    body = bytes(files.select("content").first()["content"])
+    return tomllib.loads(body.decode("utf-8")), {"sha256": hashlib.sha256(body).hexdigest(), "path": found[0]["path"]}

@@ -1,5 +1,5 @@
 """Column expressions, all built-in (JVM side, whole-stage codegen)."""
 
-from tablewright.functions.hashing import fingerprint32, row_sha256, sha256_hex
+from tablewright.functions.hashing import digest_sum, fingerprint, row_sha256, row_text, sha256_hex
 
-__all__ = ["fingerprint32", "row_sha256", "sha256_hex"]
+__all__ = ["digest_sum", "fingerprint", "row_sha256", "row_text", "sha256_hex"]

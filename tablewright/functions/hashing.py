@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablewright.names import quote_ident
+
 
 def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.col(quote_ident(c)) if isinstance(c, str) else c
 
 
 def sha256_hex(c: Column | str) -> Column:
@@ -15,15 +17,30 @@ def sha256_hex(c: Column | str) -> Column:
     return F.sha2(_col(c), 256)
 
 
+def row_text(*cols: Column | str) -> Column:
+    """A row (the given columns, or all) as JSON text: nulls shown, instants in UTC
+    whatever the session's time zone."""
+    row = F.struct(*[_col(c) for c in cols]) if cols else F.struct("*")
+    return F.to_json(row, {"timeZone": "UTC", "ignoreNullFields": "false"})
+
+
 def row_sha256(*cols: Column | str) -> Column:
-    """SHA-256 of a whole row (or the given columns) through its JSON text."""
-    return F.sha2(F.to_json(F.struct(*[_col(c) for c in cols])), 256)
+    """SHA-256 of a whole row, or of the given columns, through its JSON text."""
+    return F.sha2(row_text(*cols), 256)
 
 
-def fingerprint32(c: Column | str) -> Column:
-    """First 32 bits of the SHA-256 as a non-negative bigint.
+def digest_sum(digest: Column) -> Column:
+    """The eight 32-bit words of a hex SHA-256, added up, as a non-negative bigint.
 
-    Summing it over a group gives an order-insensitive fingerprint that a
-    partial aggregate can combine map-side.
+    Its sum over a group is an order-insensitive fingerprint that a
+    partial aggregate can combine map-side; every bit of the digest counts.
     """
-    return F.conv(F.substring(sha256_hex(c), 1, 8), 16, 10).cast("bigint")
+    words = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)]
+    total = words[0]
+    for w in words[1:]:
+        total = total + w
+    return total
+
+
+def fingerprint(c: Column | str) -> Column:
+    return digest_sum(sha256_hex(c))

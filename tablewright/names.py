@@ -26,8 +26,12 @@ def quote_ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def is_name(value: object) -> bool:
+    return isinstance(value, str) and bool(_PART.match(value))
+
+
 def check_part(kind: str, value: str) -> str:
-    if not isinstance(value, str) or not _PART.match(value):
+    if not is_name(value):
         raise ValueError(f"invalid {kind} name {value!r}: use letters, digits and underscores")
     return value
 
@@ -71,10 +75,10 @@ class TableName:
         return self.dotted
 
 
-def catalog_and_database(spark: SparkSession) -> tuple[str, str]:
-    """Catalog (default ``spark_catalog``) and database (required) from session confs."""
-    catalog = spark.conf.get(CATALOG_CONF, SESSION_CATALOG) or SESSION_CATALOG
-    database = spark.conf.get(DATABASE_CONF, None)
-    if not database:
-        raise RuntimeError(f"{DATABASE_CONF} is not set: name the target database in the session conf")
-    return check_part("catalog", catalog), check_part("database", database)
+def resolve_table(spark: SparkSession, table: str, catalog: str | None = None, database: str | None = None) -> TableName:
+    """The job's target: each part as the job gives it, else from the session's
+    confs; the catalog is the session's own if neither names one."""
+    said = {"catalog": catalog or spark.conf.get(CATALOG_CONF, "") or SESSION_CATALOG, "database": database or spark.conf.get(DATABASE_CONF, "")}
+    if not said["database"]:
+        raise RuntimeError(f"no target database: set {DATABASE_CONF} or table.database")
+    return TableName(**said, table=table)

@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def cap_partitions(df: DataFrame, max_partitions: int | None, shuffle: bool = False) -> DataFrame:
+def cap_partitions(df: DataFrame, max_partitions: int | None) -> DataFrame:
     """Never more than ``max_partitions`` partitions, never more than before.
 
-    ``coalesce`` merges partitions without a shuffle and never raises the
-    count, but it also narrows the stage that feeds it. When a cap far below
-    the input's natural parallelism sits right after a large scan, pass
-    ``shuffle=True``: the upstream stage keeps its full task count and one
-    round-robin shuffle produces the capped layout. That mode can raise the
-    count when the input has fewer partitions than the cap (nothing is lost,
-    the files are just smaller).
+    ``coalesce`` merges partitions without a shuffle and never raises the count, but it
+    also narrows the stage that feeds it, at any data size: a cap is for small
+    outputs that must be few files. Without one, adaptive execution sizes them.
     """
     if max_partitions is None:
         return df
     if int(max_partitions) < 1:
         raise ValueError("max_partitions must be at least 1")
-    return df.repartition(int(max_partitions)) if shuffle else df.coalesce(int(max_partitions))
+    return df.coalesce(int(max_partitions))

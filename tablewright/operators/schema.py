@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -26,6 +27,7 @@ from pyspark.sql.types import (
 )
 
 from tablewright.names import quote_ident
+from tablewright.typing_rules import same_type, widens
 
 # Characters Spark's integral and decimal parsers can accept: any Unicode
 # decimal digit, sign, point (and an exponent for decimals), plus the
@@ -60,33 +62,46 @@ def _unconvertible(col: Column, have: DataType, want: DataType) -> Column:
     return failed
 
 
+def _castable(df: DataFrame, col: Column, want: DataType) -> bool:
+    try:
+        return bool(df.select(col.try_cast(want)).columns)
+    except AnalysisException:
+        return False
+
+
 def schema_check(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows ``(name, expected, actual, ok, bad_rows)``, one per ``(column, type)``
-    in ``expected``; ``actual`` and ``bad_rows`` are NULL for a missing column."""
-    actual = {f.name: f.dataType for f in df.schema.fields}
+    in ``expected``; ``actual`` and ``bad_rows`` are NULL for a missing column.
+
+    Names resolve by the session's case rule; types are equal if they differ in
+    nullability only. Columns whose type is equal or widens safely are not read; of a
+    type that cannot be cast at all, every non-null value is a bad row.
+    """
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    fold = (lambda n: n) if exact else str.lower
+    found = {fold(f.name): f for f in df.schema.fields}
     checks = []
     counts = []
     for i, (name, type_text) in enumerate(expected):
         want = _normalise(type_text)
-        have = actual.get(name)
-        if have is not None:
-            col = F.col(quote_ident(name))
-            bad = F.sum(
-                F.when(col.isNotNull() & _unconvertible(col, have, want), F.lit(1)).otherwise(F.lit(0))
-            )
-            counts.append(F.coalesce(bad, F.lit(0)).cast("bigint").alias(f"b{i}"))
+        field = found.get(fold(name))
+        have = field.dataType if field else None
+        bad_rows = F.lit(None if field is None else 0).cast("bigint")
+        if field is not None and not widens(have, want):
+            col = F.col(quote_ident(field.name))
+            bad = _unconvertible(col, have, want) if _castable(df, col, want) else F.lit(True)
+            total = F.sum(F.when(col.isNotNull() & bad, F.lit(1)).otherwise(F.lit(0)))
+            counts.append(F.coalesce(total, F.lit(0)).cast("bigint").alias(f"b{i}"))
             bad_rows = F.col(f"b{i}")
-        else:
-            bad_rows = F.lit(None).cast("bigint")
         checks.append(
             F.struct(
                 F.lit(name).alias("name"),
                 F.lit(want.simpleString()).alias("expected"),
                 F.lit(have.simpleString() if have is not None else None).cast("string").alias("actual"),
-                F.lit(have == want).alias("ok"),
+                F.lit(have is not None and same_type(have, want)).alias("ok"),
                 bad_rows.alias("bad_rows"),
             )
         )
-    # With every expected column missing there is nothing to scan.
+    # With nothing to count there is nothing to scan.
     base = df.agg(*counts) if counts else df.sparkSession.range(1)
     return base.select(F.inline(F.array(*checks)))

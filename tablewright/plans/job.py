@@ -1,9 +1,10 @@
-"""The table job: parameters in, rows appended to a catalog table.
+"""The table job: parameters in, rows appended to a catalog table or written to a path.
 
-Order is part of the contract: every parameter is checked before Spark is
-touched, then the session confs, the target name, the frame, the DDL and
-the append. DDL and append are separate commits: a failure between them
-leaves an empty table, which the next run accepts.
+The config is read into a ``JobSpec`` before Spark is touched; then come the
+target's name, the frame, the schema check, the DDL and the write. DDL and append
+are separate commits: a failure between them leaves an empty table, which the next
+run accepts. With ``run.root`` set, the run is recorded in that folder's ledger once
+its rows are written.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.config import get, reader_options, require
-from tablewright.names import CATALOG_CONF, SESSION_CATALOG, TableName, catalog_and_database, check_part
-from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows
-from tablewright.sinks import append, create_table_if_absent
+from tablewright.config import JobSpec, config_sha256, make_run_id, reader_options
+from tablewright.names import TableName, resolve_table
+from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows, schema_check, stamp_lineage
+from tablewright.sinks import append, create_table_if_absent, observed, record_run, write_files
 from tablewright.sources import range_source, read_files
 
 # The original job's defaults. It generates ids 0 to 999
@@ -29,87 +30,69 @@ DEFAULT_CONFIG: dict[str, Any] = {
 }
 
 
-def check_config(cfg: Mapping[str, Any]) -> None:
-    """Everything that can be checked without Spark; raises ``SystemExit``/``ValueError``."""
-    check_part("table", require(cfg, "table.name"))
-    for key in ("table.catalog", "table.database"):
-        if get(cfg, key) is not None:
-            check_part(key.split(".")[1], get(cfg, key))
-    fmt = get(cfg, "table.format", "parquet")
-    if fmt is not None and (not isinstance(fmt, str) or not fmt.replace("_", "").isalnum()):
-        raise SystemExit("invalid config: table.format must be a format name such as parquet")
-    location = get(cfg, "table.location")
-    if location is not None and (not isinstance(location, str) or not location):
-        raise SystemExit("invalid config: table.location must be a path")
-    source = require(cfg, "source")
-    kinds = [k for k in ("path", "range") if isinstance(source, Mapping) and k in source]
-    if len(kinds) != 1:
-        raise SystemExit("invalid config: source needs exactly one of source.path, source.range")
-    if "range" in source:
-        if not isinstance(source["range"], Mapping):
-            raise SystemExit("invalid config: source.range must be a table with start and end")
-        require(cfg, "source.range.end")
-    options = get(cfg, "source.options", {})
-    if not isinstance(options, Mapping) or not all(isinstance(k, str) for k in options):
-        raise SystemExit("invalid config: source.options must be a table of reader options")
-    derive_map = get(cfg, "processing.derive", {})
-    if not isinstance(derive_map, Mapping) or not all(
-        isinstance(k, str) and isinstance(v, (str, Column)) for k, v in derive_map.items()
-    ):
-        raise SystemExit("invalid config: processing.derive must be a table of name = expression")
-    for key in ("processing.dedup_keys", "processing.dedup_order"):
-        names = get(cfg, key)
-        if names is not None and (isinstance(names, str) or not all(isinstance(n, str) for n in names)):
-            raise SystemExit(f"invalid config: {key} must be a list of column names")
-    predicate = get(cfg, "processing.filter")
-    if predicate is not None and not isinstance(predicate, (str, Column)):
-        raise SystemExit("invalid config: processing.filter must be a SQL predicate")
-    cap = get(cfg, "processing.max_partitions")
-    if cap is not None and (not isinstance(cap, int) or isinstance(cap, bool) or cap < 1):
-        raise SystemExit("invalid config: processing.max_partitions must be a positive integer")
-    if not isinstance(get(cfg, "processing.enable_deduplication", False), bool):
-        raise SystemExit("invalid config: processing.enable_deduplication must be true or false")
-
-
-def target_table(spark: SparkSession, cfg: Mapping[str, Any]) -> TableName:
-    """Config names win; otherwise the session confs (the database is required)."""
-    catalog, database = get(cfg, "table.catalog"), get(cfg, "table.database")
-    if database is None:
-        conf_catalog, database = catalog_and_database(spark)
-        catalog = catalog or conf_catalog
-    elif catalog is None:
-        catalog = spark.conf.get(CATALOG_CONF, SESSION_CATALOG) or SESSION_CATALOG
-    return TableName(catalog, database, require(cfg, "table.name"))
-
-
-def build_frame(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
-    if get(cfg, "source.range") is not None:
-        r = require(cfg, "source.range")
-        df = range_source(spark, r.get("start", 0), r["end"], r.get("step", 1), r.get("partitions"))
-    else:
-        options = reader_options(get(cfg, "source.options"))
-        df = read_files(spark, require(cfg, "source.path"), get(cfg, "source.format", "parquet"), **options)
-    return transform(df, cfg)
+class SchemaMismatch(ValueError):
+    """The input does not have the columns that the config expects."""
+
+
+def check_config(cfg: Mapping[str, Any]) -> JobSpec:
+    """Everything that can be checked without Spark."""
+    return JobSpec.of(cfg)
+
+
+def target_table(spark: SparkSession, spec: JobSpec) -> TableName:
+    return resolve_table(spark, spec.table, spec.catalog, spec.database)
+
 
+def read_source(spark: SparkSession, spec: JobSpec) -> DataFrame:
+    if spec.ids is not None:
+        return range_source(spark, spec.ids.get("start", 0), spec.ids["end"], spec.ids.get("step", 1), spec.ids.get("partitions"))
+    options = reader_options(spec.input_options)
+    if spec.input_glob:
+        options["pathGlobFilter"] = spec.input_glob
+    return read_files(spark, spec.input_path, spec.input_format, spec.input_schema, **options)
 
-def transform(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
+
+def build_frame(spark: SparkSession, cfg: Mapping[str, Any] | JobSpec) -> DataFrame:
+    spec = cfg if isinstance(cfg, JobSpec) else JobSpec.of(cfg)
+    return transform(read_source(spark, spec), spec)
+
+
+def transform(df: DataFrame, spec: JobSpec) -> DataFrame:
     """Filter, optional dedup, derived columns, partition cap; batch or stream."""
-    predicate = get(cfg, "processing.filter")
-    if predicate:
-        df = filter_rows(df, predicate)
-    if get(cfg, "processing.enable_deduplication", False):
-        df = deduplicate(df, get(cfg, "processing.dedup_keys"), get(cfg, "processing.dedup_order"))
-    df = derive(df, get(cfg, "processing.derive", {}))
-    return cap_partitions(df, get(cfg, "processing.max_partitions"), get(cfg, "processing.shuffle_cap", False))
+    if spec.predicate is not None:
+        df = filter_rows(df, spec.predicate)
+    if spec.dedup:
+        df = deduplicate(df, spec.dedup_keys, spec.dedup_order)
+    return cap_partitions(derive(df, spec.derived), spec.max_partitions)
+
+
+def check_schema(df: DataFrame, spec: JobSpec) -> None:
+    """Raise with every expected column that is missing or holds values of no such type."""
+    if spec.expected is None:
+        return
+    wrong = [r for r in schema_check(df, spec.expected).collect() if r["actual"] is None or r["bad_rows"]]  # a row per expected column
+    if wrong:
+        raise SchemaMismatch("; ".join(f"{r['name']}: expected {r['expected']}, found {r['actual'] or 'no such column'}" + (f" with {r['bad_rows']} other values" if r["bad_rows"] else "") for r in wrong))
 
 
 def run(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
-    """Run the job and return the target table (all of it, read back)."""
-    check_config(cfg)
-    target = target_table(spark, cfg)
-    df = build_frame(spark, cfg)
-    create_table_if_absent(
-        spark, target, df.schema, get(cfg, "table.format", "parquet"), get(cfg, "table.location")
-    )
-    append(df, target)
-    return spark.table(target.quoted)
+    """Run the job and return its target (all of it, read back)."""
+    spec = JobSpec.of(cfg)
+    target = target_table(spark, spec) if spec.table else None
+    source = read_source(spark, spec)
+    check_schema(source, spec)
+    df = transform(source, spec)
+    run_id = spec.run_id or make_run_id(cfg)
+    if spec.lineage:
+        df = stamp_lineage(df, cfg, run_id=run_id)
+    seen = None
+    if spec.runs_root:
+        df, seen = observed(df)
+    if target is None:
+        write_files(df, spec.output_path, fmt=spec.output_format)
+    else:
+        create_table_if_absent(spark, target, df.schema, spec.table_format, spec.location)
+        append(df, target)
+    if seen is not None:
+        record_run(spark, spec.runs_root, run_id, spec.job, config_sha256(cfg), seen(), spec.output_path or target.dotted)
+    return read_files(spark, spec.output_path, spec.output_format) if target is None else spark.table(target.quoted)

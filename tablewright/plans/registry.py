@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.config import config_sha256, make_run_id
+from tablewright.config import make_run_id
+from tablewright.functions import row_sha256 as whole_row_sha256
 from tablewright.functions import sha256_hex
-from tablewright.names import SESSION_CATALOG, TableName
+from tablewright.names import DATABASE_CONF, SESSION_CATALOG, TableName
 from tablewright.operators import (
+    cap_partitions,
     deduplicate,
     derive,
     double_id,
@@ -110,6 +112,18 @@ def copy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, out)
 
 
+# --- D-5 partition cap ---------------------------------------------------------------------------
+
+MAX_FILES = 3
+
+
+def capped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in at most MAX_FILES files: their rows, and whether the cap held."""
+    out = write_files(cap_partitions(load_table(spark, sf_dir, "orders"), MAX_FILES), fresh_path(spark, "copies/capped"))
+    files = F.count_distinct(F.input_file_name())
+    return read_files(spark, out).agg(F.count(F.lit(1)).alias("n_rows"), (files <= MAX_FILES).alias("within_cap"))
+
+
 # --- D-6 deduplication -----------------------------------------------------------------------
 
 def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +147,14 @@ def schema_check_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_check(load_table(spark, sf_dir, "orders"), ORDERS_EXPECTED)
 
 
+DOCUMENTS_EXPECTED = [("doc_id", "bigint"), ("TEXT", "string"), ("n_chars", "int"), ("lang", "date")]
+
+
+def schema_check_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal types are not read; a name in other case resolves; no language is a date."""
+    return schema_check(load_table(spark, sf_dir, "documents"), DOCUMENTS_EXPECTED)
+
+
 # --- R-1 content fingerprint per row -------------------------------------------------------
 
 def row_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +162,11 @@ def row_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", sha256_hex("text").alias("sha256"))
 
 
+def row_sha256_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each whole row of orders."""
+    return load_table(spark, sf_dir, "orders").select("o_orderkey", whole_row_sha256().alias("sha256"))
+
+
 # --- R-2 manifest per group ----------------------------------------------------------------
 
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +215,7 @@ def run_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for created_at in RUN_TIMES:
         cfg = run_config(created_at)
         stamped = stamp_lineage(orders, cfg)
-        write_run(stamped, root, make_run_id(cfg, created_at))
+        publish_run(stamped, root, make_run_id(cfg, created_at), cfg, PUBLISHED_JOB)
     first = run_config(RUN_TIMES[0])
     return read_runs(spark, root, stamped.schema, run_id=make_run_id(first, RUN_TIMES[0]))
 
@@ -215,8 +242,8 @@ def _publish_orders_runs(spark: SparkSession, sf_dir: str):
 
 def run_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _ = _publish_orders_runs(spark, sf_dir)
-    # Location and versions depend on where it runs; the rest is exact.
-    return run_ledger(spark, root).select("job", "run_id", "created_at", "config_sha256", "row_count")
+    # Location, publishing time and versions depend on where it runs; the rest is exact.
+    return run_ledger(spark, root).select("job", "run_id", "created_at", "config_sha256", "row_count", "size_bytes", "fingerprint")
 
 
 def latest_run_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,9 +272,8 @@ def documents_job_config(spark: SparkSession, sf_dir: str) -> dict:
                 "n_bytes": "CAST(octet_length(text) AS BIGINT)",
                 "sha256": "sha2(text, 256)",
             },
-            # Fixed value: the partition cap of the documented sample config.
-            "max_partitions": 200,
         },
+        "schema": {"expected": [["doc_id", "bigint"], ["text", "string"]]},
     }
 
 
@@ -255,6 +281,36 @@ def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, documents_job_config(spark, sf_dir))
 
 
+def job_orders_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target's database from the session (I-4), rows stamped with the config's hash and the
+    run's id, and the run in the ledger: the table's rows beside what the ledger says of them."""
+    name, location = _fresh_table(spark, "recorded")
+    root = fresh_path(spark, "runs/recorded")
+    cfg = {
+        "table": {"name": name.table, "location": location},
+        "source": {"path": f"{sf_dir.rstrip('/')}/orders.parquet"},
+        "processing": {"filter": "o_orderstatus = 'F'"},
+        "schema": {"expected": [["o_orderkey", "bigint"]]},
+        "run": {"lineage": True, "root": root, "id": RECORDED_RUN, "job": "recorded"},
+    }
+    before = spark.conf.get(DATABASE_CONF, None)
+    spark.conf.set(DATABASE_CONF, name.database)
+    try:
+        rows = run(spark, cfg)
+    finally:
+        spark.conf.unset(DATABASE_CONF) if before is None else spark.conf.set(DATABASE_CONF, before)
+    ledger = run_ledger(spark, root).select("run_id", F.col("row_count").alias("ledger_rows"))
+    return rows.drop("config_sha256").join(F.broadcast(ledger), "run_id")  # one ledger row
+
+
+RECORDED_RUN = "20260105_000000-5eed5eed"
+
+
+def job_to_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job with an output path instead of a table."""
+    return run(spark, {"source": {"path": f"{sf_dir.rstrip('/')}/orders.parquet"}, "output": {"path": fresh_path(spark, "copies/job")}, "processing": {"derive": {"double": "o_orderkey * 2"}}})
+
+
 # --- I-6/I-7 incrementally: the same job as a checkpointed file stream ---------------------------
 
 def stream_append_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +318,8 @@ def stream_append_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, location = _fresh_table(spark, "stream")
     cfg = {
         "table": {"name": name.table, "catalog": name.catalog, "database": name.database, "location": location},
-        "source": {"path": sf_dir, "glob": "orders.parquet"},
+        # the table may be one file or a folder of files
+        "source": {"path": f"{sf_dir.rstrip('/')}/orders.parquet*"},
         "processing": {"derive": {"double": "o_orderkey * 2"}},
         "streaming": {"checkpoint": fresh_path(spark, "streams/orders")},
     }
@@ -278,9 +335,12 @@ QUERIES: dict[str, Query] = {
     "append_roundtrip": append_roundtrip,
     "append_twice": append_twice,
     "copy_orders": copy_orders,
+    "capped_orders": capped_orders,
     "dedup_documents": dedup_documents,
     "schema_check_orders": schema_check_orders,
+    "schema_check_documents": schema_check_documents,
     "row_sha256": row_sha256,
+    "row_sha256_whole": row_sha256_whole,
     "manifest_documents": manifest_documents,
     "manifest_table_documents": manifest_table_documents,
     "latest_per_key": latest_events,
@@ -288,6 +348,8 @@ QUERIES: dict[str, Query] = {
     "run_ledger_orders": run_ledger_orders,
     "latest_run_orders": latest_run_orders,
     "job_documents": job_documents,
+    "job_orders_recorded": job_orders_recorded,
+    "job_to_path": job_to_path,
     "stream_append_orders": stream_append_orders,
 }
 
@@ -334,39 +396,49 @@ def _schema_check_sql() -> str:
     return f"WITH a AS (SELECT {', '.join(measures)} FROM orders) " + " UNION ALL ".join(rows)
 
 
-def _run_roundtrip_sql() -> str:
-    cfg = run_config(RUN_TIMES[0])
-    return (
-        f"SELECT *, '{config_sha256(cfg)}' AS config_sha256, "
-        f"'{make_run_id(cfg, RUN_TIMES[0])}' AS run_id FROM orders"
-    )
+# Fixed values, computed once outside this package: the SHA-256 of each run config's JSON text
+# ({"run":{"created_at":"..."},"source":{"table":"orders"}}), and the run ids that follow.
+RUN_DIGESTS = {
+    "20260101_000000": "0ee93b5f1a223fc797dbada76f89edafe76a995678065b9078418367121616ba",
+    "20260102_000000": "4bdb73cf90d7c552980cdf270a1f7e28764fcc87105268189c9010a5a3a4e003",
+}
+RUN_IDS = {"20260101_000000": "20260101_000000-0ee93b5f", "20260102_000000": "20260102_000000-4bdb73cf"}
+MANIFEST_IDS = ("20260101_000000-79b0ee86", "20260102_000000-7780995f")
+
+
+def _run_sql(created_at: str) -> str:
+    return f"SELECT *, '{RUN_DIGESTS[created_at]}' AS config_sha256, '{RUN_IDS[created_at]}' AS run_id FROM orders"
+
+
+_ORDERS_JSON = (
+    "'{\"o_orderkey\":' || o_orderkey || ',\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || "
+    "'\",\"o_totalprice\":' || o_totalprice || ',\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || "
+    "'\",\"o_orderpriority\":\"' || o_orderpriority || '\"'"
+)
+
+
+def _words_sql(text: str) -> str:
+    """The sum of the eight 32-bit words of a text's SHA-256."""
+    return "(" + " + ".join(f"('0x' || substr(sha256({text}), {8 * i + 1}, 8))::BIGINT" for i in range(8)) + ")"
 
 
 def _run_ledger_sql() -> str:
     rows = []
     for created_at in PUBLISHED_TIMES:
-        cfg = run_config(created_at)
+        row = _ORDERS_JSON + f" || ',\"config_sha256\":\"{RUN_DIGESTS[created_at]}\"}}'"
         rows.append(
-            f"SELECT '{PUBLISHED_JOB}' AS job, '{make_run_id(cfg, created_at)}' AS run_id, "
-            f"'{created_at}' AS created_at, '{config_sha256(cfg)}' AS config_sha256, "
-            "(SELECT count(*) FROM orders) AS row_count"
+            f"SELECT '{PUBLISHED_JOB}' AS job, '{RUN_IDS[created_at]}' AS run_id, "
+            f"'{created_at}' AS created_at, '{RUN_DIGESTS[created_at]}' AS config_sha256, "
+            f"count(*) AS row_count, CAST(sum(strlen({row})) AS BIGINT) AS size_bytes, "
+            f"CAST(sum(CAST({_words_sql(row)} AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint FROM orders"
         )
     return " UNION ALL ".join(rows)
 
 
-def _latest_run_sql() -> str:
-    created_at = PUBLISHED_TIMES[-1]
-    cfg = run_config(created_at)
-    return (
-        f"SELECT *, '{config_sha256(cfg)}' AS config_sha256, "
-        f"'{make_run_id(cfg, created_at)}' AS run_id FROM orders"
-    )
-
-
 _MANIFEST_SQL = (
     "SELECT {run}source, count(*) AS row_count, "
     "CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS size_bytes, "
-    "CAST(coalesce(sum(('0x' || substr(sha256(text), 1, 8))::BIGINT), 0) AS DECIMAL(38,0)) "
+    f"CAST(coalesce(sum(CAST({_words_sql('text')} AS DECIMAL(38,0))), 0) AS DECIMAL(38,0)) "
     "AS fingerprint FROM documents GROUP BY source"
 )
 
@@ -384,18 +456,31 @@ def oracles() -> dict[str, str]:
         "copy_orders": "SELECT * FROM orders",
         "dedup_documents": _DEDUP_DOCUMENTS,
         "schema_check_orders": _schema_check_sql(),
+        "capped_orders": "SELECT count(*) AS n_rows, true AS within_cap FROM orders",
+        "schema_check_documents": (
+            "SELECT 'doc_id' AS name, 'bigint' AS expected, 'bigint' AS actual, true AS ok, 0::BIGINT AS bad_rows "
+            "UNION ALL SELECT 'TEXT', 'string', 'string', true, 0 "
+            "UNION ALL SELECT 'n_chars', 'int', 'bigint', false, (SELECT count(*) FROM documents WHERE n_chars IS NOT NULL AND TRY_CAST(n_chars AS INTEGER) IS NULL) "
+            "UNION ALL SELECT 'lang', 'date', 'string', false, (SELECT count(*) FROM documents WHERE lang IS NOT NULL AND TRY_CAST(lang AS DATE) IS NULL)"
+        ),
+        "row_sha256_whole": f"SELECT o_orderkey, sha256({_ORDERS_JSON} || '}}') AS sha256 FROM orders",
+        "job_orders_recorded": (
+            f"SELECT *, '{RECORDED_RUN}' AS run_id, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS ledger_rows "
+            "FROM orders WHERE o_orderstatus = 'F'"
+        ),
+        "job_to_path": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
         "row_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "manifest_documents": _MANIFEST_SQL.format(run=""),
         "manifest_table_documents": " UNION ALL ".join(
-            _MANIFEST_SQL.format(run=f"'{manifest_run_id(t)}' AS run_id, ") for t in MANIFEST_RUNS
+            _MANIFEST_SQL.format(run=f"'{run_id}' AS run_id, ") for run_id in MANIFEST_IDS
         ),
         "latest_per_key": (
             "SELECT event_id, ts, user_id, event_type, value, props FROM events "
             "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
         ),
-        "run_partition_roundtrip": _run_roundtrip_sql(),
+        "run_partition_roundtrip": _run_sql(RUN_TIMES[0]),
         "run_ledger_orders": _run_ledger_sql(),
-        "latest_run_orders": _latest_run_sql(),
+        "latest_run_orders": _run_sql(PUBLISHED_TIMES[-1]),
         "stream_append_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
         "job_documents": (
             "SELECT doc_id, text, lang, source, n_chars, "

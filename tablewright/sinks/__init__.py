@@ -4,9 +4,11 @@ and write-once run folders published through a ledger."""
 from tablewright.sinks.files import write_files
 from tablewright.sinks.runs import (
     latest_runs,
+    observed,
     publish_run,
     read_latest_run,
     read_runs,
+    record_run,
     run_ledger,
     write_run,
 )
@@ -14,6 +16,7 @@ from tablewright.sinks.tables import (
     STREAM_WRITER,
     WRITER_PROPERTY,
     append,
+    check_fit,
     column_ddl,
     create_table_if_absent,
     table_properties,
@@ -23,12 +26,15 @@ __all__ = [
     "STREAM_WRITER",
     "WRITER_PROPERTY",
     "append",
+    "check_fit",
     "column_ddl",
     "create_table_if_absent",
     "latest_runs",
+    "observed",
     "publish_run",
     "read_latest_run",
     "read_runs",
+    "record_run",
     "run_ledger",
     "table_properties",
     "write_files",

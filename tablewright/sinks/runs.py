@@ -14,14 +14,18 @@ runs published at the same time do not share a committer folder.
 from __future__ import annotations
 
 import platform
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
+from datetime import datetime, timezone
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tablewright.config import config_sha256
+from tablewright.functions import digest_sum, row_text
 from tablewright.operators.latest import latest_per_key
 from tablewright.sinks.files import write_files
 
@@ -41,8 +45,11 @@ ENTRY_SCHEMA = StructType(
     [
         StructField("job", StringType(), False),
         StructField("created_at", StringType(), False),
+        StructField("published_at", StringType(), False),
         StructField("config_sha256", StringType(), False),
         StructField("row_count", LongType(), False),
+        StructField("size_bytes", LongType(), False),
+        StructField("fingerprint", StringType(), False),
         StructField("location", StringType(), False),
         StructField("spark_version", StringType(), False),
         StructField("package_version", StringType(), False),
@@ -50,6 +57,8 @@ ENTRY_SCHEMA = StructType(
     ]
 )
 LEDGER_SCHEMA = StructType([*ENTRY_SCHEMA.fields, StructField(RUN_COLUMN, StringType(), True)])
+# Fixed value: the form of a published run's id (see make_run_id).
+RUN_ID = re.compile(r"\d{8}_\d{6}-[0-9a-f]{8}")
 
 
 def _check_run_id(run_id: str) -> str:
@@ -62,6 +71,10 @@ def run_path(root: str, run_id: str) -> str:
     return f"{root.rstrip('/')}/{RUN_COLUMN}={_check_run_id(run_id)}"
 
 
+def ledger_path(root: str) -> str:
+    return f"{root.rstrip('/')}/{LEDGER}"
+
+
 def write_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") -> str:
     """Write one run to ``root/run_id=<id>``; a second write there fails.
 
@@ -73,6 +86,43 @@ def write_run(df: DataFrame, root: str, run_id: str, fmt: str = "parquet") -> st
     return write_files(df, run_path(root, run_id), fmt=fmt, mode="errorifexists")
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
+    """``df``, and after it was written once: its row count, the bytes of its rows' JSON
+    text, and the sum of all words of the rows' SHA-256."""
+    seen = Observation()
+    text = row_text()
+    counted = df.observe(
+        seen,
+        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("size_bytes"),
+        F.coalesce(F.sum(digest_sum(F.sha2(text, 256)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"),
+    )
+    return counted, lambda: dict(seen.get)
+
+
+def record_run(spark: SparkSession, root: str, run_id: str, job: str, config_hash: str, seen: Mapping[str, Any], location: str) -> dict[str, Any]:
+    """Append a run's ledger row; its rows must have been written. Returns the row."""
+    if not RUN_ID.fullmatch(run_id):
+        raise ValueError(f"invalid run id {run_id!r}: a published run's is like 20260101_000000-1a2b3c4d")
+    entry = {
+        "job": job,
+        RUN_COLUMN: run_id,
+        "created_at": run_id.split("-", 1)[0],
+        "published_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
+        "config_sha256": config_hash,
+        "row_count": int(seen["row_count"]),
+        "size_bytes": int(seen["size_bytes"]),
+        "fingerprint": str(seen["fingerprint"]),
+        "location": location,
+        "spark_version": spark.version,
+        "package_version": package_version(),
+        "python_version": platform.python_version(),
+    }
+    row = spark.createDataFrame([tuple(entry[f.name] for f in ENTRY_SCHEMA.fields)], ENTRY_SCHEMA)
+    write_files(row.coalesce(1), run_path(ledger_path(root), run_id), mode="errorifexists")
+    return entry
+
+
 def publish_run(
     df: DataFrame,
     root: str,
@@ -83,36 +133,44 @@ def publish_run(
 ) -> dict[str, Any]:
     """Write the run, then append its ledger row; returns that row.
 
-    The row count is observed while writing (no second pass). The ledger row
+    Counts and fingerprint are observed while writing (no second pass). The ledger row
     is appended only after the data commit succeeded, so a reader that
     trusts the ledger never sees a half-written run.
     """
-    observation = Observation(f"run-{run_id}")
-    path = write_run(df.observe(observation, F.count(F.lit(1)).alias("rows")), root, run_id, fmt)
-    entry = {
-        "job": job,
-        RUN_COLUMN: run_id,
-        "created_at": run_id.split("-", 1)[0],
-        "config_sha256": config_sha256(cfg),
-        "row_count": int(observation.get["rows"]),
-        "location": path,
-        "spark_version": df.sparkSession.version,
-        "package_version": package_version(),
-        "python_version": platform.python_version(),
-    }
-    row = df.sparkSession.createDataFrame([tuple(entry[f.name] for f in ENTRY_SCHEMA.fields)], ENTRY_SCHEMA)
-    write_files(row.coalesce(1), run_path(f"{root.rstrip('/')}/{LEDGER}", run_id), mode="errorifexists")
-    return entry
+    if not RUN_ID.fullmatch(run_id):
+        raise ValueError(f"invalid run id {run_id!r}: a published run's is like 20260101_000000-1a2b3c4d")
+    counted, seen = observed(df)
+    path = write_run(counted, root, run_id, fmt)
+    return record_run(df.sparkSession, root, run_id, job, config_sha256(cfg), seen(), path)
 
 
 def run_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Every published run's entry; ``run_id`` comes from the entry's folder."""
-    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{root.rstrip('/')}/{LEDGER}")
+    return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(root))
 
 
 def latest_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Ledger row of the newest published run per job (ties: the larger run id)."""
-    return latest_per_key(run_ledger(spark, root), ["job"], ["created_at", RUN_COLUMN])
+    """Ledger row of the run published last, per job."""
+    return latest_per_key(run_ledger(spark, root), ["job"], ["published_at", RUN_COLUMN])
+
+
+def is_published(spark: SparkSession, root: str, run_id: str) -> bool:
+    """Whether the run has its ledger row; only that entry's folder is looked at."""
+    try:
+        return bool(spark.read.schema(ENTRY_SCHEMA).parquet(run_path(ledger_path(root), run_id)).head(1))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def _with_run(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(RUN_COLUMN, StringType(), True)])
+
+
+def _one_run(spark: SparkSession, root: str, schema: StructType, run_id: str, fmt: str) -> DataFrame:
+    """A run's rows; only its folder is listed."""
+    return spark.read.format(fmt).schema(_with_run(schema)).option("basePath", root).load(run_path(root, run_id))
 
 
 def read_runs(
@@ -121,31 +179,27 @@ def read_runs(
     schema: StructType,
     run_id: str | None = None,
     fmt: str = "parquet",
-    committed_only: bool = False,
+    committed_only: bool = True,
 ) -> DataFrame:
-    """All runs under ``root`` (or one), with ``run_id`` as a string column last.
+    """All published runs under ``root`` (or one), with ``run_id`` as a string column last.
 
     The schema is given rather than inferred, so an id made of digits stays
-    a string and no file footers are sampled. ``committed_only`` keeps the
-    runs that have a ledger row (a semi join on the small ledger).
+    a string and no file footers are sampled. With ``committed_only=False`` runs
+    without a ledger row, which may be half written, are read too.
     """
-    full = StructType([*schema.fields, StructField(RUN_COLUMN, StringType(), True)])
-    df = spark.read.format(fmt).schema(full).load(root)
+    full = _with_run(schema)
     if run_id is not None:
-        df = df.filter(F.col(RUN_COLUMN) == run_id)
+        if committed_only and not is_published(spark, root, run_id):
+            return spark.createDataFrame([], full)
+        return _one_run(spark, root, schema, run_id, fmt)
+    df = spark.read.format(fmt).schema(full).load(root)
     if committed_only:
-        ledger = run_ledger(spark, root).select(RUN_COLUMN)
-        if run_id is not None:
-            ledger = ledger.filter(F.col(RUN_COLUMN) == run_id)
-        df = df.join(ledger.distinct(), RUN_COLUMN, "left_semi").select(*full.fieldNames())
+        df = df.join(run_ledger(spark, root).select(RUN_COLUMN).distinct(), RUN_COLUMN, "left_semi").select(*full.fieldNames())
     return df
 
 
 def read_latest_run(spark: SparkSession, root: str, schema: StructType, job: str, fmt: str = "parquet") -> DataFrame:
-    """Rows of the newest published run of ``job``: the ledger picks the run,
-    a semi join on the partition column selects its files."""
-    ledger = run_ledger(spark, root).filter(F.col("job") == job)
-    latest = latest_per_key(ledger, ["job"], ["created_at", RUN_COLUMN]).select(RUN_COLUMN)
-    full = StructType([*schema.fields, StructField(RUN_COLUMN, StringType(), True)])
-    data = spark.read.format(fmt).schema(full).load(root)
-    return data.join(latest, RUN_COLUMN, "left_semi").select(*full.fieldNames())
+    """Rows of the run of ``job`` that was published last: its ledger row names the folder, and
+    only that one is listed. No rows if the job has no published run."""
+    last = latest_runs(spark, root).filter(F.col("job") == job).select(RUN_COLUMN).first()  # one row
+    return _one_run(spark, root, schema, last[RUN_COLUMN], fmt) if last else spark.createDataFrame([], _with_run(schema))

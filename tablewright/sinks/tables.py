@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tablewright.names import TableName, quote_ident
+from tablewright.typing_rules import widens
 
 # Table property naming the writer that owns a table. A table written by
 # the incremental job carries "stream": its folder holds the file-stream
@@ -90,20 +91,25 @@ def table_properties(spark: SparkSession, name: TableName) -> dict[str, str]:
     return {r["key"]: r["value"] for r in rows}
 
 
+def check_fit(have: StructType, want: StructType, name: TableName) -> None:
+    """Raise unless rows of ``have`` go into the table ``name`` by name, without loss."""
+    own, target = ({f.name.lower(): f.dataType for f in schema.fields} for schema in (have, want))
+    if set(own) != set(target):
+        raise ValueError(f"columns do not match {name}: missing {sorted(set(target) - set(own))}, extra {sorted(set(own) - set(target))}")
+    lossy = [f"{c}: {own[c].simpleString()} into {t.simpleString()}" for c, t in target.items() if not widens(own[c], t)]
+    if lossy:
+        raise ValueError(f"types do not fit {name}: {'; '.join(lossy)}")
+
+
 def append(df: DataFrame, name: TableName) -> None:
     """Append ``df`` to the existing table ``name``, matching columns by name.
 
-    The column sets must be equal (case-insensitive). Session-catalog tables
+    The column sets must be equal (case-insensitive) and each type must fit the
+    table's without loss. Session-catalog tables
     take ``INSERT INTO … BY NAME``; other (v2) catalogs ``writeTo().append()``.
     """
     spark = df.sparkSession
-    target = spark.table(name.quoted).columns  # a missing table raises here
-    have = {c.lower() for c in df.columns}
-    want = {c.lower() for c in target}
-    if have != want:
-        raise ValueError(
-            f"columns do not match {name}: missing {sorted(want - have)}, extra {sorted(have - want)}"
-        )
+    check_fit(df.schema, spark.table(name.quoted).schema, name)  # a missing table raises here
     if table_properties(spark, name).get(WRITER_PROPERTY) == STREAM_WRITER:
         raise ValueError(f"{name} is written by the incremental job; a batch append there would not be read")
     if name.in_session_catalog:

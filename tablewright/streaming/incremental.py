@@ -2,8 +2,8 @@
 
 A batch append is not idempotent: running it twice stores its rows twice.
 Reading the input folder as a file stream and writing with a checkpoint
-makes each input file land in the table exactly once, however often the
-job is started, and a lost executor only re-runs its tasks. With an
+makes each input file land in the table once, however often the
+job is started with that checkpoint, and a lost executor only re-runs its tasks. With an
 ``availableNow`` trigger the job processes what is there and stops, so it
 schedules like a batch job.
 """
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tablewright.config import get, reader_options, require
-from tablewright.names import TableName, quote_ident
-from tablewright.plans.job import check_config, target_table, transform
-from tablewright.session import shared_dir
-from tablewright.sinks import STREAM_WRITER, WRITER_PROPERTY, create_table_if_absent, table_properties
+from tablewright.config import ConfigError, JobSpec, reader_options
+from tablewright.names import TableName, quote_ident, resolve_table
+from tablewright.plans.job import transform
+from tablewright.session import CHECKPOINT_CONF
+from tablewright.sinks import STREAM_WRITER, WRITER_PROPERTY, check_fit, create_table_if_absent, table_properties
 
 
 def read_stream(
@@ -47,64 +47,77 @@ def read_stream(
     return reader.load(folder)
 
 
+# Table properties that bind a table to the one stream that may fill it. The file sink
+# skips batch numbers that the table's log already has, and a new checkpoint counts
+# from 0 again, so rows of a second checkpoint or source would be lost without an error.
+CHECKPOINT_PROPERTY = "tablewright.checkpoint"
+SOURCE_PROPERTY = "tablewright.source"
+
+
 def append_stream(df: DataFrame, name: TableName, checkpoint: str) -> StreamingQuery:
-    """Append a stream to an existing table, by name, exactly once per input file."""
-    target = df.sparkSession.table(name.quoted).columns
+    """Append a stream to an existing table, by name; each input file once, as long as
+    every start uses the same checkpoint and source."""
+    target = df.sparkSession.table(name.quoted).schema
+    check_fit(df.schema, target, name)
     by_lower = {c.lower(): c for c in df.columns}
-    missing = [c for c in target if c.lower() not in by_lower]
-    extra = sorted(set(by_lower) - {c.lower() for c in target})
-    if missing or extra:
-        raise ValueError(f"columns do not match {name}: missing {missing}, extra {extra}")
-    ordered = df.select(*[F.col(quote_ident(by_lower[c.lower()])) for c in target])
+    fitted = [F.col(quote_ident(by_lower[f.name.lower()])).cast(f.dataType).alias(f.name) for f in target.fields]
     return (
-        ordered.writeStream.option("checkpointLocation", checkpoint)
+        df.select(*fitted).writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .toTable(name.quoted)
     )
 
 
+def _checkpoint(spark: SparkSession, spec: JobSpec, target: TableName) -> str:
+    """The config's checkpoint, else one per table in the folder that the cluster names;
+    never a folder that the next start would not find."""
+    if spec.checkpoint:
+        return spec.checkpoint.rstrip("/")
+    shared = spark.conf.get(CHECKPOINT_CONF, "")
+    if not shared:
+        raise ConfigError(f"invalid config: set streaming.checkpoint, or {CHECKPOINT_CONF} in the session")
+    return f"{shared.rstrip('/')}/streams/{target.dotted}"
+
+
 def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     """The job with ``source.path`` read as a stream; returns the target table.
 
-    ``streaming.checkpoint`` defaults to a folder per table under the shared
-    folder, so a second start resumes where the first stopped. Keyed
-    deduplication needs the whole history, so it is refused here. The target
-    table belongs to the incremental job (table property
-    ``tablewright.writer = stream``): an existing table without it is
-    refused, and batch ``append`` refuses tables with it.
+    A second start resumes where the first stopped. Keyed deduplication needs the
+    whole history, so it is refused here. The target table belongs to the incremental
+    job and to one checkpoint and source (table properties): a table without them, or
+    with others, is refused, and batch ``append`` refuses tables with them.
     """
-    check_config(cfg)
-    folder = require(cfg, "source.path")
-    if get(cfg, "processing.enable_deduplication", False):
-        raise SystemExit("invalid config: processing.enable_deduplication needs the batch job")
-    target = target_table(spark, cfg)
-    fmt = get(cfg, "source.format", "parquet")
-    options = reader_options(get(cfg, "source.options"))
-    schema = get(cfg, "source.schema")
+    spec = JobSpec.of(cfg)
+    if spec.dedup:
+        raise ConfigError("invalid config: processing.enable_deduplication needs the batch job")
+    if not spec.table or not spec.input_path:
+        raise ConfigError("invalid config: the incremental job needs table.name and source.path")
+    target = resolve_table(spark, spec.table, spec.catalog, spec.database)
+    checkpoint = _checkpoint(spark, spec, target)
+    options = reader_options(spec.input_options)
+    schema = spec.input_schema
     if schema is None:
         # Schema from the files, read once on the driver from their footers.
-        glob = get(cfg, "source.glob")
-        reader = spark.read.format(fmt).options(**options)
-        if glob:
-            reader = reader.option("pathGlobFilter", glob)
-        schema = reader.load(folder).schema
+        reader = spark.read.format(spec.input_format).options(**options)
+        if spec.input_glob:
+            reader = reader.option("pathGlobFilter", spec.input_glob)
+        schema = reader.load(spec.input_path).schema
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    stream = read_stream(
-        spark, folder, schema, fmt, get(cfg, "source.glob"), get(cfg, "streaming.max_files_per_trigger"), options
-    )
-    df = transform(stream, cfg)
-    create_table_if_absent(
-        spark,
-        target,
-        df.schema,
-        get(cfg, "table.format", "parquet"),
-        get(cfg, "table.location"),
-        {WRITER_PROPERTY: STREAM_WRITER},
-    )
-    if table_properties(spark, target).get(WRITER_PROPERTY) != STREAM_WRITER:
+    stream = read_stream(spark, spec.input_path, schema, spec.input_format, spec.input_glob, spec.max_files, options)
+    df = transform(stream, spec)
+    bound = {
+        WRITER_PROPERTY: STREAM_WRITER,
+        CHECKPOINT_PROPERTY: checkpoint,
+        SOURCE_PROPERTY: f"{spec.input_path} {spec.input_glob or ''}".strip(),
+    }
+    create_table_if_absent(spark, target, df.schema, spec.table_format, spec.location, bound)
+    has = table_properties(spark, target)
+    if has.get(WRITER_PROPERTY) != STREAM_WRITER:
         # The stream's sink log would hide the rows already in the table.
         raise ValueError(f"{target} was not created by the incremental job; append to it in batch")
-    checkpoint = get(cfg, "streaming.checkpoint") or f"{shared_dir(spark)}/streams/{target.dotted}"
+    for key, value in bound.items():
+        if has.get(key) != value:
+            raise ValueError(f"{target} is bound to {key} = {has.get(key)!r}, not {value!r}: rows of another stream would be lost")
     append_stream(df, target, checkpoint).awaitTermination()
     return spark.table(target.quoted)

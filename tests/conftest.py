@@ -23,6 +23,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+        .config("spark.checkpoint.dir", f"{scratch}/shared")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
         # Task metrics for the skew tests, read back from Spark's own event log.
@@ -33,8 +34,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    # The shared folder comes from the session's spark.checkpoint.dir; only
-    # when that is unset does shared_dir() register a fresh temporary one.
+    # The shared folder comes from the session's spark.checkpoint.dir, as on a cluster.
     from tablewright.session import shared_dir
 
     shared_dir(session)

@@ -111,9 +111,8 @@ def test_cap_never_raises_count(spark):
     assert cap_partitions(many, None).rdd.getNumPartitions() == 16
 
 
-def test_cap_with_shuffle_keeps_rows(spark):
-    many = range_source(spark, 0, 1000, num_partitions=16)
-    capped = cap_partitions(many, 3, shuffle=True)
+def test_cap_keeps_rows(spark):
+    capped = cap_partitions(range_source(spark, 0, 1000, num_partitions=16), 3)
     assert capped.rdd.getNumPartitions() == 3
     assert sorted(r.id for r in capped.collect()) == list(range(1000))
 
@@ -198,7 +197,8 @@ def test_manifest_matches_hashlib(spark, skewed):
         text = r[1]
         if text is not None:
             g[1] += len(text.encode("utf-8"))
-            g[2] += int(hashlib.sha256(text.encode("utf-8")).hexdigest()[:8], 16)
+            digest = hashlib.sha256(text.encode("utf-8")).hexdigest()
+            g[2] += sum(int(digest[i : i + 8], 16) for i in range(0, 64, 8))
     got = {r.payload: [r.row_count, r.size_bytes, int(r.fingerprint)] for r in manifest(skewed, ["payload"], "k").collect()}
     assert got == {k: v for k, v in want.items()}
 
@@ -328,6 +328,67 @@ def test_whole_row_sha256(spark):
     assert len(set(hashes)) == 3  # any column's value changes the hash, NULL included
     again = [r.h for r in df.repartition(3).orderBy("x", "z").select(row_sha256("x", "y", "z").alias("h")).collect()]
     assert sorted(again) == sorted(hashes)  # a function of the row only
-    text = df.select(F.to_json(F.struct("x", "y", "z")).alias("j")).collect()[0].j
+    text = json.dumps({"x": 1, "y": "a", "z": None}, separators=(",", ":"))
     assert hashes[0] == hashlib.sha256(text.encode()).hexdigest()
-    assert json.loads(text) == {"x": 1, "y": "a"}  # NULL fields are left out of the JSON text
+    assert [r.h for r in df.select(row_sha256().alias("h")).collect()] == hashes  # no names: every column
+    dotted = df.withColumnRenamed("x", "a.b")
+    assert dotted.select(row_sha256("a.b").alias("h")).distinct().count() == 2
+
+
+def test_row_sha256_does_not_depend_on_the_time_zone(spark):
+    from tablewright.functions import row_sha256
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("SELECT timestamp_seconds(1700000000) AS t, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS n")
+    try:
+        digests = set()
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            digests.add(df.select(row_sha256().alias("h")).first().h)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(digests) == 1
+
+
+def test_keys_that_differ_only_by_collation_are_one(spark):
+    from tablewright.operators import deduplicate, latest_per_key
+
+    df = spark.createDataFrame([(1, "A", {"x": 1}), (2, "a", {"x": 2}), (3, "b", {"x": 3})], "id long, k string, m map<string,int>")
+    collated = df.withColumn("k", F.col("k").cast("string collate UTF8_LCASE"))
+    assert sorted((r.id, r.k, r.m["x"]) for r in deduplicate(collated, ["k"], ["id"]).collect()) == [(1, "A", 1), (3, "b", 3)]
+    assert sorted((r.id, r.k, r.m["x"]) for r in latest_per_key(collated, ["k"], ["id"]).collect()) == [(2, "a", 2), (3, "b", 3)]
+    assert deduplicate(collated.select("k"), ["k"]).count() == 2
+
+
+def test_map_columns_travel_with_their_row(spark):
+    from tablewright.operators import deduplicate
+
+    df = spark.createDataFrame([(2, "k", {"x": 2}), (1, "k", {"x": 1})], "id long, k string, m map<string,int>")
+    assert [(r.id, r.m) for r in deduplicate(df, ["k"], ["id"]).collect()] == [(1, {"x": 1})]
+    with pytest.raises(ValueError, match="without an order"):
+        deduplicate(df, ["k"], ["m"])
+
+
+def test_schema_check_reports_what_it_cannot_cast(spark):
+    df = spark.createDataFrame([(1, [1]), (2, [2]), (None, None)], "id long, xs array<int>")
+    strict = df.select("id", F.coalesce("xs", F.array(F.lit(0))).alias("xs"))
+    got = [tuple(r)[2:] for r in schema_check(df, [("id", "date"), ("id", "array<int>"), ("ID", "bigint"), ("xs", "array<int>")]).collect()]
+    assert got == [("bigint", False, 2), ("bigint", False, 2), ("bigint", True, 0), ("array<int>", True, 0)]
+    assert schema_check(strict, [("xs", "array<int>")]).first().ok
+
+
+def test_schema_check_reads_only_what_it_must(spark, tmp_path):
+    import contextlib
+    import io
+
+    spark.createDataFrame([(1, "t", 2)], "a long, b string, c int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+
+    def plan(out):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            out.explain("formatted")
+        return buf.getvalue()
+
+    assert "ReadSchema: struct<a:bigint>" in plan(schema_check(df, [("a", "int"), ("b", "string"), ("c", "bigint")]))
+    assert "parquet" not in plan(schema_check(df, [("a", "bigint"), ("b", "string"), ("c", "bigint")]))

@@ -50,8 +50,16 @@ def test_scans_read_only_needed_columns(plans, key, schema):
     assert f"ReadSchema: {schema}" in plans[key]
 
 
-def test_run_filter_prunes_partitions(plans):
-    assert "PartitionFilters: [isnotnull(run_id" in plans["run_partition_roundtrip"]
+@pytest.mark.parametrize("key", ["run_partition_roundtrip", "latest_run_orders"])
+def test_one_run_lists_one_run(spark, key):
+    files = registry.QUERIES[key](spark, SF_SMALL).inputFiles()
+    assert files and len({f.rpartition("/")[0] for f in files}) == 1
+
+
+def test_the_dedup_stage_of_the_job_is_not_narrowed(spark):
+    from tablewright.plans.job import build_frame
+
+    assert "Coalesce" not in plan(build_frame(spark, registry.documents_job_config(spark, SF_SMALL)))
 
 
 def test_manifest_is_hash_aggregate(plans):
@@ -92,6 +100,3 @@ def test_comparison_filter_reaches_the_scan(plans):
     text = plans["filter_count_orders"]
     assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), EqualTo(o_orderstatus,F), GreaterThan(o_totalprice,100000.0)]" in text
 
-
-def test_latest_run_reads_only_its_folder(plans):
-    assert "dynamicpruningexpression(run_id" in plans["latest_run_orders"]

@@ -20,10 +20,12 @@ def test_read_runs_keeps_runs_apart(spark):
     df = frame(spark, 5)
     write_run(df, root, "20260101_000000-aaaaaaaa")
     write_run(df.withColumn("double", F.col("double") + 1), root, "20260102_000000-bbbbbbbb")
-    everything = read_runs(spark, root, df.schema)
+    everything = read_runs(spark, root, df.schema, committed_only=False)
     assert everything.columns == ["id", "double", "run_id"]
     assert everything.count() == 10
-    one = read_runs(spark, root, df.schema, run_id="20260102_000000-bbbbbbbb")
+    one = read_runs(spark, root, df.schema, run_id="20260102_000000-bbbbbbbb", committed_only=False)
+    assert all("bbbbbbbb" in f for f in one.inputFiles())  # only that folder is listed
+    assert read_runs(spark, root, df.schema, run_id="20260102_000000-bbbbbbbb").count() == 0  # not published
     assert sorted((r.id, r.double) for r in one.collect()) == [(i, 2 * i + 1) for i in range(5)]
 
 
@@ -31,7 +33,7 @@ def test_digit_run_id_stays_string(spark):
     root = fresh_path(spark, "runs")
     df = frame(spark, 2)
     write_run(df, root, "20260101")
-    got = read_runs(spark, root, df.schema)
+    got = read_runs(spark, root, df.schema, committed_only=False)
     assert dict(got.dtypes)["run_id"] == "string"
     assert {r.run_id for r in got.collect()} == {"20260101"}
 
@@ -58,8 +60,8 @@ def test_publish_run_ledger_and_committed_reads(spark):
     write_run(df, root, "20260105_000000-dddddddd")  # written, never published
 
     assert run_ledger(spark, root).count() == 3
-    assert read_runs(spark, root, df.schema).count() == 7 + 3 + 7 + 7  # the ledger folder is not data
-    committed = read_runs(spark, root, df.schema, committed_only=True)
+    assert read_runs(spark, root, df.schema, committed_only=False).count() == 7 + 3 + 7 + 7  # the ledger folder is not data
+    committed = read_runs(spark, root, df.schema)
     assert committed.count() == 7 + 3 + 7
     assert read_runs(spark, root, df.schema, run_id="20260105_000000-dddddddd", committed_only=True).count() == 0
     latest = {r.job: (r.run_id, r.row_count) for r in latest_runs(spark, root).collect()}
@@ -77,6 +79,38 @@ def test_read_latest_run(spark):
     assert {(r.double, r.run_id) for r in got.collect()} == {(-1, "20260102_000000-bbbbbbbb")}
 
 
+def test_the_latest_run_is_the_one_published_last(spark):
+    from tablewright.sinks import latest_runs, publish_run, read_latest_run
+
+    root = fresh_path(spark, "runs")
+    for value, run_id in enumerate(("20260101_000000-ffffffff", "20260101_000000-00000000", "20250101_000000-aaaaaaaa")):
+        publish_run(frame(spark, 2).withColumn("double", F.lit(value).cast("bigint")), root, run_id, {}, "j")
+        assert latest_runs(spark, root).first().run_id == run_id
+    got = read_latest_run(spark, root, frame(spark, 1).schema, "j")
+    assert {r.double for r in got.collect()} == {2} and all("aaaaaaaa" in f for f in got.inputFiles())
+    assert read_latest_run(spark, root, frame(spark, 1).schema, "other").count() == 0
+
+
+@pytest.mark.parametrize("run_id", ["nightly-9", "20260101", "20260101_000000-XYZ", "20260101_000000-aaaaaaaaa"])
+def test_published_ids_have_the_release_form(spark, run_id):
+    from tablewright.sinks import publish_run
+
+    with pytest.raises(ValueError, match="run id"):
+        publish_run(frame(spark, 1), fresh_path(spark, "runs"), run_id, {}, "j")
+
+
+def test_ledger_counts_and_fingerprint_are_of_the_rows(spark):
+    import hashlib
+
+    from tablewright.sinks import publish_run
+
+    entry = publish_run(frame(spark, 3), fresh_path(spark, "runs"), "20260101_000000-aaaaaaaa", {}, "j")
+    texts = [f'{{"id":{i},"double":{2 * i}}}' for i in range(3)]
+    digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert entry["size_bytes"] == sum(map(len, texts))
+    assert int(entry["fingerprint"]) == sum(int(d[i : i + 8], 16) for d in digests for i in range(0, 64, 8))
+
+
 def test_run_ids_that_would_hide_or_escape_are_rejected(spark):
     for bad in ("_x", ".x", "a=b", ""):
         with pytest.raises(ValueError):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from helpers import fresh, frame, rows
-from tablewright.names import DATABASE_CONF, catalog_and_database
+from tablewright.names import DATABASE_CONF, resolve_table
 from tablewright.operators import double_id
 from tablewright.plans.job import DEFAULT_CONFIG, run
 from tablewright.session import fresh_path, fresh_table_suffix, shared_dir
@@ -69,6 +69,47 @@ def test_append_wrong_type_raises(spark):
         append(df.withColumn("id", F.lit("x")), name)
 
 
+@pytest.mark.parametrize(
+    "value, have, table",
+    [("1.9", "double", "bigint"), ("1.55", "decimal(10,2)", "decimal(10,0)"), ("1", "bigint", "int"), ("1", "bigint", "double"), ("'x'", "string", "bigint"), ("array(1.5D)", "array<double>", "array<bigint>")],
+)
+def test_append_refuses_lossy_types(spark, value, have, table):
+    name, loc = fresh(spark)
+    create_table_if_absent(spark, name, StructType.fromDDL(f"v {table}"), "parquet", loc)
+    with pytest.raises(ValueError, match="types do not fit"):
+        append(spark.sql(f"SELECT CAST({value} AS {have}) AS v"), name)
+    assert spark.table(name.quoted).count() == 0
+
+
+@pytest.mark.parametrize("value, have, table", [("1", "int", "bigint"), ("1", "int", "double"), ("1.5", "decimal(4,1)", "decimal(10,2)"), ("7", "int", "decimal(12,2)"), ("1.5", "float", "double"), ("array(1)", "array<int>", "array<bigint>")])
+def test_append_accepts_wider_targets(spark, value, have, table):
+    name, loc = fresh(spark)
+    create_table_if_absent(spark, name, StructType.fromDDL(f"v {table}"), "parquet", loc)
+    append(spark.sql(f"SELECT CAST({value} AS {have}) AS v"), name)
+    got = spark.table(name.quoted)
+    assert got.selectExpr(f"v = CAST({value} AS {table}) AS same").first().same
+
+
+def test_job_checks_the_expected_schema_before_it_writes(spark):
+    src, out = fresh_path(spark, "inputs"), fresh_path(spark, "outputs")
+    write_files(spark.createDataFrame([(1, "a"), (2, "7")], "id long, t string"), src)
+    cfg = {"source": {"path": src}, "output": {"path": out}, "schema": {"expected": [["id", "bigint"], ["t", "int"], ["z", "int"]]}}
+    with pytest.raises(ValueError, match="t: expected int, found string with 1 other values; z: expected int, found no such column"):
+        run(spark, cfg)
+    assert run(spark, {**cfg, "schema": {"expected": [["id", "bigint"]]}}).count() == 2
+
+
+def test_job_records_its_run(spark):
+    from tablewright.sinks import run_ledger
+
+    root = fresh_path(spark, "runs")
+    cfg = {**DEFAULT_CONFIG, "table": {"name": f"r_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")}, "run": {"root": root, "lineage": True, "job": "nightly"}}
+    got = run(spark, cfg)
+    entry = run_ledger(spark, root).first()
+    assert (entry.job, entry.row_count) == ("nightly", 1000) and entry.size_bytes > 1000 and int(entry.fingerprint) > 0
+    assert {r.run_id for r in got.select("run_id").distinct().collect()} == {entry.run_id}
+
+
 def test_create_if_absent_is_silent_noop_on_other_schema(spark):
     name, loc = fresh(spark)
     df = frame(spark, 3)
@@ -102,13 +143,13 @@ def test_copy_files_roundtrip(spark):
 def test_database_conf_is_required(spark):
     spark.conf.unset(DATABASE_CONF)
     with pytest.raises(RuntimeError, match=DATABASE_CONF):
-        catalog_and_database(spark)
+        resolve_table(spark, "t")
 
 
 def test_catalog_defaults_to_session_catalog(spark):
     spark.conf.set(DATABASE_CONF, "default")
     try:
-        assert catalog_and_database(spark) == ("spark_catalog", "default")
+        assert resolve_table(spark, "t").parts == ("spark_catalog", "default", "t")
     finally:
         spark.conf.unset(DATABASE_CONF)
 
@@ -232,6 +273,14 @@ def test_load_config_errors(spark):
         load_config(spark, f"{folder}/bad.toml")
     with pytest.raises(Exception):
         load_config(spark, f"{folder}/missing.toml")
+    with open(f"{folder}/good.toml", "w") as fh:
+        fh.write("x = 1")
+    with pytest.raises(FileNotFoundError, match="one config file"):
+        load_config(spark, folder)
+    with open(f"{folder}/big.toml", "w") as fh:
+        fh.write("x = 1\n" + "#" * (1 << 20))
+    with pytest.raises(ValueError, match="more than a config file"):
+        load_config(spark, f"{folder}/big.toml")
 
 
 def test_concurrent_appends_to_one_table_keep_every_row(spark):

@@ -28,6 +28,64 @@ def test_incremental_job_appends_each_file_once(spark):
     assert out.columns == ["id", "double", "triple"]
 
 
+def test_a_second_checkpoint_or_source_is_refused(spark):
+    """Rows of a second checkpoint or source would be skipped without an error."""
+    from tablewright.streaming import run_incremental
+
+    src, other = fresh_path(spark, "inputs"), fresh_path(spark, "inputs")
+    write_files(frame(spark, 10), f"{src}/p1")
+    write_files(frame(spark, 5), f"{other}/p1")
+    cfg = {
+        "table": {"name": f"b_{fresh_table_suffix()}", "database": "default", "location": fresh_path(spark, "tables")},
+        "source": {"path": f"{src}/*", "schema": "id bigint, double bigint"},
+        "streaming": {"checkpoint": fresh_path(spark, "streams")},
+    }
+    assert run_incremental(spark, cfg).count() == 10
+    write_files(frame(spark, 10), f"{src}/p2")
+    with pytest.raises(ValueError, match="tablewright.checkpoint"):
+        run_incremental(spark, {**cfg, "streaming": {"checkpoint": fresh_path(spark, "streams")}})
+    with pytest.raises(ValueError, match="tablewright.source"):
+        run_incremental(spark, {**cfg, "source": {**cfg["source"], "path": f"{other}/*"}})
+    assert run_incremental(spark, cfg).count() == 20
+
+
+def test_no_default_checkpoint_without_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tablewright.config import ConfigError, JobSpec
+    from tablewright.streaming.incremental import _checkpoint
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs:///shared/"))
+    spec, table = JobSpec.of({"table": {"name": "t"}, "source": {"path": "/x"}}), TableName("spark_catalog", "d", "t")
+    with pytest.raises(ConfigError, match="checkpoint"):
+        _checkpoint(unset, spec, table)
+    assert _checkpoint(named, spec, table) == "hdfs:///shared/streams/spark_catalog.d.t"
+
+
+def test_append_stream_refuses_lossy_types(spark):
+    from tablewright.streaming import append_stream, read_stream
+
+    name, loc = fresh(spark)
+    create_table_if_absent(spark, name, frame(spark, 1).schema, "parquet", loc)
+    src = fresh_path(spark, "inputs")
+    write_files(frame(spark, 3).withColumn("double", F.col("double") + 0.5), src)
+    stream = read_stream(spark, src, "id bigint, double decimal(22,1)")
+    with pytest.raises(ValueError, match="types do not fit"):
+        append_stream(stream, name, fresh_path(spark, "streams"))
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_query_on_a_file_and_on_a_folder(spark, files, tmp_path):
+    from conftest import SF_SMALL
+    from tablewright.plans import registry
+
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    if files > 1:
+        orders.repartition(files).write.parquet(f"{tmp_path}/orders.parquet")
+    assert registry.stream_append_orders(spark, str(tmp_path) if files > 1 else SF_SMALL).count() == orders.count()
+
+
 def test_incremental_job_refuses_keyed_dedup(spark):
     from tablewright.streaming import run_incremental
 
