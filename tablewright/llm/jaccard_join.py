@@ -12,9 +12,10 @@ collisions expected from the number of sets in the band. Candidates are
 verified exactly on the sets.
 
 Equal sets are one node from the start. Components need links, not all
-pairs: a shared signature first checks its members against the smallest one,
-then, among members still in different components, at growing distances
-until every pair is checked or joined. So a group of thousands of near copies
+pairs: a shared signature first checks its members against the smallest one.
+Members still in different components are then checked with their neighbours in the
+order of that distance, further and further, until they are joined or their distances
+differ by more than similar sets' can. So a group of thousands of near copies
 costs a few checks per member, and no link is lost.
 """
 
@@ -39,6 +40,8 @@ PERCENT = 90
 NGRAM = 3
 #: Ratio of a band's sizes.
 WIDTH = 1.3
+#: Growth of the distance in a group's order up to which members are checked in a round.
+STEP = 8
 #: Signatures per bucket, on average.
 BUCKET_ENTRIES = 500_000
 #: Node numbers broadcast at most; beyond it the texts are joined by shuffle.
@@ -133,8 +136,17 @@ def signatures(grams: np.ndarray, band: int, m: int, d: int, spare: int) -> tupl
     return whole, np.zeros(0, np.uint64)
 
 
+def shared_count(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
+
+
 def is_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = shared_count(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -214,16 +226,22 @@ def _candidates(docs: DataFrame, text: str, n: int, percent: int, plan: dict[int
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are similar."""
+    """The pairs ``a, b`` with ``linked``, checked on the sets, and their Jaccard ``distance``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            linked = [is_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+            linked, distance = [], []
+            for x, y in zip(left, right):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = shared_count(x, y)
+                union = len(x) + len(y) - both
+                linked.append(100 * both >= percent * union)
+                distance.append(1 - both / union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
 
     own = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(own[0], "a").join(own[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(own[0], "a").join(own[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, distance double")
 
 
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -251,25 +269,34 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     with_node = _with_grams(docs, n, wanted, few)
     sets = keep(with_node, "jaccard")
 
-    by_group = Window.partitionBy("group")
-    stars = groups.groupBy("group").agg(F.min("node").alias("a")).join(groups, "group").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    links = keep(_verified(stars, sets, percent), "jaccard")
+    firsts = groups.groupBy("group").agg(F.min("node").alias("a"))
+    stars = keep(_verified(firsts.join(groups, "group").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), sets, percent), "jaccard")
+    links = stars.filter("linked").select("a", "b")
     label = components(links)
+    # Each member's distance from its group's first node: members that are both near to each
+    # other differ little in it (the triangle inequality), which leaves few pairs to check.
+    from_first = groups.join(firsts, "group").join(stars.select("a", F.col("b").alias("node"), "distance"), ["a", "node"], "left")
+    placed = keep(from_first.select("group", "node", F.coalesce("distance", F.lit(0.0)).alias("distance")), "jaccard")
+    most = 1 - percent / 100 + 1e-9
     reach = 1
     while True:
-        named = groups.join(label, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
+        named = placed.join(label, "node", "left").select("group", "node", "distance", F.coalesce("label", "node").alias("label"))
         ends = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter(F.col("lo") != F.col("hi")).filter(F.col("n") > max(2, reach))
-        left = keep(named.join(ends.select("group", "n"), "group"), "jaccard")
-        if not left.head(1):
-            break
-        order = by_group.orderBy("node")
-        ahead = F.collect_list(F.struct(F.col("node").alias("b"), F.col("label").alias("lb"))).over(order.rowsBetween(reach, 2 * reach - 1))
-        pairs = left.withColumn("later", ahead).select(F.col("node").alias("a"), "label", F.explode("later").alias("p")).filter("p.lb <> label").select("a", F.col("p.b").alias("b")).distinct()
-        more = keep(_verified(pairs, sets, percent), "jaccard")
+        order = Window.partitionBy("group").orderBy("distance", "node")
+        # a member is done when the next one to check is too far off in the order by distance
+        ahead = F.collect_list(F.struct(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("distance").alias("db"))).over(order.rowsBetween(reach, STEP * reach - 1))
+        near = F.filter("later", lambda p: (p["db"] <= F.col("distance") + most) & (p["lb"] != F.col("label")))
+        later = named.join(ends.select("group"), "group").withColumn("later", ahead).select("node", "distance", "label", "later")
+        pairs = later.select(F.col("node").alias("a"), F.explode_outer(near).alias("p"), (F.get("later", F.size("later") - 1)["db"] <= F.col("distance") + most).alias("goes_on"))
+        pairs = keep(pairs.select("a", F.col("p.b").alias("b"), "goes_on").distinct(), "jaccard")
+        each = pairs.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = keep(_verified(each, sets, percent), "jaccard").filter("linked").select("a", "b")
         if more.head(1):
             links = links.unionByName(more)
             label = components(links)
-        reach *= 2
+        if not pairs.filter("goes_on").head(1):
+            break
+        reach *= STEP
 
     of_node = rows.filter("__size > 0").groupBy("__node").agg(F.min("doc_id").alias("first"))
     of_node = of_node.join(label.select(F.col("node").alias("__node"), "label"), "__node", "left").withColumn("label", F.coalesce("label", "__node"))

@@ -87,8 +87,9 @@ def test_empty_table(spark):
     assert jaccard_join.link_components(spark.createDataFrame([], TEXT_SCHEMA)).count() == 0
 
 
-def test_components_of_a_path_a_star_and_noise(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_path_a_star_and_noise(spark, one_task):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (100, 101), (None, 3)]
-    got = as_rows(components(spark.createDataFrame(links, "a long, b long")), "node", "label")
+    got = as_rows(components(spark.createDataFrame(links, "a long, b long"), one_task), "node", "label")
     assert got == sorted([(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 130)], key=repr)
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
