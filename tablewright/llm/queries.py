@@ -122,5 +122,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words_sql(table_name: str, key: str, pattern: str) -> str:
+    return f"SELECT {key}, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{pattern}') AS w FROM {table_name}"
+
+
+_DECONTAMINATE_SQL = f"""
+WITH items AS ({_words_sql("benchmark", "item_id", decontaminate.WORD)}),
+docs AS ({_words_sql("documents", "doc_id", decontaminate.WORD)}),
+spans AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM spans),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM
+    (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) AS lengths)),
+hits AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, n >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY d) AS again, max(page_id) OVER (PARTITION BY d) AS m FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to FROM q
+"""
+
+_JACCARD_SQL = f"""
+WITH RECURSIVE docs AS ({_words_sql("documents", "doc_id", "[^ " + chr(92) + "x09-" + chr(92) + "x0D]+")}),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 90 * (x.n + y.n - s.n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lows AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lows USING (doc_id)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL expresses; tests hold the others against brute force,
+    the library or held-out labels."""
+    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op5_warc": _WARC_SQL, "op7_jaccard_join": _JACCARD_SQL}
