@@ -12,10 +12,10 @@ collisions expected from the number of sets in the band. Candidates are
 verified exactly on the sets.
 
 Equal sets are one node from the start. Components need links, not all
-pairs: a shared signature first checks its members against the smallest one.
-Members still in different components are then checked with their neighbours in the
-order of that distance, further and further, until they are joined or their distances
-differ by more than similar sets' can. So a group of thousands of near copies
+pairs: each set is first checked against the smallest one that it shares a signature
+with. Members of a group that are still in different components are then checked with
+their neighbours in the order of that distance, further and further, until they are
+joined or their distances differ by more than similar sets' can. So a group of thousands of near copies
 costs a few checks per member, and no link is lost.
 """
 
@@ -269,26 +269,34 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     with_node = _with_grams(docs, n, wanted, few)
     sets = keep(with_node, "jaccard")
 
+    # Each node is checked against one reference first: the smallest node of its groups. Most
+    # copies of a family share their reference, so this is a check per node.
     firsts = groups.groupBy("group").agg(F.min("node").alias("a"))
-    stars = keep(_verified(firsts.join(groups, "group").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), sets, percent), "jaccard")
+    own = keep(firsts.join(groups, "group").groupBy("node").agg(F.min("a").alias("ref")), "jaccard")
+    stars = keep(_verified(own.filter("ref <> node").select(F.col("ref").alias("a"), F.col("node").alias("b")), sets, percent), "jaccard")
     links = stars.filter("linked").select("a", "b")
     label = components(links)
-    # Each member's distance from its group's first node: members that are both near to each
-    # other differ little in it (the triangle inequality), which leaves few pairs to check.
-    from_first = groups.join(firsts, "group").join(stars.select("a", F.col("b").alias("node"), "distance"), ["a", "node"], "left")
-    placed = keep(from_first.select("group", "node", F.coalesce("distance", F.lit(0.0)).alias("distance")), "jaccard")
+    # Nodes with the same reference that are near to each other differ little in their distance
+    # from it (the triangle inequality), which leaves few of the other pairs to check.
+    placed = own.join(stars.select(F.col("b").alias("node"), "distance"), "node", "left").select("node", "ref", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    placed = keep(groups.join(placed, "node").select("group", "node", "ref", "distance"), "jaccard")
     most = 1 - percent / 100 + 1e-9
     reach = 1
     while True:
-        named = placed.join(label, "node", "left").select("group", "node", "distance", F.coalesce("label", "node").alias("label"))
-        ends = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter(F.col("lo") != F.col("hi")).filter(F.col("n") > max(2, reach))
-        order = Window.partitionBy("group").orderBy("distance", "node")
-        # a member is done when the next one to check is too far off in the order by distance
-        ahead = F.collect_list(F.struct(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("distance").alias("db"))).over(order.rowsBetween(reach, STEP * reach - 1))
-        near = F.filter("later", lambda p: (p["db"] <= F.col("distance") + most) & (p["lb"] != F.col("label")))
-        later = named.join(ends.select("group"), "group").withColumn("later", ahead).select("node", "distance", "label", "later")
-        pairs = later.select(F.col("node").alias("a"), F.explode_outer(near).alias("p"), (F.get("later", F.size("later") - 1)["db"] <= F.col("distance") + most).alias("goes_on"))
-        pairs = keep(pairs.select("a", F.col("p.b").alias("b"), "goes_on").distinct(), "jaccard")
+        named = placed.join(label, "node", "left").select("group", "node", "ref", "distance", F.coalesce("label", "node").alias("label"))
+        ends = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("ref").alias("last_ref"), F.count(F.lit(1)).alias("n")).filter(F.col("lo") != F.col("hi")).filter(F.col("n") > reach)
+        order = Window.partitionBy("group").orderBy("ref", "distance", "node")
+        here = F.struct(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("ref").alias("rb"), F.col("distance").alias("db"))
+        later = named.join(ends.select("group", "last_ref"), "group").withColumn("later", F.collect_list(here).over(order.rowsBetween(reach, STEP * reach - 1)))
+
+        def close(p):
+            return (p["rb"] != F.col("ref")) | (p["db"] <= F.col("distance") + most)
+
+        near = F.filter("later", lambda p: close(p) & (p["lb"] != F.col("label")))
+        # a member is done when the next one of its reference is too far off, and no other reference follows
+        goes_on = (F.size("later") > 0) & (close(F.get("later", F.size("later") - 1)) | (F.col("last_ref") != F.col("ref")))
+        pairs = later.select(F.col("node").alias("a"), near.alias("near"), goes_on.alias("goes_on"))
+        pairs = keep(pairs.select("a", F.explode_outer("near").alias("p"), "goes_on").select("a", F.col("p.b").alias("b"), "goes_on").distinct(), "jaccard")
         each = pairs.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = keep(_verified(each, sets, percent), "jaccard").filter("linked").select("a", "b")
         if more.head(1):
