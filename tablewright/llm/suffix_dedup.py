@@ -42,7 +42,7 @@ PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 PREFIX = LENGTH - PERIOD + 1
 #: Entries of a bucket, on average.
-BUCKET_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 1_000_000
 #: Tables up to these sizes are broadcast, else joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 # Odd multipliers of two independent polynomial hashes.
