@@ -162,9 +162,11 @@ class Bpe:
     # texts ------------------------------------------------------------
     def normalise(self, text: str) -> tuple[str, bool]:
         """The normalised text, and whether the plain pattern splits it as the library does."""
-        if _UNUSUAL.search(text):
+        lower = text.lower()
+        # some capitals up to U+024F have their small letter beyond it
+        if _UNUSUAL.search(lower):
             return self.library.normalizer.normalize_str(text), False
-        return text.lower(), True
+        return lower, True
 
     def words(self, text: str, plain: bool) -> list[str]:
         if plain:

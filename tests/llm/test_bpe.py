@@ -32,6 +32,16 @@ def test_texts_in_one_pass_equal_the_library(library):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_each_plain_character_equals_the_library(library):
+    # some capitals up to U+024F have their small letter beyond it; three signs beyond it have theirs below
+    own = Bpe(PATH)
+    for c in [*map(chr, range(0x250)), *map(chr, range(0x2010, 0x2028)), "\u20ac", "\u1e9e", "\u212a", "\u212b"]:
+        for text in (f"a{c}b", f"1{c}2", f"'{c}", f"{c}'s", f"!{c} {c}"):
+            assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, (hex(ord(c)), text)
+    text = "BAKI ŞƏHƏRİ"
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("size", [7, 50, 1500])
 def test_joined_pieces_equal_the_library(library, size):
     own = Bpe(PATH)
