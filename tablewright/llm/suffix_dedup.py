@@ -8,8 +8,10 @@ one bucket of hashed prefixes is sorted at a time. Two equal strings have at a
 common distance samples of equal rank, so a suffix none of whose samples shares its
 rank has no tie as long as ``LENGTH`` and is resolved there. The other suffixes,
 and only these, are sorted by their first ``LENGTH`` bytes, again a bucket at a time; each
-after the first of its class starts earlier elsewhere. Buckets have a bounded
-number of entries at any input size, as their number follows the input.
+after the first of its class starts earlier elsewhere. Tasks over slices of texts
+(4 MB, or one longer text) send a prefix or string to its bucket once, however often the
+slice holds it, so a bucket has ``BUCKET_ENTRIES`` on average, as the number of buckets
+follows the input, and a frequent string adds to its own at most one entry per slice.
 
 Only the equality of strings matters here, so strings are sorted by hashes: of 32
 bits and the bucket for samples (a chance agreement costs some work only), of 96
@@ -89,16 +91,9 @@ def _bucketed(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
-def _ordinals(bucket: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """The number of each entry among those of its row and bucket."""
-    key = bucket * rows + row
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
-    at = np.arange(len(ordered))
-    out = np.empty(len(key), np.int64)
-    out[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return out
+def _classes(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket and 32 bits of each hash, as one number."""
+    return (_bucketed(h, n_buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
 def _distinct_texts(docs: DataFrame, copies: DataFrame, few: bool) -> DataFrame:
@@ -108,63 +103,74 @@ def _distinct_texts(docs: DataFrame, copies: DataFrame, few: bool) -> DataFrame:
 
 
 def _repeated_samples(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """``key, flags``: of each text, the (bucket, ordinals) of samples that share their rank."""
+    """``key, classes``: of each text, the packed classes that other samples share.
+
+    A slice of texts sends each of its classes to the class's bucket once. A class that the
+    slice holds repeatedly is known to be shared: its texts are told so from there, through
+    buckets from ``n_buckets`` on, which only pass this on."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 data, offsets = text_bytes(part.column(2))
                 at, row = samples(offsets)
-                h = hashes(data, at, PREFIX)
-                bucket = _bucketed(h, n_buckets)
+                every = _classes(hashes(data, at, PREFIX), n_buckets)
                 keys = part.column(1).to_numpy()
+                _, first, inverse, count = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+                sent = np.sort(first)
+                bucket = (every[sent] >> np.uint64(32)).astype(np.int64)
                 out = []
-                for b, (prefix, rows) in packed(bucket, n_buckets, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), row.astype(np.int32)):
-                    which, count = np.unique(np.frombuffer(rows, np.int32), return_counts=True)
-                    out.append((b, prefix, keys[which].tobytes(), count.astype(np.int32).tobytes()))
+                for b, (prefix, rows) in packed(bucket, n_buckets, every[sent].astype(np.uint32), row[sent].astype(np.int32)):
+                    which, n = np.unique(np.frombuffer(rows, np.int32), return_counts=True)
+                    out.append((b, prefix, keys[which].tobytes(), n.astype(np.int32).tobytes()))
+                known = np.flatnonzero(count[inverse] > 1)
+                if len(known):
+                    known = known[np.lexsort((every[known], row[known]))]
+                    shared, of = every[known], row[known]
+                    new = np.concatenate([[True], (shared[1:] != shared[:-1]) | (of[1:] != of[:-1])])
+                    which, n = np.unique(of[new], return_counts=True)
+                    out.append((n_buckets + int(keys[which[0]]) % n_buckets, shared[new].tobytes(), keys[which].tobytes(), n.astype(np.int32).tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "prefix", "key", "n"])
 
     def rank(table: pa.Table) -> pa.Table:
-        prefix, key, n = (unpacked(table[c], t) for c, t in (("prefix", np.uint32), ("key", np.int64), ("n", np.int32)))
-        order = np.argsort(prefix, kind="stable")
-        ordered = prefix[order]
-        same = ordered[1:] == ordered[:-1]
-        tied = np.zeros(len(prefix), bool)
-        tied[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        entry = np.flatnonzero(tied)
+        key, n = (unpacked(table[c], t) for c, t in (("key", np.int64), ("n", np.int32)))
+        bucket = table["bucket"][0].as_py()
         ends = np.cumsum(n)
-        text = np.searchsorted(ends, entry, side="right")
-        which, start = np.unique(text, return_index=True)
-        ordinal = (entry - (ends - n)[text]).astype(np.uint32)
-        edges = np.append(start, len(entry))
-        blobs = [ordinal[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-        bucket = table["bucket"][0].as_py() if len(table) else 0
-        return pa.table({"key": pa.array(key[which], pa.int64()), "bucket": pa.array([bucket] * len(which), pa.int32()), "ordinals": pa.array(blobs, pa.binary())})
-
-    found = texts.mapInArrow(write, "bucket int, prefix binary, key binary, n binary").groupBy("bucket").applyInArrow(rank, "key long, bucket int, ordinals binary")
-    return found.groupBy("key").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("ordinals").alias("ordinals"))
+        if bucket >= n_buckets:
+            shared = unpacked(table["prefix"], np.uint64)
+            which, edges = np.arange(len(key)), np.concatenate([[0], ends])
+        else:
+            prefix = unpacked(table["prefix"], np.uint32)
+            order = np.argsort(prefix, kind="stable")
+            ordered = prefix[order]
+            same = ordered[1:] == ordered[:-1]
+            tied = np.zeros(len(prefix), bool)
+            tied[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            entry = np.flatnonzero(tied)
+            which, start = np.unique(np.searchsorted(ends, entry, side="right"), return_index=True)
+            shared = prefix[entry].astype(np.uint64) | np.uint64(bucket << 32)
+            edges = np.append(start, len(entry))
+        blobs = [shared[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.table({"key": pa.array(key[which], pa.int64()), "classes": pa.array(blobs, pa.binary())})
+
+    found = texts.mapInArrow(write, "bucket int, prefix binary, key binary, n binary").groupBy("bucket").applyInArrow(rank, "key long, classes binary")
+    return found.groupBy("key").agg(F.collect_list("classes").alias("classes"))
 
 
 def _regions(texts: DataFrame, flags: DataFrame, few: bool, n_buckets: int) -> DataFrame:
     """Chunks of the stretches of text whose suffixes are unresolved: ``chunk``, and packed
     document numbers, keys, starts, sizes and bytes of the stretches."""
-    joined = texts.join(F.broadcast(flags) if few else flags, "key").select("doc_id", "key", "text", "buckets", "ordinals")
+    joined = texts.join(F.broadcast(flags) if few else flags, "key").select("doc_id", "key", "text", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 data, offsets = text_bytes(part.column(2))
                 at, row = samples(offsets)
-                bucket = _bucketed(hashes(data, at, PREFIX), n_buckets)
-                ordinal = _ordinals(bucket, row, part.num_rows)
-                # the flagged samples, by (row, bucket, ordinal)
-                wide = np.int64(1 << 32)
-                mine = (row * n_buckets + bucket) * wide + ordinal
-                lists = zip(part.column(3).to_pylist(), part.column(4).to_pylist())
-                told = [np.int64(r * n_buckets + b) * wide + np.frombuffer(o, np.uint32) for r, (bs, os) in enumerate(lists) for b, o in zip(bs, os)]
-                hit = at[np.isin(mine, np.concatenate(told))] if told else at[:0]
-                owner = row[np.isin(mine, np.concatenate(told))] if told else row[:0]
+                told = np.unique(np.frombuffer(b"".join(x for one in part.column(3).to_pylist() for x in one), np.uint64))
+                shared = np.isin(_classes(hashes(data, at, PREFIX), n_buckets), told)
+                hit, owner = at[shared], row[shared]
                 # a string from PERIOD - 1 bytes before a sample up to it holds the sample's prefix
                 low = np.maximum(hit - (PERIOD - 1), offsets[owner])
                 high = np.minimum(hit, offsets[owner + 1] - LENGTH)
@@ -195,19 +201,41 @@ def _strings(size: np.ndarray) -> np.ndarray:
     return np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts) + (np.cumsum(size) - size)[stretch], stretch
 
 
+def _firsts(doc: np.ndarray, key: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places, stretches and both hashes of the chunk's strings, and whether each is the chunk's first of its kind."""
+    at, stretch = _strings(size)
+    one = hashes(data, at, LENGTH)
+    two = (hashes(data, at, LENGTH, 1) >> np.uint64(32)).astype(np.uint32)
+    # by document and key; places within a text are in order, and stable sorts keep them so
+    by_text = np.empty(len(size), np.int64)
+    by_text[np.lexsort((key, doc))] = np.arange(len(size))
+    order = np.argsort(by_text[stretch], kind="stable")
+    kinds = np.argsort(one[order], kind="stable")
+    a, b = one[order[kinds]], two[order[kinds]]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        kinds = np.lexsort((two[order], one[order]))
+        a, b = one[order[kinds]], two[order[kinds]]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    first = np.ones(len(at), bool)
+    first[order[kinds][1:][same]] = False
+    return at, stretch, one, two, first
+
+
 def _later(regions: DataFrame, n_buckets: int) -> DataFrame:
-    """``chunk, bucket, later``: a bit for each string of the chunk in the bucket, set if it starts earlier elsewhere."""
+    """``chunk, bucket, later``: a bit for each first string of the chunk in the bucket, set if it starts earlier elsewhere.
+
+    The chunk's other strings start earlier in it and are not sent, so that a string, however
+    frequent, has one entry per chunk at most."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, key, start, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(4))
                 data = np.frombuffer(batch.column(4)[i].as_py(), np.uint8)
-                at, stretch = _strings(size)
-                h = hashes(data, at, LENGTH)
-                more = (hashes(data, at, LENGTH, 1) >> np.uint64(32)).astype(np.uint32)
-                bucket = _bucketed(h, n_buckets)
-                rows = packed(bucket, n_buckets, h, more, stretch.astype(np.int32))
+                _, stretch, h, more, first = _firsts(doc, key, size, data)
+                h, more, stretch = h[first], more[first], stretch[first]
+                rows = packed(_bucketed(h, n_buckets), n_buckets, h, more, stretch.astype(np.int32))
                 out = []
                 for b, (one, two, of) in rows:
                     which, count = np.unique(np.frombuffer(of, np.int32), return_counts=True)
@@ -219,7 +247,7 @@ def _later(regions: DataFrame, n_buckets: int) -> DataFrame:
     def sort(table: pa.Table) -> pa.Table:
         one, two, n = (unpacked(table[c], t) for c, t in (("one", np.uint64), ("two", np.uint32), ("n", np.int32)))
         doc, key = (np.repeat(unpacked(table[c], np.int64), n) for c in ("doc", "key"))
-        # places within a text are in order, in one chunk; a stable sort keeps them so
+        # a text is in one chunk, so a string's entries differ in (doc, key)
         order = np.lexsort((key, doc, two, one))
         a, b = one[order], two[order]
         same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])]) if len(a) else np.zeros(0, bool)
@@ -240,14 +268,16 @@ def _removed(regions: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key, start, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(3))
-                data = np.frombuffer(batch.column(3)[i].as_py(), np.uint8)
-                at, stretch = _strings(size)
-                bucket = _bucketed(hashes(data, at, LENGTH), n_buckets)
+                doc, key, start, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(4))
+                data = np.frombuffer(batch.column(4)[i].as_py(), np.uint8)
+                at, stretch, h, _, first = _firsts(doc, key, size, data)
+                sent = np.flatnonzero(first)
+                bucket = _bucketed(h[sent], n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                hit = np.zeros(len(at), bool)
-                for b, bits in zip(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()):
+                order = sent[order]
+                hit = ~first
+                for b, bits in zip(batch.column(5)[i].as_py(), batch.column(6)[i].as_py()):
                     mine = order[edges[b] : edges[b + 1]]
                     hit[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
                 place = (start - (np.cumsum(size) - size))[stretch[hit]] + at[hit]
@@ -262,7 +292,7 @@ def _removed(regions: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), *(pa.array([s[k] for s in spans], pa.binary()) for k in (1, 2))], names=["key", "first", "last"])
 
     told = later.groupBy("chunk").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("later").alias("later"))
-    joined = regions.select("chunk", "key", "start", "size", "body").join(told, "chunk").select("key", "start", "size", "body", "buckets", "later")
+    joined = regions.select("chunk", "doc", "key", "start", "size", "body").join(told, "chunk").select("doc", "key", "start", "size", "body", "buckets", "later")
     return joined.mapInArrow(run, "key long, first binary, last binary")
 
 
@@ -283,7 +313,7 @@ def deduplicate_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if twice.head(1):  # rows with the same number and text count once
         texts = texts.join(twice, "key", "left_anti").select(*texts.columns).unionByName(texts.join(twice, "key", "left_semi").dropDuplicates(["key"]))
     flags = keep(_repeated_samples(texts, max(16, total * len(COVER) // PERIOD // BUCKET_ENTRIES)), "suffixes")
-    flag_bytes = flags.agg(F.sum(F.aggregate("ordinals", F.lit(0).cast("long"), lambda t, o: t + F.octet_length(o) + 16))).first()[0] or 0
+    flag_bytes = flags.agg(F.sum(F.aggregate("classes", F.lit(0).cast("long"), lambda t, o: t + F.octet_length(o) + 16))).first()[0] or 0
     regions = keep(_regions(texts, flags, flag_bytes <= BROADCAST_BYTES, max(16, total * len(COVER) // PERIOD // BUCKET_ENTRIES)), "suffixes")
     unresolved = regions.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_buckets = max(16, unresolved // BUCKET_ENTRIES)

@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
-from llm.corpus import TEXT_SCHEMA, as_rows, awkward
+from llm.corpus import TEXT_SCHEMA, as_rows, awkward, paragraph, sentence
 
 from tablewright.llm import line_dedup, suffix_dedup
 
@@ -100,6 +102,24 @@ def test_bytes_equal_brute_force(spark):
     assert digests(suffix_dedup.deduplicate_bytes(df)) == brute_bytes(rows)
 
 
+def test_a_frequent_string_is_sent_to_its_bucket_once_per_slice(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = paragraph(rng, 3)
+    rows = [(i, f"{sentence(rng, 9)}{' ' * (500 + i)}{passage}{sentence(rng, 9)}{'-' * (300 + i)}{i}") for i in range(60, 0, -1)]
+    df = spark.createDataFrame(rows, TEXT_SCHEMA).coalesce(2)
+    seen, group_by = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (seen.append(self) if c == ("bucket",) else None, group_by(self, *c))[1])
+    got = digests(suffix_dedup.deduplicate_bytes(df))
+    assert got == brute_bytes(rows)
+    sent = {"prefix": np.uint32, "one": np.uint64}
+    for frame, (name, kind) in zip(seen, sent.items(), strict=True):
+        # the few buckets of a small table come first; those after them pass on what a slice knows
+        counts = Counter()
+        for r in frame.filter("bucket < 16").collect():
+            counts.update((r.bucket, h) for h in np.frombuffer(r[name], kind).tolist())
+        assert 1 < max(counts.values()) <= 2, name
+
+
 def test_bytes_other_columns_empty_table_and_no_repeats(spark):
     df = spark.createDataFrame([(1, "a", "x", 5)], "doc_id long, text string, kept string, key int")
     out = suffix_dedup.deduplicate_bytes(df)
