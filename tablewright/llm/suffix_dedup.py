@@ -1,19 +1,18 @@
-"""Suffix-array dedup: removes every byte of a string of ``LENGTH`` bytes that also starts earlier.
-
-The suffixes are sorted blockwise with a difference cover. Positions whose
-number modulo ``PERIOD`` is in ``COVER`` are the sample; any two positions have a
-sample at a common distance below ``PERIOD``. Sample suffixes are ranked first, by
-the ``PREFIX`` = LENGTH - PERIOD + 1 bytes that lie in every string reaching them:
-one bucket of hashed prefixes is sorted at a time. Two equal strings have at a
-common distance samples of equal rank, so a suffix none of whose samples shares its
-rank has no tie as long as ``LENGTH`` and is resolved there. The other suffixes,
-and only these, are sorted by their first ``LENGTH`` bytes, again a bucket at a time; each
-after the first of its class starts earlier elsewhere. Tasks over slices of texts
+"""Byte dedup: removes every byte of a string of ``LENGTH`` bytes that also starts earlier.
+
+Cover samples tell which strings can be repeated, and only these are grouped, by hash; no
+order of suffixes is formed and no ranks are assigned. Positions whose number modulo
+``PERIOD`` is in ``COVER`` are the sample; any two positions have a sample at a common
+distance below ``PERIOD``. Samples are grouped by the ``PREFIX`` = LENGTH - PERIOD + 1 bytes
+that lie in every string reaching them, a bucket of hashes at a time. Two equal strings
+have at a common distance samples of equal prefix, so a string none of whose samples shares
+its prefix occurs once. The others are grouped by their ``LENGTH`` bytes, again a bucket at
+a time; each after the first of its class starts earlier elsewhere. Tasks over slices of texts
 (4 MB, or one longer text) send a prefix or string to its bucket once, however often the
 slice holds it, so a bucket has ``BUCKET_ENTRIES`` on average, as the number of buckets
 follows the input, and a frequent string adds to its own at most one entry per slice.
 
-Only the equality of strings matters here, so strings are sorted by hashes: of 32
+Only the equality of strings matters here, so strings are compared by hashes: of 32
 bits and the bucket for samples (a chance agreement costs some work only), of 96
 bits for the strings themselves. Equal texts count once, as the smallest number's;
 a later one is removed whole if it has ``LENGTH`` bytes.
