@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, fill_middle, html_text, jaccard_join, line_dedup, nearest, quality, suffix_dedup, url_filter, warc
+from tablewright.llm import bpe, decontaminate, fill_middle, html_text, jaccard_join, line_dedup, nearest, periodic_runs, quality, suffix_dedup, url_filter, warc
 from tablewright.session import fresh_path
 
 
@@ -122,6 +122,40 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in a tenth of the documents, by id, the words from some place on become
+    repetitions of the first of them."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    split = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    # each step is a column of its own, so that it is computed once
+    df = docs.select("doc_id", "text", g.alias("g"), split.alias("w"))
+    df = df.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    df = df.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    copies = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), copies)), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return df.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(with_planted_runs(docs))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.select("doc_id", "runs", "collapsed", longest.alias("longest"), F.array_join(lines, "").alias("lines"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("(1000 * longest.length) div (-longest.p)").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -134,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 
@@ -192,8 +227,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
     sha256(t) AS restored_sha256 FROM p
 """
 
+# Runs by equal stretches of five words at a distance q, which every run holds.
+_PERIODIC_SQL = """
+WITH split AS (SELECT doc_id, row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS k, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+steps AS (SELECT *, flatten(list_transform(range(1, length(k) + 1), lambda i: list_concat([CAST(unicode(k[i:i]) AS BIGINT)], list_transform(range(8), lambda j: -1)))) AS o FROM split),
+crc AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], o),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS h, len(w) AS n FROM steps),
+tails AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM crc),
+planted AS (SELECT doc_id, r, n, a, w, 1 + (n - a) // (3 + g % 8) AS p FROM tails),
+words AS (SELECT doc_id, r, n, list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[1 + a + (i - a) % p] END) AS w FROM planted),
+grams AS (SELECT r, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT r, w, unnest(range(n - 4)) AS i FROM words WHERE n >= 6)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT r, q, min(i) AS x, count(*) + 4 + q AS l FROM islands GROUP BY r, q, island),
+runs AS (SELECT r, x, l, min(q) AS q FROM stretches WHERE l >= 4 * q AND l >= 6 GROUP BY r, x, l),
+dropped AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(x + q, x + l)) AS i FROM runs) GROUP BY r),
+best AS (SELECT r, count(*) AS n_runs, max(struct_pack(l := l, x := -x, q := -q)) AS m,
+    string_agg(x || ',' || l || ',' || q || chr(10), '' ORDER BY x, q) AS lines FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-m.x AS BIGINT) AS start, CAST(m.l AS BIGINT) AS length, CAST(-m.q AS BIGINT) AS period,
+    CAST(1000 * m.l // -m.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+FROM words LEFT JOIN best USING (r) LEFT JOIN dropped USING (r)
+"""
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses; tests hold the others against brute force,
     the library or held-out labels."""
-    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op5_warc": _WARC_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_fill_in_middle": _FILL_IN_MIDDLE_SQL}
+    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op5_warc": _WARC_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_fill_in_middle": _FILL_IN_MIDDLE_SQL, "op12_periodic_runs": _PERIODIC_SQL}

@@ -1,0 +1,135 @@
+"""Periodic runs against a search over all periods."""
+
+import random
+import time
+
+import pytest
+
+from tablewright.llm import periodic_runs as pr
+from tablewright.llm.queries import op12_periodic_runs, with_planted_runs
+
+from .corpus import awkward
+
+
+def brute(words):
+    n, found = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q):
+                found.setdefault((i, j + q - i), q)
+            i = j
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def left_of(words, runs):
+    dropped = {i for s, length, q in runs for i in range(s + q, s + length)}
+    return b" ".join(w for i, w in enumerate(words) if i not in dropped).decode()
+
+
+def fibonacci(k):
+    x, y = [b"a"], [b"b"]
+    for _ in range(k):
+        x, y = x + y, x
+    return x
+
+
+def sample(rng):
+    def some(n, k):
+        return [bytes([97 + rng.randrange(k)]) for _ in range(n)]
+
+    n, kind = rng.randrange(100), rng.randrange(6)
+    if kind < 2:
+        return some(n, 2 + 3 * kind)
+    if kind == 2:
+        return some(rng.randrange(9), 3) + some(rng.randrange(1, 9), 3) * rng.randrange(1, 12) + some(rng.randrange(9), 3)
+    if kind == 3:
+        return some(3, 2) + (some(rng.randrange(1, 4), 2) * rng.randrange(1, 6) + some(1, 2)) * rng.randrange(1, 8) + some(3, 2)
+    return [b"a"] * n if kind == 4 else fibonacci(rng.randrange(8)) * rng.randrange(1, 5)
+
+
+# a prime of 97 makes hashes agree by chance all the time: the check at the end must find it
+@pytest.mark.parametrize("primes", [pr.PRIMES, (97,), (101, 97)])
+def test_runs_match_brute_force(primes):
+    rng = random.Random(7)
+    for _ in range(12):
+        texts = [sample(rng) for _ in range(40)]
+        row, start, length, period = (c.tolist() for c in pr.runs_of(texts, primes=primes))
+        assert list(zip(row, start, length, period)) == [(r, *run) for r, t in enumerate(texts) for run in brute(t)]
+
+
+def test_grammar_derives_the_text_and_repeats_no_pair():
+    rng = random.Random(2)
+    for _ in range(60):
+        text = sample(rng)
+        number = {}
+        ids = [number.setdefault(w, len(number)) for w in text]
+        pairs = {}
+        for i, p in enumerate(zip(ids, ids[1:])):
+            pairs.setdefault(p, []).append(i)
+        g = pr.Grammar(ids, len(number), [(a, b, at) for (a, b), at in pairs.items() if len(at) > 1])
+
+        def spelled(s):
+            return [s] if s < g.n_words else spelled(g.left[s - g.n_words]) + spelled(g.right[s - g.n_words])
+
+        symbols = [s for s in g.symbol if s >= 0]
+        assert [w for s in symbols for w in spelled(s)] == ids
+        for r, at in enumerate(g.occurrences()):
+            assert g.place[r] in at
+            for i in at:
+                assert ids[i : i + g.length[g.n_words + r]] == spelled(g.n_words + r)
+        seen = {}
+        for i, p in enumerate(zip(symbols, symbols[1:])):
+            assert i - seen.setdefault(p, i) in (0, 1)  # twice only where it overlaps itself
+
+
+def test_very_long_texts_take_seconds():
+    rng = random.Random(4)
+    texts = [[b"a"] * 300_000, fibonacci(25), [b"x", b"y", b"z"] * 80_000, [b"%d" % rng.randrange(50) for _ in range(200_000)]]
+    begin = time.process_time()
+    row, start, length, period = (c.tolist() for c in pr.runs_of(texts))
+    assert time.process_time() - begin < 60
+    found = list(zip(row, start, length, period))
+    assert (0, 0, 300_000, 1) in found and (2, 0, 240_000, 3) in found
+
+
+def test_operator(spark):
+    rows = awkward() + [(200, "so " * 7 + "on"), (201, "a b c " * 5 + "end"), (202, "\x0bv\x0cv\rv\tv v\nv"), (203, "é\xa0é " * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as runs", "2 as start", "'x' as words")
+    out = pr.periodic_runs(df.repartition(3))
+    assert out.columns == ["doc_id", "text", "start", "words", "n_words", "runs", "collapsed"]
+    found = sorted(((r.doc_id, r.text, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in out.collect()), key=repr)
+    want = []
+    for doc_id, text in rows:
+        words = (text or "").encode().split()
+        want.append((doc_id, text, len(words), brute(words) if len(set(words)) > 1 else [(0, len(words), 1)] * (len(words) > 5), None))
+    want = [(a, b, n, runs, left_of((b or "").encode().split(), runs)) for a, b, n, runs, _ in want]
+    assert found == sorted(want, key=repr)
+    assert pr.periodic_runs(df.limit(0)).collect() == []
+
+
+def test_planted_tails(spark):
+    import zlib
+
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 40))) for i in range(400)] + [(7, None), (None, "a b")]
+    df = with_planted_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    for doc_id, text, got in df.join(spark.createDataFrame(rows, "doc_id long, before string"), "doc_id").select("doc_id", "before", "text").collect():
+        words, h = (text or "").split(), zlib.crc32(str(doc_id).encode())
+        n, g = len(words), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        if doc_id != 7:
+            assert (got or "").split() == words
+
+
+def test_query_of_the_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert op12_periodic_runs(spark, str(tmp_path)).collect() == []
