@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, fill_middle, html_text, jaccard_join, line_dedup, nearest, periodic_runs, quality, suffix_dedup, url_filter, warc
+from tablewright.llm import bpe, decontaminate, fill_middle, html_text, jaccard_join, license_scan, line_dedup, nearest, periodic_runs, quality, suffix_dedup, url_filter, warc
 from tablewright.session import fresh_path
 
 
@@ -156,6 +156,21 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.templates(spark))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -169,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_license_scan": op13_license_scan,
 }
 
 
@@ -250,8 +266,32 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-m.x AS BIGINT) AS start, CAS
 FROM words LEFT JOIN best USING (r) LEFT JOIN dropped USING (r)
 """
 
+_TEMPLATES_SQL = ", ".join(
+    f"('{label}', '{words}', {base}, {whole})"
+    for group, base, whole in ((license_scan.BASE, True, True), (license_scan.VARIANTS, False, True), (license_scan.NOTICES, False, False))
+    for label, words in group
+)
+
+_LICENSE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, * FROM ({_words_sql("documents", "doc_id", license_scan.WORD)})),
+templates AS (SELECT row_number() OVER () AS t, *, string_split(words, ' ') AS v, len(string_split(words, ' ')) AS n FROM (VALUES {_TEMPLATES_SQL}) AS x(label, words, base, whole)),
+phrases AS (SELECT r, label, base, i AS first, 1.0 AS share FROM
+    (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS words FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM templates WHERE whole))) JOIN templates USING (n, words) WHERE whole),
+own AS (SELECT t, label, n, j, array_to_string(v[j + 1:j + 4], ' ') AS g FROM (SELECT t, label, n, v, unnest(range(n - 3)) AS j FROM templates WHERE NOT whole)),
+grams AS (SELECT r, i, array_to_string(w[i + 1:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(len(w) - 3)) AS i FROM docs)),
+hits AS (SELECT r, t, label, n, i, j, i - j AS d, lag(i - j) OVER (PARTITION BY r, t ORDER BY i - j, j) AS d0 FROM grams JOIN own USING (g)),
+copies AS (SELECT *, sum(CASE WHEN d - d0 > {license_scan.SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY r, t ORDER BY d, j) AS copy FROM hits),
+covered AS (SELECT r, t, copy, label, n, count(DISTINCT j + k) / n AS of_notice, count(DISTINCT i + k) / (max(i + k) - min(i) + 1) AS of_span, min(i) AS first
+    FROM copies, range(4) AS x(k) GROUP BY r, t, copy, label, n),
+spans AS (SELECT * FROM phrases UNION ALL SELECT r, label, false, first, least(of_notice, of_span) FROM covered WHERE least(of_notice, of_span) >= {license_scan.SHARE}),
+found AS (SELECT r, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+    list_sort(list(DISTINCT label) FILTER (base)) AS base_labels, list_sort(list(DISTINCT label)) AS labels, max(share) AS score FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+    coalesce(array_to_string(labels, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM docs LEFT JOIN found USING (r)
+"""
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses; tests hold the others against brute force,
     the library or held-out labels."""
-    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op5_warc": _WARC_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_fill_in_middle": _FILL_IN_MIDDLE_SQL, "op12_periodic_runs": _PERIODIC_SQL}
+    return {"op1_decontaminate": _DECONTAMINATE_SQL, "op5_warc": _WARC_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_fill_in_middle": _FILL_IN_MIDDLE_SQL, "op12_periodic_runs": _PERIODIC_SQL, "op13_license_scan": _LICENSE_SQL}
