@@ -14,7 +14,19 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and no later result reads."""
+    for df in kept:
+        jvm = getattr(df.sparkSession, "_jvm", None)
+        if jvm is None:  # without a JVM at hand they stay for the folder's owner
+            return
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:

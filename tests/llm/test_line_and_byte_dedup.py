@@ -20,7 +20,7 @@ def brute_lines(rows, least):
     first, out = {}, []
     for at, (_, text) in in_order(rows):
         lines = text.split("\n") if text else []
-        words = [len(WORD.findall(x)) for x in lines]
+        words = [max(len(WORD.findall(x)), len(x) // line_dedup.CHARS) for x in lines]
         runs = set()
         for a in range(len(lines)):
             total = 0
@@ -44,9 +44,12 @@ def brute_lines(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("least", [50, 14])
+@pytest.mark.parametrize("least", [50, 30, 14, 1])
 def test_line_runs_equal_brute_force(spark, least):
-    rows = awkward()
+    rng = random.Random(9)
+    pool = [sentence(rng, rng.randrange(1, 9)) for _ in range(6)]
+    rows = awkward() + [(60 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(25)))) for i in range(40)]
+    rows += [(61, rows[-1][1]), (62, "日本語" * 70), (63, "日本語" * 70 + "\nx"), (None, "\n".join(pool)), (None, "\n".join(pool))]
     df = spark.createDataFrame(rows, TEXT_SCHEMA).coalesce(1)
     got = as_rows(line_dedup.deduplicate_lines(df, min_words=least), "doc_id", "text", "n_lines", "n_removed")
     assert got == brute_lines(rows, least)
@@ -59,6 +62,22 @@ def test_every_line_of_a_maximal_run_goes(spark):
     assert as_rows(line_dedup.deduplicate_lines(df), "doc_id", "text") == [(1, run + "\nx"), (2, "y")]
 
 
+def test_lines_with_equal_weak_hashes_are_different(spark):
+    """Two different lines of 1,024 words whose polynomial hashes modulo 2^64 are equal."""
+    a, b = "x", "y"
+    for _ in range(10):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], TEXT_SCHEMA)
+    assert {r.n_removed for r in line_dedup.deduplicate_lines(df).collect()} == {0}
+
+
+def test_broadcast_bound_changes_no_result(spark, monkeypatch):
+    rows = awkward()
+    df = spark.createDataFrame(rows, TEXT_SCHEMA).coalesce(1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert as_rows(line_dedup.deduplicate_lines(df, min_words=14), "doc_id", "text", "n_lines", "n_removed") == brute_lines(rows, 14)
+
+
 def test_short_common_lines_stay(spark):
     df = spark.createDataFrame([(i, f"A common line.\nown {i}") for i in range(50)], TEXT_SCHEMA)
     assert {r.n_removed for r in line_dedup.deduplicate_lines(df).collect()} == {0}
