@@ -8,57 +8,97 @@ set's part (they tolerate one difference) and the others index the part itself,
 with m + d = H + 1, so one segment of a similar pair must agree. More segments
 than that, and parts that are empty may go without an index. How many segments
 get deletions or are spare is decided per band by cost: rows written against
-collisions expected from the number of sets in the band. Candidates are
-verified exactly on the sets.
-
-Equal sets are one node from the start. Components need links, not all
-pairs: each set is first checked against the smallest one that it shares a signature
-with. Members of a group that are still in different components are then checked with
-their neighbours in the order of that distance, further and further, until they are
-joined or their distances differ by more than similar sets' can. So a group of thousands of near copies
-costs a few checks per member, and no link is lost.
+collisions expected from the number of sets in the band.
+
+Sets that share a signature are a group, and candidates are its pairs. A sketch of a set, a 16-bit sum
+for each of some hundred finer segments, bounds the difference of two sets from below: segments that
+differ cannot outnumber the n-grams that do. Candidates whose sketches differ in more than H
+segments go; the others are verified exactly, on the words of their texts.
+
+Equal sets are one node from the start, named by 128 bits. Components need links, not all
+pairs: each node is first checked against one reference, the node of its groups that shares most
+signatures, as the original of a family of near copies does. In the groups that still have several
+components, members are dealt into blocks by size, and each two blocks are compared by sketch in a task of their own, so that
+only pairs that may join two components become rows. No link is lost; what is left quadratic is the
+comparison of sketches within a group of sets that are near each other, but not linked.
+
+Words are hashed by BLAKE2b, so that no text can be made to collide with another; a chance
+agreement of two n-grams in 64 bits costs a candidate more, never a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import keep, packed, unpacked
-from tablewright.llm.words import mix, slices, words
+from tablewright.llm.shared import discard, keep, packed, unpacked
+from tablewright.llm.words import mix, slices
 from tablewright.names import quote_ident
 
 PERCENT = 90
 NGRAM = 3
 #: Ratio of a band's sizes.
 WIDTH = 1.3
-#: Growth of the distance in a group's order up to which members are checked in a round.
-STEP = 8
 #: Signatures per bucket, on average.
 BUCKET_ENTRIES = 500_000
-#: Node numbers broadcast at most; beyond it the texts are joined by shuffle.
-BROADCAST_NODES = 2_000_000
+#: Members of a block of a group, on average; two blocks are compared in one step.
+BLOCK = 512
+#: Pairs with one reference that one task verifies, on average.
+CHUNK = 64
+#: Rows of a table that is broadcast, else it is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Words whose hashes a task remembers.
+REMEMBERED = 1 << 20
+#: Finer segments of a sketch, at least; beyond, half as many as n-grams and more, a power of two.
+SKETCH = 64
 
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased; bytes.split cuts at space and tab to carriage return."""
+    return (text or "").encode().translate(_LOWER).split()
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros(0, np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.__init__()
+        known = self.known
+        if new := set(words).difference(known):
+            digests = b"".join(blake2b(w, digest_size=8).digest() for w in new)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.table = np.concatenate([self.table, np.frombuffer(digests, np.uint64)])
+        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+
+
+def ngram_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; fewer words make one gram, none make none."""
-    found = words(column)
-    h, out = found.hashes, []
+    split, out = list(map(split_words, texts)), []
+    bounds = np.cumsum([0, *map(len, split)]).tolist()
+    h = hashes.of([w for words in split for w in words])
     grams = np.zeros(max(len(h) - n + 1, 0), np.uint64)
-    for k in range(n):
-        grams = mix(grams * np.uint64(3) + h[k : len(h) - n + 1 + k]) if len(grams) else grams
-    for a, b in zip(found.bounds, found.bounds[1:]):
+    for k in range(n if len(grams) else 0):
+        grams = mix(grams * np.uint64(3) + h[k : len(h) - n + 1 + k])
+    for a, b in zip(bounds, bounds[1:]):
         if b - a >= n:
-            s = np.sort(grams[a : b - n + 1])
-            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            own = np.sort(grams[a : b - n + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
             value = np.array([b - a], np.uint64)
             for x in h[a:b]:
@@ -69,9 +109,33 @@ def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def node(grams: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(mix(np.array([mix(grams).sum(dtype=np.uint64)]) + np.uint64(len(grams)))[0].astype(np.int64))
+def names(grams: np.ndarray) -> tuple[int, int]:
+    """The 128-bit name of a set, as two longs."""
+    return tuple(np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """A 16-bit sum for each segment of the set."""
+    m = SKETCH
+    while 2 * m < len(grams):
+        m *= 2
+    values = mix(grams)
+    sums = np.bincount((values & np.uint64(m - 1)).astype(np.int64), weights=((values >> np.uint64(48)) | np.uint64(1)).astype(np.float64), minlength=m)
+    return (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def folded(rows: list[bytes], m: int) -> np.ndarray:
+    """Sketches as rows of m sums; sums modulo 2^16 of segments that become one are added."""
+    out = np.empty((len(rows), m), np.uint16)
+    for i, x in enumerate(rows):
+        out[i] = np.frombuffer(x, np.uint16).reshape(-1, m).sum(axis=0, dtype=np.uint16)
+    return out
+
+
+def may_link(a: int, b: np.ndarray, differing: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b can be linked whose sketches differ in so many segments: with a
+    difference of D, 200 x shared = 100 (a + b - D), and the union holds half of a + b + D."""
+    return (100 + percent) * differing <= (100 - percent) * (a + b)
 
 
 @lru_cache(maxsize=4)
@@ -136,46 +200,46 @@ def signatures(grams: np.ndarray, band: int, m: int, d: int, spare: int) -> tupl
     return whole, np.zeros(0, np.uint64)
 
 
-def shared_count(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+def linked_words(x: list[bytes], y: list[bytes], n: int, percent: int) -> bool:
+    """Whether two texts' sets, of n words each or the whole of fewer, are linked."""
+    a, b = ngrams(x, n), ngrams(y, n)
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def is_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = shared_count(a, b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def ngrams(words: list[bytes], n: int) -> set:
+    return set(zip(*(words[i:] for i in range(n)))) if len(words) >= n else {tuple(words)}
 
 
-def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """``row columns..., size, node``."""
-    at = docs.columns.index(text)
-    rest = [f for f in docs.schema.fields if f.name != text]
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, size, d1, d2`` of each row of ``doc_id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, at):
-                sets = ngram_sets(part.column(at), n)
-                columns = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) for s in sets], pa.int64())], names=[*(f.name for f in rest), "__size", "__node"])
+            for part in slices(batch, 1):
+                sets = ngram_sets(part.column(1).to_pylist(), n, hashes)
+                named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], names=["doc_id", "size", "d1", "d2"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("__size", T.LongType()), T.StructField("__node", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("size", "d1", "d2"))]))
 
 
-def _candidates(docs: DataFrame, text: str, n: int, percent: int, plan: dict[int, tuple[int, int, int]], n_buckets: int) -> DataFrame:
-    """``group, node`` of the signatures that several nodes share; equal groups once."""
-    at = docs.columns.index(text)
+def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int, int]], n_buckets: int) -> DataFrame:
+    """``group, d1`` of the signatures that several sets share, by the first half of their names; equal groups once."""
     lows = bands(percent)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, at, 8_000_000):
+            for part in slices(batch, 0, 8_000_000):
                 sigs, nodes, kinds, seen = [], [], [], set()
-                for grams in ngram_sets(part.column(at), n):
-                    if not len(grams) or (name := node(grams)) in seen:
+                for grams in ngram_sets(part.column(0).to_pylist(), n, hashes):
+                    if not len(grams) or (name := names(grams)[0]) in seen:
                         continue
                     seen.add(name)
                     own = int(np.searchsorted(lows, len(grams), side="right")) - 1
@@ -209,39 +273,112 @@ def _candidates(docs: DataFrame, text: str, n: int, percent: int, plan: dict[int
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (who[1:] != who[:-1])]) if len(who) else np.zeros(0, bool)
         group, who = group[new], who[new]
         if not len(who):
-            return pa.table({"group": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+            return pa.table({"group": pa.array([], pa.int64()), "d1": pa.array([], pa.int64())})
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.append(start, len(who)))
         # equal groups get equal names
-        names = mix(np.add.reduceat(mix(who.view(np.uint64)), start) + size.astype(np.uint64))
-        _, kept = np.unique(names, return_index=True)
+        named = mix(np.add.reduceat(mix(who.view(np.uint64)), start) + size.astype(np.uint64))
+        _, kept = np.unique(named, return_index=True)
         keeps = np.zeros(len(start), bool)
         keeps[kept] = True
         keeps &= size > 1
         take = np.repeat(keeps, size)
-        return pa.table({"group": pa.array(np.repeat(names, size)[take].view(np.int64)), "node": pa.array(who[take])})
+        return pa.table({"group": pa.array(np.repeat(named, size)[take].view(np.int64)), "d1": pa.array(who[take])})
 
-    found = docs.mapInArrow(write, "bucket int, sig binary, who binary, kind binary").groupBy("bucket").applyInArrow(read, "group long, node long")
+    found = docs.select("text").mapInArrow(write, "bucket int, sig binary, who binary, kind binary").groupBy("bucket").applyInArrow(read, "group long, d1 long")
     return found.distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with ``linked``, checked on the sets, and their Jaccard ``distance``."""
+def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """``node, size, sketch, text`` of the wanted ``node, d1, d2``, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in slices(batch, 0):
+                sets = ngram_sets(part.column(0).to_pylist(), n, hashes)
+                named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "text"])
+
+    own = docs.select("text").filter("text is not null").mapInArrow(run, "d1 long, d2 long, size long, sketch binary, text string")
+    own = own.join(_few(wanted), ["d1", "d2"])
+    return own.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            linked, distance = [], []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = shared_count(x, y)
-                union = len(x) + len(y) - both
-                linked.append(100 * both >= percent * union)
-                distance.append(1 - both / union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
+            ok = []
+            for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                m = min(len(p), len(q)) // 2
+                one, two = folded([p, q], m)
+                ok.append(bool(may_link(x, y, int((one != two).sum()), percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that are linked, checked on the words. The text of a is sent once for
+    ``CHUNK`` pairs with it."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select("a", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(_few(many), "a", "left").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("b"), F.col("chunks"))).otherwise(0).cast("int")).select("a", "b", "chunk")
+    dealt = keep(dealt, "jaccard")
+    text = sets.select(F.col("node").alias("b"), "text")
+    right = dealt.join(text, "b").select("a", "chunk", "b", "text")
+    own = sets.select(F.col("node").alias("key"), F.col("text").alias("body"))
+    left = dealt.select(F.col("a").alias("key"), F.col("chunk").alias("part")).distinct().join(own, "key").select("key", "part", "body")
+
+    def run(key: tuple, one: pa.Table, others: pa.Table) -> pa.Table:
+        found: list[int] = []
+        if one.num_rows and others.num_rows:
+            x = split_words(one["body"][0].as_py())
+            found = [b for b, t in zip(others["b"].to_pylist(), others["text"]) if linked_words(x, split_words(t.as_py()), n, percent)]
+        return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return left.groupBy("key", "part").cogroup(right.groupBy("a", "chunk")).applyInArrow(run, "a long, b long")
+
+
+def _size_class(size: Column, percent: int) -> Column:
+    """Sizes of linked sets are in one class or neighbouring ones."""
+    if percent == 100:
+        return size.cast("int")
+    return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ``group, node, label`` with different labels in a group whose sketches allow a link."""
+    sized = members.join(sets.select("node", "size", "sketch"), "node").withColumn("class", _size_class(F.col("size"), percent))
+    large = members.join(sets.select("node", _size_class(F.col("size"), percent).alias("class")), "node").groupBy("group", "class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    large = large.select("group", "class", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(_few(large), ["group", "class"], "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
+    column = F.struct("node", "label", "size", "sketch")
+    blocks = keep(dealt.groupBy("group", "class", "block").agg(F.collect_list(column).alias("members")), "jaccard")
+    left = blocks.select("group", F.col("class").alias("c"), F.col("block").alias("x"), F.col("members").alias("own"))
+    right = blocks.select("group", F.col("class").alias("d"), F.col("block").alias("y"), F.col("members").alias("others"))
+    # blocks of one class once, those of neighbouring classes always
+    met = left.withColumn("d", F.explode(F.array(F.col("c"), F.col("c") + 1))).join(right, ["group", "d"]).filter("d > c or y >= x").select("own", "others")
 
-    own = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(own[0], "a").join(own[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, distance double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, others in zip(batch.column(0), batch.column(1)):
+                own, others = own.as_py(), others.as_py()
+                m = min(len(x["sketch"]) for x in (*own, *others)) // 2
+                table = folded([x["sketch"] for x in others], m)
+                node, label, size = (np.array([x[c] for x in others], np.int64) for c in ("node", "label", "size"))
+                a, b = [], []
+                for x, row in zip(own, folded([x["sketch"] for x in own], m)):
+                    maybe = np.flatnonzero(label != x["label"])
+                    ok = maybe[may_link(x["size"], size[maybe], (table[maybe] != row).sum(axis=1), percent)]
+                    a += [x["node"]] * len(ok)
+                    b += node[ok].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -253,85 +390,44 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     part in a component but give it no number. Repeated rows stay repeated.
     """
     docs = docs.select(F.col(quote_ident(doc_id)).alias("doc_id"), F.col(quote_ident(text)).alias("text"))
-    rows = keep(_sets(docs, "text", n), "jaccard")
+    rows = keep(_sets(docs, n), "jaccard")
+    own = rows.filter("size > 0").groupBy("d1", "d2").agg(F.first("size").alias("size"), F.min("doc_id").alias("first"))
+    nodes = keep(own.withColumn("node", F.monotonically_increasing_id()), "jaccard")
     lows = [int(x) for x in bands(percent)]
     band = F.lit(0)
     for i, low in enumerate(lows[1:], 1):
-        band = F.when(F.col("__size") >= low, i).otherwise(band)
-    stats = rows.filter("__size > 0").groupBy("__node").agg(F.first("__size").alias("__size"))
-    counts = {r.band: r.n for r in stats.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per band
+        band = F.when(F.col("size") >= low, i).otherwise(band)
+    counts = {r.band: r.n for r in nodes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per band
     plan = {b: allocate(b, counts.get(b, 0) + counts.get(b - 1, 0), percent) for b in range(len(lows) - 1) if counts.get(b)}
     entries = sum((m + d * lows[b] / m) * (counts[b] + counts.get(b - 1, 0)) for b, (m, d, _) in plan.items())
-    groups = keep(_candidates(docs, "text", n, percent, plan, max(48, int(entries / BUCKET_ENTRIES))), "jaccard")
-
-    wanted = groups.select("node").distinct()
-    few = wanted.count() <= BROADCAST_NODES
-    with_node = _with_grams(docs, n, wanted, few)
-    sets = keep(with_node, "jaccard")
-
-    # Each node is checked against one reference first: the smallest node of its groups. Most
-    # copies of a family share their reference, so this is a check per node.
-    firsts = groups.groupBy("group").agg(F.min("node").alias("a"))
-    own = keep(firsts.join(groups, "group").groupBy("node").agg(F.min("a").alias("ref")), "jaccard")
-    stars = keep(_verified(own.filter("ref <> node").select(F.col("ref").alias("a"), F.col("node").alias("b")), sets, percent), "jaccard")
-    links = stars.filter("linked").select("a", "b")
+    found = keep(_candidates(docs, n, percent, plan, max(48, int(entries / BUCKET_ENTRIES))), "jaccard")
+    wanted = keep(nodes.select("node", "d1", "d2").join(_few(found.select("d1").distinct()), "d1"), "jaccard")
+    groups = keep(found.join(_few(wanted.select("d1", "node")), "d1").select("group", "node"), "jaccard")
+    discard(found)
+    sets = keep(_texts(docs, n, wanted), "jaccard")
+
+    # each node against the one of its groups that shares most: the original of a family has
+    # most parts that are equal to others'
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    weight = groups.join(sizes, "group").groupBy("node").agg(F.sum("n").alias("weight"))
+    weighted = keep(groups.join(weight, "node").select("group", "node", "weight"), "jaccard")
+    best = F.struct("weight", "node")
+    centre = weighted.groupBy("group").agg(F.max(best).alias("best"))
+    refs = weighted.join(centre, "group").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("ref"))
+    stars = keep(_sketched(refs.filter("ref <> node").select(F.col("ref").alias("a"), F.col("node").alias("b")), sets, percent), "jaccard")
+    links = keep(_verified(stars, sets, n, percent), "jaccard")
     label = components(links)
-    # Nodes with the same reference that are near to each other differ little in their distance
-    # from it (the triangle inequality), which leaves few of the other pairs to check.
-    placed = own.join(stars.select(F.col("b").alias("node"), "distance"), "node", "left").select("node", "ref", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    placed = keep(groups.join(placed, "node").select("group", "node", "ref", "distance"), "jaccard")
-    most = 1 - percent / 100 + 1e-9
-    reach = 1
-    while True:
-        named = placed.join(label, "node", "left").select("group", "node", "ref", "distance", F.coalesce("label", "node").alias("label"))
-        ends = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("ref").alias("last_ref"), F.count(F.lit(1)).alias("n")).filter(F.col("lo") != F.col("hi")).filter(F.col("n") > reach)
-        order = Window.partitionBy("group").orderBy("ref", "distance", "node")
-        here = F.struct(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("ref").alias("rb"), F.col("distance").alias("db"))
-        later = named.join(ends.select("group", "last_ref"), "group").withColumn("later", F.collect_list(here).over(order.rowsBetween(reach, STEP * reach - 1)))
-
-        def close(p):
-            return (p["rb"] != F.col("ref")) | (p["db"] <= F.col("distance") + most)
-
-        near = F.filter("later", lambda p: close(p) & (p["lb"] != F.col("label")))
-        # a member is done when the next one of its reference is too far off, and no other reference follows
-        goes_on = (F.size("later") > 0) & (close(F.get("later", F.size("later") - 1)) | (F.col("last_ref") != F.col("ref")))
-        pairs = later.select(F.col("node").alias("a"), near.alias("near"), goes_on.alias("goes_on"))
-        pairs = keep(pairs.select("a", F.explode_outer("near").alias("p"), "goes_on").select("a", F.col("p.b").alias("b"), "goes_on").distinct(), "jaccard")
-        each = pairs.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = keep(_verified(each, sets, percent), "jaccard").filter("linked").select("a", "b")
-        if more.head(1):
-            links = links.unionByName(more)
-            label = components(links)
-        if not pairs.filter("goes_on").head(1):
-            break
-        reach *= STEP
-
-    of_node = rows.filter("__size > 0").groupBy("__node").agg(F.min("doc_id").alias("first"))
-    of_node = of_node.join(label.select(F.col("node").alias("__node"), "label"), "__node", "left").withColumn("label", F.coalesce("label", "__node"))
-    smallest = of_node.groupBy("label").agg(F.min("first").alias("component_id"))
-    numbers = of_node.join(smallest, "label").select("__node", "component_id")
-    numbered = rows.filter("__size > 0").join(numbers, "__node").select("doc_id", F.col("__size").alias("n_shingles"), "component_id")
-    return numbered.unionByName(rows.filter("__size = 0").select("doc_id", F.col("__size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
+    named = groups.join(label, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("group")
+    pairs = keep(_across(keep(named.join(_few(mixed), "group"), "jaccard"), sets, percent), "jaccard")
+    more = keep(_verified(pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), sets, n, percent), "jaccard")
+    if more.head(1):
+        label = components(links.unionByName(more))
+    discard(sets, weighted)
 
-def _with_grams(docs: DataFrame, n: int, wanted: DataFrame, few: bool) -> DataFrame:
-    """``node, grams`` of the wanted nodes, once each."""
-
-    def run(batches: Iterator[pa.RecordBatch], only: set[int] | None) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in slices(batch, 0):
-                out = []
-                for s in ngram_sets(part.column(0), n):
-                    name = node(s)
-                    if len(s) and name not in seen and (only is None or name in only):
-                        seen.add(name)
-                        out.append((name, s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "grams"])
-
-    texts = docs.select("text")
-    only = {r.node for r in wanted.toLocalIterator()} if few else None
-    all_sets = texts.mapInArrow(lambda batches: run(batches, only), "node long, grams binary")
-    if not few:
-        all_sets = all_sets.join(wanted, "node")
-    return all_sets.groupBy("node").agg(F.first("grams").alias("grams"))
+    of_node = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = of_node.groupBy("label").agg(F.min("first").alias("component_id"))
+    numbers = of_node.join(smallest, "label").select("d1", "d2", "component_id")
+    numbered = rows.filter("size > 0").join(numbers, ["d1", "d2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return numbered.unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))

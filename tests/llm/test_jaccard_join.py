@@ -76,13 +76,63 @@ def test_deletions_and_spare_segments_keep_every_pair():
                 a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
                 drop = rng.integers(0, max(1, len(a) // 10) + 1)
                 b = np.sort(a[drop:]) if len(a) - drop >= lows[band] else a
-                if not jaccard_join.is_linked(a, b, 90):
+                both = len(np.intersect1d(a, b))
+                if 100 * both < 90 * (len(a) + len(b) - both):
                     continue
                 wa, fa = jaccard_join.signatures(a, band, m, d, s)
                 wb, fb = jaccard_join.signatures(b, band, m, d, s)
                 assert set(wa) & (set(wb) | set(fb)) or set(wb) & set(fa)
 
 
+def test_sketches_never_hide_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    refused = 0
+    for size in (3, 20, 63, 64, 65, 130, 260, 3000):
+        for share in (0.0, 0.03, 0.05, 0.1, 0.3):
+            a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 1 << 62, int(size * share)).astype(np.uint64)]))
+            p, q = jaccard_join.sketch(a), jaccard_join.sketch(b)
+            one, two = jaccard_join.folded([p, q], min(len(p), len(q)) // 2)
+            both = len(np.intersect1d(a, b))
+            for percent in (80, 90):
+                maybe = bool(jaccard_join.may_link(len(a), len(b), int((one != two).sum()), percent))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    assert maybe
+                refused += not maybe
+    assert refused > 20
+
+
+def test_blocks_and_chunks_change_no_result(spark, monkeypatch):
+    """A family of near copies around one text, and a chain of edits, dealt into many small blocks."""
+    rng = random.Random(11)
+    words = sentence(rng, 90).split()
+    rows = [(0, " ".join(words))]
+    for i in range(1, 60):
+        own = list(words)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    for i in range(60, 90):
+        words[rng.randrange(len(words))] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    for name, value in (("BLOCK", 3), ("CHUNK", 2), ("BROADCAST_ROWS", 0), ("REMEMBERED", 10)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    df = spark.createDataFrame(rows, TEXT_SCHEMA).repartition(3)
+    for n, percent in ((3, 90), (5, 80)):
+        assert as_rows(jaccard_join.link_components(df, n=n, percent=percent), "doc_id", "n_shingles", "component_id") == brute(rows, n, percent)
+
+
+def test_words_with_equal_weak_hashes_are_different(spark):
+    """Two different words of 1,024 letters whose polynomial hashes modulo 2^64 are equal."""
+    a, b = "x", "y"
+    for _ in range(10):
+        a, b = a + b, b + a
+    got = as_rows(jaccard_join.link_components(spark.createDataFrame([(1, a), (2, b)], TEXT_SCHEMA)), "doc_id", "component_id")
+    assert got == [(1, 1), (2, 2)]
+
+
 def test_empty_table(spark):
     assert jaccard_join.link_components(spark.createDataFrame([], TEXT_SCHEMA)).count() == 0
 
