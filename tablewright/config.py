@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as _dt
 import hashlib
 import json
+import re
 import tomllib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from tablewright.names import is_name
@@ -40,6 +42,10 @@ PATH: Kind = (lambda v: isinstance(v, str) and v != "", "a path")
 TEXT: Kind = (lambda v: isinstance(v, str) and v != "", "a text")
 FORMAT: Kind = (lambda v: isinstance(v, str) and v.replace("_", "").isalnum(), "a format name such as parquet")
 COUNT: Kind = (lambda v: isinstance(v, int) and not isinstance(v, bool) and v > 0, "a positive integer")
+# Fixed value: the form of a published run's id (see make_run_id).
+RUN_ID = re.compile(r"\d{8}_\d{6}-[0-9a-f]{8}")
+RUN_FORM = "a published run's id, which is like 20260101_000000-1a2b3c4d"
+INTERVAL: Kind = (lambda v: isinstance(v, str) and re.fullmatch(r"[1-9]\d* (second|minute|hour|day|week)s?", v) is not None, "a time span such as 7 days")
 SWITCH: Kind = (lambda v: isinstance(v, bool), "true or false")
 COLUMNS: Kind = (_texts, "a list of column names")
 PREDICATE: Kind = (lambda v: isinstance(v, (str, Column)), "a SQL predicate")
@@ -75,6 +81,7 @@ class JobSpec:
     input_glob: str | None = setting("source.glob", TEXT)
     ids: Mapping[str, int] | None = setting("source.range", IDS)
     expected: Any = setting("schema.expected", EXPECTED)
+    quarantine: str | None = setting("schema.quarantine", NAME)
     predicate: Any = setting("processing.filter", PREDICATE)
     dedup: bool = setting("processing.enable_deduplication", SWITCH, False)
     dedup_keys: Any = setting("processing.dedup_keys", COLUMNS)
@@ -85,8 +92,11 @@ class JobSpec:
     runs_root: str | None = setting("run.root", PATH)
     run_id: str | None = setting("run.id", TEXT)
     job: str = setting("run.job", TEXT, "job")
+    note: str | None = setting("run.note", TEXT)
+    environment: str | None = setting("run.environment", TEXT)
     checkpoint: str | None = setting("streaming.checkpoint", PATH)
     max_files: int | None = setting("streaming.max_files_per_trigger", COUNT)
+    horizon: str | None = setting("streaming.horizon", INTERVAL)
 
     @classmethod
     def of(cls, cfg: Mapping[str, Any]) -> "JobSpec":
@@ -110,6 +120,8 @@ class JobSpec:
             given = [k for k in (a, b) if k.split(".")[1] in told[k.split(".")[0]]]
             if len(given) != 1:
                 raise ConfigError(f"invalid config: needs exactly one of {a}, {b}")
+        if spec.runs_root and spec.run_id and not RUN_ID.fullmatch(spec.run_id):
+            raise ConfigError(f"invalid config: run.id must be {RUN_FORM}")
         return spec
 
 
@@ -147,15 +159,17 @@ def load_config(spark: "SparkSession", path: str) -> tuple[dict[str, Any], dict[
     cluster can read, object stores included); return it with audit metadata.
 
     ``meta["sha256"]`` is the SHA-256 of the file's bytes, ``meta["path"]``
-    where it came from. The path must be one file of at most ``CONFIG_BYTES``,
+    where it came from, ``meta["modified_at"]`` when it was last changed (UTC). The path must be one file of at most ``CONFIG_BYTES``,
     which is checked before its content is read; malformed TOML raises
     ``tomllib.TOMLDecodeError``.
     """
     files = spark.read.format("binaryFile").load(path)
-    found = files.select("path", "length").limit(2).collect()
+    changed = F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    found = files.select("path", "length", changed.alias("modified_at")).limit(2).collect()
     if len(found) != 1:
         raise FileNotFoundError(f"expected one config file at {path!r}, found {'more' if found else 'none'}")
     if found[0]["length"] > CONFIG_BYTES:
         raise ValueError(f"{path!r} has {found[0]['length']} bytes, more than a config file")
     body = bytes(files.select("content").first()["content"])
-    return tomllib.loads(body.decode("utf-8")), {"sha256": hashlib.sha256(body).hexdigest(), "path": found[0]["path"]}
+    meta = {"sha256": hashlib.sha256(body).hexdigest(), "path": found[0]["path"], "modified_at": found[0]["modified_at"]}
+    return tomllib.loads(body.decode("utf-8")), meta

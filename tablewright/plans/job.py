@@ -4,7 +4,7 @@ The config is read into a ``JobSpec`` before Spark is touched; then come the
 target's name, the frame, the schema check, the DDL and the write. DDL and append
 are separate commits: a failure between them leaves an empty table, which the next
 run accepts. With ``run.root`` set, the run is recorded in that folder's ledger once
-its rows are written.
+its rows are written; an id that the ledger has is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.config import JobSpec, config_sha256, make_run_id, reader_options
 from tablewright.names import TableName, resolve_table
 from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows, schema_check, stamp_lineage
-from tablewright.sinks import append, create_table_if_absent, observed, record_run, write_files
+from tablewright.sinks import append, create_table_if_absent, is_published, observed, record_run, write_files
 from tablewright.sources import range_source, read_files
 
 # The original job's defaults. It generates ids 0 to 999
@@ -79,10 +79,12 @@ def run(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     """Run the job and return its target (all of it, read back)."""
     spec = JobSpec.of(cfg)
     target = target_table(spark, spec) if spec.table else None
+    run_id = spec.run_id or make_run_id(cfg)
+    if spec.runs_root and is_published(spark, spec.runs_root, run_id):
+        raise ValueError(f"run {run_id} is already in the ledger of {spec.runs_root}; nothing was written")
     source = read_source(spark, spec)
     check_schema(source, spec)
     df = transform(source, spec)
-    run_id = spec.run_id or make_run_id(cfg)
     if spec.lineage:
         df = stamp_lineage(df, cfg, run_id=run_id)
     seen = None
@@ -94,5 +96,6 @@ def run(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
         create_table_if_absent(spark, target, df.schema, spec.table_format, spec.location)
         append(df, target)
     if seen is not None:
-        record_run(spark, spec.runs_root, run_id, spec.job, config_sha256(cfg), seen(), spec.output_path or target.dotted)
+        place = (target.dotted, "table", spec.table_format) if target else (spec.output_path, "path", spec.output_format)
+        record_run(spark, spec.runs_root, run_id, spec.job, config_sha256(cfg), seen(), *place, note=spec.note, environment=spec.environment)
     return read_files(spark, spec.output_path, spec.output_format) if target is None else spark.table(target.quoted)

@@ -167,6 +167,13 @@ def row_sha256_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, sf_dir, "orders").select("o_orderkey", whole_row_sha256().alias("sha256"))
 
 
+def row_sha256_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of events' rows whose times have microseconds."""
+    events = load_table(spark, sf_dir, "events")
+    moved = events.select("event_id", F.timestamp_add("MICROSECOND", F.col("event_id") % 1000000, F.col("ts")).alias("ts"))
+    return moved.select("event_id", whole_row_sha256(of=moved).alias("sha256"))
+
+
 # --- R-2 manifest per group ----------------------------------------------------------------
 
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,6 +313,25 @@ def job_orders_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDED_RUN = "20260105_000000-5eed5eed"
 
 
+def job_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job run twice into one table, with lineage: the rows of the run that its ledger calls the latest."""
+    name, location = _fresh_table(spark, "latest")
+    root = fresh_path(spark, "runs/latest")
+    cfg = {
+        "table": {"name": name.table, "catalog": name.catalog, "database": name.database, "location": location},
+        "source": {"path": f"{sf_dir.rstrip('/')}/orders.parquet"},
+        "run": {"lineage": True, "root": root, "job": "nightly", "environment": "test"},
+    }
+    for run_id, predicate in zip(LATEST_RUNS, ("o_orderstatus = 'F'", "o_totalprice > 100000")):
+        run(spark, {**cfg, "processing": {"filter": predicate}, "run": {**cfg["run"], "id": run_id, "note": predicate}})
+    rows = read_latest_run(spark, root, load_table(spark, sf_dir, "orders").schema, "nightly")
+    note = run_ledger(spark, root).select("run_id", "note", "environment")
+    return rows.join(F.broadcast(note), "run_id")  # two ledger rows
+
+
+LATEST_RUNS = ("20260106_000000-0000000a", "20260107_000000-0000000b")
+
+
 def job_to_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job with an output path instead of a table."""
     return run(spark, {"source": {"path": f"{sf_dir.rstrip('/')}/orders.parquet"}, "output": {"path": fresh_path(spark, "copies/job")}, "processing": {"derive": {"double": "o_orderkey * 2"}}})
@@ -341,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "schema_check_documents": schema_check_documents,
     "row_sha256": row_sha256,
     "row_sha256_whole": row_sha256_whole,
+    "row_sha256_micros": row_sha256_micros,
     "manifest_documents": manifest_documents,
     "manifest_table_documents": manifest_table_documents,
     "latest_per_key": latest_events,
@@ -349,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "latest_run_orders": latest_run_orders,
     "job_documents": job_documents,
     "job_orders_recorded": job_orders_recorded,
+    "job_latest_run": job_latest_run,
     "job_to_path": job_to_path,
     "stream_append_orders": stream_append_orders,
 }
@@ -412,7 +440,7 @@ def _run_sql(created_at: str) -> str:
 
 _ORDERS_JSON = (
     "'{\"o_orderkey\":' || o_orderkey || ',\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || "
-    "'\",\"o_totalprice\":' || o_totalprice || ',\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || "
+    "'\",\"o_totalprice\":' || o_totalprice || ',\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || "
     "'\",\"o_orderpriority\":\"' || o_orderpriority || '\"'"
 )
 
@@ -468,7 +496,15 @@ def oracles() -> dict[str, str]:
             f"SELECT *, '{RECORDED_RUN}' AS run_id, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS ledger_rows "
             "FROM orders WHERE o_orderstatus = 'F'"
         ),
+        "job_latest_run": (
+            f"SELECT *, '{LATEST_RUNS[1]}' AS run_id, 'o_totalprice > 100000' AS note, 'test' AS environment "
+            "FROM orders WHERE o_totalprice > 100000"
+        ),
         "job_to_path": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
+        "row_sha256_micros": (
+            "SELECT event_id, sha256('{\"event_id\":' || event_id || ',\"ts\":\"' || "
+            "strftime(ts + to_microseconds(event_id % 1000000), '%Y-%m-%dT%H:%M:%S.%f') || '\"}') AS sha256 FROM events"
+        ),
         "row_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "manifest_documents": _MANIFEST_SQL.format(run=""),
         "manifest_table_documents": " UNION ALL ".join(

@@ -3,6 +3,7 @@ and write-once run folders published through a ledger."""
 
 from tablewright.sinks.files import write_files
 from tablewright.sinks.runs import (
+    is_published,
     latest_runs,
     observed,
     publish_run,
@@ -29,6 +30,7 @@ __all__ = [
     "check_fit",
     "column_ddl",
     "create_table_if_absent",
+    "is_published",
     "latest_runs",
     "observed",
     "publish_run",

@@ -14,7 +14,6 @@ runs published at the same time do not share a committer folder.
 from __future__ import annotations
 
 import platform
-import re
 from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 from typing import Any
@@ -24,8 +23,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tablewright.config import config_sha256
+from tablewright.config import RUN_FORM, RUN_ID, config_sha256
 from tablewright.functions import digest_sum, row_text
+from tablewright.names import quote_ident
 from tablewright.operators.latest import latest_per_key
 from tablewright.sinks.files import write_files
 
@@ -54,11 +54,15 @@ ENTRY_SCHEMA = StructType(
         StructField("spark_version", StringType(), False),
         StructField("package_version", StringType(), False),
         StructField("python_version", StringType(), False),
+        # where the rows are: a run folder, a path of their own, or a table
+        StructField("kind", StringType(), True),
+        StructField("format", StringType(), True),
+        StructField("note", StringType(), True),
+        StructField("environment", StringType(), True),
     ]
 )
 LEDGER_SCHEMA = StructType([*ENTRY_SCHEMA.fields, StructField(RUN_COLUMN, StringType(), True)])
-# Fixed value: the form of a published run's id (see make_run_id).
-RUN_ID = re.compile(r"\d{8}_\d{6}-[0-9a-f]{8}")
+FOLDER, PATH, TABLE = "folder", "path", "table"
 
 
 def _check_run_id(run_id: str) -> str:
@@ -67,6 +71,11 @@ def _check_run_id(run_id: str) -> str:
     return run_id
 
 
+def check_published_id(run_id: str) -> None:
+    if not RUN_ID.fullmatch(run_id):
+        raise ValueError(f"invalid run id {run_id!r}: not {RUN_FORM}")
+
+
 def run_path(root: str, run_id: str) -> str:
     return f"{root.rstrip('/')}/{RUN_COLUMN}={_check_run_id(run_id)}"
 
@@ -90,20 +99,40 @@ def observed(df: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
     """``df``, and after it was written once: its row count, the bytes of its rows' JSON
     text, and the sum of all words of the rows' SHA-256."""
     seen = Observation()
-    text = row_text()
-    counted = df.observe(
+    # columns of their own, so that the text and the digest are computed once a row
+    text, digest = (_free_name(df, c) for c in ("row_text", "row_digest"))
+    measured = df.withColumn(text, row_text(of=df)).withColumn(digest, F.sha2(text, 256))
+    counted = measured.observe(
         seen,
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("size_bytes"),
-        F.coalesce(F.sum(digest_sum(F.sha2(text, 256)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"),
+        F.coalesce(F.sum(digest_sum(F.col(digest)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"),
     )
-    return counted, lambda: dict(seen.get)
+    return counted.select(*[F.col(quote_ident(c)) for c in df.columns]), lambda: dict(seen.get)
+
+
+def _free_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def record_run(spark: SparkSession, root: str, run_id: str, job: str, config_hash: str, seen: Mapping[str, Any], location: str) -> dict[str, Any]:
+def record_run(
+    spark: SparkSession,
+    root: str,
+    run_id: str,
+    job: str,
+    config_hash: str,
+    seen: Mapping[str, Any],
+    location: str,
+    kind: str = FOLDER,
+    fmt: str = "parquet",
+    note: str | None = None,
+    environment: str | None = None,
+) -> dict[str, Any]:
     """Append a run's ledger row; its rows must have been written. Returns the row."""
-    if not RUN_ID.fullmatch(run_id):
-        raise ValueError(f"invalid run id {run_id!r}: a published run's is like 20260101_000000-1a2b3c4d")
+    check_published_id(run_id)
     entry = {
         "job": job,
         RUN_COLUMN: run_id,
@@ -117,6 +146,10 @@ def record_run(spark: SparkSession, root: str, run_id: str, job: str, config_has
         "spark_version": spark.version,
         "package_version": package_version(),
         "python_version": platform.python_version(),
+        "kind": kind,
+        "format": fmt,
+        "note": note,
+        "environment": environment,
     }
     row = spark.createDataFrame([tuple(entry[f.name] for f in ENTRY_SCHEMA.fields)], ENTRY_SCHEMA)
     write_files(row.coalesce(1), run_path(ledger_path(root), run_id), mode="errorifexists")
@@ -130,6 +163,8 @@ def publish_run(
     cfg: Mapping[str, Any],
     job: str,
     fmt: str = "parquet",
+    note: str | None = None,
+    environment: str | None = None,
 ) -> dict[str, Any]:
     """Write the run, then append its ledger row; returns that row.
 
@@ -137,11 +172,10 @@ def publish_run(
     is appended only after the data commit succeeded, so a reader that
     trusts the ledger never sees a half-written run.
     """
-    if not RUN_ID.fullmatch(run_id):
-        raise ValueError(f"invalid run id {run_id!r}: a published run's is like 20260101_000000-1a2b3c4d")
+    check_published_id(run_id)
     counted, seen = observed(df)
     path = write_run(counted, root, run_id, fmt)
-    return record_run(df.sparkSession, root, run_id, job, config_sha256(cfg), seen(), path)
+    return record_run(df.sparkSession, root, run_id, job, config_sha256(cfg), seen(), path, fmt=fmt, note=note, environment=environment)
 
 
 def run_ledger(spark: SparkSession, root: str) -> DataFrame:
@@ -173,6 +207,26 @@ def _one_run(spark: SparkSession, root: str, schema: StructType, run_id: str, fm
     return spark.read.format(fmt).schema(_with_run(schema)).option("basePath", root).load(run_path(root, run_id))
 
 
+def _elsewhere(spark: SparkSession, schema: StructType, run_id: str, kind: str, location: str, fmt: str) -> DataFrame:
+    """The rows of a run that its ledger row finds in a path or a table of their own."""
+    names = [f.name for f in schema.fields if f.name.lower() != RUN_COLUMN]
+    if kind == PATH:
+        rows = spark.read.format(fmt).load(location)
+    else:
+        rows = spark.table(".".join(map(quote_ident, location.split("."))))
+        if RUN_COLUMN not in rows.columns:
+            raise ValueError(f"the rows of run {run_id} in {location} cannot be told from other runs': its job did not stamp them (run.lineage)")
+    if RUN_COLUMN in rows.columns:
+        rows = rows.filter(F.col(RUN_COLUMN) == run_id)
+    return rows.select(*[F.col(quote_ident(c)) for c in names], F.lit(run_id).alias(RUN_COLUMN))
+
+
+def _entry_rows(spark: SparkSession, root: str, schema: StructType, entry: Mapping[str, Any], fmt: str) -> DataFrame:
+    if entry["kind"] in (None, FOLDER):
+        return _one_run(spark, root, schema, entry[RUN_COLUMN], entry["format"] or fmt)
+    return _elsewhere(spark, schema, entry[RUN_COLUMN], entry["kind"], entry["location"], entry["format"] or fmt)
+
+
 def read_runs(
     spark: SparkSession,
     root: str,
@@ -184,22 +238,30 @@ def read_runs(
     """All published runs under ``root`` (or one), with ``run_id`` as a string column last.
 
     The schema is given rather than inferred, so an id made of digits stays
-    a string and no file footers are sampled. With ``committed_only=False`` runs
+    a string and no file footers are sampled. Runs are read where their ledger rows say: folders
+    under ``root``, and the paths and tables that jobs wrote. With ``committed_only=False`` run folders
     without a ledger row, which may be half written, are read too.
     """
     full = _with_run(schema)
     if run_id is not None:
-        if committed_only and not is_published(spark, root, run_id):
+        if not committed_only:
+            return _one_run(spark, root, schema, run_id, fmt)
+        if not is_published(spark, root, run_id):
             return spark.createDataFrame([], full)
-        return _one_run(spark, root, schema, run_id, fmt)
+        own = spark.read.schema(ENTRY_SCHEMA).parquet(run_path(ledger_path(root), run_id)).first()
+        return _entry_rows(spark, root, schema, {**own.asDict(), RUN_COLUMN: run_id}, fmt)
     df = spark.read.format(fmt).schema(full).load(root)
     if committed_only:
-        df = df.join(run_ledger(spark, root).select(RUN_COLUMN).distinct(), RUN_COLUMN, "left_semi").select(*full.fieldNames())
+        ledger = run_ledger(spark, root)
+        df = df.join(ledger.select(RUN_COLUMN).distinct(), RUN_COLUMN, "left_semi").select(*full.fieldNames())
+        # a job's own places: a row per run that was recorded, not written, under the root
+        for entry in ledger.filter(F.col("kind").isin(PATH, TABLE)).toLocalIterator():
+            df = df.unionByName(_entry_rows(spark, root, schema, entry.asDict(), fmt))
     return df
 
 
 def read_latest_run(spark: SparkSession, root: str, schema: StructType, job: str, fmt: str = "parquet") -> DataFrame:
-    """Rows of the run of ``job`` that was published last: its ledger row names the folder, and
-    only that one is listed. No rows if the job has no published run."""
-    last = latest_runs(spark, root).filter(F.col("job") == job).select(RUN_COLUMN).first()  # one row
-    return _one_run(spark, root, schema, last[RUN_COLUMN], fmt) if last else spark.createDataFrame([], _with_run(schema))
+    """Rows of the run of ``job`` that was published last, from where its ledger row says;
+    nothing else is listed. No rows if the job has no published run."""
+    last = latest_runs(spark, root).filter(F.col("job") == job).first()  # one row
+    return _entry_rows(spark, root, schema, last.asDict(), fmt) if last else spark.createDataFrame([], _with_run(schema))

@@ -1,0 +1,87 @@
+"""A job's run in the ledger: refused ids, reading back, row texts."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import frame
+from tablewright.config import ConfigError
+from tablewright.functions import row_sha256, row_text
+from tablewright.plans.job import run
+from tablewright.session import fresh_path, fresh_table_suffix
+from tablewright.sinks import observed, publish_run, read_latest_run, read_runs, run_ledger, write_files
+
+
+def job(spark, root, run_id, **more):
+    src = fresh_path(spark, "inputs")
+    write_files(frame(spark, 10), src)
+    name = f"audit_{fresh_table_suffix()}"
+    return {
+        "table": {"name": name, "database": "default", "location": fresh_path(spark, "tables")},
+        "source": {"path": src},
+        "run": {"root": root, "id": run_id, "lineage": True, "job": "j", **more},
+    }, name
+
+
+def test_a_bad_id_is_refused_before_spark():
+    cfg = {"table": {"name": "t"}, "source": {"path": "/x"}, "run": {"root": "/r", "id": "nightly-9"}}
+    with pytest.raises(ConfigError, match="run.id"):
+        run(None, cfg)
+
+
+def test_a_used_id_leaves_the_table_as_it_was(spark):
+    cfg, name = job(spark, fresh_path(spark, "runs"), "20260101_000000-aaaaaaaa")
+    assert run(spark, cfg).count() == 10
+    for _ in range(2):
+        with pytest.raises(ValueError, match="already"):
+            run(spark, cfg)
+    assert spark.table(f"default.{name}").count() == 10
+
+
+def test_runs_of_jobs_are_read_where_they_are(spark):
+    root = fresh_path(spark, "runs")
+    schema = frame(spark, 1).schema
+    cfg, _ = job(spark, root, "20260101_000000-aaaaaaaa", note="first", environment="dev")
+    run(spark, cfg)
+    run(spark, {**cfg, "run": {**cfg["run"], "id": "20260102_000000-bbbbbbbb"}, "processing": {"filter": "id < 3"}})
+    out = fresh_path(spark, "outputs")
+    run(spark, {"output": {"path": out}, "source": cfg["source"], "processing": {"filter": "id < 5"}, "run": {"root": root, "id": "20260103_000000-cccccccc", "job": "to_path"}})
+    publish_run(frame(spark, 7), root, "20260104_000000-dddddddd", {}, "folder")
+    for name, run_id, n in (("j", "20260102_000000-bbbbbbbb", 3), ("to_path", "20260103_000000-cccccccc", 5), ("folder", "20260104_000000-dddddddd", 7)):
+        rows = read_latest_run(spark, root, schema, name)
+        assert rows.columns == ["id", "double", "run_id"]
+        assert {(r.id, r.run_id) for r in rows.collect()} == {(i, run_id) for i in range(n)}
+        assert read_runs(spark, root, schema, run_id).count() == n
+    counts = {r.run_id[-8:]: r["count"] for r in read_runs(spark, root, schema).groupBy("run_id").count().collect()}
+    assert counts == {"aaaaaaaa": 10, "bbbbbbbb": 3, "cccccccc": 5, "dddddddd": 7}
+    first = run_ledger(spark, root).filter("note is not null").collect()
+    assert [(r.note, r.environment, r.kind) for r in first] == [("first", "dev", "table")] * 2
+
+
+def test_unstamped_rows_in_a_table_are_not_guessed(spark):
+    root = fresh_path(spark, "runs")
+    cfg, _ = job(spark, root, "20260101_000000-aaaaaaaa", lineage=False)
+    run(spark, cfg)
+    with pytest.raises(ValueError, match="lineage"):
+        read_latest_run(spark, root, frame(spark, 1).schema, "j")
+
+
+def test_row_text_sees_microseconds_and_not_map_order(spark):
+    times = [dt.datetime(2026, 1, 1, 0, 0, 0, us) for us in (0, 1, 899, 900)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame([(t,) for t in times], f"t {kind}")
+        assert df.select(row_sha256()).distinct().count() == 4
+    df = spark.sql("select map('a', map(2, 'x', 1, 'y'), 'b', null) m, array(map(1, 2, 3, 4)) l, named_struct('k', map('z', 1, 'y', 2)) s, cast(null as map<int,int>) n")
+    same = spark.sql("select map('b', null, 'a', map(1, 'y', 2, 'x')) m, array(map(3, 4, 1, 2)) l, named_struct('k', map('y', 2, 'z', 1)) s, cast(null as map<int,int>) n")
+    one, two = (x.select(row_text(of=x).alias("t")).first().t for x in (df, same))
+    assert one == two
+    other = spark.sql("select map('b', null, 'a', map(1, 'y', 2, 'w')) m, array(map(3, 4, 1, 2)) l, named_struct('k', map('y', 2, 'z', 1)) s, cast(null as map<int,int>) n")
+    assert other.select(row_text(of=other).alias("t")).first().t != one
+
+
+def test_observed_columns_do_not_clash(spark):
+    df = frame(spark, 3).withColumn("row_text", F.lit("x")).withColumn("ROW_DIGEST", F.lit(1))
+    counted, seen = observed(df)
+    assert counted.columns == df.columns and len(counted.collect()) == 3
+    assert seen()["row_count"] == 3
