@@ -28,6 +28,7 @@ of the new ones are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -156,7 +157,12 @@ def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_parts(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``row, n, length`` of every smallest part that occurs earlier; ``texts`` are different."""
-    lines = keep(_stretches(_ranked(_lines(texts), "h1", "h2"), min_words), "lines")
+    # half a digest tells most lines that occur once, so only the others move whole
+    every = _lines(texts)
+    half = keep(every.groupBy("h1").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h1"), "lines")
+    maybe = keep(every.join(_few(half), "h1"), "lines")
+    lines = keep(_stretches(_ranked(maybe, "h1", "h2"), min_words), "lines")
+    discard(half, maybe)
     forward = lines.filter("forward > 0").select("doc", "row", "n", F.col("forward").alias("length"))
     backward = lines.filter("backward > 0").select("doc", "row", (F.col("n") - F.col("backward") + 1).alias("n"), F.col("backward").alias("length"))
     parts = keep(forward.unionByName(backward).distinct(), "lines")
@@ -181,12 +187,10 @@ def repeated_parts(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             discard(ranks)
             ranks = doubled
         size *= 2
+    discard(parts, ranks)
     if not found:
-        return parts.select("row", "n", "length").limit(0)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        return texts.sparkSession.createDataFrame([], "row long, n int, length int")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _first_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
