@@ -14,8 +14,9 @@ follows the input, and a frequent string adds to its own at most one entry per s
 
 Only the equality of strings matters here, so strings are compared by hashes: of 32
 bits and the bucket for samples (a chance agreement costs some work only), of 96
-bits for the strings themselves. Equal texts count once, as the smallest number's;
-a later one is removed whole if it has ``LENGTH`` bytes.
+bits for the strings themselves. Equal texts, told by their SHA-256, count once, as the smallest number's;
+a later one is removed whole if it has ``LENGTH`` bytes. Texts go by 64-bit keys made from
+the digest; that no two digests share a key is checked, and other keys are taken if they do.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing;
 of rows with the same number and text one is the first, and both keep what it keeps;
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -295,15 +296,32 @@ def _removed(regions: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
     return joined.mapInArrow(run, "key long, first binary, last binary")
 
 
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def text_key(body: Column, salt: int) -> Column:
+    return F.xxhash64(_digest(body), F.lit(salt))
+
+
 def deduplicate_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``n_bytes, n_removed, spans`` (removed byte runs as (first, stop)) and ``kept``, the bytes left."""
     added = ("n_bytes", "n_removed", "spans", "kept")
     df = df.drop(*added)
     body = F.coalesce(F.col(quote_ident(text)), F.lit(""))
-    docs = df.select(F.col(quote_ident(doc_id)).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
-    by_row = docs.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).cast("long").alias("size"))
-    first = F.min(F.struct("doc_id", F.col("n").alias("rows")))
-    by_text = keep(by_row.groupBy("key").agg(first.alias("first"), F.sum("n").alias("n"), F.first("size").alias("size")), "suffixes")
+    own = F.col(quote_ident(doc_id)).cast("long")
+    for salt in range(8):
+        key = text_key(body, salt)
+        by_row = df.select(own.alias("doc_id"), key.alias("key"), F.octet_length(body).cast("long").alias("size"), _digest(body).alias("digest"))
+        by_row = by_row.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        first = F.min(F.struct("doc_id", F.col("n").alias("rows")))
+        one = (F.min("low") == F.max("high")).alias("one")
+        by_text = keep(by_row.groupBy("key").agg(first.alias("first"), F.sum("n").alias("n"), F.first("size").alias("size"), one), "suffixes")
+        if not by_text.filter("not one").head(1):
+            break
+    else:
+        raise RuntimeError("no keys found under which different texts differ")
+    docs = df.select(own.alias("doc_id"), key.alias("key"), body.alias("text"))
     copies = by_text.filter("n > 1").select("key", "first")
     few_copies = copies.count() <= BROADCAST_ROWS
     total = by_text.agg(F.sum("size")).first()[0] or 0
@@ -321,7 +339,7 @@ def deduplicate_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     span_bytes = removed.agg(F.sum(F.octet_length("first") * 2 + 24)).first()[0] or 0
 
     rest = df.columns
-    rows = df.withColumns({"__key": F.xxhash64(body), "__body": body, "__id": F.col(quote_ident(doc_id)).cast("long")})
+    rows = df.withColumns({"__key": key, "__body": body, "__id": F.col(quote_ident(doc_id)).cast("long")})
     firsts = copies.select(F.col("key").alias("__key"), F.col("first")["doc_id"].alias("__own"), F.lit(True).alias("__copied"))
     rows = rows.join(F.broadcast(firsts) if few_copies else firsts, "__key", "left")
     spans = removed.withColumnsRenamed({"key": "__key", "first": "__first", "last": "__last"})

@@ -147,5 +147,14 @@ def test_bytes_other_columns_empty_table_and_no_repeats(spark):
     assert suffix_dedup.deduplicate_bytes(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_key_get_other_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    own = suffix_dedup.text_key
+    monkeypatch.setattr(suffix_dedup, "text_key", lambda body, salt: own(body, salt) if salt else F.lit(7).cast("long"))
+    rows = awkward()
+    assert digests(suffix_dedup.deduplicate_bytes(spark.createDataFrame(rows, TEXT_SCHEMA))) == brute_bytes(rows)
+
+
 def test_the_cover_is_a_difference_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
