@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -50,16 +51,68 @@ OTHER, CONTENT = 0, 1
 
 
 class Block:
-    __slots__ = ("text", "path", "linked")
+    """A run of text, the feature buckets of the elements around it, and its share of linked text."""
 
-    def __init__(self, text: str, path: tuple[tuple[str, str], ...], linked: float):
-        self.text, self.path, self.linked = text, path, linked
+    __slots__ = ("text", "above", "linked")
+
+    def __init__(self, text: str, above: tuple[int, ...], linked: float):
+        self.text, self.above, self.linked = text, above, linked
+
+
+class _Open:
+    """The open elements, with counts in place of searches: each step costs the same at any depth."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.blocks: list[int] = []  # depths of the block-level elements
+        self.shown: list[tuple[int, str]] = []  # depth and tag of the elements that give features
+        self.given: list[list[str]] = []  # the features that each element gives
+        self.active: Counter[str] = Counter()
+        self.above: tuple[int, ...] | None = None
+
+    def push(self, tag: str, names: str) -> None:
+        depth, given = len(self.tags), []
+        self.tags.append(tag)
+        self.count[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(depth)
+        if tag in BLOCK or names:
+            self.shown.append((depth, tag))
+            given = [f"tag {tag}", *(f"name {w}" for w in set(_WORD.findall(names)))]
+            self.active.update(given)
+            self.above = None
+        self.given.append(given)
+
+    def pop_to(self, depth: int) -> None:
+        """Close the elements from this depth on."""
+        while len(self.tags) > depth:
+            self.count[self.tags.pop()] -= 1
+            for f in self.given.pop():
+                self.active[f] -= 1
+                if not self.active[f]:
+                    del self.active[f]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        while self.shown and self.shown[-1][0] >= depth:
+            self.shown.pop()
+            self.above = None
+
+    def features(self) -> tuple[int, ...]:
+        """Ancestor tags, and the words of their classes and ids; the innermost ones by place too."""
+        if self.above is None:
+            found = list(self.active)
+            if self.shown:
+                found.append(f"own {self.shown[-1][1]}")
+            found.append(f"pair {' '.join(t for _, t in self.shown[-2:])}")
+            self.above = tuple(sorted(map(_bucket, found)))
+        return self.above
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks with text, in order."""
+    """The page's leaf blocks with text, in order. As in HTML, a slash at a tag's end closes nothing."""
     out: list[Block] = []
-    open_: list[tuple[str, str]] = []
+    open_ = _Open()
     parts: list[str] = []
     linked = 0
 
@@ -67,7 +120,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(Block(text, tuple(x for x in open_ if x[0] in BLOCK or x[1]), min(1.0, linked / len(text))))
+            out.append(Block(text, open_.features(), min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -77,7 +130,7 @@ def blocks(page: str | None) -> list[Block]:
         text = page[at : m.start() if m else len(page)]
         if text:
             parts.append(text)
-            if any(tag == "a" for tag, _ in open_):
+            if open_.count["a"]:
                 linked += len(text)
         if not m:
             break
@@ -88,50 +141,42 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    if any(t in BLOCK for t, _ in open_[i:]):
-                        flush()
-                    del open_[i:]
-                    break
+            if open_.count[tag]:
+                depth = len(open_.tags) - 1
+                while open_.tags[depth] != tag:
+                    depth -= 1
+                if open_.blocks and open_.blocks[-1] >= depth:
+                    flush()
+                open_.pop_to(depth)
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in ENDS.get(tag, ()):
-                    del open_[i:]
-                    break
-                if open_[i][0] in BLOCK:
-                    break
+            if open_.blocks and open_.tags[open_.blocks[-1]] in ENDS.get(tag, ()):
+                open_.pop_to(open_.blocks[-1])
         elif tag == "br":
             parts.append(" ")
-        if tag in VOID or m[3].endswith("/"):
-            continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in VOID:
+            continue
         names = " ".join(x for found in _NAMES.findall(m[3]) for x in found if x).lower()
         if _HIDDEN.search(m[3]):
             names += " hidden"
-        open_.append((tag, names))
+        open_.push(tag, names)
     flush()
     return out
 
 
-def _bucket(feature: str) -> int:
-    return crc32(feature.encode()) % BUCKETS
+@lru_cache(maxsize=32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)
 
 
 @lru_cache(maxsize=100_000)
-def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    """Ancestor tags, and the words of their classes and ids; the innermost ones by place too."""
-    found = {f"tag {tag}" for tag, _ in path}
-    found |= {f"name {w}" for _, names in path for w in _WORD.findall(names)}
-    if path:
-        found.add(f"own {path[-1][0]}")
-    found.add(f"pair {' '.join(t for t, _ in path[-2:])}")
-    return tuple(sorted(_bucket(f) for f in found))
+def _bucket(feature: str) -> int:
+    return crc32(feature.encode()) % BUCKETS
 
 
 def features(block: Block) -> tuple[int, ...]:
@@ -144,7 +189,7 @@ def features(block: Block) -> tuple[int, ...]:
         f"sign {next((c for c in '©|·→»' if c in text), 'none')}",
         "all",
     )
-    return (*_path_features(block.path), *(_bucket(f) for f in own))
+    return (*block.above, *(_bucket(f) for f in own))
 
 
 # The labelled pages. Each frame is a page's layout, with content (+) and other (-) blocks; the

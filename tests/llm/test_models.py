@@ -150,3 +150,65 @@ def test_bounds_hold():
 
 def test_paragraph_helper_is_prose():
     assert paragraph(random.Random(1)).count("\n") == 5 and TEXT_SCHEMA
+
+
+def test_raw_text_never_leaks():
+    weights, move = html_text.model()
+    for script in ("<script src=/x/>", "<script src='x' />", "<script/>", "<SCRIPT src=x/ >", "<style/>", "<textarea />", "<title/>"):
+        name = script[1:].split()[0].strip("/>").lower()
+        page = f"<article><p>One line of text that stays, as it should.</p>{script}var leak = 1; track();</{name}><p>Another line of text that stays.</p></article>"
+        assert html_text.main_text(page, weights, move) == "One line of text that stays, as it should.\nAnother line of text that stays."
+
+
+def test_deep_pages_take_seconds():
+    import time
+
+    weights, move = html_text.model()
+    pages = ("<div>" * 200_000, "<div>x" * 30_000, "<span>" * 60_000 + "<p>x" * 20_000, "<a>" * 60_000 + "</b>" * 60_000, "<p>x</p>" * 30_000, "<div><span class=c>" * 30_000 + "x")
+    for page in pages:
+        begin = time.process_time()
+        html_text.main_text(page, weights, move)
+        assert time.process_time() - begin < 10, page[:30]
+
+
+def test_blocks_equal_an_independent_parser():
+    """The text of every block, against Python's own HTML parser on the test pages."""
+    import html.parser
+
+    import pyarrow.parquet as pq
+
+    class Texts(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.texts, self.raw = [], [], 0
+
+        def cut(self):
+            if text := " ".join("".join(self.parts).split()):
+                self.texts.append(text)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCK:
+                self.cut()
+            elif tag == "br":
+                self.parts.append(" ")
+            self.raw += tag in html_text.RAW
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK:
+                self.cut()
+            self.raw -= tag in html_text.RAW
+
+        def handle_data(self, data):
+            if self.raw <= 0:
+                self.parts.append(data)
+
+    for page in pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist():
+        parser = Texts()
+        parser.feed(page)
+        parser.close()
+        parser.cut()
+        assert [b.text for b in html_text.blocks(page)] == parser.texts
