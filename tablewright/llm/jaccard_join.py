@@ -10,7 +10,7 @@ than that, and parts that are empty may go without an index. How many segments
 get deletions or are spare is decided per band by cost: rows written against
 collisions expected from the number of sets in the band.
 
-Sets that share a signature are a group, and candidates are its pairs. A sketch of a set, a 16-bit sum
+Sets that share a signature are a group, and candidates are its pairs. A sketch of a set, an 8-bit sum
 for each of some hundred finer segments, bounds the difference of two sets from below: segments that
 differ cannot outnumber the n-grams that do. Candidates whose sketches differ in more than H
 segments go; the others are verified exactly, on the words of their texts.
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.components import components
 from tablewright.llm.shared import discard, keep, packed, unpacked
-from tablewright.llm.words import mix, slices
+from tablewright.llm.words import digest_hashes, mix, slices, words
 from tablewright.names import quote_ident
 
 PERCENT = 90
@@ -56,10 +56,8 @@ BLOCK = 512
 CHUNK = 64
 #: Rows of a table that is broadcast, else it is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Words whose hashes a task remembers.
-REMEMBERED = 1 << 20
-#: Finer segments of a sketch, at least; beyond, half as many as n-grams and more, a power of two.
-SKETCH = 64
+#: Finer segments of a sketch, at least; beyond, a quarter as many as n-grams and more, a power of two.
+SKETCH = 32
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -69,33 +67,14 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split()
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.table = np.zeros(0, np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.__init__()
-        known = self.known
-        if new := set(words).difference(known):
-            digests = b"".join(blake2b(w, digest_size=8).digest() for w in new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.table = np.concatenate([self.table, np.frombuffer(digests, np.uint64)])
-        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-
-
-def ngram_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
+def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; fewer words make one gram, none make none."""
-    split, out = list(map(split_words, texts)), []
-    bounds = np.cumsum([0, *map(len, split)]).tolist()
-    h = hashes.of([w for words in split for w in words])
+    found = words(column, hasher=digest_hashes)
+    h, out = found.hashes, []
     grams = np.zeros(max(len(h) - n + 1, 0), np.uint64)
     for k in range(n if len(grams) else 0):
         grams = mix(grams * np.uint64(3) + h[k : len(h) - n + 1 + k])
-    for a, b in zip(bounds, bounds[1:]):
+    for a, b in zip(found.bounds.tolist(), found.bounds[1:].tolist()):
         if b - a >= n:
             own = np.sort(grams[a : b - n + 1])
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
@@ -115,20 +94,20 @@ def names(grams: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """A 16-bit sum for each segment of the set."""
+    """An 8-bit sum for each segment of the set."""
     m = SKETCH
-    while 2 * m < len(grams):
+    while 4 * m < len(grams):
         m *= 2
     values = mix(grams)
-    sums = np.bincount((values & np.uint64(m - 1)).astype(np.int64), weights=((values >> np.uint64(48)) | np.uint64(1)).astype(np.float64), minlength=m)
-    return (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).tobytes()
+    sums = np.bincount((values & np.uint64(m - 1)).astype(np.int64), weights=((values >> np.uint64(56)) | np.uint64(1)).astype(np.float64), minlength=m)
+    return (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
 
 
 def folded(rows: list[bytes], m: int) -> np.ndarray:
-    """Sketches as rows of m sums; sums modulo 2^16 of segments that become one are added."""
-    out = np.empty((len(rows), m), np.uint16)
+    """Sketches as rows of m sums; sums modulo 2^8 of segments that become one are added."""
+    out = np.empty((len(rows), m), np.uint8)
     for i, x in enumerate(rows):
-        out[i] = np.frombuffer(x, np.uint16).reshape(-1, m).sum(axis=0, dtype=np.uint16)
+        out[i] = np.frombuffer(x, np.uint8).reshape(-1, m).sum(axis=0, dtype=np.uint8)
     return out
 
 
@@ -216,17 +195,16 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, size, d1, d2`` of each row of ``doc_id, text``."""
+    """``doc_id, mark, size, d1, d2`` of each row of ``doc_id, text, mark``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = ngram_sets(part.column(1).to_pylist(), n, hashes)
+                sets = ngram_sets(part.column(1), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], names=["doc_id", "size", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], names=["doc_id", "mark", "size", "d1", "d2"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("size", "d1", "d2"))]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("mark", "size", "d1", "d2"))]))
 
 
 def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int, int]], n_buckets: int) -> DataFrame:
@@ -234,11 +212,10 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
     lows = bands(percent)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, 0, 8_000_000):
                 sigs, nodes, kinds, seen = [], [], [], set()
-                for grams in ngram_sets(part.column(0).to_pylist(), n, hashes):
+                for grams in ngram_sets(part.column(0), n):
                     if not len(grams) or (name := names(grams)[0]) in seen:
                         continue
                     seen.add(name)
@@ -290,18 +267,19 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
 
 
 def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``node, size, sketch, text`` of the wanted ``node, d1, d2``, once each."""
+    """``node, size, sketch, text`` of the wanted ``node, d1, d2, mark``, once each; only texts
+    with the mark of one that is wanted are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, 0):
-                sets = ngram_sets(part.column(0).to_pylist(), n, hashes)
+                sets = ngram_sets(part.column(0), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "text"])
 
-    own = docs.select("text").filter("text is not null").mapInArrow(run, "d1 long, d2 long, size long, sketch binary, text string")
-    own = own.join(_few(wanted), ["d1", "d2"])
+    marked = docs.select("text", "mark").join(_few(wanted.select("mark").distinct()), "mark", "left_semi").select("text")
+    own = marked.mapInArrow(run, "d1 long, d2 long, size long, sketch binary, text string")
+    own = own.join(_few(wanted), ["d1", "d2"]).select("node", "size", "sketch", "text")
     return own.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
 
 
@@ -312,7 +290,7 @@ def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                m = min(len(p), len(q)) // 2
+                m = min(len(p), len(q))
                 one, two = folded([p, q], m)
                 ok.append(bool(may_link(x, y, int((one != two).sum()), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -350,37 +328,49 @@ def _size_class(size: Column, percent: int) -> Column:
     return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of ``group, node, label`` with different labels in a group whose sketches allow a link."""
-    sized = members.join(sets.select("node", "size", "sketch"), "node").withColumn("class", _size_class(F.col("size"), percent))
-    large = members.join(sets.select("node", _size_class(F.col("size"), percent).alias("class")), "node").groupBy("group", "class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    large = large.select("group", "class", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = sized.join(_few(large), ["group", "class"], "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
-    column = F.struct("node", "label", "size", "sketch")
-    blocks = keep(dealt.groupBy("group", "class", "block").agg(F.collect_list(column).alias("members")), "jaccard")
-    left = blocks.select("group", F.col("class").alias("c"), F.col("block").alias("x"), F.col("members").alias("own"))
-    right = blocks.select("group", F.col("class").alias("d"), F.col("block").alias("y"), F.col("members").alias("others"))
-    # blocks of one class once, those of neighbouring classes always
-    met = left.withColumn("d", F.explode(F.array(F.col("c"), F.col("c") + 1))).join(right, ["group", "d"]).filter("d > c or y >= x").select("own", "others")
+def _compared(met: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` across two lists of members, ``own`` and ``others``, with different
+    labels whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            a, b = [], []
             for own, others in zip(batch.column(0), batch.column(1)):
                 own, others = own.as_py(), others.as_py()
-                m = min(len(x["sketch"]) for x in (*own, *others)) // 2
+                m = min(len(x["sketch"]) for x in (*own, *others))
                 table = folded([x["sketch"] for x in others], m)
                 node, label, size = (np.array([x[c] for x in others], np.int64) for c in ("node", "label", "size"))
-                a, b = [], []
                 for x, row in zip(own, folded([x["sketch"] for x in own], m)):
                     maybe = np.flatnonzero(label != x["label"])
                     ok = maybe[may_link(x["size"], size[maybe], (table[maybe] != row).sum(axis=1), percent)]
                     a += [x["node"]] * len(ok)
                     b += node[ok].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of ``group, node, label`` with different labels in a group whose sketches allow a link."""
+    large = keep(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("group"), "jaccard")
+    sized = members.join(sets.select("node", "size", "sketch"), "node")
+    column = F.struct("node", "label", "size", "sketch")
+    small = sized.join(_few(large), "group", "left_anti").groupBy("group").agg(F.collect_list(column).alias("own"))
+    pairs = _compared(small.select("own", F.col("own").alias("others")), percent)
+    if not large.head(1):
+        return pairs
+    # large groups by classes of size and blocks of a class
+    sized = sized.join(_few(large), "group", "left_semi").withColumn("class", _size_class(F.col("size"), percent))
+    counts = sized.groupBy("group", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(_few(keep(counts, "jaccard")), ["group", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = keep(dealt.groupBy("group", "class", "block").agg(F.collect_list(column).alias("members")), "jaccard")
+    left = blocks.select("group", F.col("class").alias("c"), F.col("block").alias("x"), F.col("members").alias("own"))
+    right = blocks.select("group", F.col("class").alias("d"), F.col("block").alias("y"), F.col("members").alias("others"))
+    # blocks of one class once, those of neighbouring classes always
+    met = left.withColumn("d", F.explode(F.array(F.col("c"), F.col("c") + 1))).join(right, ["group", "d"]).filter("d > c or y >= x")
+    return pairs.unionByName(_compared(met.select("own", "others"), percent)).distinct()
+
+
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -389,9 +379,10 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``doc_id`` reachable, the row's own included; rows without an id have
     part in a component but give it no number. Repeated rows stay repeated.
     """
-    docs = docs.select(F.col(quote_ident(doc_id)).alias("doc_id"), F.col(quote_ident(text)).alias("text"))
+    body = F.col(quote_ident(text))
+    docs = docs.select(F.col(quote_ident(doc_id)).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("mark"))
     rows = keep(_sets(docs, n), "jaccard")
-    own = rows.filter("size > 0").groupBy("d1", "d2").agg(F.first("size").alias("size"), F.min("doc_id").alias("first"))
+    own = rows.filter("size > 0").groupBy("d1", "d2").agg(F.first("size").alias("size"), F.min("doc_id").alias("first"), F.min("mark").alias("mark"))
     nodes = keep(own.withColumn("node", F.monotonically_increasing_id()), "jaccard")
     lows = [int(x) for x in bands(percent)]
     band = F.lit(0)
@@ -401,7 +392,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     plan = {b: allocate(b, counts.get(b, 0) + counts.get(b - 1, 0), percent) for b in range(len(lows) - 1) if counts.get(b)}
     entries = sum((m + d * lows[b] / m) * (counts[b] + counts.get(b - 1, 0)) for b, (m, d, _) in plan.items())
     found = keep(_candidates(docs, n, percent, plan, max(48, int(entries / BUCKET_ENTRIES))), "jaccard")
-    wanted = keep(nodes.select("node", "d1", "d2").join(_few(found.select("d1").distinct()), "d1"), "jaccard")
+    wanted = keep(nodes.select("node", "d1", "d2", "mark").join(_few(found.select("d1").distinct()), "d1"), "jaccard")
     groups = keep(found.join(_few(wanted.select("d1", "node")), "d1").select("group", "node"), "jaccard")
     discard(found)
     sets = keep(_texts(docs, n, wanted), "jaccard")

@@ -8,6 +8,7 @@ cost per byte is a few array passes and no Python object is made per word.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    found = b"".join([blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, np.uint64)
+
+
+def digest_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 64 bits of BLAKE2b of each span. Spans of 16 bytes and less are compared as two
+    numbers, and equal ones that meet in sorted order are hashed once."""
+    n = ends - starts
+    out = np.empty(len(n), np.uint64)
+    body = data.tobytes()
+    at = np.flatnonzero(n > 16)
+    out[at] = _digests(body, starts[at], ends[at])
+    at = np.flatnonzero(n <= 16)
+    if not len(at):
+        return out
+    first, size = starts[at], n[at]
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = eight[first] & mask[np.minimum(size, 8)]
+    high = eight[first + 8] & mask[np.clip(size - 8, 0, 8)]
+    order = np.argsort(mix(low + mix(high + size.astype(np.uint64))))
+    low, high, size = low[order], high[order], size[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size[1:] != size[:-1])
+    kinds = at[order[new]]
+    out[at[order]] = _digests(body, starts[kinds], ends[kinds])[np.cumsum(new) - 1]
+    return out
+
+
 @dataclass
 class Words:
     """Words of a batch: byte starts and ends, the row of each, hashes, and rows' first word."""
@@ -95,7 +127,7 @@ SEPARATES = np.zeros(256, bool)
 SEPARATES[[32, *range(9, 14)]] = True
 
 
-def words(column: pa.Array, lower: bool = True, separates: np.ndarray = SEPARATES) -> Words:
+def words(column: pa.Array, lower: bool = True, separates: np.ndarray = SEPARATES, hasher=span_hashes) -> Words:
     raw, offsets = text_bytes(column)
     data = lower_ascii(raw) if lower else raw
     inside = np.zeros(len(data) + 1, bool)
@@ -106,7 +138,7 @@ def words(column: pa.Array, lower: bool = True, separates: np.ndarray = SEPARATE
     cut[offsets] = True  # a word does not cross texts
     starts = np.flatnonzero(inside & (~before | cut))
     ends = np.flatnonzero(before & (~inside | cut))
-    hashes = span_hashes(data, starts, ends)
+    hashes = hasher(data, starts, ends)
     return Words(raw, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 

@@ -94,7 +94,7 @@ def test_sketches_never_hide_a_link():
             a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
             b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 1 << 62, int(size * share)).astype(np.uint64)]))
             p, q = jaccard_join.sketch(a), jaccard_join.sketch(b)
-            one, two = jaccard_join.folded([p, q], min(len(p), len(q)) // 2)
+            one, two = jaccard_join.folded([p, q], min(len(p), len(q)))
             both = len(np.intersect1d(a, b))
             for percent in (80, 90):
                 maybe = bool(jaccard_join.may_link(len(a), len(b), int((one != two).sum()), percent))
@@ -117,7 +117,7 @@ def test_blocks_and_chunks_change_no_result(spark, monkeypatch):
     for i in range(60, 90):
         words[rng.randrange(len(words))] = f"y{i}"
         rows.append((i, " ".join(words)))
-    for name, value in (("BLOCK", 3), ("CHUNK", 2), ("BROADCAST_ROWS", 0), ("REMEMBERED", 10)):
+    for name, value in (("BLOCK", 3), ("CHUNK", 2), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(jaccard_join, name, value)
     df = spark.createDataFrame(rows, TEXT_SCHEMA).repartition(3)
     for n, percent in ((3, 90), (5, 80)):
@@ -133,6 +133,22 @@ def test_words_with_equal_weak_hashes_are_different(spark):
     assert got == [(1, 1), (2, 2)]
 
 
+def test_word_digests_are_of_the_words():
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tablewright.llm.words import digest_hashes, words
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("ab\u00e9\x00") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(rng.randrange(60))) for _ in range(80)]
+    found = words(pa.array([*texts, None, ""]), hasher=digest_hashes)
+    want = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for t in texts for w in t.encode().split()]
+    assert found.hashes.tolist() == want
+    assert len(words(pa.array([None, ""]), hasher=digest_hashes).hashes) == 0 and np.all(np.diff(found.bounds) >= 0)
+
+
 def test_empty_table(spark):
     assert jaccard_join.link_components(spark.createDataFrame([], TEXT_SCHEMA)).count() == 0
 
