@@ -35,7 +35,7 @@ from tablewright.names import quote_ident
 PIECE_CHARS = 65_536
 LONG_WORD = 1_024
 #: Words that a worker remembers before it starts anew (memory bound, no effect on results).
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 # The pre-tokenizer pattern of the vocabulary file (contractions,
 # letter runs, single numbers, runs of other signs), for characters up to U+024F
@@ -331,6 +331,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], _as_lists([bpe.encode(t) for t in part.column(0).to_pylist()])], names=[*rest, ids]
                 )
+        bpe.reset()  # the worker goes on to other stages
 
     is_long = F.coalesce(F.length(column), F.lit(0)) > piece_chars
     whole = df.filter(~is_long).select(F.coalesce(column, F.lit("")).alias("__text"), *others).mapInArrow(short, schema)

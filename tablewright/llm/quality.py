@@ -70,6 +70,10 @@ def _buckets(found: Words) -> np.ndarray:
     return (mix(keys) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+#: Bytes of text read into features at once; some forty times as many bytes are held for them.
+SLICE = 1_000_000
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -113,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 found = words(part.column(2), lower=False)
                 buckets = _buckets(found)
                 at, x = [], []
@@ -148,7 +152,7 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(small[0].astype(float), small[1])
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE):
                 value = 1 / (1 + np.exp(-np.clip(own.margins(part.column(at)), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, name])
 
