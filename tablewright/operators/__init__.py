@@ -1,5 +1,6 @@
 """DataFrame -> DataFrame operators."""
 
+from tablewright.operators.compare import compare, write_digested
 from tablewright.operators.dedup import deduplicate
 from tablewright.operators.derive import derive, double_id
 from tablewright.operators.filter import count_rows, filter_count, filter_rows
@@ -8,20 +9,27 @@ from tablewright.operators.lineage import stamp_lineage
 from tablewright.operators.manifest import manifest, stamp_manifest
 from tablewright.operators.partitions import cap_partitions
 from tablewright.operators.pick import pick_per_key
-from tablewright.operators.schema import schema_check
+from tablewright.operators.schema import misfits, schema_check
+from tablewright.operators.sketches import estimates, manifest_sketches, merge_sketches
 
 __all__ = [
     "cap_partitions",
+    "compare",
     "count_rows",
     "deduplicate",
     "derive",
     "double_id",
+    "estimates",
     "filter_count",
     "filter_rows",
     "latest_per_key",
     "manifest",
+    "manifest_sketches",
+    "merge_sketches",
+    "misfits",
     "pick_per_key",
     "schema_check",
     "stamp_lineage",
     "stamp_manifest",
+    "write_digested",
 ]

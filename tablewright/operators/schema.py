@@ -69,6 +69,25 @@ def _castable(df: DataFrame, col: Column, want: DataType) -> bool:
         return False
 
 
+def misfits(df: DataFrame, expected: Sequence[tuple[str, str]]) -> Column:
+    """Per row, the names of the expected columns that hold a value with no representation in their
+    type, as an array. A column that is missing altogether is the whole frame's fault: ``ValueError``."""
+    found = {f.name.lower(): f for f in df.schema.fields}
+    if missing := [name for name, _ in expected if name.lower() not in found]:
+        raise ValueError(f"missing expected columns {missing}")
+    wrong = []
+    for name, type_text in expected:
+        field, want = found[name.lower()], _normalise(type_text)
+        if widens(field.dataType, want):
+            continue
+        col = F.col(quote_ident(field.name))
+        bad = _unconvertible(col, field.dataType, want) if _castable(df, col, want) else F.lit(True)
+        wrong.append(F.when(col.isNotNull() & bad, F.lit(name)))
+    if not wrong:
+        return F.array().cast("array<string>")
+    return F.filter(F.array(*wrong), lambda x: x.isNotNull())
+
+
 def schema_check(df: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows ``(name, expected, actual, ok, bad_rows)``, one per ``(column, type)``
     in ``expected``; ``actual`` and ``bad_rows`` are NULL for a missing column.

@@ -18,15 +18,20 @@ from tablewright.functions import sha256_hex
 from tablewright.names import DATABASE_CONF, SESSION_CATALOG, TableName
 from tablewright.operators import (
     cap_partitions,
+    compare,
     deduplicate,
     derive,
     double_id,
+    estimates,
     filter_count,
     latest_per_key,
     manifest,
+    manifest_sketches,
+    merge_sketches,
     schema_check,
     stamp_lineage,
     stamp_manifest,
+    write_digested,
 )
 from tablewright.plans.job import run
 from tablewright.session import fresh_path, fresh_table_suffix
@@ -37,6 +42,7 @@ from tablewright.sinks import (
     read_latest_run,
     read_runs,
     run_ledger,
+    update_latest,
     write_files,
     write_run,
 )
@@ -198,12 +204,55 @@ def manifest_table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name.quoted)
 
 
+def manifest_sketches_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two runs of orders, stored, then merged without their rows; beside the exact values, whether
+    the estimates are within their bounds (three standard errors; a rank off by 2.5 % at most)."""
+    orders = load_table(spark, sf_dir, "orders")
+    path = fresh_path(spark, "sketches/orders")
+    for i, half in enumerate(("o_custkey % 2 = 0", "o_custkey % 2 <> 0")):
+        write_files(manifest_sketches(orders.filter(half), ["o_orderstatus"], "o_custkey", "o_totalprice"), f"{path}/run_id={i}")
+    merged = estimates(merge_sketches(read_files(spark, path), ["o_orderstatus"]), (0.1, 0.5, 0.9))
+    ranked = orders.join(F.broadcast(merged), "o_orderstatus").groupBy("o_orderstatus")  # a row per status
+    checked = ranked.agg(
+        F.first("row_count").alias("row_count"),
+        (F.abs(F.first("distinct_count") - F.count_distinct("o_custkey")) <= 0.05 * F.count_distinct("o_custkey")).alias("distinct_ok"),
+        *[F.avg((F.col("o_totalprice") <= F.col("quantiles")[i]).cast("double")).alias(f"rank{i}") for i in range(3)],
+    )
+    ranks_ok = F.lit(True)
+    for i, q in enumerate((0.1, 0.5, 0.9)):
+        ranks_ok = ranks_ok & (F.abs(F.col(f"rank{i}") - q) <= 0.025)
+    return checked.select("o_orderstatus", "row_count", "distinct_ok", ranks_ok.alias("quantiles_ok"))
+
+
+def compare_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of orders, compared by their digest trees: keys added, removed and changed."""
+    orders = load_table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    kept = orders.filter(key % 997 != 0).withColumn("o_totalprice", F.when(key % 499 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    newer = kept.unionByName(orders.filter(key % 701 == 2).withColumn("o_orderkey", key + COMPARE_OFFSET))
+    paths = [write_digested(df, fresh_path(spark, f"versions/{label}"), "o_orderkey", COMPARE_WIDTH) for label, df in (("old", orders), ("new", newer))]
+    return compare(spark, *paths, orders.schema, "o_orderkey", COMPARE_WIDTH)
+
+
+#: New orders get keys from here on; keys in a leaf.
+COMPARE_OFFSET, COMPARE_WIDTH = 1_000_000_000, 256
+
+
 # --- R-3 latest row per key -------------------------------------------------------------------
 
 def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(load_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
 
 
+def latest_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event per user, kept in a bucketed state that three runs bring up to date."""
+    events = load_table(spark, sf_dir, "events")
+    name, _ = _fresh_table(spark, "latest_state")
+    for i in range(3):
+        update_latest(spark, name, events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i), ["user_id"], ["ts", "event_id"], buckets=8)
+    return spark.table(name.quoted)
+
+
 # --- R-4 write-once run folders, R-5 lineage columns ------------------------------------------
 
 # Two runs of the same job with different start times; the configs hold no
@@ -353,6 +402,42 @@ def stream_append_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_incremental(spark, cfg)
 
 
+def stream_dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts arriving in two parts, the job started anew for the second: each text is stored once."""
+    docs = load_table(spark, sf_dir, "documents")
+    name, location = _fresh_table(spark, "stream_dedup")
+    source = fresh_path(spark, "inputs/documents")
+    cfg = {
+        "table": {"name": name.table, "catalog": name.catalog, "database": name.database, "location": location},
+        "source": {"path": f"{source}/*", "schema": docs.schema},
+        "processing": {"enable_deduplication": True, "dedup_keys": ["text"]},
+        "streaming": {"checkpoint": fresh_path(spark, "streams/documents"), "horizon": "30 days"},
+    }
+    for i in range(2):
+        write_files(docs.filter(F.pmod(F.col("doc_id"), F.lit(2)) == i), f"{source}/part{i}")
+        run_incremental(spark, cfg)
+    return spark.table(name.quoted).select(F.sha2("text", 256).alias("sha256"))
+
+
+QUARANTINED_TYPE = "decimal(7,2)"
+
+
+def stream_quarantine_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders checked as they arrive: those whose price does not fit go to a table of their own."""
+    name, location = _fresh_table(spark, "checked")
+    aside = f"{name.table}_aside"
+    cfg = {
+        "table": {"name": name.table, "catalog": name.catalog, "database": name.database, "location": location},
+        "source": {"path": f"{sf_dir.rstrip('/')}/orders.parquet*"},
+        "schema": {"expected": [["o_orderkey", "bigint"], ["o_totalprice", QUARANTINED_TYPE]], "quarantine": aside},
+        "streaming": {"checkpoint": fresh_path(spark, "streams/checked")},
+    }
+    run_incremental(spark, cfg)
+    good = run_incremental(spark, cfg).select("o_orderkey", "o_totalprice", F.lit("").alias("misfits"))
+    bad = spark.table(TableName(name.catalog, name.database, aside).quoted)
+    return good.unionByName(bad.select("o_orderkey", "o_totalprice", F.array_join("misfits", ",").alias("misfits")))
+
+
 QUERIES: dict[str, Query] = {
     "derive_orders": derive_orders,
     "filter_even_orders": filter_even_orders,
@@ -370,7 +455,10 @@ QUERIES: dict[str, Query] = {
     "row_sha256_micros": row_sha256_micros,
     "manifest_documents": manifest_documents,
     "manifest_table_documents": manifest_table_documents,
+    "manifest_sketches_orders": manifest_sketches_orders,
+    "compare_orders": compare_orders,
     "latest_per_key": latest_events,
+    "latest_state_events": latest_state_events,
     "run_partition_roundtrip": run_partition_roundtrip,
     "run_ledger_orders": run_ledger_orders,
     "latest_run_orders": latest_run_orders,
@@ -379,6 +467,8 @@ QUERIES: dict[str, Query] = {
     "job_latest_run": job_latest_run,
     "job_to_path": job_to_path,
     "stream_append_orders": stream_append_orders,
+    "stream_dedup_documents": stream_dedup_documents,
+    "stream_quarantine_orders": stream_quarantine_orders,
 }
 
 
@@ -471,6 +561,12 @@ _MANIFEST_SQL = (
 )
 
 
+_LATEST_EVENTS = (
+    "SELECT event_id, ts, user_id, event_type, value, props FROM events "
+    "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+)
+
+
 def oracles() -> dict[str, str]:
     return {
         "derive_orders": 'SELECT *, o_orderkey * 2 AS "double" FROM orders',
@@ -510,9 +606,19 @@ def oracles() -> dict[str, str]:
         "manifest_table_documents": " UNION ALL ".join(
             _MANIFEST_SQL.format(run=f"'{run_id}' AS run_id, ") for run_id in MANIFEST_IDS
         ),
-        "latest_per_key": (
-            "SELECT event_id, ts, user_id, event_type, value, props FROM events "
-            "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+        "latest_per_key": _LATEST_EVENTS,
+        "latest_state_events": _LATEST_EVENTS,
+        "manifest_sketches_orders": (
+            "SELECT o_orderstatus, count(*) AS row_count, true AS distinct_ok, true AS quantiles_ok FROM orders GROUP BY o_orderstatus"
+        ),
+        "compare_orders": (
+            "SELECT o_orderkey, 'removed' AS change FROM orders WHERE o_orderkey % 997 = 0 "
+            "UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey % 997 <> 0 AND o_orderkey % 499 = 1 "
+            f"UNION ALL SELECT o_orderkey + {COMPARE_OFFSET}, 'added' FROM orders WHERE o_orderkey % 701 = 2"
+        ),
+        "stream_dedup_documents": "SELECT DISTINCT sha256(text) AS sha256 FROM documents",
+        "stream_quarantine_orders": (
+            "SELECT o_orderkey, o_totalprice, CASE WHEN TRY_CAST(o_totalprice AS DECIMAL(7,2)) IS NULL THEN 'o_totalprice' ELSE '' END AS misfits FROM orders"
         ),
         "run_partition_roundtrip": _run_sql(RUN_TIMES[0]),
         "run_ledger_orders": _run_ledger_sql(),

@@ -2,6 +2,7 @@
 and write-once run folders published through a ledger."""
 
 from tablewright.sinks.files import write_files
+from tablewright.sinks.latest_state import update_latest
 from tablewright.sinks.runs import (
     is_published,
     latest_runs,
@@ -20,6 +21,7 @@ from tablewright.sinks.tables import (
     check_fit,
     column_ddl,
     create_table_if_absent,
+    replace_partitions,
     table_properties,
 )
 
@@ -37,8 +39,10 @@ __all__ = [
     "read_latest_run",
     "read_runs",
     "record_run",
+    "replace_partitions",
     "run_ledger",
     "table_properties",
+    "update_latest",
     "write_files",
     "write_run",
 ]

@@ -10,9 +10,10 @@ idempotent: running the same job twice stores its rows twice.
 from __future__ import annotations
 
 import threading
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tablewright.names import TableName, quote_ident
@@ -24,6 +25,7 @@ from tablewright.typing_rules import widens
 # batch append there would vanish from reads (and the other way round).
 WRITER_PROPERTY = "tablewright.writer"
 STREAM_WRITER = "stream"
+OVERWRITE_CONF = "spark.sql.sources.partitionOverwriteMode"
 
 # Appends to one session-catalog (file) table from concurrent jobs of one
 # application share the output committer's temporary folder, and the first
@@ -65,6 +67,7 @@ def create_table_if_absent(
     fmt: str | None = "parquet",
     location: str | None = None,
     properties: Mapping[str, str] | None = None,
+    partitioned_by: Sequence[str] = (),
 ) -> None:
     """``CREATE TABLE IF NOT EXISTS`` with the columns of ``schema``.
 
@@ -77,6 +80,8 @@ def create_table_if_absent(
         if not fmt.replace("_", "").isalnum():
             raise ValueError(f"invalid table format {fmt!r}")
         text += f" USING {fmt}"
+    if partitioned_by:
+        text += f" PARTITIONED BY ({', '.join(map(quote_ident, partitioned_by))})"
     if location:
         text += f" LOCATION {_sql_string(location)}"
     if properties:
@@ -101,6 +106,27 @@ def check_fit(have: StructType, want: StructType, name: TableName) -> None:
         raise ValueError(f"types do not fit {name}: {'; '.join(lossy)}")
 
 
+def replace_partitions(df: DataFrame, name: TableName) -> None:
+    """Write ``df`` over the partitions of the table ``name`` that it has rows of; writing the same rows
+    again changes nothing. Columns are matched by name."""
+    spark = df.sparkSession
+    target = spark.table(name.quoted).schema
+    check_fit(df.schema, target, name)
+    by_lower = {c.lower(): c for c in df.columns}
+    fitted = df.select(*[F.col(quote_ident(by_lower[f.name.lower()])).cast(f.dataType).alias(f.name) for f in target.fields])
+    if name.in_session_catalog:
+        # insertInto takes the mode from the session, not from the writer's options
+        before = spark.conf.get(OVERWRITE_CONF)
+        with _append_lock(name):
+            spark.conf.set(OVERWRITE_CONF, "dynamic")
+            try:
+                fitted.write.mode("overwrite").insertInto(name.quoted)
+            finally:
+                spark.conf.set(OVERWRITE_CONF, before)
+    else:
+        fitted.writeTo(name.quoted).overwritePartitions()
+
+
 def append(df: DataFrame, name: TableName) -> None:
     """Append ``df`` to the existing table ``name``, matching columns by name.
 

@@ -10,19 +10,21 @@ schedules like a batch job.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tablewright.config import ConfigError, JobSpec, reader_options
+from tablewright.config import ConfigError, JobSpec, make_run_id, reader_options
 from tablewright.names import TableName, quote_ident, resolve_table
+from tablewright.operators import filter_rows, misfits, stamp_lineage
 from tablewright.plans.job import transform
 from tablewright.session import CHECKPOINT_CONF
-from tablewright.sinks import STREAM_WRITER, WRITER_PROPERTY, check_fit, create_table_if_absent, table_properties
+from tablewright.sinks import STREAM_WRITER, WRITER_PROPERTY, check_fit, create_table_if_absent, replace_partitions, table_properties
 
 
 def read_stream(
@@ -79,19 +81,65 @@ def _checkpoint(spark: SparkSession, spec: JobSpec, target: TableName) -> str:
     return f"{shared.rstrip('/')}/streams/{target.dotted}"
 
 
+def first_arrivals(df: DataFrame, keys: Sequence[str], horizon: str) -> DataFrame:
+    """The first row of each key to arrive. A key is remembered for ``horizon`` after its first row; one that comes
+    back later is new again, so the state holds the keys of one horizon and not the whole history.
+    Time is that of the batch that brings a row, so no row comes too late. Which of several rows of one batch
+    stays is open; null keys are a key."""
+    arrived = "arrived"
+    while arrived in df.columns:
+        arrived += "_"
+    timed = df.withColumn(arrived, F.current_timestamp()).withWatermark(arrived, horizon)
+    return timed.dropDuplicatesWithinWatermark(list(keys)).drop(arrived)
+
+
+BATCH_COLUMN, REASONS = "batch_id", "misfits"
+
+
+def append_batches(stream: DataFrame, spec: JobSpec, prepare, target: TableName, quarantine: TableName, checkpoint: str) -> StreamingQuery:
+    """Append each batch of a stream in two parts: what fits the expected types goes through ``prepare`` into ``target``,
+    the other rows, as they came and with the names of the columns that do not fit, into ``quarantine``. Both
+    tables are partitioned by the batch's number and a batch replaces its own partitions, so
+    one that failed halfway and is run again leaves each row once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        told = batch.withColumn(REASONS, misfits(batch, spec.expected)).persist()
+        try:
+            for df, name in ((prepare(told.filter(F.size(REASONS) == 0).drop(REASONS)), target), (told.filter(F.size(REASONS) > 0), quarantine)):
+                replace_partitions(df.withColumn(BATCH_COLUMN, F.lit(number).cast("bigint")), name)
+        finally:
+            told.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _check_incremental(spec: JobSpec) -> None:
+    """Refuse what the incremental job would otherwise ignore."""
+    if not spec.table or not spec.input_path:
+        raise ConfigError("invalid config: the incremental job needs table.name and source.path")
+    if spec.runs_root:
+        raise ConfigError("invalid config: run.root is the batch job's; the incremental job's record is its checkpoint")
+    if spec.dedup and not (spec.dedup_keys and spec.horizon):
+        raise ConfigError("invalid config: processing.enable_deduplication needs processing.dedup_keys and streaming.horizon here, or the batch job")
+    if spec.dedup and spec.dedup_order:
+        raise ConfigError("invalid config: processing.dedup_order needs the batch job; a stream keeps the first row to arrive")
+    if spec.expected is not None and not spec.quarantine:
+        raise ConfigError("invalid config: schema.expected needs schema.quarantine here, a table for the rows that do not fit")
+    if spec.dedup and spec.expected is not None:
+        raise ConfigError("invalid config: schema.quarantine and processing.enable_deduplication need two jobs, one after the other")
+
+
 def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     """The job with ``source.path`` read as a stream; returns the target table.
 
-    A second start resumes where the first stopped. Keyed deduplication needs the
-    whole history, so it is refused here. The target table belongs to the incremental
+    A second start resumes where the first stopped. Keyed deduplication keeps the first row to
+    arrive within ``streaming.horizon``. With ``schema.expected``, rows that do not fit go to the table
+    ``schema.quarantine``, and both tables have the batch's number as a column. The target table belongs to the incremental
     job and to one checkpoint and source (table properties): a table without them, or
     with others, is refused, and batch ``append`` refuses tables with them.
     """
     spec = JobSpec.of(cfg)
-    if spec.dedup:
-        raise ConfigError("invalid config: processing.enable_deduplication needs the batch job")
-    if not spec.table or not spec.input_path:
-        raise ConfigError("invalid config: the incremental job needs table.name and source.path")
+    _check_incremental(spec)
     target = resolve_table(spark, spec.table, spec.catalog, spec.database)
     checkpoint = _checkpoint(spark, spec, target)
     options = reader_options(spec.input_options)
@@ -105,19 +153,43 @@ def run_incremental(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     elif isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     stream = read_stream(spark, spec.input_path, schema, spec.input_format, spec.input_glob, spec.max_files, options)
-    df = transform(stream, spec)
+    run_id = spec.run_id or make_run_id(cfg)
+
+    def prepare(df: DataFrame) -> DataFrame:
+        if spec.dedup:
+            df = filter_rows(df, spec.predicate) if spec.predicate is not None else df
+            df = first_arrivals(df, spec.dedup_keys, spec.horizon)
+        df = transform(df, replace(spec, dedup=False, predicate=None if spec.dedup else spec.predicate))
+        return stamp_lineage(df, cfg, run_id=run_id) if spec.lineage else df
+
+    df = prepare(stream)
     bound = {
         WRITER_PROPERTY: STREAM_WRITER,
         CHECKPOINT_PROPERTY: checkpoint,
         SOURCE_PROPERTY: f"{spec.input_path} {spec.input_glob or ''}".strip(),
     }
-    create_table_if_absent(spark, target, df.schema, spec.table_format, spec.location, bound)
-    has = table_properties(spark, target)
-    if has.get(WRITER_PROPERTY) != STREAM_WRITER:
-        # The stream's sink log would hide the rows already in the table.
-        raise ValueError(f"{target} was not created by the incremental job; append to it in batch")
-    for key, value in bound.items():
-        if has.get(key) != value:
-            raise ValueError(f"{target} is bound to {key} = {has.get(key)!r}, not {value!r}: rows of another stream would be lost")
-    append_stream(df, target, checkpoint).awaitTermination()
+    tables = [(target, df.schema, spec.location)]
+    by_batch = spec.expected is not None
+    if by_batch:
+        number = StructField(BATCH_COLUMN, LongType())
+        if taken := {BATCH_COLUMN, REASONS} & {c.lower() for c in (*df.columns, *stream.columns)}:
+            raise ConfigError(f"invalid config: {sorted(taken)} are the quarantine's own columns")
+        misfits(stream, spec.expected)  # a missing column is found before anything starts
+        beside = TableName(target.catalog, target.database, spec.quarantine)
+        place = f"{spec.location.rstrip('/')}_{spec.quarantine}" if spec.location else None
+        kept = StructType([*stream.schema.fields, StructField(REASONS, ArrayType(StringType())), number])
+        tables = [(target, StructType([*df.schema.fields, number]), spec.location), (beside, kept, place)]
+    for name, columns, location in tables:
+        create_table_if_absent(spark, name, columns, spec.table_format, location, bound, (BATCH_COLUMN,) if by_batch else ())
+        has = table_properties(spark, name)
+        if has.get(WRITER_PROPERTY) != STREAM_WRITER:
+            # The stream's sink log would hide the rows already in the table.
+            raise ValueError(f"{name} was not created by the incremental job; append to it in batch")
+        for key, value in bound.items():
+            if has.get(key) != value:
+                raise ValueError(f"{name} is bound to {key} = {has.get(key)!r}, not {value!r}: rows of another stream would be lost")
+    if by_batch:
+        append_batches(stream, spec, prepare, target, tables[1][0], checkpoint).awaitTermination()
+    else:
+        append_stream(df, target, checkpoint).awaitTermination()
     return spark.table(target.quoted)

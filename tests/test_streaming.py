@@ -148,3 +148,115 @@ def test_incremental_job_on_an_empty_folder(spark):
     assert run_incremental(spark, cfg).count() == 0  # finishes, creates the table, appends nothing
     write_files(frame(spark, 4), f"{src}/p1")
     assert run_incremental(spark, cfg).count() == 4
+
+
+def stream_config(spark, **more):
+    src = fresh_path(spark, "inputs")
+    name = f"q_{fresh_table_suffix()}"
+    cfg = {
+        "table": {"name": name, "database": "default", "location": fresh_path(spark, "tables")},
+        "source": {"path": f"{src}/*", "schema": "id bigint, v string"},
+        "streaming": {"checkpoint": fresh_path(spark, "streams")},
+    }
+    for section, values in more.items():
+        cfg[section] = {**cfg.get(section, {}), **values}
+    return src, name, cfg
+
+
+def put(spark, src, part, rows):
+    write_files(spark.createDataFrame(rows, "id bigint, v string").coalesce(1), f"{src}/{part}")
+
+
+def test_incremental_dedup_over_batches_and_a_restart(spark):
+    from tablewright.streaming import run_incremental
+
+    src, _, cfg = stream_config(spark, processing={"enable_deduplication": True, "dedup_keys": ["v"], "filter": "id >= 0"}, streaming={"horizon": "1 day", "max_files_per_trigger": 1})
+    put(spark, src, "p1", [(1, "a"), (2, "a"), (3, None), (-1, "hidden")])
+    put(spark, src, "p2", [(4, "a"), (5, "b"), (6, None)])
+    assert sorted(str(r.v) for r in run_incremental(spark, cfg).collect()) == ["None", "a", "b"]
+    put(spark, src, "p3", [(7, "b"), (8, "c"), (9, "hidden")])
+    out = run_incremental(spark, cfg)
+    assert sorted(str(r.v) for r in out.collect()) == ["None", "a", "b", "c", "hidden"]
+    assert out.columns == ["id", "v"]
+
+
+def test_a_key_comes_back_after_the_horizon(spark):
+    import time
+
+    from tablewright.streaming import run_incremental
+
+    src, _, cfg = stream_config(spark, processing={"enable_deduplication": True, "dedup_keys": ["v"]}, streaming={"horizon": "1 second"})
+    put(spark, src, "p1", [(1, "a")])
+    run_incremental(spark, cfg)
+    for part, rows in (("p2", [(2, "b")]), ("p3", [(3, "c")])):  # later batches move time on, and state out
+        time.sleep(2)
+        put(spark, src, part, rows)
+        run_incremental(spark, cfg)
+    put(spark, src, "p4", [(4, "a")])
+    assert sorted(r.id for r in run_incremental(spark, cfg).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize(
+    "more, says",
+    [
+        ({"run": {"root": "/r"}}, "run.root"),
+        ({"processing": {"enable_deduplication": True, "dedup_keys": ["v"]}}, "horizon"),
+        ({"processing": {"enable_deduplication": True, "dedup_keys": ["v"], "dedup_order": ["id"]}, "streaming": {"horizon": "1 day"}}, "dedup_order"),
+        ({"schema": {"expected": [["id", "int"]]}}, "quarantine"),
+        ({"streaming": {"horizon": "soon"}}, "time span"),
+        ({"schema": {"expected": [["id", "int"]], "quarantine": "q"}, "processing": {"enable_deduplication": True, "dedup_keys": ["v"]}, "streaming": {"horizon": "1 day"}}, "two jobs"),
+    ],
+)
+def test_options_are_applied_or_refused(more, says):
+    from tablewright.config import ConfigError
+    from tablewright.streaming import run_incremental
+
+    cfg = {"table": {"name": "t", "database": "d"}, "source": {"path": "/x"}, **more}
+    with pytest.raises(ConfigError, match=says):
+        run_incremental(None, cfg)
+
+
+def test_incremental_rows_are_stamped(spark):
+    from tablewright.streaming import run_incremental
+
+    src, _, cfg = stream_config(spark, run={"lineage": True, "id": "20260101_000000-aaaaaaaa"})
+    put(spark, src, "p1", [(1, "a")])
+    row = run_incremental(spark, cfg).first()
+    assert row.run_id == "20260101_000000-aaaaaaaa" and len(row.config_sha256) == 64
+
+
+def test_quarantine_after_a_failed_batch(spark, monkeypatch):
+    """The second write of a batch fails; the batch is run again and each row is there once."""
+    from tablewright.streaming import incremental, run_incremental
+
+    src, name, cfg = stream_config(spark, schema={"expected": [["id", "bigint"], ["v", "int"]]}, processing={"derive": {"n": "cast(v as int)"}})
+    cfg["schema"]["quarantine"] = f"{name}_aside"
+    put(spark, src, "p1", [(1, "10"), (2, "x"), (3, None)])
+    real, calls = incremental.replace_partitions, []
+
+    def fails_once(df, target):
+        calls.append(target.table)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        real(df, target)
+
+    monkeypatch.setattr(incremental, "replace_partitions", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        run_incremental(spark, cfg)
+    put(spark, src, "p2", [(4, "y"), (5, "50")])
+    good = run_incremental(spark, cfg)
+    aside = spark.table(f"default.{name}_aside")
+    assert calls[:4] == [name, f"{name}_aside"] * 2
+    assert sorted((r.id, r.n) for r in good.collect()) == [(1, 10), (3, None), (5, 50)]
+    assert sorted((r.id, r.v, r.misfits) for r in aside.collect()) == [(2, "x", ["v"]), (4, "y", ["v"])]
+    assert {c for c in good.columns} == {"id", "v", "n", "batch_id"}
+    assert run_incremental(spark, cfg).count() == 3 and aside.count() == 2
+
+
+def test_a_missing_expected_column_stops_the_start(spark):
+    from tablewright.streaming import run_incremental
+
+    _, name, cfg = stream_config(spark, schema={"expected": [["nothing", "int"]], "quarantine": "aside"})
+    with pytest.raises(ValueError, match="nothing"):
+        run_incremental(spark, cfg)
+    assert not spark.catalog.tableExists(f"default.{name}")
