@@ -67,7 +67,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of the ids and of the text they decode to."""
     vocabulary = str(public_tokenizers.path("word_bpe_49k.json"))
-    ids = bpe.encode(docs.select("doc_id", "text"), vocabulary)
+    # a table between, so that one Python worker at a time has the vocabulary in a task
+    ids = keep(bpe.encode(docs.select("doc_id", "text"), vocabulary), "encoding")
     return bpe.decode(ids, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -56,6 +56,8 @@ BLOCK = 512
 CHUNK = 64
 #: Rows of a table that is broadcast, else it is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of text read into sets at once; some twenty times as many bytes are held for them.
+SLICE = 2_000_000
 #: Finer segments of a sketch, at least; beyond, a quarter as many as n-grams and more, a power of two.
 SKETCH = 32
 
@@ -199,7 +201,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 sets = ngram_sets(part.column(1), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], names=["doc_id", "mark", "size", "d1", "d2"])
@@ -213,7 +215,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 8_000_000):
+            for part in slices(batch, 0, SLICE):
                 sigs, nodes, kinds, seen = [], [], [], set()
                 for grams in ngram_sets(part.column(0), n):
                     if not len(grams) or (name := names(grams)[0]) in seen:
@@ -272,7 +274,7 @@ def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 sets = ngram_sets(part.column(0), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "text"])
