@@ -11,7 +11,8 @@ piece is one run; runs point to the run that holds their exit, and pointer
 jumping from the file's start, in a number of rounds logarithmic in the
 broken links, keeps the pieces that are reached. The other
 pieces belong to the payload of the record before them. Only headers and
-digests are kept on the way; a payload that spans pieces is read again.
+digests are kept on the way; a payload that spans pieces is read again, and if the
+second scan's splits differ, so that it does not come out whole, the read fails.
 
 Defined results: a null payload is empty; equal rows with the largest id are all
 responses; a null id is below every id; a record whose end lies past the file's end
@@ -150,5 +151,8 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     joined = bodies.groupBy("file", "offset").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "body"))), lambda x: x["body"]), MAGIC).alias("body"))
     text = F.substr("body", F.instr("body", END) + len(END), F.length("body") - F.instr("body", END) - (2 * len(END) - 1))
     whole = joined.select("file", "offset", text.alias("payload")).withColumn("own", F.sha1("payload"))
-    out = records.join(whole, ["file", "offset"], "left").withColumn("digest", F.coalesce("own", "digest"))
+    # pieces are found again by their splits: a payload that is not whole then is an error, never a result
+    lost = F.raise_error(F.concat(F.lit("the archive's splits changed while it was read: "), "file", F.lit(" at "), F.col("offset").cast("string")))
+    found = F.octet_length("payload") == F.col("length")
+    out = records.join(whole, ["file", "offset"], "left").withColumn("digest", F.when(found, F.col("own")).when(F.col("next") > F.col("stop"), lost).otherwise(F.col("digest")))
     return out.select(*columns, *(["payload"] if payload else []))

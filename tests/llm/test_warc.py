@@ -74,3 +74,19 @@ def test_empty_table(spark):
     path = fresh_path(spark, "test-archives")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path, "page_id", "url", "html")
     assert warc.read(spark, path).count() == 0
+
+
+def test_changed_splits_fail_rather_than_lose_pieces(spark, archive, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real, calls = warc._pieces, []
+
+    def pieces(*args):
+        calls.append(1)
+        found = real(*args)
+        return found if len(calls) == 1 else found.withColumn("piece", F.col("piece") + F.when(F.col("piece") % 5 == 0, 1 << 20).otherwise(0))
+
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    with pytest.raises(Exception, match="splits changed"):
+        warc.read(spark, archive).select("digest").collect()
+    assert len(calls) == 2
