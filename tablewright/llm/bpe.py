@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.llm.shared import release
 from tablewright.names import quote_ident
 
 #: Characters of a piece of a long text, and of a word that is joined as a tree.
@@ -331,7 +332,10 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], _as_lists([bpe.encode(t) for t in part.column(0).to_pylist()])], names=[*rest, ids]
                 )
-        bpe.reset()  # the worker goes on to other stages
+        # the worker goes on to other stages, without the vocabulary
+        _bpe.cache_clear()
+        del bpe
+        release()
 
     is_long = F.coalesce(F.length(column), F.lit(0)) > piece_chars
     whole = df.filter(~is_long).select(F.coalesce(column, F.lit("")).alias("__text"), *others).mapInArrow(short, schema)
@@ -396,8 +400,8 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(vocabulary)
-        names = np.array([bpe.tokens.get(i, "") for i in range(max(bpe.tokens) + 1)], object)
+        tokens = _bpe(vocabulary).tokens
+        names = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
         for batch in batches:
             for part in _slices(batch, at, 2_000_000):
                 lists = part.column(at)
@@ -405,5 +409,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                 tokens = names[flat]
                 texts = [" ".join(tokens[a:b]) for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*rest, text])
+        _bpe.cache_clear()
+        release()
 
     return df.mapInArrow(run, _with(df, text, T.StringType()))

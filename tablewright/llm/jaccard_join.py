@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import discard, keep, packed, unpacked
+from tablewright.llm.shared import discard, keep, packed, release, unpacked
 from tablewright.llm.words import digest_hashes, mix, slices, words
 from tablewright.names import quote_ident
 
@@ -205,6 +205,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 sets = ngram_sets(part.column(1), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], names=["doc_id", "mark", "size", "d1", "d2"])
+        release()
 
     return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("mark", "size", "d1", "d2"))]))
 
@@ -235,6 +236,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
                 sig, who, kind = map(np.concatenate, (sigs, nodes, kinds))
                 rows = packed(((sig >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, sig, who, kind)
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([r[i] for _, r in rows], pa.binary()) for i in range(3))], names=["bucket", "sig", "who", "kind"])
+        release()
 
     def read(table: pa.Table) -> pa.Table:
         sig, who, kind = (unpacked(table[c], t) for c, t in (("sig", np.uint64), ("who", np.int64), ("kind", np.uint8)))
@@ -278,6 +280,7 @@ def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 sets = ngram_sets(part.column(0), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "text"])
+        release()
 
     marked = docs.select("text", "mark").join(_few(wanted.select("mark").distinct()), "mark", "left_semi").select("text")
     own = marked.mapInArrow(run, "d1 long, d2 long, size long, sketch binary, text string")

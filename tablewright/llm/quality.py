@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.llm.shared import release
 from tablewright.llm.words import Words, mix, slices, words
 from tablewright.names import quote_ident
 
@@ -155,5 +156,6 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
             for part in slices(batch, at, SLICE):
                 value = 1 / (1 + np.exp(-np.clip(own.margins(part.column(at)), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, name])
+        release()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))

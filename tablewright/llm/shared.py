@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,16 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give back the memory that a task has freed. Spark's Python workers go on to other tasks, and what the
+    allocators hold back adds to what these need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:
     """The entries of each bucket as bytes, a row per bucket that has any; entries keep their order."""
     order = np.argsort(bucket, kind="stable")
