@@ -72,8 +72,10 @@ class JobSpec:
     database: str | None = setting("table.database", NAME)
     table_format: str = setting("table.format", FORMAT, "parquet")
     location: str | None = setting("table.location", PATH)
+    evolve: bool = setting("table.evolve", SWITCH, False)
     output_path: str | None = setting("output.path", PATH)
     output_format: str = setting("output.format", FORMAT, "parquet")
+    max_file_bytes: int | None = setting("output.max_file_bytes", COUNT)
     input_path: str | None = setting("source.path", PATH)
     input_format: str = setting("source.format", FORMAT, "parquet")
     input_options: Mapping[str, Any] = setting("source.options", OPTIONS, dict)
@@ -120,6 +122,8 @@ class JobSpec:
             given = [k for k in (a, b) if k.split(".")[1] in told[k.split(".")[0]]]
             if len(given) != 1:
                 raise ConfigError(f"invalid config: needs exactly one of {a}, {b}")
+        if spec.max_partitions and spec.max_file_bytes:
+            raise ConfigError("invalid config: needs at most one of processing.max_partitions, output.max_file_bytes")
         if spec.runs_root and spec.run_id and not RUN_ID.fullmatch(spec.run_id):
             raise ConfigError(f"invalid config: run.id must be {RUN_FORM}")
         return spec

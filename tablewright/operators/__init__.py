@@ -7,7 +7,7 @@ from tablewright.operators.filter import count_rows, filter_count, filter_rows
 from tablewright.operators.latest import latest_per_key
 from tablewright.operators.lineage import stamp_lineage
 from tablewright.operators.manifest import manifest, stamp_manifest
-from tablewright.operators.partitions import cap_partitions
+from tablewright.operators.partitions import cap_partitions, rebalance, sized
 from tablewright.operators.pick import pick_per_key
 from tablewright.operators.schema import misfits, schema_check
 from tablewright.operators.sketches import estimates, manifest_sketches, merge_sketches
@@ -28,7 +28,9 @@ __all__ = [
     "merge_sketches",
     "misfits",
     "pick_per_key",
+    "rebalance",
     "schema_check",
+    "sized",
     "stamp_lineage",
     "stamp_manifest",
     "write_digested",

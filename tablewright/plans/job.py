@@ -10,14 +10,15 @@ its rows are written; an id that the ledger has is refused before anything is wr
 from __future__ import annotations
 
 from collections.abc import Mapping
+from contextlib import nullcontext
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.config import JobSpec, config_sha256, make_run_id, reader_options
 from tablewright.names import TableName, resolve_table
-from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows, schema_check, stamp_lineage
-from tablewright.sinks import append, create_table_if_absent, is_published, observed, record_run, write_files
+from tablewright.operators import cap_partitions, deduplicate, derive, filter_rows, rebalance, schema_check, sized, stamp_lineage
+from tablewright.sinks import append, append_evolving, create_table_if_absent, is_published, observed, record_run, write_files
 from tablewright.sources import range_source, read_files
 
 # The original job's defaults. It generates ids 0 to 999
@@ -85,16 +86,19 @@ def run(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     source = read_source(spark, spec)
     check_schema(source, spec)
     df = transform(source, spec)
+    if spec.max_file_bytes:
+        df = rebalance(df, spec.max_file_bytes)
     if spec.lineage:
         df = stamp_lineage(df, cfg, run_id=run_id)
     seen = None
     if spec.runs_root:
         df, seen = observed(df)
-    if target is None:
-        write_files(df, spec.output_path, fmt=spec.output_format)
-    else:
-        create_table_if_absent(spark, target, df.schema, spec.table_format, spec.location)
-        append(df, target)
+    with sized(spark, spec.max_file_bytes) if spec.max_file_bytes else nullcontext():
+        if target is None:
+            write_files(df, spec.output_path, fmt=spec.output_format)
+        else:
+            create_table_if_absent(spark, target, df.schema, spec.table_format, spec.location)
+            append_evolving(df, target) if spec.evolve else append(df, target)
     if seen is not None:
         place = (target.dotted, "table", spec.table_format) if target else (spec.output_path, "path", spec.output_format)
         record_run(spark, spec.runs_root, run_id, spec.job, config_sha256(cfg), seen(), *place, note=spec.note, environment=spec.environment)

@@ -37,14 +37,18 @@ from tablewright.plans.job import run
 from tablewright.session import fresh_path, fresh_table_suffix
 from tablewright.sinks import (
     append,
+    append_evolving,
+    compact_ledger,
     create_table_if_absent,
     publish_run,
     read_latest_run,
     read_runs,
     run_ledger,
+    unpublished_runs,
     update_latest,
     write_files,
     write_run,
+    write_sized,
 )
 from tablewright.sources import load_table, read_files
 from tablewright.streaming import run_incremental
@@ -111,6 +115,35 @@ def append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name.quoted)
 
 
+def append_evolved_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended in three shapes to a table with structs, arrays and maps: whole; with fields missing, narrower and
+    in another order; with a column that the table does not have. Read back flat."""
+    orders = load_table(spark, sf_dir, "orders")
+    key, status, price, priority = (F.col(c) for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    part = F.pmod(key, F.lit(3))
+    whole = orders.filter(part == 0).select(
+        key.alias("id"),
+        F.struct(status.alias("status"), price.alias("price")).alias("info"),
+        F.array(F.struct(key.alias("n"), priority.alias("label"))).alias("tags"),
+        F.create_map(status, F.struct(key.alias("n"), priority.alias("label"))).alias("by_status"),
+    )
+    narrow = orders.filter(part == 1).select(
+        F.create_map(status, F.struct(key.cast("int").alias("N"))).alias("by_status"),
+        F.array(F.struct(priority.alias("label"), (key % 100).cast("tinyint").alias("n"))).alias("TAGS"),
+        F.struct(status.alias("status")).alias("info"),
+        key.cast("int").alias("id"),
+    )
+    grown = orders.filter(part == 2).select(key.alias("id"), F.struct(price.alias("price"), status.alias("status")).alias("info"), priority.alias("priority"))
+    name, location = _fresh_table(spark, "evolved")
+    create_table_if_absent(spark, name, whole.schema, "parquet", location)
+    for rows in (whole, narrow, grown):
+        append_evolving(rows, name)
+    tag, of = F.col("tags")[0], F.col("by_status")[F.col("info.status")]
+    return spark.table(name.quoted).select(
+        "id", "info.status", "info.price", tag["n"].alias("tag_n"), tag["label"].alias("tag_label"), of["n"].alias("map_n"), of["label"].alias("map_label"), "priority"
+    )
+
+
 # --- D-4 read input_path, write output_path -----------------------------------------------
 
 def copy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +163,16 @@ def capped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), (F.count(F.lit(1)) <= MAX_FILES).alias("within_cap"))
 
 
+MAX_FILE_BYTES = 8 << 20
+
+
+def sized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in folders by status, in files of MAX_FILE_BYTES at most: the rows of each, and whether the bound held."""
+    out = write_sized(load_table(spark, sf_dir, "orders"), fresh_path(spark, "copies/sized"), MAX_FILE_BYTES, partition_by=["o_orderstatus"])
+    sizes = F.max("_metadata.file_size") <= MAX_FILE_BYTES
+    return read_files(spark, out).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"), sizes.alias("within_bound"))
+
+
 # --- D-6 deduplication -----------------------------------------------------------------------
 
 def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +350,22 @@ def latest_run_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_latest_run(spark, root, schema, PUBLISHED_JOB)
 
 
+def compacted_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of two runs, compacted, then a third run published, and one never: what the ledger says of each run, the
+    folder that it does not name, and the latest run as read back."""
+    root, schema = _publish_orders_runs(spark, sf_dir)
+    compact_ledger(spark, root)
+    orders = load_table(spark, sf_dir, "orders")
+    publish_run(orders.filter("o_orderstatus = 'F'"), root, AFTER_RUN, {}, PUBLISHED_JOB)
+    ledger = run_ledger(spark, root).select("run_id", F.lit("entry").alias("kind"), "row_count")
+    lost = unpublished_runs(spark, root).select("run_id", F.lit("unpublished").alias("kind"), F.lit(None).cast("long").alias("row_count"))
+    last = read_latest_run(spark, root, orders.schema, PUBLISHED_JOB).groupBy("run_id").agg(F.lit("latest").alias("kind"), F.count(F.lit(1)).alias("row_count"))
+    return ledger.unionByName(lost).unionByName(last)
+
+
+AFTER_RUN = "20260104_000000-0000000c"
+
+
 # --- I-7 the composed job, end to end ------------------------------------------------------------
 
 def documents_job_config(spark: SparkSession, sf_dir: str) -> dict:
@@ -443,8 +502,10 @@ QUERIES: dict[str, Query] = {
     "sql_text_orders": sql_text_orders,
     "append_roundtrip": append_roundtrip,
     "append_twice": append_twice,
+    "append_evolved_orders": append_evolved_orders,
     "copy_orders": copy_orders,
     "capped_orders": capped_orders,
+    "sized_orders": sized_orders,
     "dedup_documents": dedup_documents,
     "schema_check_orders": schema_check_orders,
     "schema_check_documents": schema_check_documents,
@@ -460,6 +521,7 @@ QUERIES: dict[str, Query] = {
     "run_partition_roundtrip": run_partition_roundtrip,
     "run_ledger_orders": run_ledger_orders,
     "latest_run_orders": latest_run_orders,
+    "compacted_ledger_orders": compacted_ledger_orders,
     "job_documents": job_documents,
     "job_orders_recorded": job_orders_recorded,
     "job_latest_run": job_latest_run,
@@ -575,6 +637,19 @@ def oracles() -> dict[str, str]:
         "sql_text_orders": _ORDERS_IDS,
         "append_roundtrip": _ORDERS_IDS,
         "append_twice": f"{_ORDERS_IDS} UNION ALL {_ORDERS_IDS}",
+        "append_evolved_orders": (
+            "SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice END AS price, "
+            "CASE o_orderkey % 3 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey % 100 END AS tag_n, "
+            "CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS tag_label, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS map_n, "
+            "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS map_label, CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS priority FROM orders"
+        ),
+        "sized_orders": "SELECT o_orderstatus, count(*) AS n_rows, true AS within_bound FROM orders GROUP BY o_orderstatus",
+        "compacted_ledger_orders": (
+            "WITH n AS (SELECT count(*) AS whole, count(*) FILTER (WHERE o_orderstatus = 'F') AS part FROM orders) "
+            + " UNION ALL ".join(f"SELECT '{RUN_IDS[t]}' AS run_id, 'entry' AS kind, whole AS row_count FROM n" for t in PUBLISHED_TIMES)
+            + f" UNION ALL SELECT '{AFTER_RUN}', 'entry', part FROM n UNION ALL SELECT '{AFTER_RUN}', 'latest', part FROM n WHERE part > 0"
+            + f" UNION ALL SELECT '{make_run_id(run_config(UNPUBLISHED_TIME), UNPUBLISHED_TIME)}', 'unpublished', NULL FROM n"
+        ),
         "copy_orders": "SELECT * FROM orders",
         "dedup_documents": _DEDUP_DOCUMENTS,
         "schema_check_orders": _schema_check_sql(),

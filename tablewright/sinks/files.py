@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from tablewright.operators.partitions import rebalance, sized
+
 
 def write_files(
     df: DataFrame,
@@ -21,3 +23,9 @@ def write_files(
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return path
+
+
+def write_sized(df: DataFrame, path: str, max_bytes: int, fmt: str = "parquet", mode: str = "errorifexists", partition_by: Sequence[str] = (), **options: str) -> str:
+    """``write_files`` in files of ``max_bytes`` at most and few small ones; see ``rebalance`` and ``sized``."""
+    with sized(df.sparkSession, max_bytes):
+        return write_files(rebalance(df, max_bytes, partition_by), path, fmt, mode, partition_by, **options)

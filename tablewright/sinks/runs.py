@@ -8,7 +8,8 @@ appended its ledger row to ``root/_runs`` after the write succeeded
 (folders starting with ``_`` are skipped when the root is read as data).
 The ledger is the per-run manifest; the latest run per job is one
 ``latest_per_key`` over it. Each entry is its own write-once folder, so
-runs published at the same time do not share a committer folder.
+runs published at the same time do not share a committer folder. ``compact_ledger``
+writes a snapshot, from which readers then open a few files whatever the number of runs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tablewright.functions import digest_sum, row_text
 from tablewright.names import quote_ident
 from tablewright.operators.latest import latest_per_key
 from tablewright.sinks.files import write_files
+from tablewright.sinks.ledger import files_under, part_of, read_with_tail, write_snapshot
 
 RUN_COLUMN = "run_id"
 
@@ -180,12 +182,42 @@ def publish_run(
 
 def run_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Every published run's entry; ``run_id`` comes from the entry's folder."""
-    return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path(root))
+    return read_with_tail(spark, root, ledger_path(root), LEDGER_SCHEMA, RUN_COLUMN, "entries")
+
+
+def compact_ledger(spark: SparkSession, root: str) -> str:
+    """Write a snapshot of the ledger; returns its folder. Earlier snapshots are no longer read."""
+    entries = run_ledger(spark, root)
+    return write_snapshot(entries, latest_per_key(entries, ["job"], ["published_at", RUN_COLUMN]), root)
+
+
+def unpublished_runs(spark: SparkSession, root: str) -> DataFrame:
+    """``run_id, n_files, size_bytes, last_modified`` of the run folders under ``root`` that no ledger
+    entry names: runs being written, or left by a lost driver (also what it had not committed yet).
+
+    Only names are listed, no file is opened but the ledger's. A folder without any file holds nothing and has no row.
+    Nothing is deleted; choose by ``last_modified``, as a run being written looks the same.
+    """
+    runs = f"{root.rstrip('/')}/{RUN_COLUMN}=*"
+    # a job's uncommitted files lie in hidden folders, which listings enter only if they are named
+    places = [files_under(spark, runs + hidden) for hidden in ("", "/_temporary/*", "/_temporary/*/_temporary/*")]
+    empty = spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    files = empty
+    for found in places:
+        files = files if found is None else files.unionByName(found)
+    by_run = files.groupBy(part_of("path", RUN_COLUMN).alias(RUN_COLUMN)).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("last_modified")
+    )
+    if files_under(spark, ledger_path(root)) is None:
+        return by_run
+    named = run_ledger(spark, root).filter(F.coalesce(F.col("kind"), F.lit(FOLDER)) == FOLDER).select(RUN_COLUMN)
+    return by_run.join(named, RUN_COLUMN, "left_anti")
 
 
 def latest_runs(spark: SparkSession, root: str) -> DataFrame:
     """Ledger row of the run published last, per job."""
-    return latest_per_key(run_ledger(spark, root), ["job"], ["published_at", RUN_COLUMN])
+    newest = read_with_tail(spark, root, ledger_path(root), LEDGER_SCHEMA, RUN_COLUMN, "newest")
+    return latest_per_key(newest, ["job"], ["published_at", RUN_COLUMN])
 
 
 def is_published(spark: SparkSession, root: str, run_id: str) -> bool:

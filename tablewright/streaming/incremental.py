@@ -117,6 +117,8 @@ def _check_incremental(spec: JobSpec) -> None:
     """Refuse what the incremental job would otherwise ignore."""
     if not spec.table or not spec.input_path:
         raise ConfigError("invalid config: the incremental job needs table.name and source.path")
+    if spec.evolve or spec.max_file_bytes:
+        raise ConfigError("invalid config: table.evolve and output.max_file_bytes are the batch job's")
     if spec.runs_root:
         raise ConfigError("invalid config: run.root is the batch job's; the incremental job's record is its checkpoint")
     if spec.dedup and not (spec.dedup_keys and spec.horizon):
