@@ -10,10 +10,10 @@ than that, and parts that are empty may go without an index. How many segments
 get deletions or are spare is decided per band by cost: rows written against
 collisions expected from the number of sets in the band.
 
-Sets that share a signature are a group, and candidates are its pairs. A sketch of a set, an 8-bit sum
-for each of some hundred finer segments, bounds the difference of two sets from below: segments that
-differ cannot outnumber the n-grams that do. Candidates whose sketches differ in more than H
-segments go; the others are verified exactly, on the words of their texts.
+Sets that share a signature are a group, and candidates are its pairs. A sketch of a set, a bit
+for each of some hundred finer segments that says whether its part is odd in number, bounds the difference of two
+sets from below: bits that differ cannot outnumber the n-grams that do. Candidates whose sketches differ in more than H
+bits go; the others are verified exactly, on the words of their texts.
 
 Equal sets are one node from the start, named by 128 bits. Components need links, not all
 pairs: each node is first checked against one reference, the node of its groups that shares most
@@ -58,8 +58,10 @@ CHUNK = 64
 BROADCAST_ROWS = 200_000
 #: Bytes of text read into sets at once; some twenty times as many bytes are held for them.
 SLICE = 2_000_000
-#: Finer segments of a sketch, at least; beyond, a quarter as many as n-grams and more, a power of two.
-SKETCH = 32
+#: Bits of a sketch, at least; beyond, half as many as n-grams and more, a power of two.
+SKETCH = 256
+#: A candidate pair is looked at by a sketch of so many times the bits before texts move.
+SHARPER = 4
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -95,28 +97,33 @@ def names(grams: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """An 8-bit sum for each segment of the set."""
+def sketch(grams: np.ndarray, times: int = 1) -> bytes:
+    """A bit for each segment of the set: whether its n-grams are odd in number."""
     m = SKETCH
-    while 4 * m < len(grams):
+    while 2 * m < len(grams):
         m *= 2
-    values = mix(grams)
-    sums = np.bincount((values & np.uint64(m - 1)).astype(np.int64), weights=((values >> np.uint64(56)) | np.uint64(1)).astype(np.float64), minlength=m)
-    return (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+    m *= times
+    counts = np.bincount((mix(grams) & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def folded(rows: list[bytes], m: int) -> np.ndarray:
-    """Sketches as rows of m sums; sums modulo 2^8 of segments that become one are added."""
-    out = np.empty((len(rows), m), np.uint8)
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of ``size`` bytes; the bits of segments that become one are added modulo 2."""
+    out = np.empty((len(rows), size), np.uint8)
     for i, x in enumerate(rows):
-        out[i] = np.frombuffer(x, np.uint8).reshape(-1, m).sum(axis=0, dtype=np.uint8)
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
     return out
 
 
-def may_link(a: int, b: np.ndarray, differing: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes a and b can be linked whose sketches differ in so many segments: with a
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits of folded sketches differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def may_link(a: int, b: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b can be linked whose sketches differ in so many bits: with a
     difference of D, 200 x shared = 100 (a + b - D), and the union holds half of a + b + D."""
-    return (100 + percent) * differing <= (100 - percent) * (a + b)
+    return (100 + percent) * bits <= (100 - percent) * (a + b)
 
 
 @lru_cache(maxsize=4)
@@ -234,12 +241,13 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
                 if not sigs:
                     continue
                 sig, who, kind = map(np.concatenate, (sigs, nodes, kinds))
-                rows = packed(((sig >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, sig, who, kind)
+                # the bucket and 32 bits: a chance agreement only joins two groups
+                rows = packed(((sig >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, sig.astype(np.uint32), who, kind)
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([r[i] for _, r in rows], pa.binary()) for i in range(3))], names=["bucket", "sig", "who", "kind"])
         release()
 
     def read(table: pa.Table) -> pa.Table:
-        sig, who, kind = (unpacked(table[c], t) for c, t in (("sig", np.uint64), ("who", np.int64), ("kind", np.uint8)))
+        sig, who, kind = (unpacked(table[c], t) for c, t in (("sig", np.uint32), ("who", np.int64), ("kind", np.uint8)))
         order = np.argsort(sig, kind="stable")
         sig, who, kind = sig[order], who[order], kind[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -271,7 +279,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
 
 
 def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``node, size, sketch, text`` of the wanted ``node, d1, d2, mark``, once each; only texts
+    """``node, size, sketch, sharp, text`` of the wanted ``node, d1, d2, mark``, once each; only texts
     with the mark of one that is wanted are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,17 +287,17 @@ def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, 0, SLICE):
                 sets = ngram_sets(part.column(0), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.array([sketch(s, SHARPER) for s in sets], pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "sharp", "text"])
         release()
 
     marked = docs.select("text", "mark").join(_few(wanted.select("mark").distinct()), "mark", "left_semi").select("text")
-    own = marked.mapInArrow(run, "d1 long, d2 long, size long, sketch binary, text string")
-    own = own.join(_few(wanted), ["d1", "d2"]).select("node", "size", "sketch", "text")
-    return own.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("text").alias("text"))
+    own = marked.mapInArrow(run, "d1 long, d2 long, size long, sketch binary, sharp binary, text string")
+    own = own.join(_few(wanted), ["d1", "d2"]).select("node", "size", "sketch", "sharp", "text")
+    return own.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("sharp").alias("sharp"), F.min("text").alias("text"))
 
 
 def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sketches allow a link."""
+    """The pairs ``a, b`` whose sharper sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,10 +305,10 @@ def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 m = min(len(p), len(q))
                 one, two = folded([p, q], m)
-                ok.append(bool(may_link(x, y, int((one != two).sum()), percent)))
+                ok.append(bool(may_link(x, y, int(differing(one, two)), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+    left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sharp").alias(f"{c}_sketch")) for c in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
     return joined.mapInArrow(run, "a long, b long")
 
@@ -347,7 +355,7 @@ def _compared(met: DataFrame, percent: int) -> DataFrame:
                 node, label, size = (np.array([x[c] for x in others], np.int64) for c in ("node", "label", "size"))
                 for x, row in zip(own, folded([x["sketch"] for x in own], m)):
                     maybe = np.flatnonzero(label != x["label"])
-                    ok = maybe[may_link(x["size"], size[maybe], (table[maybe] != row).sum(axis=1), percent)]
+                    ok = maybe[may_link(x["size"], size[maybe], differing(table[maybe], row), percent)]
                     a += [x["node"]] * len(ok)
                     b += node[ok].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
@@ -417,7 +425,9 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = groups.join(label, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("group")
     pairs = keep(_across(keep(named.join(_few(mixed), "group"), "jaccard"), sets, percent), "jaccard")
-    more = keep(_verified(pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), sets, n, percent), "jaccard")
+    turned = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    fresh = keep(_sketched(pairs.join(stars, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti"), sets, percent), "jaccard")
+    more = keep(_verified(fresh, sets, n, percent), "jaccard")
     if more.head(1):
         label = components(links.unionByName(more))
     discard(sets, weighted)

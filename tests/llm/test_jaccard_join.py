@@ -89,7 +89,7 @@ def test_sketches_never_hide_a_link():
 
     rng = np.random.default_rng(4)
     refused = 0
-    for size in (3, 20, 63, 64, 65, 130, 260, 3000):
+    for size in (3, 20, 130, 260, 511, 512, 513, 3000):
         for share in (0.0, 0.03, 0.05, 0.1, 0.3):
             a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
             b = np.unique(np.concatenate([a[rng.random(len(a)) >= share], rng.integers(0, 1 << 62, int(size * share)).astype(np.uint64)]))
@@ -97,7 +97,7 @@ def test_sketches_never_hide_a_link():
             one, two = jaccard_join.folded([p, q], min(len(p), len(q)))
             both = len(np.intersect1d(a, b))
             for percent in (80, 90):
-                maybe = bool(jaccard_join.may_link(len(a), len(b), int((one != two).sum()), percent))
+                maybe = bool(jaccard_join.may_link(len(a), len(b), int(jaccard_join.differing(one, two)), percent))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     assert maybe
                 refused += not maybe
