@@ -60,6 +60,8 @@ BROADCAST_ROWS = 200_000
 SLICE = 2_000_000
 #: Bits of a sketch, at least; beyond, half as many as n-grams and more, a power of two.
 SKETCH = 256
+#: Sketches of unrelated sets differ in half their bits; so many standard deviations must lie between that and a link's.
+APART = 4
 #: A candidate pair is looked at by a sketch of so many times the bits before texts move.
 SHARPER = 4
 
@@ -97,12 +99,17 @@ def names(grams: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(blake2b(grams.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
-def sketch(grams: np.ndarray, times: int = 1) -> bytes:
-    """A bit for each segment of the set: whether its n-grams are odd in number."""
-    m = SKETCH
-    while 2 * m < len(grams):
+def sketch_bits(size: int, percent: int) -> int:
+    """Bits of the sketch of a set: enough to tell it from unrelated sets, up to the largest it can be linked with."""
+    m, most = SKETCH, size * (100 - percent) / percent
+    while 2 * m < size or (m - APART * m**0.5) / 2 < most:
         m *= 2
-    m *= times
+    return m
+
+
+def sketch(grams: np.ndarray, times: int = 1, percent: int = PERCENT) -> bytes:
+    """A bit for each segment of the set: whether its n-grams are odd in number."""
+    m = sketch_bits(len(grams), percent) * times
     counts = np.bincount((mix(grams) & np.uint64(m - 1)).astype(np.int64), minlength=m)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -278,7 +285,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
     return found.distinct()
 
 
-def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, n: int, percent: int, wanted: DataFrame) -> DataFrame:
     """``node, size, sketch, sharp, text`` of the wanted ``node, d1, d2, mark``, once each; only texts
     with the mark of one that is wanted are read into sets."""
 
@@ -287,7 +294,7 @@ def _texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, 0, SLICE):
                 sets = ngram_sets(part.column(0), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.array([sketch(s, SHARPER) for s in sets], pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "sharp", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, 1, percent) for s in sets], pa.binary()), pa.array([sketch(s, SHARPER, percent) for s in sets], pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "sharp", "text"])
         release()
 
     marked = docs.select("text", "mark").join(_few(wanted.select("mark").distinct()), "mark", "left_semi").select("text")
@@ -408,7 +415,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wanted = keep(nodes.select("node", "d1", "d2", "mark").join(_few(found.select("d1").distinct()), "d1"), "jaccard")
     groups = keep(found.join(_few(wanted.select("d1", "node")), "d1").select("group", "node"), "jaccard")
     discard(found)
-    sets = keep(_texts(docs, n, wanted), "jaccard")
+    sets = keep(_texts(docs, n, percent, wanted), "jaccard")
 
     # each node against the one of its groups that shares most: the original of a family has
     # most parts that are equal to others'

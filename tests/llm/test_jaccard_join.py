@@ -104,6 +104,24 @@ def test_sketches_never_hide_a_link():
     assert refused > 20
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_tell_unrelated_sets_apart(percent):
+    """Sets just below twice the bits of a sketch passed for linked by chance in several of a hundred pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(480, 513, 150).tolist() + rng.integers(960, 1025, 50).tolist()
+    sets = [np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for size in sizes]
+    sketches = [jaccard_join.sketch(s, percent=percent) for s in sets]
+    passed = pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            one, two = jaccard_join.folded([sketches[i], sketches[j]], min(len(sketches[i]), len(sketches[j])))
+            passed += bool(jaccard_join.may_link(len(a), len(sets[j]), int(jaccard_join.differing(one, two)), percent))
+            pairs += 1
+    assert passed < pairs / 1000
+
+
 def test_blocks_and_chunks_change_no_result(spark, monkeypatch):
     """A family of near copies around one text, and a chain of edits, dealt into many small blocks."""
     rng = random.Random(11)
