@@ -8,9 +8,12 @@ that lie in every string reaching them, a bucket of hashes at a time. Two equal
 have at a common distance samples of equal prefix, so a string none of whose samples shares
 its prefix occurs once. The others are grouped by their ``LENGTH`` bytes, again a bucket at
 a time; each after the first of its class starts earlier elsewhere. Tasks over slices of texts
-(4 MB, or one longer text) send a prefix or string to its bucket once, however often the
-slice holds it, so a bucket has ``BUCKET_ENTRIES`` on average, as the number of buckets
-follows the input, and a frequent string adds to its own at most one entry per slice.
+(4 MB, or one longer text) send a prefix to its bucket once, however often the slice holds it,
+so a bucket has ``BUCKET_ENTRIES`` on average, as the number of buckets follows the input, and
+a frequent prefix adds to its own at most one entry per slice. Texts are dealt into lots by
+their keys; a bucket answers a lot, not each text, and a lot meets its answers in one task.
+The stretches found are put in the order of the texts and cut into chunks. A chunk sends a string once,
+and as chunks are in order, their numbers alone tell which of equal strings starts first.
 
 Only the equality of strings matters here, so strings are compared by hashes: of 32
 bits and the bucket for samples (a chance agreement costs some work only), of 96
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import keep, packed, unpacked
+from tablewright.llm.shared import discard, keep, packed, unpacked
 from tablewright.llm.words import mix, slices, text_bytes
 from tablewright.names import quote_ident
 
@@ -45,6 +48,8 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 PREFIX = LENGTH - PERIOD + 1
 #: Entries of a bucket, on average.
 BUCKET_ENTRIES = 1_000_000
+#: Bytes of a lot of texts, and of the stretches of a chunk, on average.
+LOT_BYTES, CHUNK_BYTES = 16_000_000, 1_000_000
 #: Tables up to these sizes are broadcast, else joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 # Odd multipliers of two independent polynomial hashes.
@@ -102,11 +107,12 @@ def _distinct_texts(docs: DataFrame, copies: DataFrame, few: bool) -> DataFrame:
     return joined.filter(F.col("first").isNull() | F.col("first")["doc_id"].eqNullSafe(F.col("doc_id"))).select("doc_id", "key", "text")
 
 
-def _repeated_samples(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """``key, classes``: of each text, the packed classes that other samples share.
+def _repeated_samples(texts: DataFrame, n_buckets: int, n_lots: int) -> DataFrame:
+    """``lot, classes``: a row for each bucket and lot of texts, with the packed classes of the lot's
+    samples that other samples share.
 
     A slice of texts sends each of its classes to the class's bucket once. A class that the
-    slice holds repeatedly is known to be shared: its texts are told so from there, through
+    slice holds repeatedly is known to be shared: its lots are told so from there, through
     buckets from ``n_buckets`` on, which only pass this on."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,61 +121,65 @@ def _repeated_samples(texts: DataFrame, n_buckets: int) -> DataFrame:
                 data, offsets = text_bytes(part.column(2))
                 at, row = samples(offsets)
                 every = _classes(hashes(data, at, PREFIX), n_buckets)
-                keys = part.column(1).to_numpy()
+                lot = (part.column(1).to_numpy() % n_lots)[row]
                 _, first, inverse, count = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
-                sent = np.sort(first)
+                sent = first[np.argsort(lot[first], kind="stable")]
                 bucket = (every[sent] >> np.uint64(32)).astype(np.int64)
                 out = []
-                for b, (prefix, rows) in packed(bucket, n_buckets, every[sent].astype(np.uint32), row[sent].astype(np.int32)):
-                    which, n = np.unique(np.frombuffer(rows, np.int32), return_counts=True)
-                    out.append((b, prefix, keys[which].tobytes(), n.astype(np.int32).tobytes()))
+                for b, (prefix, lots) in packed(bucket, n_buckets, every[sent].astype(np.uint32), lot[sent]):
+                    which, n = np.unique(np.frombuffer(lots, np.int64), return_counts=True)
+                    out.append((b, prefix, which.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
                 known = np.flatnonzero(count[inverse] > 1)
                 if len(known):
-                    known = known[np.lexsort((every[known], row[known]))]
-                    shared, of = every[known], row[known]
-                    new = np.concatenate([[True], (shared[1:] != shared[:-1]) | (of[1:] != of[:-1])])
-                    which, n = np.unique(of[new], return_counts=True)
-                    out.append((n_buckets + int(keys[which[0]]) % n_buckets, shared[new].tobytes(), keys[which].tobytes(), n.astype(np.int32).tobytes()))
+                    which, n, shared = _by_lot(lot[known], every[known])
+                    out.append((n_buckets + int(which[0]) % n_buckets, shared.tobytes(), which.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "prefix", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "prefix", "lot", "n"])
 
     def rank(table: pa.Table) -> pa.Table:
-        key, n = (unpacked(table[c], t) for c, t in (("key", np.int64), ("n", np.int32)))
+        lot = np.repeat(*(unpacked(table[c], np.int32) for c in ("lot", "n")))
         bucket = table["bucket"][0].as_py()
-        ends = np.cumsum(n)
         if bucket >= n_buckets:
             shared = unpacked(table["prefix"], np.uint64)
-            which, edges = np.arange(len(key)), np.concatenate([[0], ends])
         else:
             prefix = unpacked(table["prefix"], np.uint32)
             order = np.argsort(prefix, kind="stable")
             ordered = prefix[order]
             same = ordered[1:] == ordered[:-1]
-            tied = np.zeros(len(prefix), bool)
-            tied[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            entry = np.flatnonzero(tied)
-            which, start = np.unique(np.searchsorted(ends, entry, side="right"), return_index=True)
-            shared = prefix[entry].astype(np.uint64) | np.uint64(bucket << 32)
-            edges = np.append(start, len(entry))
-        blobs = [shared[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-        return pa.table({"key": pa.array(key[which], pa.int64()), "classes": pa.array(blobs, pa.binary())})
+            tied = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            shared, lot = prefix[tied].astype(np.uint64) | np.uint64(bucket << 32), lot[tied]
+        which, n, shared = _by_lot(lot, shared)
+        ends = np.cumsum(n)
+        blobs = [shared[a:b].tobytes() for a, b in zip(ends - n, ends)]
+        return pa.table({"lot": pa.array(which.astype(np.int64)), "classes": pa.array(blobs, pa.binary())})
 
-    found = texts.mapInArrow(write, "bucket int, prefix binary, key binary, n binary").groupBy("bucket").applyInArrow(rank, "key long, classes binary")
-    return found.groupBy("key").agg(F.collect_list("classes").alias("classes"))
+    return texts.mapInArrow(write, "bucket int, prefix binary, lot binary, n binary").groupBy("bucket").applyInArrow(rank, "lot long, classes binary")
 
 
-def _regions(texts: DataFrame, flags: DataFrame, few: bool, n_buckets: int) -> DataFrame:
-    """Chunks of the stretches of text whose suffixes are unresolved: ``chunk``, and packed
-    document numbers, keys, starts, sizes and bytes of the stretches."""
-    joined = texts.join(F.broadcast(flags) if few else flags, "key").select("doc_id", "key", "text", "classes")
+def _by_lot(lot: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lots, how many classes each has, and the classes, by lot, each once."""
+    order = np.lexsort((shared, lot))
+    lot, shared = lot[order], shared[order]
+    new = np.ones(len(lot), bool)
+    new[1:] = (shared[1:] != shared[:-1]) | (lot[1:] != lot[:-1])
+    which, n = np.unique(lot[new], return_counts=True)
+    return which, n, shared[new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def _regions(texts: DataFrame, told: DataFrame, n_buckets: int, n_lots: int) -> DataFrame:
+    """The stretches of text whose strings may be repeated: ``doc, key`` of the text, and packed
+    starts, sizes and bytes of its stretches."""
+    names = ["doc", "key", "start", "size", "body"]
+    schema = "doc long, key long, start binary, size binary, body binary"
+
+    def run(_: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        known = np.unique(unpacked(answers["classes"], np.uint64)) if own.num_rows and answers.num_rows else []
+        for batch in own.combine_chunks().to_batches() if len(known) else ():
             for part in slices(batch, 2):
                 data, offsets = text_bytes(part.column(2))
                 at, row = samples(offsets)
-                told = np.unique(np.frombuffer(b"".join(x for one in part.column(3).to_pylist() for x in one), np.uint64))
-                shared = np.isin(_classes(hashes(data, at, PREFIX), n_buckets), told)
+                shared = np.isin(_classes(hashes(data, at, PREFIX), n_buckets), known)
                 hit, owner = at[shared], row[shared]
                 # a string from PERIOD - 1 bytes before a sample up to it holds the sample's prefix
                 low = np.maximum(hit - (PERIOD - 1), offsets[owner])
@@ -185,13 +195,43 @@ def _regions(texts: DataFrame, flags: DataFrame, few: bool, n_buckets: int) -> D
                 np.maximum.at(last, group, high)
                 owner = owner[new]
                 size = last - begin + LENGTH
-                body = np.concatenate([data[a : a + n] for a, n in zip(begin, size)])
-                ids = np.array([-(1 << 63) if i is None else i for i in part.column(0).to_pylist()], np.int64)
-                values = (ids[owner], part.column(1).to_numpy()[owner], begin - offsets[owner], size, body)
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values], names=["doc", "key", "start", "size", "body"])
+                ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
+                edges = np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(owner))
+                for a, b in zip(edges, edges[1:]):
+                    i = owner[a]
+                    body = np.concatenate([data[x : x + n] for x, n in zip(begin[a:b], size[a:b])])
+                    out.append((-(1 << 63) if ids[i] is None else ids[i], keys[i], (begin[a:b] - offsets[i]).tobytes(), size[a:b].tobytes(), body.tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array([r[k] for r in out], kind) for k, (c, kind) in enumerate(zip(names, kinds))})
+
+    dealt = texts.select("doc_id", "key", "text", F.pmod("key", F.lit(n_lots).cast("long")).alias("lot")).groupBy("lot")
+    return dealt.cogroup(told.groupBy("lot")).applyInArrow(run, schema)
+
+
+def _chunks(regions: DataFrame, n_parts: int) -> DataFrame:
+    """The stretches in the order of the texts, a row for about ``CHUNK_BYTES`` of them: packed keys,
+    starts, sizes and bytes, and ``chunk``, whose order is that of the texts. No text is in two chunks."""
+    most = CHUNK_BYTES
+
+    def row(texts: list[tuple]) -> pa.RecordBatch:
+        key = np.concatenate([np.full(len(start) // 8, k, np.int64) for k, start, _, _ in texts])
+        values = (key.tobytes(), *(b"".join(x[i] for x in texts) for i in (1, 2, 3)))
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["key", "start", "size", "body"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, held = [], 0
+        for batch in batches:
+            for text in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                texts.append(text)
+                held += len(text[3])
+                if held >= most:
+                    yield row(texts)
+                    texts, held = [], 0
+        if texts:
+            yield row(texts)
 
-    found = joined.mapInArrow(run, "doc binary, key binary, start binary, size binary, body binary")
-    return found.withColumn("chunk", F.monotonically_increasing_id())
+    ordered = regions.repartitionByRange(n_parts, "doc", "key").sortWithinPartitions("doc", "key")
+    return ordered.mapInArrow(gather, "key binary, start binary, size binary, body binary").withColumn("chunk", F.monotonically_increasing_id())
 
 
 def _strings(size: np.ndarray) -> np.ndarray:
@@ -201,28 +241,25 @@ def _strings(size: np.ndarray) -> np.ndarray:
     return np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts) + (np.cumsum(size) - size)[stretch], stretch
 
 
-def _firsts(doc: np.ndarray, key: np.ndarray, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+def _firsts(size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places, stretches and both hashes of the chunk's strings, and whether each is the chunk's first of its kind."""
     at, stretch = _strings(size)
     one = hashes(data, at, LENGTH)
     two = (hashes(data, at, LENGTH, 1) >> np.uint64(32)).astype(np.uint32)
-    # by document and key; places within a text are in order, and stable sorts keep them so
-    by_text = np.empty(len(size), np.int64)
-    by_text[np.lexsort((key, doc))] = np.arange(len(size))
-    order = np.argsort(by_text[stretch], kind="stable")
-    kinds = np.argsort(one[order], kind="stable")
-    a, b = one[order[kinds]], two[order[kinds]]
+    # the strings are in order, and stable sorts keep them so
+    kinds = np.argsort(one, kind="stable")
+    a, b = one[kinds], two[kinds]
     same = a[1:] == a[:-1]
     if (same & (b[1:] != b[:-1])).any():
-        kinds = np.lexsort((two[order], one[order]))
-        a, b = one[order[kinds]], two[order[kinds]]
+        kinds = np.lexsort((two, one))
+        a, b = one[kinds], two[kinds]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     first = np.ones(len(at), bool)
-    first[order[kinds][1:][same]] = False
+    first[kinds[1:][same]] = False
     return at, stretch, one, two, first
 
 
-def _later(regions: DataFrame, n_buckets: int) -> DataFrame:
+def _later(chunks: DataFrame, n_buckets: int) -> DataFrame:
     """``chunk, bucket, later``: a bit for each first string of the chunk in the bucket, set if it starts earlier elsewhere.
 
     The chunk's other strings start earlier in it and are not sent, so that a string, however
@@ -231,53 +268,46 @@ def _later(regions: DataFrame, n_buckets: int) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, key, start, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(4))
-                data = np.frombuffer(batch.column(4)[i].as_py(), np.uint8)
-                _, stretch, h, more, first = _firsts(doc, key, size, data)
-                h, more, stretch = h[first], more[first], stretch[first]
-                rows = packed(_bucketed(h, n_buckets), n_buckets, h, more, stretch.astype(np.int32))
-                out = []
-                for b, (one, two, of) in rows:
-                    which, count = np.unique(np.frombuffer(of, np.int32), return_counts=True)
-                    out.append((b, one, two, doc[which].tobytes(), key[which].tobytes(), count.astype(np.int32).tobytes()))
-                names = ["chunk", "bucket", "one", "two", "doc", "key", "n"]
-                chunk = pa.array([batch.column(5)[i].as_py()] * len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays([chunk, pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6))], names=names)
+                size, data = np.frombuffer(batch.column(0)[i].as_py(), np.int64), np.frombuffer(batch.column(1)[i].as_py(), np.uint8)
+                _, _, h, more, first = _firsts(size, data)
+                h, more = h[first], more[first]
+                out = [(b, one, two) for b, (one, two) in packed(_bucketed(h, n_buckets), n_buckets, h, more)]
+                chunk = pa.array([batch.column(2)[i].as_py()] * len(out), pa.int64())
+                yield pa.RecordBatch.from_arrays([chunk, pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2))], names=["chunk", "bucket", "one", "two"])
 
     def sort(table: pa.Table) -> pa.Table:
-        one, two, n = (unpacked(table[c], t) for c, t in (("one", np.uint64), ("two", np.uint32), ("n", np.int32)))
-        doc, key = (np.repeat(unpacked(table[c], np.int64), n) for c in ("doc", "key"))
-        # a text is in one chunk, so a string's entries differ in (doc, key)
-        order = np.lexsort((key, doc, two, one))
+        one, two = (unpacked(table[c], t) for c, t in (("one", np.uint64), ("two", np.uint32)))
+        sizes = np.array([len(x) // 8 for x in table["one"].to_pylist()], np.int64)
+        # a string has one entry in a chunk, and chunks are in the order of the texts
+        order = np.lexsort((np.repeat(table["chunk"].to_numpy(), sizes), two, one))
         a, b = one[order], two[order]
         same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])]) if len(a) else np.zeros(0, bool)
         later = np.zeros(len(one), bool)
         later[order] = same
-        sizes = np.array([len(x) // 8 for x in table["one"].to_pylist()], np.int64)
         ends = np.cumsum(sizes)
         bits = [np.packbits(later[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
         return pa.table({"chunk": table["chunk"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), "later": pa.array(bits, pa.binary())})
 
-    sent = regions.select("doc", "key", "start", "size", "body", "chunk").mapInArrow(write, "chunk long, bucket int, one binary, two binary, doc binary, key binary, n binary")
+    sent = chunks.select("size", "body", "chunk").mapInArrow(write, "chunk long, bucket int, one binary, two binary")
     return sent.groupBy("bucket").applyInArrow(sort, "chunk long, bucket int, later binary")
 
 
-def _removed(regions: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
+def _removed(chunks: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
     """``key, first, last``: the merged removed byte runs of each text, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, key, start, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(4))
-                data = np.frombuffer(batch.column(4)[i].as_py(), np.uint8)
-                at, stretch, h, _, first = _firsts(doc, key, size, data)
+                key, start, size = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(3))
+                data = np.frombuffer(batch.column(3)[i].as_py(), np.uint8)
+                at, stretch, h, _, first = _firsts(size, data)
                 sent = np.flatnonzero(first)
                 bucket = _bucketed(h[sent], n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 order = sent[order]
                 hit = ~first
-                for b, bits in zip(batch.column(5)[i].as_py(), batch.column(6)[i].as_py()):
+                for b, bits in zip(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()):
                     mine = order[edges[b] : edges[b + 1]]
                     hit[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
                 place = (start - (np.cumsum(size) - size))[stretch[hit]] + at[hit]
@@ -292,7 +322,7 @@ def _removed(regions: DataFrame, later: DataFrame, n_buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), *(pa.array([s[k] for s in spans], pa.binary()) for k in (1, 2))], names=["key", "first", "last"])
 
     told = later.groupBy("chunk").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("later").alias("later"))
-    joined = regions.select("chunk", "doc", "key", "start", "size", "body").join(told, "chunk").select("doc", "key", "start", "size", "body", "buckets", "later")
+    joined = chunks.select("chunk", "key", "start", "size", "body").join(told, "chunk").select("key", "start", "size", "body", "buckets", "later")
     return joined.mapInArrow(run, "key long, first binary, last binary")
 
 
@@ -329,13 +359,15 @@ def deduplicate_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     twice = copies.filter("first.rows > 1").select("key")
     if twice.head(1):  # rows with the same number and text count once
         texts = texts.join(twice, "key", "left_anti").select(*texts.columns).unionByName(texts.join(twice, "key", "left_semi").dropDuplicates(["key"]))
-    flags = keep(_repeated_samples(texts, max(16, total * len(COVER) // PERIOD // BUCKET_ENTRIES)), "suffixes")
-    flag_bytes = flags.agg(F.sum(F.aggregate("classes", F.lit(0).cast("long"), lambda t, o: t + F.octet_length(o) + 16))).first()[0] or 0
-    regions = keep(_regions(texts, flags, flag_bytes <= BROADCAST_BYTES, max(16, total * len(COVER) // PERIOD // BUCKET_ENTRIES)), "suffixes")
+    n_buckets, n_lots = max(16, total * len(COVER) // PERIOD // BUCKET_ENTRIES), max(16, total // LOT_BYTES)
+    regions = keep(_regions(texts, _repeated_samples(texts, n_buckets, n_lots), n_buckets, n_lots), "suffixes")
     unresolved = regions.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    chunks = keep(_chunks(regions, max(2, unresolved // (4 * CHUNK_BYTES))), "suffixes")
+    discard(regions)
     n_buckets = max(16, unresolved // BUCKET_ENTRIES)
-    later = keep(_later(regions, n_buckets), "suffixes")
-    removed = keep(_removed(regions, later, n_buckets), "suffixes")
+    later = keep(_later(chunks, n_buckets), "suffixes")
+    removed = keep(_removed(chunks, later, n_buckets), "suffixes")
+    discard(later)
     span_bytes = removed.agg(F.sum(F.octet_length("first") * 2 + 24)).first()[0] or 0
 
     rest = df.columns

@@ -139,6 +139,39 @@ def test_a_frequent_string_is_sent_to_its_bucket_once_per_slice(spark, monkeypat
         assert 1 < max(counts.values()) <= 2, name
 
 
+def test_buckets_answer_lots_and_send_no_text_numbers(spark, monkeypatch):
+    """Answers were a row for each bucket and text, and each string went with its text's number and key."""
+    rng = random.Random(7)
+    passages = [paragraph(rng, 4) for _ in range(5)]
+    rows = [(rng.randrange(40) if i % 9 else None, f"{sentence(rng, 9)}{rng.choice(passages)}{sentence(rng, 30)}{rng.choice(passages)}{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, TEXT_SCHEMA).repartition(4)
+    answers, sent, repeated, later = [], [], suffix_dedup._repeated_samples, suffix_dedup._later
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "LOT_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "_repeated_samples", lambda texts, *n: (answers.append((out := repeated(texts, *n), n)), out)[1])
+    monkeypatch.setattr(suffix_dedup, "_later", lambda chunks, n: (sent.append(chunks.count()), later(chunks, n))[1])
+    got = digests(suffix_dedup.deduplicate_bytes(df))
+    assert got == brute_bytes_by_text(rows)
+    (told, (n_buckets, n_lots)) = answers[0]
+    assert n_lots > 16 and sent[0] > 20
+    assert not told.groupBy("lot").count().filter(f"count > {2 * n_buckets}").head(1) and told.filter(f"lot < 0 or lot >= {n_lots}").count() == 0
+    few, lots = repeated(df.selectExpr("doc_id", "xxhash64(text) as key", "text"), 16, 3), 3
+    assert few.count() <= 2 * 16 * lots < len(rows)
+
+
+def brute_bytes_by_text(rows):
+    """Rows of one number are in the order of their texts' keys."""
+    key = {t: suffix_key(t) for _, t in rows}
+    return brute_bytes(sorted(rows, key=lambda r: key[r[1]]))
+
+
+def suffix_key(text):
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    return SparkSession.active().range(1).select(suffix_dedup.text_key(F.lit(text), 0)).first()[0]
+
+
 def test_bytes_other_columns_empty_table_and_no_repeats(spark):
     df = spark.createDataFrame([(1, "a", "x", 5)], "doc_id long, text string, kept string, key int")
     out = suffix_dedup.deduplicate_bytes(df)
