@@ -17,10 +17,11 @@ column with the name of a new one is replaced.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -35,6 +36,9 @@ from tablewright.names import quote_ident
 #: Characters of a piece of a long text, and of a word that is joined as a tree.
 PIECE_CHARS = 65_536
 LONG_WORD = 1_024
+#: Bytes of texts encoded at once, and ids decoded at once; bound the Python objects of a worker.
+ENCODED_BYTES = 2_000_000
+DECODED_IDS = 250_000
 #: Words that a worker remembers before it starts anew (memory bound, no effect on results).
 CACHED_WORDS = 100_000
 
@@ -57,30 +61,39 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Bpe:
     """One vocabulary in one worker."""
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model.get("end_of_word_suffix") or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        spec = _spec(path)
+        self.path = path
+        self.vocab: dict[str, int] = spec["model"]["vocab"]
+        self.suffix: str = spec["model"].get("end_of_word_suffix") or ""
         self.bytes = _byte_chars()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.reset()
 
+    @cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        """The merges, which long words alone need."""
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in _spec(self.path)["model"]["merges"])
+        return {(a, b): i for i, (a, b) in enumerate(pairs)}
+
+    @cached_property
+    def tokens(self) -> dict[int, str]:
+        return {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+
     # words ------------------------------------------------------------
     def reset(self) -> None:
         self.known: dict[str, int] = {}
@@ -282,7 +295,9 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def _bpe(path: str) -> Bpe:
-    return Bpe(path)
+    bpe = Bpe(path)
+    release()  # what reading the file took
+    return bpe
 
 
 def _as_lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -292,7 +307,7 @@ def _as_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes or values of one column."""
     sizes = np.diff(np.asarray(batch.column(column).offsets if pa.types.is_list(batch.column(column).type) else _offsets(batch.column(column))))
     at, total = 0, 0
@@ -328,7 +343,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary)
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in _slices(batch, 0, ENCODED_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], _as_lists([bpe.encode(t) for t in part.column(0).to_pylist()])], names=[*rest, ids]
                 )
@@ -392,6 +407,25 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     return whole.unionByName(back)
 
 
+def token_texts(path: str) -> np.ndarray:
+    """The text of each id of a vocabulary, empty where there is none; decoding needs nothing else of it."""
+    spec = _spec(path)
+    tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
+
+
+def decoded(batches: Iterator[pa.RecordBatch], vocabulary: str, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches, in slices, with the text of the ids in column ``at`` behind the other columns."""
+    texts_of = token_texts(vocabulary)
+    release()  # what reading the file took
+    for batch in batches:
+        for part in _slices(batch, at, DECODED_IDS):
+            lists = part.column(at)
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            texts = [" ".join(texts_of[flat[a:b]]) for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with ``text``: the tokens of ``ids`` joined by a space, as the
     vocabulary without a decoder is decoded, special tokens kept."""
@@ -400,16 +434,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _bpe(vocabulary).tokens
-        names = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
-        for batch in batches:
-            for part in _slices(batch, at, 2_000_000):
-                lists = part.column(at)
-                flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-                tokens = names[flat]
-                texts = [" ".join(tokens[a:b]) for a, b in zip(offsets, offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*rest, text])
-        _bpe.cache_clear()
+        yield from decoded(batches, vocabulary, at, [*rest, text])
         release()
 
     return df.mapInArrow(run, _with(df, text, T.StringType()))

@@ -1,11 +1,13 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from llm.corpus import TEXT_SCHEMA, awkward
 from tokenizers import Tokenizer
 
+from tablewright.llm import bpe
 from tablewright.llm.bpe import Bpe, decode, encode
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -75,3 +77,20 @@ def test_empty_table(spark):
 def test_digest_of_an_empty_text(spark):
     row = decode(encode(spark.createDataFrame([(1, None)], TEXT_SCHEMA), PATH), PATH).selectExpr("sha2(array_join(ids, ' '), 256) a", "sha2(decoded, 256) b").first()
     assert row.a == row.b == hashlib.sha256(b"").hexdigest()
+
+
+def test_decoding_holds_little_at_once(library, monkeypatch):
+    # neither the encoder's vocabulary nor more than a slice of texts
+    monkeypatch.setattr(bpe, "Bpe", None)
+    lists = [library.encode(f"word {i} " * 500, add_special_tokens=False).ids for i in range(300)] + [[], None]
+    batch = pa.record_batch([pa.array(range(302)), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    out = list(bpe.decoded(iter([batch]), PATH, 1, ["doc_id", "ids", "decoded"]))
+    assert len(out) > 1 and all(len(b.column(1).flatten()) <= bpe.DECODED_IDS for b in out)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["ids"]) for r in rows] == list(enumerate(lists))
+    assert [r["decoded"] for r in rows] == [library.decode(x or [], skip_special_tokens=False) for x in lists]
+
+
+def test_short_words_do_without_the_merges():
+    own = Bpe(PATH)
+    assert len(own.encode("Some words of a text, don't they?")) and not {"ranks", "tokens"} & set(vars(own))
