@@ -3,7 +3,7 @@ import re
 
 from llm.corpus import TEXT_SCHEMA, awkward, sentence
 
-from tablewright.llm.decontaminate import decontaminate
+from tablewright.llm.decontaminate import _with_fingerprints, decontaminate, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,3 +68,29 @@ def test_clashing_columns_are_replaced(spark):
 def test_no_python_in_the_plan(spark):
     out = decontaminate(spark.createDataFrame([(1, "a b c")], TEXT_SCHEMA), spark.createDataFrame([(9, "b c")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def test_each_size_of_window_around_the_gram(spark):
+    # items of 1 to 14 words, whole, cut by one word at either end, and in texts shorter than a gram
+    rng = random.Random(5)
+    items = [(n, sentence(rng, n)) for n in range(1, 15)]
+    rows = [(0, "a"), (1, ""), (2, None), (3, ",")]
+    for n, text in items:
+        w = words(text)
+        rows += [(10 * n + k, " ".join(x)) for k, x in enumerate((w, w[1:], w[:-1], ["before", *w, "after"], ["before", *w[1:], *w]))]
+    assert run(spark, rows, items) == brute(rows, items)
+
+
+def test_costly_steps_at_each_word_stay_out(spark):
+    # both took most of the operator's time: a match for each word counted, a slice for each position winnowed
+    docs = spark.createDataFrame([(1, "a b c")], TEXT_SCHEMA)
+    counted = decontaminate(docs, spark.createDataFrame([(9, "b c")], "item_id long, text string"))
+    winnowed = _with_fingerprints(docs.select(words_of(docs.text).alias("w")), 13)
+    for df in (counted, winnowed):
+        assert not re.search("regexp_count|regexp_extract_all|array_min", df._jdf.queryExecution().toString())
+
+
+def test_long_text(spark):
+    item = sentence(random.Random(6), 30)
+    rows = [(1, "Words, of a-long text. " * 80_000 + item)]
+    assert run(spark, rows, [(1, item)]) == [(1, 400_000 + 30, 30, ["1"], [(400_000, 400_029)], False)]
