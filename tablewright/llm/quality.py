@@ -7,9 +7,10 @@ before), hashed to ``BUCKETS`` numbers and counted relative to the text's
 length. Nothing but the text enters a score.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows (a documented bound: the
-rows whose document id hashes lowest); features are made in parallel, the
-sequential updates run in one task over that bounded set. Scoring covers
-every row and whole texts.
+rows whose document id hashes lowest); features are made in parallel and
+packed in about four bytes each, the sequential updates run in one task over
+that bounded set and unpack one text at a time. Scoring covers every row and
+whole texts.
 
 Defined results: a null or empty text has no features and gets the score of
 the intercept; repeated rows score alike; labels other than 0 and 1 and rows
@@ -19,8 +20,9 @@ A column with the name of the score is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -88,11 +90,11 @@ class Model:
         return self.bias + SCALE * np.diff(total[found.bounds]) / np.maximum(n, 1)
 
 
-def _updates(rows: Iterator[tuple[np.ndarray, np.ndarray, float]]) -> Model:
+def _updates(rows: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, float]]]) -> Model:
+    """``rows`` gives the examples anew for each epoch, so that one of them at a time is unpacked."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    rows = list(rows)
     for _ in range(EPOCHS):
-        for at, x, y in rows:
+        for at, x, y in rows():
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
@@ -103,6 +105,52 @@ def _updates(rows: Iterator[tuple[np.ndarray, np.ndarray, float]]) -> Model:
     return Model(w[:-1], float(w[-1]))
 
 
+def _short(v: np.ndarray) -> bytes:
+    """Numbers of the least width that holds them all."""
+    return v.astype(np.min_scalar_type(v.max(initial=0))).tobytes()
+
+
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Id, label and text to id, label and features: how many, the steps between their buckets, their counts."""
+    found = words(batch.column(2), lower=False)
+    buckets = _buckets(found)
+    many, steps, counts = [], [], []
+    for a, b in zip(found.bounds, found.bounds[1:]):
+        which, count = np.unique(buckets[a:b], return_counts=True)
+        many.append(len(which))
+        steps.append(_short(np.diff(which, prepend=0)))
+        counts.append(_short(count))
+    columns = pa.array(many, pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["__id", "__y", "many", "steps", "counts"])
+
+
+def _fitted(table: pa.Table) -> Model:
+    """The model of packed examples, which stay as they came: an epoch unpacks one at a time."""
+    ids = [crc32(str(i).encode()) for i in table["__id"].to_pylist()]
+    ys, many = table["__y"].to_pylist(), table["many"].to_pylist()
+    steps, counts = ([v.as_buffer() for v in table[c]] for c in ("steps", "counts"))
+    one = np.ones(1)
+
+    def numbers(v: pa.Buffer, n: int) -> np.ndarray:
+        return np.frombuffer(v, f"u{len(v) // max(n, 1) or 1}").astype(np.int64)
+
+    def at(i: int) -> np.ndarray:
+        return np.cumsum(numbers(steps[i], many[i]))
+
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        for i in order:
+            count = numbers(counts[i], many[i])
+            x = (count * (SCALE / max(count.sum() // 4, 1))).astype(np.float32)  # four features a word
+            yield np.append(at(i), BUCKETS), np.append(x.astype(float), one), ys[i]
+
+    def key(i: int) -> tuple[int, float]:
+        return ids[i], ys[i]
+
+    alike = groupby(sorted(range(len(ids)), key=key), key)
+    order = [i for _, tied in alike for i in sorted(tied, key=lambda i: at(i).astype(np.int32).tobytes())]
+    return _updates(rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of the documents that training never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -119,25 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, SLICE):
-                found = words(part.column(2), lower=False)
-                buckets = _buckets(found)
-                at, x = [], []
-                for a, b in zip(found.bounds, found.bounds[1:]):
-                    which, count = np.unique(buckets[a:b], return_counts=True)
-                    at.append(which.astype(np.int32))
-                    x.append((count * (SCALE / max(b - a, 1))).astype(np.float32))
-                lists = (pa.array([v.tobytes() for v in vs], pa.binary()) for vs in (at, x))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["__id", "__y", "at", "x"])
+                yield _packed(part)
+        release()
 
     def fit(table: pa.Table) -> pa.Table:
-        ids = [crc32(str(i).encode()) for i in table["__id"].to_pylist()]
-        ys, ats, xs = (table[c].to_pylist() for c in ("__y", "at", "x"))
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], ys[i], ats[i]))
-        one = np.ones(1)
-        model = _updates((np.append(np.frombuffer(ats[i], np.int32), BUCKETS), np.append(np.frombuffer(xs[i], np.float32).astype(float), one), ys[i]) for i in order)
+        model = _fitted(table)
         return pa.table({"weights": pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
-    schema = T.StructType([sample.schema["__id"], sample.schema["__y"], T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())])
+    schema = T.StructType([sample.schema["__id"], sample.schema["__y"], *(T.StructField(c, t) for c, t in (("many", T.IntegerType()), ("steps", T.BinaryType()), ("counts", T.BinaryType())))])
     fitted = sample.mapInArrow(features, schema).withColumn("__all", F.lit(True)).groupBy("__all").applyInArrow(fit, "weights binary, bias double").collect()
     if not fitted:
         return Model(np.zeros(BUCKETS), 0.0)

@@ -1,14 +1,17 @@
 """The trained operators: quality, URL filter, HTML extraction; and nearest neighbours."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.corpus import TEXT_SCHEMA, awkward, paragraph, sentence
 from pyspark.sql import functions as F
 
 from tablewright.llm import html_text, nearest, quality, url_filter
+from tablewright.llm.words import words
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,6 +34,39 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), untrained).count() == 0
 
 
+def packed_examples(rows):
+    return pa.Table.from_batches([quality._packed(pa.record_batch([[r[i] for r in rows] for i in range(3)], ["__id", "__y", "__text"]))])
+
+
+def test_packed_examples_train_the_model_of_plain_ones():
+    rng = random.Random(4)
+    rows = [(i % 40, float(i % 3 == 0), paragraph(rng)) for i in range(90)]  # ids with other texts and the same label
+    rows += [(90, 1.0, ""), (91, 0.0, "x"), (92, 1.0, "a b " * 40_000), (93, 0.0, " ".join(map(str, range(20_000)))), rows[0]]
+
+    def plain(text):
+        found = words(pa.array([text]), lower=False)
+        which, count = np.unique(quality._buckets(found), return_counts=True)
+        return which.astype(np.int32), (count * (quality.SCALE / max(len(found.starts), 1))).astype(np.float32)
+
+    examples = sorted(((zlib.crc32(str(i).encode()), y, *plain(text)) for i, y, text in rows), key=lambda e: (e[0], e[1], e[2].tobytes()))
+    want = quality._updates(lambda: ((np.append(at, quality.BUCKETS), np.append(x.astype(float), 1.0), y) for _, y, at, x in examples))
+    for order in (rows, rows[::-1]):
+        got = quality._fitted(packed_examples(order))
+        assert np.array_equal(got.weights, want.weights) and got.bias == want.bias
+
+
+def test_fitting_unpacks_one_example_at_a_time():
+    rng = np.random.default_rng(5)
+    table = packed_examples([(i, float(i % 2), " ".join(map(str, rng.integers(0, 1 << 30, 4000)))) for i in range(300)])
+    n = sum(table["many"].to_pylist())
+    assert table.nbytes < 5 * n  # eight bytes a feature when they were sent unpacked
+    tracemalloc.start()
+    quality._fitted(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * n  # copies of all examples took 28 bytes a feature
+
+
 def test_held_out_is_the_crc(spark):
     rows = spark.range(50).select("id", quality.held_out(F.col("id")).alias("out")).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
