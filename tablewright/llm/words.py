@@ -41,7 +41,7 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes hashed at once; bounds the tables and temporary arrays.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

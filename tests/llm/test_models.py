@@ -11,6 +11,7 @@ from llm.corpus import TEXT_SCHEMA, awkward, paragraph, sentence
 from pyspark.sql import functions as F
 
 from tablewright.llm import html_text, nearest, quality, url_filter
+from tablewright.llm import words as words_module
 from tablewright.llm.words import words
 
 SF = "/root/testdata/sf0.01"
@@ -67,6 +68,16 @@ def test_fitting_unpacks_one_example_at_a_time():
     assert peak < 12 * n  # copies of all examples took 28 bytes a feature
 
 
+def test_hashes_do_not_depend_on_blocks_and_keep_little(monkeypatch):
+    text = pa.array([" ".join(map(str, range(300_000))), "x" * 700_000, "a b", None])
+    monkeypatch.setattr(words_module, "_powers", [])
+    found = words(text.slice(0, 1), lower=False)
+    assert sum(p.nbytes for p in words_module._powers) < 5_000_000  # what a worker keeps; 16.8 MB with blocks of 1 MB
+    every = words(text, lower=False)  # a word longer than a block among them
+    monkeypatch.setattr(words_module, "_BLOCK", 1 << 22)
+    assert np.array_equal(words(text, lower=False).hashes, every.hashes) and np.array_equal(every.hashes[: len(found.hashes)], found.hashes)
+
+
 def test_held_out_is_the_crc(spark):
     rows = spark.range(50).select("id", quality.held_out(F.col("id")).alias("out")).collect()
     assert all(r.out == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
