@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import release
+from tablewright.llm.shared import release, released
 from tablewright.names import quote_ident
 
 #: Characters of a piece of a long text, and of a word that is joined as a tree.
@@ -349,11 +349,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                 )
         # the worker goes on to other stages, without the vocabulary
         _bpe.cache_clear()
-        del bpe
-        release()
 
     is_long = F.coalesce(F.length(column), F.lit(0)) > piece_chars
-    whole = df.filter(~is_long).select(F.coalesce(column, F.lit("")).alias("__text"), *others).mapInArrow(short, schema)
+    whole = df.filter(~is_long).select(F.coalesce(column, F.lit("")).alias("__text"), *others).mapInArrow(released(short), schema)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary)
@@ -435,6 +433,5 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from decoded(batches, vocabulary, at, [*rest, text])
-        release()
 
-    return df.mapInArrow(run, _with(df, text, T.StringType()))
+    return df.mapInArrow(released(run), _with(df, text, T.StringType()))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.components import components
-from tablewright.llm.shared import discard, keep, packed, release, unpacked
+from tablewright.llm.shared import discard, keep, packed, released, unpacked
 from tablewright.llm.words import digest_hashes, mix, slices, words
 from tablewright.names import quote_ident
 
@@ -57,7 +57,9 @@ CHUNK = 64
 #: Rows of a table that is broadcast, else it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text read into sets at once; some twenty times as many bytes are held for them.
-SLICE = 2_000_000
+SLICE = 250_000
+#: Bytes of text whose signatures go to their buckets together.
+LOT = 2_000_000
 #: Bits of a sketch, at least; beyond, half as many as n-grams and more, a power of two.
 SKETCH = 256
 #: Sketches of unrelated sets differ in half their bits; so many standard deviations must lie between that and a link's.
@@ -219,9 +221,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 sets = ngram_sets(part.column(1), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])], names=["doc_id", "mark", "size", "d1", "d2"])
-        release()
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("mark", "size", "d1", "d2"))]))
+    return docs.mapInArrow(released(run), T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("mark", "size", "d1", "d2"))]))
 
 
 def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int, int, int]], n_buckets: int) -> DataFrame:
@@ -230,9 +231,9 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, SLICE):
+            for lot in slices(batch, 0, LOT):
                 sigs, nodes, kinds, seen = [], [], [], set()
-                for grams in ngram_sets(part.column(0), n):
+                for grams in (x for part in slices(lot, 0, SLICE) for x in ngram_sets(part.column(0), n)):
                     if not len(grams) or (name := names(grams)[0]) in seen:
                         continue
                     seen.add(name)
@@ -248,10 +249,10 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
                 if not sigs:
                     continue
                 sig, who, kind = map(np.concatenate, (sigs, nodes, kinds))
+                del sigs, nodes, kinds
                 # the bucket and 32 bits: a chance agreement only joins two groups
                 rows = packed(((sig >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, sig.astype(np.uint32), who, kind)
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([r[i] for _, r in rows], pa.binary()) for i in range(3))], names=["bucket", "sig", "who", "kind"])
-        release()
 
     def read(table: pa.Table) -> pa.Table:
         sig, who, kind = (unpacked(table[c], t) for c, t in (("sig", np.uint32), ("who", np.int64), ("kind", np.uint8)))
@@ -281,7 +282,7 @@ def _candidates(docs: DataFrame, n: int, percent: int, plan: dict[int, tuple[int
         take = np.repeat(keeps, size)
         return pa.table({"group": pa.array(np.repeat(named, size)[take].view(np.int64)), "d1": pa.array(who[take])})
 
-    found = docs.select("text").mapInArrow(write, "bucket int, sig binary, who binary, kind binary").groupBy("bucket").applyInArrow(read, "group long, d1 long")
+    found = docs.select("text").mapInArrow(released(write), "bucket int, sig binary, who binary, kind binary").groupBy("bucket").applyInArrow(read, "group long, d1 long")
     return found.distinct()
 
 
@@ -295,10 +296,9 @@ def _texts(docs: DataFrame, n: int, percent: int, wanted: DataFrame) -> DataFram
                 sets = ngram_sets(part.column(0), n)
                 named = np.array([names(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, 1, percent) for s in sets], pa.binary()), pa.array([sketch(s, SHARPER, percent) for s in sets], pa.binary()), part.column(0)], names=["d1", "d2", "size", "sketch", "sharp", "text"])
-        release()
 
     marked = docs.select("text", "mark").join(_few(wanted.select("mark").distinct()), "mark", "left_semi").select("text")
-    own = marked.mapInArrow(run, "d1 long, d2 long, size long, sketch binary, sharp binary, text string")
+    own = marked.mapInArrow(released(run), "d1 long, d2 long, size long, sketch binary, sharp binary, text string")
     own = own.join(_few(wanted), ["d1", "d2"]).select("node", "size", "sketch", "sharp", "text")
     return own.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("sharp").alias("sharp"), F.min("text").alias("text"))
 
@@ -317,7 +317,7 @@ def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sharp").alias(f"{c}_sketch")) for c in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(released(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -367,7 +367,7 @@ def _compared(met: DataFrame, percent: int) -> DataFrame:
                     b += node[ok].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

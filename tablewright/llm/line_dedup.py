@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import discard, keep, release
+from tablewright.llm.shared import discard, keep, released
 from tablewright.llm.words import slices
 from tablewright.names import quote_ident
 
@@ -82,10 +82,9 @@ def _texts(rows: DataFrame) -> DataFrame:
                     ],
                     names=["doc", "row", "d1", "d2", "lines", "sizes", "n_lines", "size"],
                 )
-        release()
 
     kinds = [T.StructField(c, T.BinaryType() if c in ("lines", "sizes") else T.LongType()) for c in ("d1", "d2", "lines", "sizes", "n_lines", "size")]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *kinds]))
+    return rows.mapInArrow(released(run), T.StructType([*rows.schema.fields[:2], *kinds]))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -238,9 +237,8 @@ def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     counts.append(len(lines))
                 columns = [pa.array(texts, part.column(at).type) if i == at else c for i, c in enumerate(part.columns[:last])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
-        release()
 
-    return joined.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return joined.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
 
 
 def _merged(runs: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.shared import release
+from tablewright.llm.shared import released
 from tablewright.llm.words import Words, mix, slices, words
 from tablewright.names import quote_ident
 
@@ -73,8 +73,10 @@ def _buckets(found: Words) -> np.ndarray:
     return (mix(keys) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-#: Bytes of text read into features at once; some forty times as many bytes are held for them.
+#: Bytes of text scored, or packed, together.
 SLICE = 1_000_000
+#: Bytes of text read into features at once; some forty times as many bytes are held for them.
+READ = 128_000
 
 
 @dataclass
@@ -83,11 +85,13 @@ class Model:
     bias: float
 
     def margins(self, column: pa.Array) -> np.ndarray:
-        found = words(column, lower=False)
-        total = np.zeros(len(found.starts) + 1)
-        np.cumsum(self.weights[_buckets(found)].sum(1), out=total[1:])
-        n = np.diff(found.bounds)
-        return self.bias + SCALE * np.diff(total[found.bounds]) / np.maximum(n, 1)
+        sums, n = [np.zeros(1)], [np.zeros(0, np.int64)]
+        for part in slices(pa.record_batch([column], ["text"]), 0, READ):
+            found = words(part.column(0), lower=False)
+            sums.append(self.weights[_buckets(found)].sum(1))
+            n.append(np.diff(found.bounds))
+        total, n = np.cumsum(np.concatenate(sums)), np.concatenate(n)
+        return self.bias + SCALE * np.diff(total[np.concatenate([[0], np.cumsum(n)])]) / np.maximum(n, 1)
 
 
 def _updates(rows: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, float]]]) -> Model:
@@ -112,14 +116,15 @@ def _short(v: np.ndarray) -> bytes:
 
 def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Id, label and text to id, label and features: how many, the steps between their buckets, their counts."""
-    found = words(batch.column(2), lower=False)
-    buckets = _buckets(found)
     many, steps, counts = [], [], []
-    for a, b in zip(found.bounds, found.bounds[1:]):
-        which, count = np.unique(buckets[a:b], return_counts=True)
-        many.append(len(which))
-        steps.append(_short(np.diff(which, prepend=0)))
-        counts.append(_short(count))
+    for part in slices(batch, 2, READ):
+        found = words(part.column(2), lower=False)
+        buckets = _buckets(found)
+        for a, b in zip(found.bounds, found.bounds[1:]):
+            which, count = np.unique(buckets[a:b], return_counts=True)
+            many.append(len(which))
+            steps.append(_short(np.diff(which, prepend=0)))
+            counts.append(_short(count))
     columns = pa.array(many, pa.int32()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["__id", "__y", "many", "steps", "counts"])
 
@@ -168,14 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         for batch in batches:
             for part in slices(batch, 2, SLICE):
                 yield _packed(part)
-        release()
 
     def fit(table: pa.Table) -> pa.Table:
         model = _fitted(table)
         return pa.table({"weights": pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
     schema = T.StructType([sample.schema["__id"], sample.schema["__y"], *(T.StructField(c, t) for c, t in (("many", T.IntegerType()), ("steps", T.BinaryType()), ("counts", T.BinaryType())))])
-    fitted = sample.mapInArrow(features, schema).withColumn("__all", F.lit(True)).groupBy("__all").applyInArrow(fit, "weights binary, bias double").collect()
+    fitted = sample.mapInArrow(released(features), schema).withColumn("__all", F.lit(True)).groupBy("__all").applyInArrow(fit, "weights binary, bias double").collect()
     if not fitted:
         return Model(np.zeros(BUCKETS), 0.0)
     return Model(np.frombuffer(bytes(fitted[0].weights), np.float32).astype(float), fitted[0].bias)
@@ -193,6 +197,5 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
             for part in slices(batch, at, SLICE):
                 value = 1 / (1 + np.exp(-np.clip(own.margins(part.column(at)), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, name])
-        release()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,18 @@ def release() -> None:
         trim(0)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a task over batches, that starts without what the worker's last task left and gives back
+    its own memory when the last batch and the arrays made of it are gone, too."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> list[tuple[int, tuple[bytes, ...]]]:
     """The entries of each bucket as bytes, a row per bucket that has any; entries keep their order."""
     order = np.argsort(bucket, kind="stable")

@@ -1,10 +1,14 @@
 import random
 import re
+import tracemalloc
+import weakref
 
+import pyarrow as pa
 import pytest
 from llm.corpus import TEXT_SCHEMA, as_rows, awkward, sentence
+from pyspark.sql import types as T
 
-from tablewright.llm import jaccard_join
+from tablewright.llm import jaccard_join, shared
 from tablewright.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -167,6 +171,56 @@ def test_word_digests_are_of_the_words():
     assert len(words(pa.array([None, ""]), hasher=digest_hashes).hashes) == 0 and np.all(np.diff(found.bounds) >= 0)
 
 
+class Tasks:
+    """Stands for a table and keeps the functions that its tasks run over batches."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+    def __init__(self):
+        self.runs = []
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.runs.append(run)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def test_texts_are_read_in_small_slices_and_packed_in_large_ones(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(5_000)) for _ in range(250)) for _ in range(1_600)]  # 1.9 MB
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["doc_id", "text", "mark"])
+    tasks, plan = Tasks(), {b: (40, 0, 0) for b in range(40)}
+    jaccard_join._sets(tasks, 5)
+    jaccard_join._candidates(tasks, 5, 80, plan, 4)
+    most = []
+    for run, given in zip(tasks.runs, (batch, batch.select(["text"]))):
+        tracemalloc.start()
+        list(run(iter([given])))
+        most.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert most[0] < 12 and most[1] < 20, most  # MB; 53 with slices of 2 MB
+    small = [list(run(iter([given]))) for run, given in zip(tasks.runs, (batch, batch.select(["text"])))]
+    monkeypatch.setattr(jaccard_join, "SLICE", 2_000_000)
+    large = [list(run(iter([given]))) for run, given in zip(tasks.runs, (batch, batch.select(["text"])))]
+    assert pa.Table.from_batches(small[0]).to_pylist() == pa.Table.from_batches(large[0]).to_pylist()
+    assert [b.to_pylist() for b in small[1]] == [b.to_pylist() for b in large[1]]
+
+
+def test_a_task_gives_memory_back_when_its_last_batch_is_gone(monkeypatch):
+    alive, calls = [], []
+
+    def run(batches):
+        for batch in batches:
+            alive.append(weakref.ref(batch))
+            yield batch.num_rows
+
+    monkeypatch.setattr(shared, "release", lambda: calls.append([r() is not None for r in alive]))
+    assert list(shared.released(run)(pa.record_batch([pa.array([i])], names=["x"]) for i in range(3))) == [1, 1, 1]
+    assert calls == [[], [False] * 3]
+
+
 def test_empty_table(spark):
     assert jaccard_join.link_components(spark.createDataFrame([], TEXT_SCHEMA)).count() == 0
 

@@ -68,6 +68,24 @@ def test_fitting_unpacks_one_example_at_a_time():
     assert peak < 12 * n  # copies of all examples took 28 bytes a feature
 
 
+def test_scoring_and_packing_read_little_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 10_000, 200))) for _ in range(1_000)] + [None, ""])  # 1 MB
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([1.0] * len(texts)), texts], names=["__id", "__y", "__text"])
+    model = quality.Model(rng.random(quality.BUCKETS), 0.5)
+    calls, most = (lambda: model.margins(texts), lambda: quality._packed(batch)), []
+    for call in calls:
+        tracemalloc.start()
+        call()
+        most.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(most) < 16, most  # MB; 39 when features of all were made at once
+    margins, packed = (call() for call in calls)
+    monkeypatch.setattr(quality, "READ", 10_000_000)
+    assert np.array_equal(margins, model.margins(texts)) and packed.equals(quality._packed(batch))
+    assert len(model.margins(texts.slice(0, 0))) == 0
+
+
 def test_hashes_do_not_depend_on_blocks_and_keep_little(monkeypatch):
     text = pa.array([" ".join(map(str, range(300_000))), "x" * 700_000, "a b", None])
     monkeypatch.setattr(words_module, "_powers", [])
